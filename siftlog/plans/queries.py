@@ -1,4 +1,4 @@
 """The registered log-analytics queries and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from siftlog.plans import base_queries, text_queries  # noqa: F401
+from siftlog.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
