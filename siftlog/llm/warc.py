@@ -11,6 +11,7 @@ to the record that holds it.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,8 +64,8 @@ def _page(name: str | None) -> int | None:
     return int(part) if part.lstrip("-").isdigit() else None
 
 
-def _pieces(batches):
-    """Offsets inside each split and what each piece's own header says; bodies only of pieces that are no whole record."""
+def _pieces(batches, bodies: bool = False):
+    """Offsets inside each split and what each piece's own header says; bodies only of pieces that are no whole record, or of all."""
     at: dict[tuple[str, int], int] = {}
     names = [x.split()[0] for x in PIECES.split(", ")]
     kinds = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in PIECES.split(", ")]
@@ -83,7 +84,7 @@ def _pieces(batches):
             whole = len(head) + len(END) + int(length) + len(END) if ok else None
             done = ok and len(raw) == whole
             payload = body[: int(length)] if done else b""
-            rows.append((file, block, begin, len(raw), begin + len(MAGIC) + whole if ok else None, _page(f.get("warc-record-id")), f.get("warc-type"), _page(f.get("warc-refers-to")), int(f["x-payload-length"]) if f.get("x-payload-length", "").isdigit() else None, f.get("warc-payload-digest", "").removeprefix("sha256:"), hashlib.sha256(payload).hexdigest() if done else None, None if done else raw))
+            rows.append((file, block, begin, len(raw), begin + len(MAGIC) + whole if ok else None, _page(f.get("warc-record-id")), f.get("warc-type"), _page(f.get("warc-refers-to")), int(f["x-payload-length"]) if f.get("x-payload-length", "").isdigit() else None, f.get("warc-payload-digest", "").removeprefix("sha256:"), hashlib.sha256(payload).hexdigest() if done else None, None if done and not bodies else raw))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names)
 
 
@@ -129,7 +130,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     splits = splits.withColumn("base", F.coalesce(F.sum("held").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     splits = saved(splits, "warc-splits")  # one row for each split
     placed = pieces.join(splits.select("file", "block", "base"), ["file", "block"])
-    placed = placed.withColumns({"at": F.col("base") + F.col("at"), "next": F.col("base") + F.col("next")}).drop("base")
+    placed = placed.withColumns({"local": F.col("at"), "at": F.col("base") + F.col("at"), "next": F.col("base") + F.col("next")}).drop("base")
     pointers = placed.where("next is not null").select("file", "block", "at", "next")
     jumps = saved(pointers.groupBy("file", "block").applyInArrow(_leave, "file string, at long, exit long"), "warc-jumps")
     reached = splits.where("block = 0 and clean > 0").select("file", F.lit(len(MAGIC)).cast("long").alias("at"))
@@ -143,9 +144,16 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     records = placed.join(chain, ["file", "at"])
     # Pieces off the chain belong to the record before them in their file.
     broken = records.where("sha256 is null").select("file").distinct()
-    loose = placed.where("body is not null").join(broken, "file", "left_semi").join(chain.withColumn("on", F.lit(True)), ["file", "at"], "left")
+    loose = placed.join(broken, "file", "left_semi").join(chain.withColumn("on", F.lit(True)), ["file", "at"], "left")
+    loose = saved(loose.where("body is not null or on is null").select("file", "block", "local", "at", "body", "on"), "warc-loose")
+    lost = loose.where("body is null")
+    if lost.limit(1).count():
+        # Payloads that hold whole records: their bytes weren't kept as they might have been records; read them again.
+        again = lines.mapInArrow(partial(_pieces, bodies=True), PIECES).select("file", "block", F.col("at").alias("local"), F.col("body").alias("found"))
+        loose = loose.join(again.join(lost.select("file", "block", "local"), ["file", "block", "local"], "left_semi"), ["file", "block", "local"], "left").withColumn("body", F.coalesce("body", "found"))
+    loose = saved(loose.select("file", "at", "body", "on"), "warc-loose")
     starts = chain.join(broken, "file", "left_semi").join(loose.select("file", "at"), ["file", "at"], "left_anti").select("file", "at", F.lit(None).cast("binary").alias("body"), F.lit(True).alias("on"))
-    loose = loose.select("file", "at", "body", "on").union(starts)
+    loose = loose.union(starts)
     owner = F.max(F.when(F.col("on"), F.col("at"))).over(W.partitionBy("file").orderBy("at"))
     loose = loose.withColumn("owner", owner).where("owner is not null and body is not null")
     joined = loose.groupBy("file", "owner").applyInArrow(_joined, "file string, at long, joined_sha256 string")
