@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 #: Line shapes.
@@ -18,7 +19,9 @@ LEADING_STAMP = (
 )
 REQUEST_LINE = r'^\S+ \S+ \S+ \[\d{2}/[A-Za-z]{3}/\d{4}(?::\d{2}){3} [-+]\d{4}\] "[^"]*" \d{3} (?:\d+|-)'
 
-_IN_FILE = W.partitionBy("path").orderBy("line_no")
+
+def _in_file() -> WindowSpec:
+    return W.partitionBy("path").orderBy("line_no")
 
 
 def frame_choice(lines: DataFrame, probe: int = 4000) -> DataFrame:
@@ -38,7 +41,7 @@ def frame_line(lines: DataFrame) -> DataFrame:
 
 def _grouped(lines: DataFrame, start: Column, glue: str, text: Column | None = None) -> DataFrame:
     """Runs that begin where ``start`` holds, their lines joined in order."""
-    runs = lines.withColumn("run", F.sum(start.cast("int")).over(_IN_FILE))
+    runs = lines.withColumn("run", F.sum(start.cast("int")).over(_in_file()))
     parts = F.array_sort(F.collect_list(F.struct("line_no", (text if text is not None else F.col("text")).alias("text"))))
     return runs.groupBy("path", "run").agg(F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"), F.array_join(F.transform(parts, lambda p: p["text"]), glue).alias("text")).drop("run")
 
@@ -52,20 +55,20 @@ def frame_anchor(lines: DataFrame, start: str = LEADING_STAMP) -> DataFrame:
 def frame_block(lines: DataFrame) -> DataFrame:
     """Paragraphs between blank lines, joined by line feeds."""
     blank = F.trim("text") == ""
-    marked = lines.withColumn("opens", F.coalesce(F.lag(blank).over(_IN_FILE), F.lit(True))).where(~blank)
+    marked = lines.withColumn("opens", F.coalesce(F.lag(blank).over(_in_file()), F.lit(True))).where(~blank)
     return _grouped(marked, F.col("opens"), "\n")
 
 
 def frame_cri(lines: DataFrame, partial: Column, body: Column) -> DataFrame:
     """Lines whose ``partial`` flag holds go on in the next; the first keeps its text, others add ``body``."""
-    lines = lines.withColumn("opens", F.coalesce(F.lag(~partial).over(_IN_FILE), F.lit(True)))
+    lines = lines.withColumn("opens", F.coalesce(F.lag(~partial).over(_in_file()), F.lit(True)))
     return _grouped(lines, F.col("opens"), "", F.when(F.col("opens"), F.col("text")).otherwise(body))
 
 
 def frame_key(lines: DataFrame, key: Column) -> DataFrame:
     """Consecutive lines that share ``key`` are one record, joined by line feeds."""
     lines = lines.withColumn("key", key)
-    opens = F.coalesce(F.lag("key").over(_IN_FILE) != F.col("key"), F.lit(True))
+    opens = F.coalesce(F.lag("key").over(_in_file()) != F.col("key"), F.lit(True))
     return _grouped(lines.withColumn("opens", opens), F.col("opens"), "\n")
 
 
