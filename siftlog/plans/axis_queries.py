@@ -172,10 +172,10 @@ z AS (SELECT path, count(*) AS tot, count(DISTINCT v) AS vs FROM s GROUP BY path
 f AS (SELECT path, v, min(pos) AS first, count(*) AS n FROM s GROUP BY ALL)"""
 
 
-@query("axis_newcomer", _NEW.format(v="ip") + ", x AS (SELECT f.*, count(*) OVER (PARTITION BY f.path) AS new FROM f JOIN z USING (path) WHERE tot >= 30 AND vs <= 400 AND 2 * first > tot) SELECT path, v AS actor, first, n FROM x WHERE new <= 400")
+@query("axis_newcomer", _NEW.format(v="ip || '/' || (k % 10)") + ", x AS (SELECT f.*, count(*) OVER (PARTITION BY f.path) AS new FROM f JOIN z USING (path) WHERE tot >= 30 AND vs <= 4000 AND 2 * first > tot) SELECT path, v AS actor, first, n FROM x WHERE new <= 400")
 def axis_newcomer(spark, d):
-    lines = loglines(spark, d).select("path", "line_no", F.get(M.actors(F.col("text")), F.lit(0)).alias("actor"))
-    return A.axis_newcomer(lines, "path", "line_no", "actor", most_actors=400, least=30, most_new=400)
+    lines = loglines(spark, d).select("path", "line_no", F.concat(F.get(M.actors(F.col("text")), F.lit(0)), F.lit("/"), F.col("k") % 10).alias("actor"))
+    return A.axis_newcomer(lines, "path", "line_no", "actor", most_actors=4000, least=30, most_new=400)
 
 
 _FLOOR = """
