@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlog.llm.bytetext import spans, text_buffers
 from siftlog.llm.shared import picked, saved
 from siftlog.llm.tokens import pieces
 
@@ -55,8 +57,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     def encode(batches):
         coder = pieces(tokenizer_path)
         for b in batches:
-            n = [len(coder.of(t)) // 4 for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["content"], pa.array(n, pa.int64())], ["content", "n_tokens"])
+            data, offsets = text_buffers(b["text"])
+            n = [coder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], counts_only=True)[1] for i, j in spans(offsets)]
+            yield pa.RecordBatch.from_arrays([b["content"], pa.array(np.concatenate([np.zeros(0, np.int64), *n]))], ["content", "n_tokens"])
 
     new = texts.mapInArrow(encode, "content string, n_tokens long")
     new.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)

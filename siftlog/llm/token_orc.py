@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftlog.llm.bytetext import spans, text_buffers
 from siftlog.llm.shared import picked, saved
 from siftlog.llm.tokens import pieces
 
@@ -29,14 +30,14 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches):
-        coder, end = pieces(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        coder = pieces(tokenizer_path)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                some = b.slice(at, 500)
-                ids = [coder.of(t) + end for t in some["text"].to_pylist()]
-                offsets = np.cumsum([0, *[len(x) // 4 for x in ids]])
-                values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-                yield pa.RecordBatch.from_arrays([some["doc_id"], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], ["doc_id", "ids"])
+            data, offsets = text_buffers(b["text"])
+            for i, j in spans(offsets):
+                ids, n = coder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                ids = np.insert(ids, np.cumsum(n), np.int32(end_id))
+                ends = np.concatenate(([0], np.cumsum(n + 1)))
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], ["doc_id", "ids"])
 
     ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     out = ordered.mapInArrow(encode, "doc_id long, ids array<int>").write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01)

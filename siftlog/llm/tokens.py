@@ -1,50 +1,103 @@
 """Encoding whole texts inside tasks with a public tokenizer file, through a bounded cache of text pieces.
 
-The file's normaliser and pre-tokenizer never join characters across an ASCII space or line feed, so a text's ids
-are those of its pieces between them, in order; special strings hold no white space. Pieces repeat far more than
-documents do. The cache holds ``most`` pieces and starts anew when full; that changes speed only.
+The file's normaliser and pre-tokenizer never join characters across ASCII white space, so a text's ids are those of
+its pieces, in order. Texts of plain letters, digits and punctuation are cut further, between words and punctuation,
+and A-Z are lower-cased, as the file itself does; texts with apostrophes, underscores, special strings or letters
+beyond Latin are cut at white space only. Each distinct piece is encoded once for each worker; pieces are found,
+hashed (64 bits) and looked up by array operations, and ids are gathered from one array.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
-_PIECE = re.compile(r"[^ \n]+")
+from siftlog.llm.bytetext import LOWER, SPACE, U, word_hashes
+
+_WORD = np.zeros(256, np.uint8)
+_WORD[:] = 2
+_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+_WORD[SPACE] = 0
+#: Lead bytes of letters U+00C0 to U+023F are 0xC3 to 0xC8; other lead bytes, apostrophes and underscores keep a text whole.
+_WHOLE = np.zeros(256, bool)
+_WHOLE[[0x27, 0x5F, 0xC2, *range(0xC9, 0x100)]] = True
 _held: dict[str, Pieces] = {}
 
 
+def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes to encode, start, end, document) of the pieces of several documents."""
+    whole = _WHOLE[data]
+    # The signs U+00D7 and U+00F7 stand among the letters, U+0130 gains a mark in lower case, ``<|`` opens special strings.
+    for lead, then in ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0), (0x3C, 0x7C)):
+        whole[1:] |= (data[:-1] == lead) & (data[1:] == then)
+    seen = np.concatenate(([0], np.cumsum(whole)))[offsets]
+    keep = np.repeat(np.diff(seen) > 0, np.diff(offsets))
+    kind = np.where(keep, (~SPACE[data]).astype(np.uint8), _WORD[data])
+    text = np.where(keep, data, LOWER[data])
+    opens = kind > 0
+    opens[1:] &= kind[1:] != kind[:-1]
+    edge = offsets[1:-1][offsets[1:-1] < len(data)]
+    opens[edge] = kind[edge] > 0
+    closes = kind > 0
+    closes[:-1] &= kind[1:] != kind[:-1]
+    edge = offsets[1:-1][offsets[1:-1] > 0] - 1
+    closes[edge] = kind[edge] > 0
+    starts = np.flatnonzero(opens)
+    return text, starts, np.flatnonzero(closes) + 1, np.searchsorted(offsets, starts, side="right") - 1
+
+
 class Pieces:
-    def __init__(self, path: str, most: int = 400_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    """Ids by the hash of a piece. ``most`` pieces are held; beyond that the cache starts anew, which changes speed only."""
+
+    def __init__(self, path: str, most: int = 2_000_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path)
-        self.encode.no_truncation()
-        self.encode.no_padding()
-        self.most, self.ids = most, {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.ids) + len(pieces) > self.most:
-            self.ids.clear()
-        new = list(pieces)
-        for i in range(0, len(new), 5000):
-            some = new[i : i + 5000]
-            for p, e in zip(some, self.encode.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.ids[p] = np.asarray(e.ids, "<u4").tobytes()
-
-    def of(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers, end to end."""
-        pieces = _PIECE.findall(text)
-        try:
-            return b"".join(map(self.ids.__getitem__, pieces))
-        except KeyError:
-            self._learn(set(pieces).difference(self.ids))
-            if any(p not in self.ids for p in pieces):
-                self._learn(set(pieces))
-            return b"".join(map(self.ids.__getitem__, pieces))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.at, self.size, self.ids = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        ids, size = [self.ids], []
+        for i in range(0, len(texts), 5000):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 5000], add_special_tokens=False)]
+            size += map(len, got)
+            ids.append(np.array([x for one in got for x in one], np.int32))
+        size = np.array(size, np.int64)
+        at = len(self.ids) + np.cumsum(size) - size
+        known = np.concatenate((self.known, hashes))
+        order = np.argsort(known, kind="stable")
+        self.known, self.ids = known[order], np.concatenate(ids)
+        self.at, self.size = np.concatenate((self.at, at))[order], np.concatenate((self.size, size))[order]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, counts_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents end to end, number of ids of each document); the first is empty if only counts are asked for."""
+        text, starts, ends, doc = cut(data, offsets)
+        docs = len(offsets) - 1
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(docs, np.int64)
+        distinct, first, index = np.unique(word_hashes(text, starts, ends), return_index=True, return_inverse=True)
+        for _ in range(2):
+            place = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
+            new = np.flatnonzero(self.known[place] != distinct) if len(self.known) else np.arange(len(distinct))
+            if not len(new):
+                break
+            if len(self.known) + len(new) > self.most and len(self.known):
+                self._clear()
+                new = np.arange(len(distinct))
+            raw = text.tobytes()
+            self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+        size = self.size[place][index]
+        n = np.bincount(doc, size, docs).astype(np.int64)
+        if counts_only:
+            return np.zeros(0, np.int32), n
+        return self.ids[np.arange(size.sum()) + np.repeat(self.at[place][index] - (np.cumsum(size) - size), size)], n
 
 
 def pieces(path: str) -> Pieces:
