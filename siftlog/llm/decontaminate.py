@@ -148,5 +148,5 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that no item contaminates; columns stay as they are."""
-    bad = find_contamination(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("bad_id")).distinct()
+    bad = saved(find_contamination(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("bad_id")).distinct(), "benchmark-bad")
     return docs.join(bad, docs[id_col] == bad["bad_id"], "left_anti")

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -74,12 +75,15 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
         counts.unpersist()
 
 
-def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", certain_at: int = 20, cached: int = 300_000) -> DataFrame:
-    """Return doc_id, lang_pred, score (0 to 1): the share of the best language if at most ``certain_at`` words' weight is trusted.
+def labelled(docs: DataFrame, model: LanguageModel, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score"), certain_at: int = 20, cached: int = 300_000) -> DataFrame:
+    """The rows with two more columns: the language and its score (0 to 1), the share of the best language if at most
+    ``certain_at`` words' weight is trusted. Nothing is shuffled.
 
     Null texts, texts without letters and models without languages give ``und`` and 0. Ties go to the first language by
-    name. Rows are judged alone, so repeated rows agree; an empty table gives an empty result.
+    name. Rows are judged alone, so repeated rows agree; an empty table gives an empty result. The new names must be new.
     """
+    if clash := set(names) & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are there already")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -89,7 +93,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
         seen: dict[str, np.ndarray] = {}
         for b in batches:
             langs, scores = [], []
-            for text in b["text"].to_pylist():
+            for text in b[text_col].to_pylist():
                 count = Counter(_WORD.findall(text.lower())) if text and m.languages else None
                 if not count:
                     langs.append(UNKNOWN)
@@ -114,7 +118,12 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                 best = int(share.argmax())
                 langs.append(m.languages[best])
                 scores.append(float(share[best] / share.sum()))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, *names])
 
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
+
+
+def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Return doc_id, lang_pred and score as ``labelled`` gives them."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return labelled(rows, model, **options).drop("text")
