@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siftlog.llm.decontaminate import decontaminated
 from siftlog.llm.jaccard_join import jaccard_classes
-from siftlog.llm.langid import UNKNOWN, fit, predict
+from siftlog.llm.langid import UNKNOWN, fit, labelled
 from siftlog.llm.mixing import mixed
 from siftlog.llm.queries import TOKENIZER
 from siftlog.llm.shared import saved, work_path
@@ -20,16 +20,15 @@ LEAST_SCORE = 0.5
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without letters, or without a language that outweighs the rest, go."""
-    texts = docs.select("doc_id", "text").distinct()
-    known = predict(texts, fit(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(F.col("doc_id").alias("known_id")).distinct()
-    return docs.join(known, docs["doc_id"] == known["known_id"], "left_semi")
+    told = labelled(docs, fit(docs), names=("stage_lang", "stage_score"))
+    return told.where((F.col("stage_lang") != UNKNOWN) & (F.col("stage_score") >= LEAST_SCORE)).drop("stage_lang", "stage_score")
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that near-duplicate links join, the one with the least id; five-word shingles, similarity 0.8."""
-    classes = jaccard_classes(docs)
-    one = classes.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(one, docs["doc_id"] == one["kept_id"], "left_semi")
+    rest = jaccard_classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("rest_id")).distinct()
+    rest = saved(rest, "pipeline-rest")  # Spark knows its size: broadcast only if it is small
+    return docs.join(rest, docs["doc_id"] == rest["rest_id"], "left_anti")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
