@@ -33,7 +33,8 @@ def dedup_captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumns({"n": F.octet_length("html").cast("long"), "digest": F.sha2("html", 256)})
     first = pages.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).where("times > 1 and first is not null")
-    out = pages.join(first.select("digest", "first"), "digest", "left")
+    # Written first, so that Spark knows its size: few copies are broadcast, and payloads then need no shuffle.
+    out = pages.join(saved(first.select("digest", "first"), "warc-copies"), "digest", "left")
     return out.select("page_id", "url", "html", "n", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
 
 
