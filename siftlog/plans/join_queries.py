@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftlog.functions import fields as X
 from siftlog.functions import masking as M
+from siftlog.functions.clock import clock_gap
 from siftlog.operators import axes as A
 from siftlog.operators import joins as J
 from siftlog.operators import tallies as G
@@ -14,6 +17,7 @@ from siftlog.plans.axis_queries import _FLOOR
 from siftlog.plans.fixtures import doclines, events, loglines, table
 from siftlog.plans.registry import query
 from siftlog.plans.text_queries import SQL_PATH, SQL_TEMPLATE
+from siftlog.sources.lines import write_worklist
 
 _IDS = {"svc-1": ["svc", "1"], "user=7": ["user=7"], "k=42": ["k=42"], "zz-9": ["zz", "9"]}
 _HITS = r"""hits AS (SELECT path, line_no, 'svc-1' AS id FROM loglines WHERE event_type NOT IN ('view', 'click') AND user_id % 3 = 1
@@ -96,8 +100,6 @@ def refutations(spark, d):
     c = lines.groupBy("path", "host", "k").agg(F.count("*").alias("n"), F.min("line_no").alias("line_no"), (F.min_by("sec", "line_no") % 86400).alias("sod")).where("n <= 3")
     background = lines.where("level = 'INFO'").groupBy("path").agg(F.count("*").alias("background"))
     peak = events(spark, d).groupBy("host").agg((F.max_by("sec", F.struct("ms", "event_id")) % 86400).alias("peak"))
-    from siftlog.functions.clock import clock_gap
-
     return c.join(background, "path", "left").join(peak, "host", "left").select("path", "line_no", "n", F.coalesce("background", F.lit(0)).alias("background"), clock_gap(F.col("sod"), F.col("peak")).alias("gap"))
 
 
@@ -307,10 +309,6 @@ def truncation(spark, d):
 @query("worklist_sink")
 def worklist_sink(spark, d):
     """Writes the worklist as tab-separated files by host and reads it back."""
-    import tempfile
-
-    from siftlog.sources.lines import write_worklist
-
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftlog-")
     path = f"{base.rstrip('/')}/siftlog/worklist-{spark.sparkContext.applicationId}"
     write_worklist(worklist(spark, d).withColumn("host", F.substring_index("path", "/", 1)), path)
