@@ -7,8 +7,8 @@
    only are left out of the index.
 3. Group pairs that share a prefix shingle pass a size and a position filter, then are expanded to members and
    verified on the whole sets. To avoid all pairs of a large class, each index entry first verifies its members
-   against one hub and the links' components are found; afterwards only pairs of members in *different*
-   components are expanded and verified. Pairs inside a component can't change the classes, so none is lost.
+   against one hub, the member with the fewest shingles of its own, and the links' components are found;
+   afterwards only pairs of members in *different* components are expanded and verified. Pairs inside a component can't change the classes, so none is lost.
 """
 
 from __future__ import annotations
@@ -25,13 +25,19 @@ from siftlog.llm.shared import chunks_for, saved
 from siftlog.llm.standing import answered, at_level, stand, standing_texts
 
 BITS = 44
-INDEXED = "digest string, doc_id long, n int, prefix_key long, shingles array<long>, places array<int>, members binary"
+#: Of an indexed shingle, how many of the indexed ones before it are kept beside it.
+BEFORE = 8
+INDEXED = "digest string, doc_id long, n int, own int, prefix_key long, shingles array<long>, places array<int>, members binary"
 
 
 def _fits(num: int, den: int) -> Column:
-    """Size filter, and the most that two sets can share once x's place p and y's place q hold the same shingle."""
+    """Size filter, and the most that two sets can share once places p and q hold the same shingle.
+
+    The ``own`` shingles that no other document has stand first and can't be shared: before the places at most
+    the others match, and after them at most what is left of either.
+    """
     n, m, p, q = (F.col(c) for c in ("x_n", "y_n", "x_place", "y_place"))
-    most = F.least(p, q) + 1 + F.least(n - p - 1, m - q - 1)
+    most = F.least(p - F.col("x_own"), q - F.col("y_own")) + F.least(n - p, m - q)
     return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((num + den) * most >= num * (n + m))
 
 
@@ -88,9 +94,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = np.flatnonzero(f[first] > 1)
             link = len(found) > 0
             name = mix(np.cumsum(mix(s[first] + np.arange(len(first), dtype=U))))[-1:].view(np.int64) if link else [0]
-            rows.append((digest, doc, n, int(name[0]), s[first[found]].view(np.int64).tolist() if link else None, found.tolist() if link else None, s.tobytes() if link else None))
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=[x.split()[0] for x in INDEXED.split(", ")])
+            rows.append((digest, doc, n, int((f < 2).sum()), int(name[0]), s[first[found]].view(np.int64).tolist() if link else None, found.tolist() if link else None, s.tobytes() if link else None))
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=[x.split()[0] for x in INDEXED.split(", ")])
 
     sent = held.texts.groupBy("chunk").cogroup(held.side.groupBy("chunk")).applyInArrow(count, packed.SENT)
     side = held.side.unionByName(answered(packed.counted(sent), 0))
@@ -100,15 +106,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = active.groupBy("n", "prefix_key").agg(F.min("doc_id").alias("group"))
     grouped = saved(active.select("doc_id", "n", "prefix_key").join(groups, ["n", "prefix_key"]).select("doc_id", "group", "n"), "jaccard-groups")
     entries = active.join(grouped.select("group").distinct(), F.col("doc_id") == F.col("group"), "left_semi")
-    entries = entries.select(F.col("doc_id").alias("group"), "n", F.explode(F.arrays_zip("shingles", "places")).alias("e")).select("group", "n", F.col("e.shingles").alias("shingle"), F.col("e.places").alias("place"))
+    entries = entries.select(F.col("doc_id").alias("group"), "n", "own", "shingles", F.posexplode(F.arrays_zip("shingles", "places")).alias("i", "e"))
+    earlier = F.slice("shingles", F.greatest(F.col("i") - (BEFORE - 1), F.lit(1)), F.least(F.col("i"), F.lit(BEFORE)))
+    entries = entries.select("group", "n", "own", F.col("e.shingles").alias("shingle"), F.col("e.places").alias("place"), earlier.alias("earlier"))
     entries = saved(entries, "jaccard-entries")
     sets = active.select("doc_id", "members")
 
     # Each entry's members against its hub, and each group's members against the one that names it.
-    links = None
-    hub = F.min_by(F.struct(F.col("group").alias("y"), F.col("n").alias("y_n"), F.col("place").alias("y_place")), F.struct(F.xxhash64("group"), "group"))
+    hub = F.min_by(F.struct(F.col("group").alias("y"), F.col("n").alias("y_n"), F.col("own").alias("y_own"), F.col("place").alias("y_place")), F.struct("own", F.xxhash64("group"), "group"))
     hubs = entries.groupBy("shingle").agg(hub.alias("h"), F.count("*").alias("size")).where("size > 1").select("shingle", "h.*")
-    stars = entries.select("shingle", F.col("group").alias("x"), F.col("n").alias("x_n"), F.col("place").alias("x_place")).join(hubs, "shingle").where((F.col("x") != F.col("y")) & _fits(num, den))
+    stars = entries.select("shingle", F.col("group").alias("x"), F.col("n").alias("x_n"), F.col("own").alias("x_own"), F.col("place").alias("x_place")).join(hubs, "shingle").where((F.col("x") != F.col("y")) & _fits(num, den))
     stars = stars.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(grouped.where("doc_id <> group").select("group", "doc_id")).distinct()
     stars = saved(stars, "jaccard-stars")
     links = saved(verified(stars, sets, num, den), "jaccard-links")
@@ -116,12 +123,20 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # What remains: pairs in one entry, in different components, that no hub has tried.
     held_by = grouped.join(labels, F.col("doc_id") == F.col("v"), "left").select("doc_id", "group", F.coalesce("label", "doc_id").alias("label"))
-    spread = entries.join(held_by, "group").select("shingle", "place", "n", "doc_id", "label")
-    many = spread.groupBy("shingle", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    apart = many.select("shingle", F.col("label").alias("x_label"), F.col("least").alias("x_least"), F.col("most").alias("x_most")).join(many.select("shingle", F.col("label").alias("y_label"), F.col("least").alias("y_least"), F.col("most").alias("y_most")), "shingle")
-    apart = apart.where((F.col("x_label") < F.col("y_label")) & (den * F.col("x_most") >= num * F.col("y_least")) & (den * F.col("y_most") >= num * F.col("x_least"))).select("shingle", "x_label", "y_label")
-    side_of = lambda s: spread.select("shingle", F.col("label").alias(f"{s}_label"), F.col("doc_id").alias(s), F.col("n").alias(f"{s}_n"), F.col("place").alias(f"{s}_place"))
-    rest = apart.join(side_of("x"), ["shingle", "x_label"]).join(side_of("y"), ["shingle", "y_label"]).where(_fits(num, den))
+    spread = entries.join(held_by, "group").select("shingle", "place", "n", "own", "doc_id", "label", "earlier", F.xxhash64("earlier").alias("mark"))
+    # Alike members (component, size, own shingles, place, shingles before) stand together until a pair of such kinds
+    # passes the filters. A pair is left to an earlier entry if the shingles just before share one; its first stays.
+    kind = ["shingle", "label", "n", "own", "place", "mark"]
+    kinds = spread.groupBy(*kind).agg(F.any_value("earlier").alias("earlier"))
+    side_of = lambda df, s: df.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in df.columns if c != "shingle"])
+    # Where all indexed shingles before both places are at hand, none before is shared: at most what follows is.
+    whole = (F.col("x_place") - F.col("x_own") <= BEFORE) & (F.col("y_place") - F.col("y_own") <= BEFORE)
+    after = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+    first = ~F.arrays_overlap("x_earlier", "y_earlier") & (~whole | ((num + den) * after >= num * (F.col("x_n") + F.col("y_n"))))
+    apart = side_of(kinds, "x").join(side_of(kinds, "y"), "shingle").where((F.col("x_label") < F.col("y_label")) & _fits(num, den) & first).drop("x_earlier", "y_earlier")
+    named = spread.withColumnRenamed("doc_id", "doc").drop("earlier")
+    rest = apart.join(side_of(named, "x"), ["shingle", *[f"x_{c}" for c in kind[1:]]]).join(side_of(named, "y"), ["shingle", *[f"y_{c}" for c in kind[1:]]])
+    rest = rest.withColumnsRenamed({"x_doc": "x", "y_doc": "y"})
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     rest = saved(rest, "jaccard-rest")
     late = saved(verified(rest, sets, num, den), "jaccard-late")
