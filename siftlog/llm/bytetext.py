@@ -7,6 +7,9 @@ their bounds. Hashes are 64 bits wide: sums of ``table[byte] * base ** i`` modul
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 
@@ -132,3 +135,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     new[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
     out, owner = out[new], owner[new]
     return np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=docs)))), out
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers are reused, and each would keep its own peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return

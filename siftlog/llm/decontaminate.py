@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlog.llm.bytetext import LOWER, U, mix, prefix_sums, spans, text_buffers, word_bounds
+from siftlog.llm.bytetext import LOWER, U, give_back, mix, prefix_sums, spans, text_buffers, word_bounds
 from siftlog.llm.shared import picked, saved
 
 #: Units, after a number.
@@ -104,7 +104,7 @@ def _windows(width: int, wanted: np.ndarray | None):
         for batch in batches:
             data, offsets = text_buffers(batch["text"])
             ids, spots = batch["doc_id"], batch["spot"]
-            for i, j in spans(offsets, 1 << 19):
+            for i, j in spans(offsets, 1 << 18):
                 doc, place, window, values, slots = template_windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 if wanted is not None:
                     at = np.minimum(np.searchsorted(wanted, window), max(len(wanted) - 1, 0))
@@ -114,6 +114,7 @@ def _windows(width: int, wanted: np.ndarray | None):
                 slot_values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[slots].view(np.int64)))
                 take = pa.array(doc + i)
                 yield pa.RecordBatch.from_arrays([ids.take(take), spots.take(take), pa.array(place.astype(np.int32)), pa.array(window.view(np.int64)), slot_values], ["doc_id", "spot", "place", "window", "slots"])
+        give_back()
 
     return run
 

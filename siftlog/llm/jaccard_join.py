@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlog.llm import packed
-from siftlog.llm.bytetext import LOWER, U, mix, shingle_sets, spans
+from siftlog.llm.bytetext import LOWER, U, give_back, mix, shingle_sets, spans
 from siftlog.llm.components import components
 from siftlog.llm.shared import chunks_for, saved
 from siftlog.llm.standing import answered, at_level, stand, standing_texts
@@ -53,6 +53,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                 shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
                 ok.append(den * shared >= num * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch["a"].filter(m := pa.array(ok, pa.bool_())), batch["b"].filter(m)], ["a", "b"])
+        give_back()
 
     held = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
     return held.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -80,10 +81,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def count(key, left: pa.Table, right: pa.Table) -> pa.Table:
         _, data, offsets = standing_texts(left, right)
+        give_back()
         return packed.sent(key[0].as_py(), sets_of(data, offsets)[1], BITS, parts)
 
     def index(key, left: pa.Table, right: pa.Table) -> pa.Table:
         own, data, offsets = standing_texts(left, right)
+        give_back()
         bounds, h = sets_of(data, offsets)
         often = packed.answers(h, BITS, at_level(right, 0))
         rows = []

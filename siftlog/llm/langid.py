@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from siftlog.llm.bytetext import give_back
+
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -75,7 +77,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
         counts.unpersist()
 
 
-def labelled(docs: DataFrame, model: LanguageModel, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score"), certain_at: int = 20, cached: int = 300_000) -> DataFrame:
+def labelled(docs: DataFrame, model: LanguageModel, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score"), certain_at: int = 20, cached: int = 200_000) -> DataFrame:
     """The rows with two more columns: the language and its score (0 to 1), the share of the best language if at most
     ``certain_at`` words' weight is trusted. Nothing is shuffled.
 
@@ -88,37 +90,46 @@ def labelled(docs: DataFrame, model: LanguageModel, text_col: str = "text", name
 
     def run(batches):
         m = held.value
-        index, rows = {w: i for i, w in enumerate(m.words)}, [*m.words.values()]
-        known = np.array(rows, np.float32).reshape(len(rows), len(m.languages))
-        seen: dict[str, np.ndarray] = {}
+        index, known = {w: i for i, w in enumerate(m.words)}, np.array([*m.words.values()], np.float32).reshape(len(m.words), len(m.languages))
+        seen: dict[str, int] = {}
+        guessed = np.zeros((cached if m.languages else 0, len(m.languages)), np.float32)
+
+        def judged(text: str | None) -> tuple[str, float]:
+            count = Counter(_WORD.findall(text.lower())) if text and m.languages else None
+            if not count:
+                return UNKNOWN, 0.0
+            at, n, new, times = [], [], [], []
+            if len(seen) + len(count) > cached:
+                seen.clear()
+            total = np.zeros(len(m.languages))
+            for w, k in count.items():
+                if (i := index.get(w)) is not None:
+                    at.append(i)
+                    n.append(k)
+                elif (i := seen.get(w)) is not None:
+                    new.append(i)
+                    times.append(k)
+                elif len(seen) < cached:
+                    guessed[len(seen)] = m.scores(w[:60])
+                    new.append(len(seen))
+                    times.append(k)
+                    seen[w] = len(seen)
+                else:
+                    total += k * m.scores(w[:60])
+            total += np.array(n, np.float64) @ known[at] if at else 0.0
+            total += np.array(times, np.float64) @ guessed[new] if new else 0.0
+            words = sum(count.values())
+            total *= min(words, certain_at) / words
+            share = np.exp(total - total.max())
+            best = int(share.argmax())
+            return m.languages[best], float(share[best] / share.sum())
+
         for b in batches:
-            langs, scores = [], []
-            for text in b[text_col].to_pylist():
-                count = Counter(_WORD.findall(text.lower())) if text and m.languages else None
-                if not count:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                at, n, total = [], [], np.zeros(len(m.languages))
-                for w, k in count.items():
-                    if (i := index.get(w)) is not None:
-                        at.append(i)
-                        n.append(k)
-                    else:
-                        if (v := seen.get(w)) is None:
-                            if len(seen) >= cached:
-                                seen.clear()
-                            v = seen[w] = m.scores(w[:60])
-                        total += k * v
-                if at:
-                    total += np.array(n, np.float64) @ known[at]
-                words = sum(count.values())
-                total *= min(words, certain_at) / words
-                share = np.exp(total - total.max())
-                best = int(share.argmax())
-                langs.append(m.languages[best])
-                scores.append(float(share[best] / share.sum()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, *names])
+            got = [judged(t) for i in range(0, b.num_rows, 500) for t in b[text_col].slice(i, 500).to_pylist()]
+            langs, scores = pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, langs, scores], [*b.schema.names, *names])
+        del index, known, seen, guessed
+        give_back()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 

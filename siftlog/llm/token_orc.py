@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftlog.llm.bytetext import spans, text_buffers
+from siftlog.llm.bytetext import give_back, spans, text_buffers
 from siftlog.llm.shared import picked, saved
 from siftlog.llm.tokens import pieces
 
@@ -38,6 +38,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
                 ids = np.insert(ids, np.cumsum(n), np.int32(end_id))
                 ends = np.concatenate(([0], np.cumsum(n + 1)))
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], ["doc_id", "ids"])
+        give_back()
 
     ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     out = ordered.mapInArrow(encode, "doc_id long, ids array<int>").write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01)
