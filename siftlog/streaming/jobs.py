@@ -68,24 +68,13 @@ def sessions(events: DataFrame, keys: list[str], gap: str = "30 minutes", late:
     return w.select(*keys, "first", "last", "n")
 
 
-def newcomers(events: DataFrame, key: str, actor: str, most: int = 10_000) -> DataFrame:
-    """key, actor, n: a row for each actor when it first appears under its key; n counts the key's actors so far.
+def newcomers(events: DataFrame, key: str, actor: str) -> DataFrame:
+    """key, actor: a row for each actor when it first appears under its key.
 
-    The state of a key holds its actors. A key with ``most`` of them has no newcomers any more: it is open to anyone.
+    A state row is one (key, actor), so the actors of a key are spread over all tasks and none is left out. A running
+    number of a key's actors can be counted in the written table.
     """
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = set(state.get[0]) if state.exists else set()
-        rows = []
-        for pdf in batches:
-            for a in sorted(set(pdf[actor]) - seen):
-                if len(seen) < most:
-                    seen.add(a)
-                    rows.append((k[0], a, len(seen)))
-        state.update((sorted(seen),))
-        yield pd.DataFrame(rows, columns=[key, actor, "n"])
-
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} string, {actor} string, n long", "seen array<string>", "append", GroupStateTimeout.NoTimeout)
+    return events.select(F.col(key).cast("string").alias(key), F.col(actor).cast("string").alias(actor)).dropDuplicates([key, actor])
 
 
 def frames(lines: DataFrame, start: str, quiet: str | None = "10 minutes") -> DataFrame:
