@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def tail(spark: SparkSession, path: str, schema: str, files_each: int = 1, fmt: str = "parquet") -> DataFrame:
@@ -27,15 +28,26 @@ def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
     query.awaitTermination()
 
 
-def collected(spark: SparkSession, stream: DataFrame, base: str, mode: str = "append") -> DataFrame:
-    """``drain`` into a table with one folder for each tick, overwritten if a tick is repeated, and read it back."""
+def _ticks(spark: SparkSession, stream: DataFrame, base: str, mode: str) -> DataFrame:
+    """``drain`` into a table with one folder for each tick, overwritten if a tick is repeated; the rows and their ``tick``."""
     out = f"{base.rstrip('/')}/siftlog/stream-{uuid.uuid4().hex}"
 
     def write(rows: DataFrame, tick: int) -> None:
         rows.write.mode("overwrite").parquet(f"{out}/data/tick={tick}")
 
     drain(stream, write, f"{out}/cursor", mode)
-    return spark.read.schema(stream.schema).parquet(f"{out}/data").select(*stream.columns)
+    return spark.read.schema(StructType([*stream.schema.fields, StructField("tick", LongType())])).parquet(f"{out}/data")
+
+
+def collected(spark: SparkSession, stream: DataFrame, base: str, mode: str = "append") -> DataFrame:
+    """The rows of all ticks."""
+    return _ticks(spark, stream, base, mode).select(*stream.columns)
+
+
+def settled(spark: SparkSession, stream: DataFrame, base: str, keys: list[str]) -> DataFrame:
+    """An aggregate in update mode, at the end of the input: of each of the ``keys`` only the row of the last tick that changed it."""
+    last = _ticks(spark, stream, base, "update").groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "tick").alias("r"))
+    return last.select("r.*")
 
 
 def manifest(spark: SparkSession, stream: DataFrame, base: str, key: str) -> DataFrame:
@@ -50,15 +62,19 @@ def manifest(spark: SparkSession, stream: DataFrame, base: str, key: str) -> Dat
     return spark.read.parquet(f"{out}/data").select("tick", "rows", "lo", "hi", "gap")
 
 
-def tumbling(events: DataFrame, keys: list[str], width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
-    """keys, begin, n in windows of ``width``; events later than ``late`` are dropped."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", width), *keys).agg(F.count("*").alias("n"))
+def _until(events: DataFrame, late: str | None) -> DataFrame:
+    return events.withWatermark("ts", late) if late else events
+
+
+def tumbling(events: DataFrame, keys: list[str], width: str = "10 minutes", late: str | None = "1 hour") -> DataFrame:
+    """keys, begin, n in windows of ``width``; events later than ``late`` are dropped, with None none are (for bounded input)."""
+    w = _until(events, late).groupBy(F.window("ts", width), *keys).agg(F.count("*").alias("n"))
     return w.select(*keys, F.col("window.start").alias("begin"), "n")
 
 
-def threshold_alerts(events: DataFrame, key: str, source: str, failures: int, sources: int, width: str = "1 hour", slide: str = "5 minutes", late: str = "1 hour") -> DataFrame:
-    """key, begin, n, sources of sliding windows with at least ``failures`` events from ``sources`` sources."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", width, slide), key).agg(F.count("*").alias("n"), F.size(F.collect_set(source)).alias("sources"))
+def threshold_alerts(events: DataFrame, key: str, source: str, failures: int, sources: int, width: str = "1 hour", slide: str = "5 minutes", late: str | None = "1 hour") -> DataFrame:
+    """key, begin, n, sources of sliding windows with at least ``failures`` events from ``sources`` sources; ``late`` as for ``tumbling``."""
+    w = _until(events, late).groupBy(F.window("ts", width, slide), key).agg(F.count("*").alias("n"), F.size(F.collect_set(source)).alias("sources"))
     return w.where((F.col("n") >= failures) & (F.col("sources") >= sources)).select(key, F.col("window.start").alias("begin"), "n", "sources")
 
 

@@ -3,7 +3,10 @@
 import datetime as dt
 from collections import Counter
 
-from siftlog.plans.queries import QUERIES
+import duckdb
+import pytest
+
+from siftlog.plans.queries import ORACLE_SQL, QUERIES
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -20,3 +23,16 @@ def test_newcomers_have_no_cap(spark, tmp_path):
     d = written(spark, tmp_path, [[(u, at, u, "view") for u in users], [(u, at, u, "view") for u in [*users[-40:], 1, 1]]])
     got = Counter((r.host, r.actor) for r in QUERIES["stream_newcomer"](spark, d).collect())
     assert got == Counter({**{("h0", str(u)): 1 for u in users}, ("h1", "1"): 1})
+
+
+@pytest.mark.parametrize("name", ["stream_outcome", "threshold_alert"])
+def test_windows_span_files_in_any_time_order(spark, tmp_path, name):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, at + dt.timedelta(minutes=7 * (i % 60)), i % 12, ("view", "error")[i % 5 == 0]) for i in range(240)]
+    files = [rows[k::3] for k in range(3)] + [[(1000 + i, at - dt.timedelta(days=2, minutes=i), i, "view") for i in range(30)]]
+    d = written(spark, tmp_path, files)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet/*.parquet'")
+    df = QUERIES[name](spark, d)
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+    assert want and Counter(map(tuple, df.collect())) == Counter(want)
