@@ -25,10 +25,16 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links join, the one with the least id; five-word shingles, similarity 0.8."""
-    rest = jaccard_classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("rest_id")).distinct()
-    rest = saved(rest, "pipeline-rest")  # Spark knows its size: broadcast only if it is small
-    return docs.join(rest, docs["doc_id"] == rest["rest_id"], "left_anti")
+    """Of rows that near-duplicate links join, the one with the least id, null last; five-word shingles, similarity 0.8.
+
+    Rows are told apart by a number of their own, so copies under one id or without an id are found and dropped, too.
+    """
+    rows = saved(docs.withColumn("stage_row", F.monotonically_increasing_id()), "pipeline-rows")
+    classes = jaccard_classes(rows, id_col="stage_row").select(F.col("doc_id").alias("stage_row"), "component_id")
+    classes = saved(classes.join(rows.select("stage_row", "doc_id"), "stage_row"), "pipeline-classes")
+    first = classes.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "stage_row")).alias("first"))
+    rest = saved(classes.join(first.select("first.stage_row"), "stage_row", "left_anti").select("stage_row"), "pipeline-rest")  # Spark knows its size: broadcast only if it is small
+    return rows.join(rest, "stage_row", "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,19 +43,17 @@ def targets(sizes: DataFrame, cap: float = 3.0, cycle: tuple[int, ...] = (1, 2,
     return rows.select("source", "source_size", F.least(F.col("most"), level * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, cycle: tuple[int, ...] = (1, 2, 3), seed: str = "mix", quality: Column | None = None) -> DataFrame:
-    """Return doc_id, source, size (words), source_size, target, epochs (times the document is taken) and taken (words, repeats counted).
-
-    Nulls: a null text has size 0; a null source is a source of its own, the last; a null id draws its key from its
-    text. Repeated rows are documents of their own with equal keys; if the budget ends among them, all or none of
-    those equal keys are taken. Documents of size 0 are taken 0 words. An empty table gives an empty result.
-    ``quality``: a positive weight for each row of ``docs``; by default from the text.
-    """
+def _drawn(docs: DataFrame, id_col: str, text_col: str, seed: str, quality: Column | None) -> Column:
+    """The key of each row of ``docs``: equal for rows of equal id, text and quality, and for equal texts of null ids."""
     weight = quality if quality is not None else default_quality(F.coalesce(docs[text_col], F.lit("")))
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("source"), F.coalesce(docs[text_col], F.lit("")).alias("text"), weight.cast("double").alias("weight"))
-    digits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.when(F.col("doc_id").isNull(), F.col("text")))), 1, 12), 16, 10).cast("double")
-    key = -F.log((digits + 0.5) / float(1 << 48)) / F.greatest(F.col("weight"), F.lit(1e-6))
-    rows = rows.select("doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"), key.alias("key"))
+    digits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), docs[id_col].cast("string"), F.when(docs[id_col].isNull(), F.coalesce(docs[text_col], F.lit(""))))), 1, 12), 16, 10).cast("double")
+    return -F.log((digits + 0.5) / float(1 << 48)) / F.greatest(weight.cast("double"), F.lit(1e-6))
+
+
+def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, cap: float, cycle: tuple[int, ...], seed: str, quality: Column | None) -> DataFrame:
+    """doc_id, source, size, source_size, target, key, whole (epochs of the source) and extra (0 or 1: in the rest)."""
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("source"), F.coalesce(docs[text_col], F.lit("")).alias("text"), _drawn(docs, id_col, text_col, seed, quality).alias("key"))
+    rows = rows.select("doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"), "key")
     rows = saved(rows.withColumn("interval", F.floor((1 - F.exp(-F.col("key"))) * INTERVALS).cast("int")), "mix-keys")
 
     sums = rows.groupBy("source", "interval").agg(F.sum("size").alias("size"))
@@ -74,12 +72,32 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The document at which the budget ends is taken if that comes nearer to it than leaving it.
     some = some.withColumn("extra", (2 * F.col("upto") - F.col("same") <= 2 * F.col("rest")).cast("int")).drop("upto", "same")
     out = joined.where("part <> 'some'").withColumn("extra", (F.col("part") == "all").cast("int")).unionByName(some)
-    times = F.col("whole") + F.when(F.col("whole") < cap, F.col("extra")).otherwise(0)
+    extra = F.when(F.col("whole") < cap, F.col("extra")).otherwise(0)
+    return out.select("doc_id", "source", "size", "source_size", "target", "key", "whole", extra.alias("extra"))
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, cycle: tuple[int, ...] = (1, 2, 3), seed: str = "mix", quality: Column | None = None) -> DataFrame:
+    """Return doc_id, source, size (words), source_size, target, epochs (times the document is taken) and taken (words, repeats counted).
+
+    Nulls: a null text has size 0; a null source is a source of its own, the last; a null id draws its key from its
+    text. Repeated rows are documents of their own with equal keys; if the budget ends among them, all or none of
+    those equal keys are taken. Documents of size 0 are taken 0 words. An empty table gives an empty result.
+    ``quality``: a positive weight for each row of ``docs``; by default from the text.
+    """
+    times = F.col("whole") + F.col("extra")
+    out = _taken(docs, id_col, text_col, source_col, cap, cycle, seed, quality)
     return out.select("doc_id", "source", "size", "source_size", "target", times.cast("int").alias("epochs"), (F.col("size") * times).cast("long").alias("taken"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents themselves, each as many times as the mix takes it; ids are taken to be unique. Columns stay as they are."""
-    taken = picked(mix_sources(docs, id_col=id_col, **options).where("epochs > 0"), mixed_id="doc_id", mixed_epochs="epochs")
-    out = docs.join(taken, docs[id_col].eqNullSafe(taken["mixed_id"]))
-    return out.withColumn("mixed_epochs", F.explode(F.sequence(F.lit(1), "mixed_epochs"))).select(*[docs[c] for c in docs.columns])
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, cycle: tuple[int, ...] = (1, 2, 3), seed: str = "mix", quality: Column | None = None) -> DataFrame:
+    """The rows themselves, each as many times as the mix takes it; columns stay as they are.
+
+    What is taken of a source beyond its whole epochs are its keys up to a last one, so each row tells by its own key
+    how often it is taken: one row for each source is joined, and ids need not be unique.
+    """
+    taken = _taken(docs, id_col, text_col, source_col, cap, cycle, seed, quality)
+    ends = saved(taken.groupBy("source").agg(F.first("whole").alias("whole"), F.max(F.when(F.col("extra") == 1, F.col("key"))).alias("last")), "mix-ends")
+    ends = F.broadcast(picked(ends, mixed_source="source", mixed_whole="whole", mixed_last="last"))
+    out = docs.withColumn("mixed_key", _drawn(docs, id_col, text_col, seed, quality)).join(ends, docs[source_col].cast("string").eqNullSafe(ends["mixed_source"]))
+    times = F.col("mixed_whole") + F.coalesce((F.col("mixed_key") <= F.col("mixed_last")).cast("int"), F.lit(0))
+    return out.withColumn("mixed_epochs", times.cast("int")).where("mixed_epochs > 0").withColumn("mixed_epochs", F.explode(F.sequence(F.lit(1), "mixed_epochs"))).select(*[docs[c] for c in docs.columns])

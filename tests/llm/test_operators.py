@@ -91,6 +91,16 @@ def test_mixed_repeats_documents(spark):
     assert {k: got[k] for k in want} == want
 
 
+def test_mixed_takes_each_row_of_a_repeated_or_null_id_for_itself(spark):
+    rows = [(5, "a b c", "s0")] * 20 + [(None, f"t{i} u", None) for i in range(20)] + [(i, "d e " * (i % 5), f"s{i % 3}") for i in range(100, 160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter()
+    for r in mixing.mix_sources(docs).collect():
+        want[r.doc_id, r.source, r.size] += r.epochs
+    got = Counter((r.doc_id, r.source, len(r.text.split())) for r in mixing.mixed(docs).collect())
+    assert got == Counter({k: n for k, n in want.items() if n})
+
+
 # -- 2
 
 

@@ -57,3 +57,15 @@ def test_sql(spark, name):
     want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
     plain = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
     assert sorted(map(str, map(plain, df.collect()))) == sorted(map(str, map(plain, want)))
+
+
+def test_copies_under_one_id_or_none_leave_one(spark, tmp_path):
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    a, b, c, d, e = (text(60) for _ in range(5))
+    rows = [*[(7, a)] * 4, *[(None, b)] * 3, *[(None, c + " " + w) for w in ("x", "y")], (9, b), (7, d), (None, e), (3, e)]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/d")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_each_class(spark, spark.read.parquet(f"{tmp_path}/d"), "").collect()]
+    near = [r for r in got if r[1].startswith(c)]
+    assert len(near) == 1 and near[0][0] is None
+    assert sorted(r for r in got if r not in near) == sorted([(7, a), (9, b), (7, d), (3, e)])
