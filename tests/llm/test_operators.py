@@ -285,6 +285,16 @@ def test_quality(spark, odd_docs, no_docs):
     assert {round(r.score, 9) for r in quality.score_quality(odd_docs, flat).collect()} == {0.7}
 
 
+@pytest.mark.parametrize("bad", [0.002, 0.2, 0.9, 0.998])
+def test_quality_cut_follows_the_labels_at_any_share_of_bad_rows(bad):
+    rng = np.random.default_rng(3)
+    y = (np.arange(5000) >= bad * 5000).astype(int)
+    x = rng.normal(0, 0.01, (5000, len(quality.FEATURES)))
+    x[:, 1] += y
+    predicted = quality.learn(x, y, pairs=5000).scores(x) >= quality.CUT
+    assert (predicted == y).mean() > 0.999
+
+
 # -- 7
 
 
