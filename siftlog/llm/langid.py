@@ -20,6 +20,8 @@ from siftlog.llm.bytetext import give_back
 
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+#: n-grams that start in one piece of a word while training; letters of the longest word whose scores a task remembers.
+PIECE, KEPT = 1000, 60
 
 
 @dataclass
@@ -50,11 +52,12 @@ def _logs(counts: dict[str, dict[str, int]], languages: list[str]) -> dict[str,
     return {k: (v - v.mean()).astype(np.float32) for k, v in zip(counts, m, strict=True)}
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", most_rows: int = 8000, most_words: int = 60_000, most_grams: int = 60_000, longest: int = 5) -> LanguageModel:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", most_rows: int = 8000, most_words: int = 60_000, most_grams: int = 60_000, longest: int = 5, longest_word: int = 40) -> LanguageModel:
     """Learn from about ``most_rows`` whole texts (a share of the rows by a hash of the text, so reruns agree).
 
-    The most frequent ``most_words`` words and ``most_grams`` n-grams of the sample form the model; these three bounds
-    alone fix its size. Rows with a null text or language teach nothing; without rows the model has no languages.
+    The most frequent ``most_words`` words and ``most_grams`` n-grams of the sample form the model; these bounds
+    alone fix its size. Words of more than ``longest_word`` letters (whole clauses, in scripts without spaces) have no entry of
+    their own; they teach all their n-grams, as every word does, and are told by them. Rows with a null text or language teach nothing; without rows the model has no languages.
     """
     rows = labelled.select(labelled[text_col].alias("text"), labelled[lang_col].cast("string").alias("lang")).where("text is not null and lang is not null")
     n = rows.count()
@@ -69,10 +72,14 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
             best = df.groupBy(key).agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by")).orderBy(F.desc("n"), key).limit(most)
             return {r[key]: r["by"] for r in best.collect()}
 
-        marked = counts.select("lang", "count", F.concat(F.lit("<"), F.col("word"), F.lit(">")).alias("w")).where("length(w) <= 60")
-        grams = marked.select("lang", "count", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda s: F.transform(F.filter(F.sequence(F.lit(1), F.length("w")), lambda i: i + s - 1 <= F.length("w")), lambda i: F.substr("w", i, s))))).alias("gram"))
+        marked = counts.select("lang", "count", F.concat(F.lit("<"), F.col("word"), F.lit(">")).alias("w"))
+        # In pieces with PIECE starts each, since a place in a long run is found by walking to it.
+        pieces = F.transform(F.sequence(F.lit(0), ((F.length("w") - 1) / PIECE).cast("int")), lambda k: F.substr("w", k * PIECE + 1, F.lit(PIECE + longest - 1)))
+        marked = marked.select("lang", "count", F.explode(pieces).alias("w"))
+        starts = F.sequence(F.lit(1), F.least(F.length("w"), F.lit(PIECE)))
+        grams = marked.select("lang", "count", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda s: F.transform(F.filter(starts, lambda i: i + s - 1 <= F.length("w")), lambda i: F.substr("w", i, s))))).alias("gram"))
         grams = grams.groupBy("lang", "gram").agg(F.sum("count").alias("count"))
-        return LanguageModel(languages, _logs(top(counts.where("length(word) <= 40"), "word", most_words), languages), _logs(top(grams, "gram", most_grams), languages), longest)
+        return LanguageModel(languages, _logs(top(counts.where(F.length("word") <= longest_word), "word", most_words), languages), _logs(top(grams, "gram", most_grams), languages), longest)
     finally:
         counts.unpersist()
 
@@ -109,13 +116,13 @@ def labelled(docs: DataFrame, model: LanguageModel, text_col: str = "text", name
                 elif (i := seen.get(w)) is not None:
                     new.append(i)
                     times.append(k)
-                elif len(seen) < cached:
-                    guessed[len(seen)] = m.scores(w[:60])
+                elif len(seen) < cached and len(w) <= KEPT:
+                    guessed[len(seen)] = m.scores(w)
                     new.append(len(seen))
                     times.append(k)
                     seen[w] = len(seen)
                 else:
-                    total += k * m.scores(w[:60])
+                    total += k * m.scores(w)
             total += np.array(n, np.float64) @ known[at] if at else 0.0
             total += np.array(times, np.float64) @ guessed[new] if new else 0.0
             words = sum(count.values())

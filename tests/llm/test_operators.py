@@ -125,6 +125,22 @@ def test_backoff_takes_the_longest_known_gram():
     assert model.scores("abc")[0] == pytest.approx(-0.25)
 
 
+def test_language_reads_whole_runs_without_spaces(spark):
+    rng, alphabets = random.Random(5), {"xx": "abcdef", "yy": "defghi"}
+    run = lambda lang, n: "".join(rng.choice(alphabets[lang]) for _ in range(n))
+    rows = [(i, run(lang, n), lang) for i, (lang, n) in enumerate([("xx", 2600), ("yy", 2100), ("xx", 1000), ("yy", 70), ("xx", 998), ("yy", 999)])]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_grams=1 << 20)
+    counts = {}
+    for _, text, lang in rows:
+        w = f"<{text}>"
+        for g in (w[i : i + s] for s in range(1, 6) for i in range(len(w) - s + 1)):
+            counts.setdefault(g, Counter())[lang] += 1
+    want = langid._logs(counts, ["xx", "yy"])
+    assert model.grams.keys() == want.keys() and all(np.allclose(model.grams[g], v, atol=1e-5) for g, v in want.items())
+    docs = spark.createDataFrame([(0, run("xx", 60) + run("yy", 900)), (1, run("yy", 60) + run("xx", 900))], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()} == {0: "yy", 1: "xx"}
+
+
 # -- 3 and 10
 
 
