@@ -2,8 +2,9 @@
 
 Numbers, names and units become typed placeholders; windows of ``width`` template words of the benchmark items are
 hash-joined with those of all documents. Along each alignment of an item with a document the placeholders' values
-must map consistently (one value of the item always to one value in the document); windows of alignments that
-don't are dropped. A document is contaminated by an item if the share of the item's windows found is ``share`` or more.
+must map consistently (one value of the item always to one value in the document); windows that hold a value which
+doesn't are dropped, but for those whose values all equal the item's. An item of fewer than ``width`` words is one
+window of its own length; if it holds nothing but placeholders, only equal values match it. A document is contaminated by an item if the share of the item's windows found is ``share`` or more.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from siftlog.llm.shared import picked, saved
 #: Units, after a number.
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "lb", "oz", "ml", "l", "s", "sec", "min", "h", "hr", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "meters", "metres", "miles", "feet", "inches", "grams", "pounds", "liters", "litres", "dollars", "euros", "cents", "percent", "%", "$", "€", "£", "°c", "°f", "kmh", "mph", "w", "kw", "v", "hz", "kb", "mb", "gb")
 NUMBER, NAME, UNIT = (U(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x510E527FADE682D1))
-MATCH = "doc_id long, spot long, place int, window long, slots array<long>"
+MATCH = "doc_id long, spot long, place int, length int, window long, slots array<long>, bare boolean"
 
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(0x21, 0x24), *range(0x26, 0x30), 0x3A, 0x3B, *range(0x3C, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
@@ -52,16 +53,16 @@ def _unit_hashes() -> np.ndarray:
     return np.unique(_hashes(data, ends - [len(w) for w in words], ends))
 
 
-def template_windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """(document, place, window hash, values, is slot) of each window; the last two are arrays of ``width`` columns.
+def template_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(words of each document, template word, value, is slot) of all words.
 
     A word loses punctuation at its ends and its case. A number holds digits and no letters; a unit follows a number; a
-    name starts with a capital and doesn't start a text, line or sentence. Shorter texts are one window.
+    name starts with a capital and doesn't start a text, line or sentence.
     """
     starts, ends, doc = word_bounds(data, offsets)
     if not len(starts):
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(U), np.zeros((0, width), U), np.zeros((0, width), bool)
+        none = np.zeros(0, U)
+        return np.zeros(len(offsets) - 1, np.int64), none, none, np.zeros(0, bool)
     at = np.arange(len(data))
     solid = ~_PUNCTUATION[data]
     ahead = np.minimum.accumulate(np.where(solid, at, len(data))[::-1])[::-1]
@@ -83,37 +84,48 @@ def template_windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple
     name = capital & ~opens & ~number & ~unit
     word = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, value)))
     slot = number | unit | name
-    count = np.bincount(doc, minlength=len(offsets) - 1)
-    full = np.maximum(count - width + 1, np.minimum(count, 1))
+    return np.bincount(doc, minlength=len(offsets) - 1), word, value, slot
+
+
+def windows_of(count: np.ndarray, word: np.ndarray, value: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(document, place, window hash, values, is slot) of each window; the last two are arrays of ``width`` columns."""
+    full = np.maximum(count - width + 1, 0)
     begin = np.cumsum(count) - count
     owner = np.repeat(np.arange(len(count)), full)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(full) - full, full)
     index = (place + begin[owner])[:, None] + np.arange(width)
-    there = np.arange(width) < count[owner][:, None]
-    index = np.minimum(index, len(word) - 1)
-    out = np.minimum(count, width)[owner].astype(U)
+    out = np.full(len(owner), width, U)
     for k in range(width):
-        out = mix(out * U(0xD6E8FEB86659FD93) + np.where(there[:, k], word[index[:, k]], U(0)))
-    return owner, place, out, value[index], slot[index] & there
+        out = mix(out * U(0xD6E8FEB86659FD93) + word[index[:, k]])
+    return owner, place, out, value[index], slot[index]
 
 
-def _windows(width: int, wanted: np.ndarray | None):
-    """Arrow task: (doc_id, spot, text) -> windows, only those in ``wanted`` where it is given."""
+def _windows(width: int, lengths: list[int] | None, wanted: np.ndarray | None):
+    """Arrow task: (doc_id, spot, text) -> windows of the ``lengths``, only those in ``wanted`` where it is given.
+
+    Without ``lengths``, those of items: of ``width`` words, or of the whole text if it is shorter.
+    """
 
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch["text"])
             ids, spots = batch["doc_id"], batch["spot"]
             for i, j in spans(offsets, 1 << 18):
-                doc, place, window, values, slots = template_windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
-                if wanted is not None:
-                    at = np.minimum(np.searchsorted(wanted, window), max(len(wanted) - 1, 0))
-                    keep = wanted[at] == window if len(wanted) else np.zeros(len(window), bool)
+                count, *words = template_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                for length in lengths or range(1, width + 1):
+                    doc, place, window, values, slots = windows_of(count, *words, length)
+                    keep = np.ones(len(window), bool)
+                    if lengths is None and length < width:
+                        keep = count[doc] == length
+                    if wanted is not None:
+                        at = np.minimum(np.searchsorted(wanted, window), max(len(wanted) - 1, 0))
+                        keep = wanted[at] == window if len(wanted) else np.zeros(len(window), bool)
                     doc, place, window, values, slots = doc[keep], place[keep], window[keep], values[keep], slots[keep]
-                ends = np.cumsum(np.concatenate(([0], slots.sum(axis=1, dtype=np.int64))))
-                slot_values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[slots].view(np.int64)))
-                take = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays([ids.take(take), spots.take(take), pa.array(place.astype(np.int32)), pa.array(window.view(np.int64)), slot_values], ["doc_id", "spot", "place", "window", "slots"])
+                    ends = np.cumsum(np.concatenate(([0], slots.sum(axis=1, dtype=np.int64))))
+                    slot_values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[slots].view(np.int64)))
+                    take, bare = pa.array(doc + i), pa.array(slots.all(axis=1) & (length < width))
+                    own = pa.array(np.full(len(doc), length, np.int32))
+                    yield pa.RecordBatch.from_arrays([ids.take(take), spots.take(take), pa.array(place.astype(np.int32)), own, pa.array(window.view(np.int64)), slot_values, bare], ["doc_id", "spot", "place", "length", "window", "slots", "bare"])
         give_back()
 
     return run
@@ -129,20 +141,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """
     spark = docs.sparkSession
     texts = lambda df, i, t: picked(df, doc_id=i, text=t).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("spot"), "text")
-    items = saved(texts(benchmark, item_col, item_text_col).mapInArrow(_windows(width, None), MATCH), "benchmark-windows")
+    items = saved(texts(benchmark, item_col, item_text_col).mapInArrow(_windows(width, None, None), MATCH), "benchmark-windows")
+    lengths = sorted(r[0] for r in items.select("length").distinct().collect()) or [width]
     distinct = items.select("window").distinct()
     wanted = None
     if distinct.limit(most_broadcast + 1).count() <= most_broadcast:
         wanted = np.sort(np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64))
     totals = items.groupBy(F.col("doc_id").alias("item_id")).agg(F.count_distinct("window").alias("n_windows"))
-    found = texts(docs, id_col, text_col).mapInArrow(_windows(width, wanted), MATCH)
-    asked = items.select(F.col("doc_id").alias("item_id"), F.col("place").alias("item_place"), "window", F.col("slots").alias("item_slots"))
-    hits = saved(found.join(asked, "window").withColumn("along", F.col("place") - F.col("item_place")), "benchmark-hits")
+    found = texts(docs, id_col, text_col).mapInArrow(_windows(width, lengths, wanted), MATCH).select("doc_id", "spot", "place", "window", "slots")
+    asked = items.select(F.col("doc_id").alias("item_id"), F.col("place").alias("item_place"), "window", F.col("slots").alias("item_slots"), "bare")
+    equal = F.col("slots") == F.col("item_slots")
+    hits = found.join(asked, "window").where(~F.col("bare") | equal).drop("bare")
+    hits = saved(hits.withColumn("along", F.col("place") - F.col("item_place")), "benchmark-hits")
     line = ["doc_id", "spot", "item_id", "along"]
     pairs = hits.select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-    torn = pairs.groupBy(*line, F.col("s.item_slots").alias("v")).agg(F.min("s.slots").alias("least"), F.max("s.slots").alias("most")).where("least <> most").select(*line).distinct()
-    held = hits.join(torn, line, "left_anti")
-    out = held.groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("n_found"), F.bool_and(F.col("slots") == F.col("item_slots")).alias("exact"))
+    torn = pairs.groupBy(*line, F.col("s.item_slots").alias("v")).agg(F.min("s.slots").alias("least"), F.max("s.slots").alias("most")).where("least <> most")
+    torn = torn.groupBy(*line).agg(F.collect_list("v").alias("torn"))  # values of one item
+    held = hits.join(torn, line, "left").where(F.col("torn").isNull() | equal | ~F.arrays_overlap("item_slots", "torn"))
+    out = held.groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("n_found"), F.bool_and(equal & F.col("torn").isNull()).alias("exact"))
     out = out.join(totals, "item_id").where(F.col("n_found") >= share * F.col("n_windows"))
     return out.select("doc_id", "item_id", "n_windows", "n_found", "exact")
 

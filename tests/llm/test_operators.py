@@ -274,6 +274,26 @@ def test_decontamination_equals_brute_force_without_slots(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
+def test_decontamination_drops_only_the_windows_that_conflict(spark):
+    item = " ".join(f"w{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(60)).split()
+    item[5] = item[50] = "12"
+    edited, renamed, mixed_up = item.copy(), item.copy(), item.copy()
+    edited[50], renamed[5], renamed[50], mixed_up[5], mixed_up[50] = "77", "40", "40", "40", "41"
+    docs = spark.createDataFrame([(i, "so. " + " ".join(t) + " end") for i, t in enumerate([item, edited, renamed, mixed_up])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_windows, r.n_found, r.exact) for r in decontaminate.find_contamination(docs, spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()}
+    # 56 windows, 5 of them around each number.
+    assert got == {0: (56, 56, True), 1: (56, 51, False), 2: (56, 56, False), 3: (56, 46, False)}
+
+
+def test_decontamination_finds_short_items_inside_documents(spark):
+    bench = spark.createDataFrame([(0, "quite rare phrase"), (1, "solo"), (2, "sold 7 boats"), (3, "42"), (4, "five words stand here now")], "item_id long, text string")
+    texts = ["a quite rare phrase, in the middle of it", "quite rare phrase", "quite rare other phrase", "only solo", "he sold 9 boats then", "page 42 of 50", "page 43 of 50", "five words stand here now", "five words stand here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for limit in (1 << 20, 0):
+        got = {(r.doc_id, r.item_id, r.exact) for r in decontaminate.find_contamination(docs, bench, most_broadcast=limit).collect()}
+        assert got == {(0, 0, True), (1, 0, True), (3, 1, True), (4, 2, False), (5, 3, True), (7, 4, True)}
+
+
 # -- 6
 
 
