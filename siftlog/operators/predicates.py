@@ -96,10 +96,17 @@ def quality_checks(docs: DataFrame, languages: tuple[str, ...] = ("en", "de", "f
 
 
 def quote_hits(texts: DataFrame, quotes: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, item_id) where the text holds the quote: candidates share the quote's first ``words`` words, then are verified."""
-    first = F.array_join(F.slice(F.split("quote", " "), 2, words), " ")
-    keyed = quotes.withColumn("key", first)
+    """(doc_id, item_id) where the text holds the quote.
+
+    The first and the last word of a quote may end inside words of the text, those between are whole. Candidates share
+    the first ``words`` of these, then are verified; quotes with fewer are tried on every text.
+    """
+    parts = F.split("quote", " ")
+    keyed = quotes.where(F.size(parts) >= words + 2).withColumn("key", F.array_join(F.slice(parts, 2, words), " "))
+    short = quotes.where(F.size(parts) < words + 2).select("item_id", "quote")
+    tried = texts.join(short, F.contains("t", F.col("quote"))).select("doc_id", "item_id")
     texts = texts.withColumn("w", F.split("t", " "))  # named twice below, so it is computed once for each text
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, words), " ")))
     there = texts.select("doc_id", F.explode(grams).alias("key")).join(keyed, "key").select("doc_id", "item_id", "quote")
-    return there.join(texts, "doc_id").where(F.contains("t", F.col("quote"))).select("doc_id", "item_id").distinct()
+    there = there.join(texts, "doc_id").where(F.contains("t", F.col("quote"))).select("doc_id", "item_id")
+    return there.union(tried).distinct()

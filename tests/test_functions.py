@@ -84,3 +84,10 @@ def test_identifiers_need_free_ends(spark):
 def test_range_ids(spark):
     assert one(spark, "g041-g043", P.expand_ids) == ["g041", "g042", "g043"]
     assert one(spark, "g041-g040", P.expand_ids) is None
+
+
+def test_quotes_of_any_length_are_found_where_contains_holds(spark):
+    texts = dict(enumerate(["the quick brown fox jumps over it", "thequickbrownfox", "a b c d e f", "xa b c dy", "", "a b"]))
+    quotes = dict(enumerate(["quick", "quick brown", "ick brown fox", "quick brown fox jum", "he quick brown fox jumps ov", "b c d", "a b c d", "", "no such words in any text", "kbrown"]))
+    got = P.quote_hits(spark.createDataFrame(list(texts.items()), "doc_id long, t string"), spark.createDataFrame(list(quotes.items()), "item_id long, quote string"))
+    assert {tuple(r) for r in got.collect()} == {(d, i) for d, t in texts.items() for i, q in quotes.items() if q in t}
