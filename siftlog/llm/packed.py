@@ -2,8 +2,9 @@
 
 The corpus is dealt into chunks of whole documents (by a hash of the id). A chunk sends each distinct
 identifier once, sorted, as differences, with its own count: one row for each range of identifiers that it
-meets. One task for each range adds up the counts and answers each chunk with one byte per identifier (see
-``code``), in the order sent. The chunk, which finds its identifiers again from its texts, reads the
+meets. One task for each range adds up the counts and answers each chunk in the order sent: with one byte per
+identifier (see ``code``), or with the numbers of the buckets that equal identifiers form over the corpus, 0 for an
+identifier that occurs once. The chunk, which finds its identifiers again from its texts, reads the
 answers beside them. A frequent identifier costs each chunk one entry, so no range grows with its frequency.
 """
 
@@ -64,15 +65,15 @@ def code(n: np.ndarray) -> np.ndarray:
     return np.where(n < 128, n, high).astype(np.uint8)
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    """Answers, of schema ANSWERED, to rows of schema SENT."""
+def counted(rows: DataFrame, numbers: bool = False) -> DataFrame:
+    """Answers, of schema ANSWERED, to rows of schema SENT: counts, or with ``numbers`` the ranks of repeated identifiers in their range, from 1."""
 
     def add(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["chunk"].to_pylist(), table["ids"].to_pylist(), table["counts"].to_pylist(), strict=True))
         ids = [np.cumsum(unsqueeze(b, np.uint64), dtype=np.uint64) for _, b, _ in rows]
         _, inverse = np.unique(np.concatenate(ids), return_inverse=True)
         total = np.bincount(inverse, np.concatenate([unsqueeze(c, np.uint8) for _, _, c in rows]))
-        total = code(total)[inverse]
+        total = (np.cumsum(total > 1, dtype=np.uint32) * (total > 1).astype(np.uint32) if numbers else code(total))[inverse]
         ends = np.cumsum([len(x) for x in ids])
         return pa.table(
             {
@@ -87,11 +88,22 @@ def counted(rows: DataFrame) -> DataFrame:
 
 def answers(ids: np.ndarray, bits: int, table: pa.Table) -> np.ndarray:
     """The count, as ``code`` gives it, of each id of a chunk, from the rows that answer it."""
+    return _answers(ids, bits, table, np.uint8)
+
+
+def bucket_numbers(ids: np.ndarray, bits: int, table: pa.Table) -> np.ndarray:
+    """The number of the bucket of each id of a chunk, the same in every chunk; 0 where the id is alone in it."""
+    return _answers(ids, bits, table, np.uint32)
+
+
+def _answers(ids: np.ndarray, bits: int, table: pa.Table, kind: type) -> np.ndarray:
     keys, inverse, _ = distinct(ids, bits)
     if not len(keys):
-        return np.zeros(0, np.uint8)
-    got = sorted(zip(table["part"].to_pylist(), table["counts"].to_pylist(), strict=True))
-    counts = np.concatenate([unsqueeze(c, np.uint8) for _, c in got])
+        return np.zeros(0, U if kind is np.uint32 else kind)
+    got = [(part, unsqueeze(c, kind)) for part, c in sorted(zip(table["part"].to_pylist(), table["counts"].to_pylist(), strict=True))]
+    if kind is np.uint32:  # the range's number, then the rank in it
+        got = [(part, np.where(c > 0, (U(part) << U(32)) + c.astype(U), U(0))) for part, c in got]
+    counts = np.concatenate([c for _, c in got])
     if len(counts) != len(keys):
         raise ValueError(f"{len(keys)} identifiers were sent and {len(counts)} answered")
     return counts[inverse]

@@ -13,9 +13,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode a temporary one where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-siftlog-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
@@ -43,6 +45,14 @@ def chunks_for(total_bytes: int, chunk_bytes: int) -> int:
     return max(1, -(-int(total_bytes or 0) // chunk_bytes))
 
 
-def chunk_of(key: Column, chunks: int) -> Column:
-    """The chunk of a document: a hash of its id, so that no source or group of copies gathers in one chunk."""
-    return F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int")
+def chunk_of(*key: Column | str, chunks: int) -> Column:
+    """The chunk of a document: a hash of its key, so that no source or group of copies gathers in one chunk."""
+    return F.pmod(F.xxhash64(*key), F.lit(chunks)).cast("int")
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, with as many underscores behind it as make it a column of none of the tables."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

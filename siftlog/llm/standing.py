@@ -28,15 +28,15 @@ class Standing:
 
 
 def stand(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, name: str) -> Standing:
-    """Null texts are empty. Of equal texts the least doc_id stands; chunks are dealt by doc_id, so copies spread."""
+    """Null texts are empty. Of equal texts the least doc_id stands; chunks are dealt by doc_id and digest, so that copies, rows of one id and rows without an id spread."""
     docs = picked(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "digest": F.md5("text"), "n_bytes": F.octet_length("text").cast("long")})
     members = saved(docs.select("doc_id", "digest", "n_bytes"), f"{name}-members")
     total = members.agg(F.sum("n_bytes")).first()[0] or 0
     chunks = chunks_for(total, chunk_bytes)
     same = members.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    side = same.select(chunk_of(F.col("doc_id"), chunks).alias("chunk"), F.lit(-1).alias("level"), "digest", "doc_id", "copies", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("counts"))
-    return Standing(members, docs.select(chunk_of(F.col("doc_id"), chunks).alias("chunk"), "doc_id", "digest", "text"), side, total)
+    side = same.select(chunk_of("doc_id", "digest", chunks=chunks).alias("chunk"), F.lit(-1).alias("level"), "digest", "doc_id", "copies", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("counts"))
+    return Standing(members, docs.select(chunk_of("doc_id", "digest", chunks=chunks).alias("chunk"), "doc_id", "digest", "text"), side, total)
 
 
 def answered(counts: DataFrame, level: int) -> DataFrame:
