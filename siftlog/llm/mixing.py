@@ -2,9 +2,10 @@
 
 Each document draws an exponential key divided by its quality weight (u from a hash of its id and text, so
 reruns agree); smaller keys come first within a source. A source whose target is e times its size and a rest
-takes e complete epochs of all its documents and then, in key order, documents up to the rest. The prefix sums
-are split: key intervals are summed first, and only the documents of the one interval in which a source's
-budget ends are ordered one by one, so no source gathers in one task.
+takes e complete epochs of all its documents and then, in key order, documents up to the rest. The prefix sums are
+split: the sizes of key intervals are summed first, and only the distinct keys of the one interval in which a source's
+budget ends are ordered. Every row then tells by its own key whether it is taken, so rows are never shuffled and no
+source gathers in one task.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from siftlog.llm.shared import WORD, picked, saved
 
-#: Key intervals of a source; a document's interval depends on its key alone.
-INTERVALS = 1 << 13
+#: Key intervals to each unit of a key's natural logarithm. Keys of one weight are spread over it like a Gumbel
+#: variable, whose density is 0.37 at most; so no interval holds more than about 1 / 11,000 of a source, whatever its weights.
+INTERVALS = 4096
 
 
 def default_quality(text: Column) -> Column:
@@ -50,30 +52,48 @@ def _drawn(docs: DataFrame, id_col: str, text_col: str, seed: str, quality: Colu
     return -F.log((digits + 0.5) / float(1 << 48)) / F.greatest(weight.cast("double"), F.lit(1e-6))
 
 
-def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, cap: float, cycle: tuple[int, ...], seed: str, quality: Column | None) -> DataFrame:
-    """doc_id, source, size, source_size, target, key, whole (epochs of the source) and extra (0 or 1: in the rest)."""
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("source"), F.coalesce(docs[text_col], F.lit("")).alias("text"), _drawn(docs, id_col, text_col, seed, quality).alias("key"))
-    rows = rows.select("doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"), "key")
-    rows = saved(rows.withColumn("interval", F.floor((1 - F.exp(-F.col("key"))) * INTERVALS).cast("int")), "mix-keys")
-
-    sums = rows.groupBy("source", "interval").agg(F.sum("size").alias("size"))
-    aims = targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), cap, cycle)
+def _ends(rows: DataFrame, cap: float, cycle: tuple[int, ...]) -> DataFrame:
+    """(source, size, key, interval) of all rows -> one row for each source: source_size, target, whole (epochs), and up to
+    which ``end`` (interval) and there up to which ``last`` (key, null for none) the rest is taken."""
+    sums = saved(rows.groupBy("source", "interval").agg(F.sum("size").alias("held")), "mix-intervals")
+    aims = targets(sums.groupBy("source").agg(F.sum("held").alias("source_size")), cap, cycle)
     aims = aims.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    aims = saved(aims.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
+    aims = saved(aims.withColumn("rest", F.when(F.col("whole") < cap, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(0.0)), "mix-targets")
     upto = W.partitionBy("source").orderBy("interval").rowsBetween(W.unboundedPreceding, -1)
-    at = sums.withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0))).withColumnsRenamed({"size": "held", "source": "s", "interval": "i"})
-    at = at.join(aims, at["s"].eqNullSafe(aims["source"])).drop("source")
-    at = at.withColumn("part", F.when(F.col("before") + F.col("held") <= F.col("rest"), F.lit("all")).when(F.col("before") < F.col("rest"), F.lit("some")).otherwise(F.lit("none")))
-    joined = rows.join(at, rows["source"].eqNullSafe(at["s"]) & (rows["interval"] == at["i"])).drop("s", "i", "held")
-
-    some = joined.where("part = 'some'")
-    along = W.partitionBy("source").orderBy("key")
-    some = some.withColumns({"upto": F.col("before") + F.sum("size").over(along.rangeBetween(W.unboundedPreceding, 0)), "same": F.sum("size").over(W.partitionBy("source", "key"))})
-    # The document at which the budget ends is taken if that comes nearer to it than leaving it.
-    some = some.withColumn("extra", (2 * F.col("upto") - F.col("same") <= 2 * F.col("rest")).cast("int")).drop("upto", "same")
-    out = joined.where("part <> 'some'").withColumn("extra", (F.col("part") == "all").cast("int")).unionByName(some)
-    extra = F.when(F.col("whole") < cap, F.col("extra")).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", "key", "whole", extra.alias("extra"))
+    at = picked(sums.withColumn("before", F.coalesce(F.sum("held").over(upto), F.lit(0))), of="source", interval="interval", before="before", held="held")
+    # The first interval that goes beyond the rest: all before it are taken.
+    over = at.join(aims, at["of"].eqNullSafe(aims["source"])).where(F.col("before") + F.col("held") > F.col("rest"))
+    over = over.groupBy("of").agg(F.min(F.struct("interval", "before", "rest")).alias("o")).select("of", "o.*")
+    over = saved(over.withColumnRenamed("interval", "end"), "mix-over")
+    some = rows.join(over, rows["source"].eqNullSafe(over["of"]) & (rows["interval"] == over["end"]))
+    keys = some.groupBy("of", "before", "rest", "key").agg(F.sum("size").alias("same"))
+    along = W.partitionBy("of").orderBy("key").rowsBetween(W.unboundedPreceding, 0)
+    keys = keys.withColumn("through", F.col("before") + F.sum("same").over(along))
+    # The key at which the budget ends is taken if that comes nearer to it than leaving it.
+    last = keys.where(2 * F.col("through") - F.col("same") <= 2 * F.col("rest")).groupBy("of").agg(F.max("key").alias("last"))
+    last = last.select(F.col("of").alias("last_of"), "last")
+    ends = over.select("of", "end").join(last, F.col("of").eqNullSafe(F.col("last_of")), "left")
+    out = aims.join(ends, aims["source"].eqNullSafe(ends["of"]), "left")
+    return saved(out.select(F.col("source").alias("of"), "source_size", "target", "whole", (F.col("rest") > 0).alias("some"), "end", "last"), "mix-ends")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, quality: Column | None, **columns: Column) -> DataFrame:
+    """source, key and interval of each row, and the named columns."""
+    key = _drawn(docs, id_col, text_col, seed, quality)
+    rows = docs.select(*[c.alias(n) for n, c in columns.items()], docs[source_col].cast("string").alias("source"), key.alias("key"))
+    return rows.withColumn("interval", F.floor(F.log("key") * INTERVALS).cast("long"))
+
+
+def _size(docs: DataFrame, text_col: str) -> Column:
+    return F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(WORD)).cast("long")
+
+
+def _times(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Rows with a key, with the columns of their source's end and epochs, the times that they are taken."""
+    # One row for each source, of a size that Spark knows: it is broadcast if it is small, else skewed partitions are split.
+    rows = rows.join(ends, rows["source"].eqNullSafe(ends["of"]))
+    extra = F.col("some") & (F.col("end").isNull() | (F.col("interval") < F.col("end")) | ((F.col("interval") == F.col("end")) & (F.col("key") <= F.col("last"))))
+    return rows.withColumn("epochs", (F.col("whole") + F.coalesce(extra, F.lit(False)).cast("int")).cast("int"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, cycle: tuple[int, ...] = (1, 2, 3), seed: str = "mix", quality: Column | None = None) -> DataFrame:
@@ -84,20 +104,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     those equal keys are taken. Documents of size 0 are taken 0 words. An empty table gives an empty result.
     ``quality``: a positive weight for each row of ``docs``; by default from the text.
     """
-    times = F.col("whole") + F.col("extra")
-    out = _taken(docs, id_col, text_col, source_col, cap, cycle, seed, quality)
-    return out.select("doc_id", "source", "size", "source_size", "target", times.cast("int").alias("epochs"), (F.col("size") * times).cast("long").alias("taken"))
+    keys = saved(_keyed(docs, id_col, text_col, source_col, seed, quality, doc_id=docs[id_col], size=_size(docs, text_col)), "mix-keys")
+    return _times(keys, _ends(keys, cap, cycle)).select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, cycle: tuple[int, ...] = (1, 2, 3), seed: str = "mix", quality: Column | None = None) -> DataFrame:
-    """The rows themselves, each as many times as the mix takes it; columns stay as they are.
+    """The rows themselves, each as many times as ``mix_sources`` takes it; columns stay as they are, whatever their names.
 
-    What is taken of a source beyond its whole epochs are its keys up to a last one, so each row tells by its own key
-    how often it is taken: one row for each source is joined, and ids need not be unique.
+    Each row tells by its own key how often it is taken, so ids need not be unique: repeated rows and rows with a null id are
+    each taken for themselves. Documents of size 0 are repeated like others of their key. An empty table gives an empty result.
     """
-    taken = _taken(docs, id_col, text_col, source_col, cap, cycle, seed, quality)
-    ends = saved(taken.groupBy("source").agg(F.first("whole").alias("whole"), F.max(F.when(F.col("extra") == 1, F.col("key"))).alias("last")), "mix-ends")
-    ends = F.broadcast(picked(ends, mixed_source="source", mixed_whole="whole", mixed_last="last"))
-    out = docs.withColumn("mixed_key", _drawn(docs, id_col, text_col, seed, quality)).join(ends, docs[source_col].cast("string").eqNullSafe(ends["mixed_source"]))
-    times = F.col("mixed_whole") + F.coalesce((F.col("mixed_key") <= F.col("mixed_last")).cast("int"), F.lit(0))
-    return out.withColumn("mixed_epochs", times.cast("int")).where("mixed_epochs > 0").withColumn("mixed_epochs", F.explode(F.sequence(F.lit(1), "mixed_epochs"))).select(*[docs[c] for c in docs.columns])
+    keys = saved(_keyed(docs, id_col, text_col, source_col, seed, quality, size=_size(docs, text_col)), "mix-keys")
+    rows = _keyed(docs, id_col, text_col, source_col, seed, quality, row=F.struct(*[docs[c] for c in docs.columns]))
+    return _times(rows, _ends(keys, cap, cycle)).where("epochs > 0").select("row", F.explode(F.sequence(F.lit(1), "epochs"))).select("row.*")
