@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftlog.llm.bytetext import LOWER, U, give_back, mix, prefix_sums, spans, text_buffers, word_bounds
@@ -149,9 +150,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         wanted = np.sort(np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64))
     totals = items.groupBy(F.col("doc_id").alias("item_id")).agg(F.count_distinct("window").alias("n_windows"))
     found = texts(docs, id_col, text_col).mapInArrow(_windows(width, lengths, wanted), MATCH).select("doc_id", "spot", "place", "window", "slots")
+    if wanted is None:
+        found = found.join(distinct, "window", "left_semi")
+    found = saved(found, "benchmark-found")  # windows of items only
     asked = items.select(F.col("doc_id").alias("item_id"), F.col("place").alias("item_place"), "window", F.col("slots").alias("item_slots"), "bare")
+    # A document with the asked share of an item's windows has one of its rarest few, so windows that many items share meet only
+    # the pairs that those few leave.
+    often = asked.groupBy("window").agg(F.count_distinct("item_id").alias("items"))
+    rarest = W.partitionBy("item_id").orderBy("items", "window")
+    rare = asked.select("item_id", "window").distinct().join(often, "window").withColumn("rank", F.row_number().over(rarest)).join(totals, "item_id")
+    rare = saved(rare.where(F.col("rank") <= F.col("n_windows") - F.ceil(share * F.col("n_windows") - 1e-9) + 1).select("item_id", "window"), "benchmark-rare")
+    tried = saved(found.select("doc_id", "window").distinct().join(rare, "window").select("doc_id", "item_id").distinct(), "benchmark-tried")
     equal = F.col("slots") == F.col("item_slots")
-    hits = found.join(asked, "window").where(~F.col("bare") | equal).drop("bare")
+    hits = tried.join(asked, "item_id").join(found, ["doc_id", "window"]).where(~F.col("bare") | equal).drop("bare")
     hits = saved(hits.withColumn("along", F.col("place") - F.col("item_place")), "benchmark-hits")
     line = ["doc_id", "spot", "item_id", "along"]
     pairs = hits.select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
