@@ -67,7 +67,7 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_warc(dedup_captures(table(spark, sf_dir, "pages")), path := work_path(spark, "warc"))
-    return read_warc(spark, path)
+    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
