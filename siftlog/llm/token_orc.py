@@ -1,7 +1,8 @@
 """Token ids as ORC files: integer run lengths, row indexes and Bloom filters on document ids.
 
 Rows are dealt by ranges of doc_id and sorted in each, so files follow one another in id order, row-group
-minima and maxima prune reads by id, and stripes are read in parallel. Starts come from sums of files and prefix
+minima and maxima prune reads by id, and stripes are read in parallel. Files hold about ``file_bytes`` of text, so their
+number grows with the input and the work on one doesn't. Starts come from sums of files and prefix
 sums inside each file, never from one task for all rows.
 """
 
@@ -16,18 +17,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftlog.llm.bytetext import give_back, spans, text_buffers
-from siftlog.llm.shared import picked, saved
+from siftlog.llm.shared import chunks_for, picked, saved
 from siftlog.llm.tokens import pieces
 
 
-def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 16 << 20) -> None:
+def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 16 << 20, file_bytes: int = 128 << 20) -> None:
     """Write doc_id and its token ids (ids array<int>, with the end id) in ascending doc_id order; null ids first.
 
-    A null or empty text holds the end id alone. Repeated rows are each written; equal ids go by text. An empty table
-    writes files without rows. Ids are below 2**31.
+    A null or empty text holds the end id alone. Repeated rows are each written; equal ids go by text, and equal rows
+    are spread over several files by the task that read them. An empty table writes files without rows. Ids are below
+    2**31. There are as many files as the texts fill, but one for each shuffle partition at least.
     """
     docs = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks_for(held, file_bytes))
 
     def encode(batches):
         coder = pieces(tokenizer_path)
@@ -40,8 +43,10 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], ["doc_id", "ids"])
         give_back()
 
-    ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    out = ordered.mapInArrow(encode, "doc_id long, ids array<int>").write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01)
+    docs = docs.withColumn("reader", F.spark_partition_id())
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    ordered = docs.repartitionByRange(n, *order, "reader").sortWithinPartitions(*order)
+    out = ordered.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids array<int>").write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01)
     out.option("orc.create.index", "true").option("orc.row.index.stride", 1000).option("orc.stripe.size", stripe_bytes).option("compression", "zstd").orc(path)
 
 
