@@ -1,14 +1,15 @@
 """Language identification by words first, with backoff to character n-grams.
 
 A word of the model scores by its log frequency in each language. An unseen word is read from left to right: at each
-place the longest known n-gram of the marked word counts, from ``longest`` characters down to one.
+place the longest known n-gram of the marked word counts, from ``longest`` characters down to one, and the word scores
+their mean. A word is a maximal run of letters (Unicode category L) after each character is lower-cased; the same
+array operations find words while learning and predicting. Words and n-grams are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,75 +17,244 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from siftlog.llm.bytetext import give_back
+from siftlog.llm.bytetext import U, give_back, mix, powers, spans, text_buffers
+from siftlog.llm.shared import unused
 
-_WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-#: n-grams that start in one piece of a word while training; letters of the longest word whose scores a task remembers.
-PIECE, KEPT = 1000, 60
+OPEN, CLOSE = ord("<"), ord(">")
+
+
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point: its lower case, where that is one character, and whether that is a letter."""
+    every = [chr(i) for i in range(0x110000)]
+    low = [c.lower() for c in every]
+    points = np.array([ord(x if len(x) == 1 else c) for c, x in zip(every, low, strict=True)], np.uint32)
+    return points, np.array([c.isalpha() for c in every])[points]
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased code points, start, end, document) of the words of several UTF-8 texts end to end."""
+    lower, letters = _characters()
+    try:
+        text = data.tobytes().decode()
+    except UnicodeDecodeError:  # bytes that are no UTF-8 become U+FFFD
+        texts = [data[a:b].tobytes().decode("utf-8", "replace").encode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        return words_of(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    points = lower[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    begins = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
+    word = np.zeros(len(points) + 2, bool)
+    word[1:-1] = letters[points]
+    starts, ends = np.flatnonzero(word[1:-1] & ~word[:-2]), np.flatnonzero(word[1:-1] & ~word[2:]) + 1
+    # A word that runs over the bound of two texts is a word of each.
+    inner = begins[1:-1]
+    inner = np.unique(inner[(inner > 0) & (inner < len(points))])
+    inner = inner[word[inner] & word[inner + 1]]
+    starts, ends = np.union1d(starts, inner), np.union1d(ends, inner)
+    return points, starts, ends, np.searchsorted(begins, starts, side="right") - 1
+
+
+def _sums(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    up, down = powers(len(points) + 1)
+    sums = np.zeros(len(points) + 1, U)
+    np.cumsum(mix((points.astype(U) + U(1)) * U(0x9E6C63D0876A9A47)) * up[:-1], out=sums[1:])
+    return sums, down
+
+
+def _hashes(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xA24BAED4963EE407))
+
+
+def hashes_of(strings: list[str]) -> np.ndarray:
+    """The hash of each string, as words and n-grams have it."""
+    size = np.array([len(s) for s in strings], np.int64)
+    points = np.array([ord(c) for s in strings for c in s], np.uint32)
+    return _hashes(*_sums(points), np.cumsum(size) - size, np.cumsum(size))
+
+
+def _marked(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words between their marks, end to end: (code points, start, end)."""
+    size = ends - starts + 2
+    stop = np.cumsum(size)
+    at = np.arange(size.sum()) - np.repeat(stop - size, size) - 1 + np.repeat(starts, size)
+    out = points[np.clip(at, 0, max(len(points) - 1, 0))]
+    out[stop - size], out[stop - 1] = OPEN, CLOSE
+    return out, stop - size, stop
+
+
+@dataclass
+class Scored:
+    """Sorted hashes, and a row of scores by language for each."""
+
+    keys: np.ndarray
+    rows: np.ndarray
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, at, -1)
+
+    def joined(self, keys: np.ndarray, rows: np.ndarray) -> Scored:
+        keys, rows = np.concatenate((self.keys, keys)), np.concatenate((self.rows, rows))
+        order = np.argsort(keys)
+        return Scored(keys[order], rows[order])
 
 
 @dataclass
 class LanguageModel:
+    """words and grams (by length) with their scores; ``guesses`` are those of unseen words that a task has met, ``most_guesses`` at most."""
+
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-    longest: int
-
-    def scores(self, word: str) -> np.ndarray:
-        marked, out, n = f"<{word}>", np.zeros(len(self.languages)), 0
-        for i in range(len(marked)):
-            for size in range(min(self.longest, len(marked) - i), 0, -1):
-                if (v := self.grams.get(marked[i : i + size])) is not None:
-                    out, n = out + v, n + 1
-                    break
-        return out / max(n, 1)
-
-
-def _logs(counts: dict[str, dict[str, int]], languages: list[str]) -> dict[str, np.ndarray]:
-    """Log frequencies with a tenth of a count added, less their mean, so that only differences count."""
-    at = {x: i for i, x in enumerate(languages)}
-    m = np.full((len(counts), len(languages)), 0.1)
-    for row, by in zip(m, counts.values(), strict=True):
-        for lang, n in by.items():
-            row[at[lang]] += n
-    m = np.log(m / m.sum(axis=0)) if len(m) else m
-    return {k: (v - v.mean()).astype(np.float32) for k, v in zip(counts, m, strict=True)}
-
-
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", most_rows: int = 8000, most_words: int = 60_000, most_grams: int = 60_000, longest: int = 5, longest_word: int = 40) -> LanguageModel:
-    """Learn from about ``most_rows`` whole texts (a share of the rows by a hash of the text, so reruns agree).
-
-    The most frequent ``most_words`` words and ``most_grams`` n-grams of the sample form the model; these bounds
-    alone fix its size. Words of more than ``longest_word`` letters (whole clauses, in scripts without spaces) have no entry of
-    their own; they teach all their n-grams, as every word does, and are told by them. Rows with a null text or language teach nothing; without rows the model has no languages.
+    words: Scored
+    grams: dict[int, Scored]
+    most_guesses: int = 200_000
+    guesses: Scored | None = field(default=None, repr=False)
+
+    def backoff(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Scores of unseen words, each read whole."""
+        out = np.zeros((len(starts), len(self.languages)))
+        # Some words at a time, to bound memory; a longer word is a run of its own.
+        for i, j in spans(np.concatenate(([0], np.cumsum(ends - starts))), 1 << 18):
+            text, a, b = _marked(points, starts[i:j], ends[i:j])
+            sums, down = _sums(text)
+            owner = np.repeat(np.arange(j - i), b - a)
+            open_, met = np.arange(len(text)), np.zeros(j - i)
+            for size in sorted(self.grams, reverse=True):
+                fits = open_[open_ + size <= b[owner[open_]]]
+                row = self.grams[size].find(_hashes(sums, down, fits, fits + size))
+                known = fits[row >= 0]
+                if not len(known):
+                    continue
+                for k in range(out.shape[1]):
+                    out[i:j, k] += np.bincount(owner[known], self.grams[size].rows[row[row >= 0], k], j - i)
+                met += np.bincount(owner[known], minlength=j - i)
+                left = np.zeros(len(text), bool)
+                left[open_] = True
+                left[known] = False
+                open_ = np.flatnonzero(left)
+            out[i:j] /= np.maximum(met, 1)[:, None]
+        return out
+
+    def totals(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sums of scores, number of words) of each text."""
+        docs = len(offsets) - 1
+        points, starts, ends, doc = words_of(data, offsets)
+        out = np.zeros((docs, len(self.languages)))
+        if not len(starts) or not self.languages:
+            return out, np.bincount(doc, minlength=docs)
+        distinct, first, index = np.unique(_hashes(*_sums(points), starts, ends), return_index=True, return_inverse=True)
+        scores = np.zeros((len(distinct), len(self.languages)))
+        row = self.words.find(distinct)
+        scores[row >= 0] = self.words.rows[row[row >= 0]]
+        unseen = np.flatnonzero(row < 0)
+        none = Scored(np.zeros(0, U), np.zeros((0, len(self.languages))))
+        held = self.guesses or none
+        row = held.find(distinct[unseen])
+        scores[unseen[row >= 0]] = held.rows[row[row >= 0]]
+        new = unseen[row < 0]
+        if len(new):
+            scores[new] = self.backoff(points, starts[first[new]], ends[first[new]])
+            room = held if len(held.keys) + len(new) <= self.most_guesses else none
+            if len(new) <= self.most_guesses:
+                self.guesses = room.joined(distinct[new], scores[new])
+        for k in range(out.shape[1]):
+            out[:, k] = np.bincount(doc, scores[index, k], docs)
+        return out, np.bincount(doc, minlength=docs)
+
+    def judged(self, data: np.ndarray, offsets: np.ndarray, certain_at: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the language or -1, score) of each text."""
+        total, words = self.totals(data, offsets)
+        if not self.languages:
+            return np.full(len(total), -1), np.zeros(len(total))
+        total *= (np.minimum(words, certain_at) / np.maximum(words, 1))[:, None]
+        share = np.exp(total - total.max(axis=1, keepdims=True))
+        best = share.argmax(axis=1)
+        score = share[np.arange(len(best)), best] / share.sum(axis=1)
+        return np.where(words > 0, best, -1), np.where(words > 0, score, 0.0)
+
+
+def _logs(counts: np.ndarray) -> np.ndarray:
+    """Log frequencies of rows of counts by language, less their mean, so that only differences count.
+
+    Languages are brought to the total of the largest before a tenth of a count is added, so what none or few of a
+    language's texts hold speaks neither for nor against it because it has fewer texts.
     """
-    rows = labelled.select(labelled[text_col].alias("text"), labelled[lang_col].cast("string").alias("lang")).where("text is not null and lang is not null")
-    n = rows.count()
-    share = min(1.0, most_rows / max(n, 1))
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
-    counts = sample.select("lang", F.explode(words).alias("word")).groupBy("lang", "word").count().persist()
-    try:
-        languages = sorted(r[0] for r in sample.select("lang").distinct().collect())
+    if not len(counts):
+        return counts
+    total = counts.sum(axis=0)
+    m = np.log(counts * (total.max() / np.maximum(total, 1)) + 0.1)
+    return (m - m.mean(axis=1, keepdims=True)).astype(np.float32)
+
+
+def _counted(longest: int):
+    """Arrow task: texts and places of their languages -> how often each word (size 0) and n-gram occurs, by hash, in each run of texts."""
+
+    def run(batches):
+        for b in batches:
+            data, offsets = text_buffers(b["text"])
+            place = b["place"].to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, j in spans(offsets):
+                points, starts, ends, doc = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                if not len(starts):
+                    continue
+                lang = place[i + doc]
+                found = [(0, _hashes(*_sums(points), starts, ends), lang)]
+                text, a, stop = _marked(points, starts, ends)
+                sums, down = _sums(text)
+                owner = np.repeat(np.arange(len(a)), stop - a)
+                for size in range(1, longest + 1):
+                    at = np.flatnonzero(np.arange(len(text)) + size <= stop[owner])
+                    found.append((size, _hashes(sums, down, at, at + size), lang[owner[at]]))
+                for size, h, lang in found:
+                    for one in np.unique(lang):
+                        keys, n = np.unique(h[lang == one], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), size, np.int32)), pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), one, np.int32)), pa.array(n.astype(np.int64))], ["size", "key", "place", "n"])
+        give_back()
+
+    return run
+
+
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", most_rows: int = 2000, least_count: int = 2, longest: int = 5) -> LanguageModel:
+    """Learn from about ``most_rows`` different whole texts of each language (a share of them by a hash of the text, so reruns agree).
 
-        def top(df: DataFrame, key: str, most: int) -> dict[str, dict[str, int]]:
-            best = df.groupBy(key).agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by")).orderBy(F.desc("n"), key).limit(most)
-            return {r[key]: r["by"] for r in best.collect()}
+    This bound alone fixes the model's size: every word and every n-gram that occurs ``least_count`` times in the sample is
+    kept, so a small language loses nothing to a large one. Words of any length teach all their n-grams. Rows with a
+    null text or language teach nothing; without rows the model has no languages.
+    """
+    rows = labelled.select(labelled[text_col].alias("text"), labelled[lang_col].cast("string").alias("lang")).where("text is not null and lang is not null").withColumn("hash", F.xxhash64("text", F.lit(7)))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang", "hash").agg(F.lit(1)).groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
+    languages = sorted(sizes)
+    if not languages:
+        return LanguageModel([], Scored(np.zeros(0, U), np.zeros((0, 0))), {})
+    bound = F.create_map(*[F.lit(x) for k in languages for x in (k, int(min(1.0, most_rows / sizes[k]) * (1 << 20)) + 1)])
+    place = F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, i)])
+    sample = rows.where(F.pmod("hash", F.lit(1 << 20)) < bound[F.col("lang")]).groupBy("lang", "hash").agg(F.first("text").alias("text"))
+    sample = sample.select("text", place[F.col("lang")].cast("int").alias("place"))
+    counts = sample.mapInArrow(_counted(longest), "size int, key long, place int, n long").groupBy("size", "key", "place").agg(F.sum("n").alias("n"))
+    by_key = counts.groupBy("size", "key").agg(F.sum("n").alias("total"), F.collect_list(F.struct("place", "n")).alias("by")).where(F.col("total") >= least_count)
+    got = by_key.select("size", "key", F.explode("by").alias("b")).select("size", "key", "b.place", "b.n").toArrow()  # most_rows bounds it
+    size, key, at, n = (got[c].to_numpy() for c in ("size", "key", "place", "n"))
+    key = key.view(np.uint64)
+
+    def scored(of: int) -> Scored:
+        mine = size == of
+        keys, index = np.unique(key[mine], return_inverse=True)
+        m = np.zeros((len(keys), len(languages)))
+        m[index, at[mine]] = n[mine]
+        return Scored(keys, m)
 
-        marked = counts.select("lang", "count", F.concat(F.lit("<"), F.col("word"), F.lit(">")).alias("w"))
-        # In pieces with PIECE starts each, since a place in a long run is found by walking to it.
-        pieces = F.transform(F.sequence(F.lit(0), ((F.length("w") - 1) / PIECE).cast("int")), lambda k: F.substr("w", k * PIECE + 1, F.lit(PIECE + longest - 1)))
-        marked = marked.select("lang", "count", F.explode(pieces).alias("w"))
-        starts = F.sequence(F.lit(1), F.least(F.length("w"), F.lit(PIECE)))
-        grams = marked.select("lang", "count", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda s: F.transform(F.filter(starts, lambda i: i + s - 1 <= F.length("w")), lambda i: F.substr("w", i, s))))).alias("gram"))
-        grams = grams.groupBy("lang", "gram").agg(F.sum("count").alias("count"))
-        return LanguageModel(languages, _logs(top(counts.where(F.length("word") <= longest_word), "word", most_words), languages), _logs(top(grams, "gram", most_grams), languages), longest)
-    finally:
-        counts.unpersist()
+    words, grams = scored(0), {k: scored(k) for k in range(1, longest + 1)}
+    words.rows = _logs(words.rows)
+    rows_of = np.cumsum([0, *(len(grams[k].keys) for k in grams)])
+    logs = _logs(np.concatenate([grams[k].rows for k in grams]))
+    for k, i, j in zip(grams, rows_of[:-1], rows_of[1:], strict=True):
+        grams[k].rows = logs[i:j]
+    return LanguageModel(languages, words, grams)
 
 
-def labelled(docs: DataFrame, model: LanguageModel, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score"), certain_at: int = 20, cached: int = 200_000) -> DataFrame:
+def labelled(docs: DataFrame, model: LanguageModel, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score"), certain_at: int = 20) -> DataFrame:
     """The rows with two more columns: the language and its score (0 to 1), the share of the best language if at most
     ``certain_at`` words' weight is trusted. Nothing is shuffled.
 
@@ -97,45 +267,12 @@ def labelled(docs: DataFrame, model: LanguageModel, text_col: str = "text", name
 
     def run(batches):
         m = held.value
-        index, known = {w: i for i, w in enumerate(m.words)}, np.array([*m.words.values()], np.float32).reshape(len(m.words), len(m.languages))
-        seen: dict[str, int] = {}
-        guessed = np.zeros((cached if m.languages else 0, len(m.languages)), np.float32)
-
-        def judged(text: str | None) -> tuple[str, float]:
-            count = Counter(_WORD.findall(text.lower())) if text and m.languages else None
-            if not count:
-                return UNKNOWN, 0.0
-            at, n, new, times = [], [], [], []
-            if len(seen) + len(count) > cached:
-                seen.clear()
-            total = np.zeros(len(m.languages))
-            for w, k in count.items():
-                if (i := index.get(w)) is not None:
-                    at.append(i)
-                    n.append(k)
-                elif (i := seen.get(w)) is not None:
-                    new.append(i)
-                    times.append(k)
-                elif len(seen) < cached and len(w) <= KEPT:
-                    guessed[len(seen)] = m.scores(w)
-                    new.append(len(seen))
-                    times.append(k)
-                    seen[w] = len(seen)
-                else:
-                    total += k * m.scores(w)
-            total += np.array(n, np.float64) @ known[at] if at else 0.0
-            total += np.array(times, np.float64) @ guessed[new] if new else 0.0
-            words = sum(count.values())
-            total *= min(words, certain_at) / words
-            share = np.exp(total - total.max())
-            best = int(share.argmax())
-            return m.languages[best], float(share[best] / share.sum())
-
+        names_of = np.array([*m.languages, UNKNOWN], object)
         for b in batches:
-            got = [judged(t) for i in range(0, b.num_rows, 500) for t in b[text_col].slice(i, 500).to_pylist()]
-            langs, scores = pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, langs, scores], [*b.schema.names, *names])
-        del index, known, seen, guessed
+            data, offsets = text_buffers(b[text_col])
+            got = [m.judged(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], certain_at) for i, j in spans(offsets)]
+            at, scores = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((int, float), zip(*got, strict=True) if got else ((), ()), strict=True))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names_of[at].tolist(), pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, *names])
         give_back()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
@@ -145,3 +282,10 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     """Return doc_id, lang_pred and score as ``labelled`` gives them."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return labelled(rows, model, **options).drop("text")
+
+
+def known_languages(docs: DataFrame, model: LanguageModel, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows whose text is in a language of the model with at least ``least_score``; columns stay as they are."""
+    lang, score = unused("told_lang", docs), unused("told_score", docs)
+    told = labelled(docs, model, text_col, names=(lang, score))
+    return told.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least_score)).select(*docs.columns)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -101,6 +102,26 @@ def test_mixed_takes_each_row_of_a_repeated_or_null_id_for_itself(spark):
     assert got == Counter({k: n for k, n in want.items() if n})
 
 
+def test_mix_orders_small_intervals_even_of_one_poor_source(spark):
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "#### $$$$ ####").otherwise("plain words of text here").alias("text"), F.when(F.col("id") % 50 == 0, "small").otherwise("hot").alias("source"))
+    rows = mixing._keyed(docs, "doc_id", "text", "source", "mix", None)
+    most = rows.where("source = 'hot'").groupBy("interval").count().agg(F.max("count")).first()[0]
+    assert most <= 196_000 / 11_000 * 2.5
+    got = mixing.mix_sources(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("epochs").alias("m"), F.min("epochs").alias("n")).collect()
+    assert all(abs(r.taken - r.target) <= 5 and r.m - r.n <= 1 for r in got) and len(got) == 2
+
+
+def test_mixed_with_clashing_names_and_a_row_that_is_a_third_of_all(spark, no_docs):
+    rows = [(1, "a b c", "s0", "x", 1, 2)] * 300 + [(i, "d e " * (i % 5), f"s{i % 3}", None, 3, 4) for i in range(10, 600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mixed_id string, mixed_epochs int, row int")
+    want = Counter()
+    for r in mixing.mix_sources(docs).collect():
+        want[r.doc_id] += r.epochs
+    got = mixing.mixed(docs)
+    assert got.columns == docs.columns and Counter(r.doc_id for r in got.collect()) == +want
+    assert mixing.mixed(no_docs).count() == 0
+
+
 # -- 2
 
 
@@ -108,7 +129,7 @@ def test_language(spark, odd_docs, no_docs):
     rng, alphabets = random.Random(2), {"xx": "abcde", "yy": "aklmn", "zz": "uvwxé"}
     rows = [(i, " ".join("".join(rng.choice(alphabets[lang]) for _ in range(rng.randrange(1, 9))) for _ in range(30)), lang) for i, lang in enumerate([*alphabets] * 60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = langid.fit(docs.where("doc_id < 120"), most_words=200)
+    model = langid.fit(docs.where("doc_id < 120"))
     got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
     assert all(got[i].lang_pred == lang and 0 <= got[i].score <= 1 for i, _, lang in rows if i >= 120)
     odd = {(r.doc_id, r.lang_pred, r.score) for r in langid.predict(odd_docs, model).collect()}
@@ -118,29 +139,110 @@ def test_language(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in langid.predict(odd_docs, nothing).collect()} == {"und"}
 
 
+def scored(table):
+    order = np.argsort(langid.hashes_of(list(table)))
+    return langid.Scored(langid.hashes_of(list(table))[order], np.array(list(table.values()), float)[order])
+
+
 def test_backoff_takes_the_longest_known_gram():
-    one = lambda x: np.array([x, -x], np.float32)
-    model = langid.LanguageModel(["a", "b"], {}, {"<ab": one(3), "b": one(-5), "c": one(1), ">": one(0)}, 3)
+    grams = {3: {"<ab": [3, -3]}, 1: {"b": [-5, 5], "c": [1, -1], ">": [0, 0]}}
+    model = langid.LanguageModel(["a", "b"], scored({"xyz": [9, -9]}), {k: scored(v) for k, v in grams.items()})
+    totals = lambda text: model.totals(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0][0]
     # <ab, then nothing at a, then b, c and the end mark: (3 - 5 + 1 + 0) / 4
-    assert model.scores("abc")[0] == pytest.approx(-0.25)
+    assert totals("ABC")[0] == pytest.approx(-0.25)
+    assert totals("abc 7 XYZ, abc")[0] == pytest.approx(9 - 0.5)  # the second time from what the task remembers
+
+
+class BruteLanguages:
+    """Counts, log frequencies and backoff word by word."""
+
+    def __init__(self, rows, least=2, longest=5):
+        self.languages, self.longest = sorted({lang for _, lang in rows if lang is not None}), longest
+        words, grams = {}, {}
+        for text, lang in set(rows):
+            if lang is None:
+                continue
+            for w in self.words_of(text):
+                words.setdefault(w, Counter())[lang] += 1
+                m = f"<{w}>"
+                for g in (m[i : i + n] for n in range(1, longest + 1) for i in range(len(m) - n + 1)):
+                    grams.setdefault(g, Counter())[lang] += 1
+        self.words, self.grams = (self.logs({k: c for k, c in t.items() if c.total() >= least}) for t in (words, grams))
+
+    @staticmethod
+    def words_of(text):
+        return re.findall(r"[^\W\d_]+", "".join(c if unicodedata.category(c)[0] == "L" else " " for c in "".join(c.lower() if len(c.lower()) == 1 else c for c in text or "")))
+
+    def logs(self, table):
+        m = np.array([[c[x] for x in self.languages] for c in table.values()], float).reshape(len(table), len(self.languages))
+        totals = [max(sum(c[x] for c in table.values()), 1) for x in self.languages]
+        m = np.log(m * max(totals) / totals + 0.1)
+        return dict(zip(table, m - m.mean(axis=1, keepdims=True), strict=True))
+
+    def score(self, w):
+        if w in self.words:
+            return self.words[w]
+        m, found = f"<{w}>", []
+        for i in range(len(m)):
+            found += [self.grams[m[i : i + n]] for n in range(min(self.longest, len(m) - i), 0, -1) if m[i : i + n] in self.grams][:1]
+        return sum(found) / len(found) if found else np.zeros(len(self.languages))
+
+    def judge(self, text, certain_at=20):
+        words = self.words_of(text)
+        if not words:
+            return "und", 0.0
+        total = sum(self.score(w) for w in words) * min(len(words), certain_at) / len(words)
+        share = np.exp(total - total.max())
+        return self.languages[int(share.argmax())], float(share.max() / share.sum())
+
+
+def test_language_equals_brute_force(spark):
+    rng = random.Random(12)
+    letters = {"xx": "abcdeé", "yy": "aklmnß", "zz": "uvwxÉЖ", "日": "日本語ab"}
+    word = lambda lang: "".join(rng.choice(letters[lang]) for _ in range(rng.randrange(1, 7)))
+    glue = [" ", ", ", "-", "7", "_", "\n", "²", "\u0301"]
+    rows = [("".join(word(lang) + rng.choice(glue) for _ in range(rng.randrange(0, 40))), lang) for lang in [*letters] * 40]
+    rows += [("İstanbul " + "日" * 700 + "Σας", "日"), (None, "xx"), ("abc", None), ("", "yy")]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    brute = BruteLanguages(rows)
+    asked = [(i, t) for i, (t, _) in enumerate(rows)] + [(900, "½ ²³"), (901, "x" * 6000 + "é"), (902, " ".join(word(x) for x in letters for _ in range(9)).upper()), (903, "٣٤ __ 12"), (904, None)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    for i, text in asked:
+        lang, score = brute.judge(text)
+        assert got[i] == (lang, pytest.approx(score, abs=1e-4)), (i, text)
+    assert got[900] == got[903] == got[904] == ("und", 0.0)
 
 
 def test_language_reads_whole_runs_without_spaces(spark):
     rng, alphabets = random.Random(5), {"xx": "abcdef", "yy": "defghi"}
     run = lambda lang, n: "".join(rng.choice(alphabets[lang]) for _ in range(n))
-    rows = [(i, run(lang, n), lang) for i, (lang, n) in enumerate([("xx", 2600), ("yy", 2100), ("xx", 1000), ("yy", 70), ("xx", 998), ("yy", 999)])]
-    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_grams=1 << 20)
-    counts = {}
-    for _, text, lang in rows:
-        w = f"<{text}>"
-        for g in (w[i : i + s] for s in range(1, 6) for i in range(len(w) - s + 1)):
-            counts.setdefault(g, Counter())[lang] += 1
-    want = langid._logs(counts, ["xx", "yy"])
-    assert model.grams.keys() == want.keys() and all(np.allclose(model.grams[g], v, atol=1e-5) for g, v in want.items())
-    docs = spark.createDataFrame([(0, run("xx", 60) + run("yy", 900)), (1, run("yy", 60) + run("xx", 900))], "doc_id long, text string")
+    rows = [(run(lang, n), lang) for lang, n in [("xx", 2600), ("yy", 2100), ("xx", 1000), ("yy", 70), ("xx", 998), ("yy", 999)]]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    want = BruteLanguages(rows).grams
+    for n, held in model.grams.items():
+        own = [g for g in want if len(g) == n]
+        assert np.allclose(held.rows[held.find(langid.hashes_of(own))], [want[g] for g in own], atol=1e-5) and len(held.keys) == len(own)
+    docs = spark.createDataFrame([(0, run("xx", 60) + run("yy", 6000)), (1, run("yy", 60) + run("xx", 900))], "doc_id long, text string")
     assert {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()} == {0: "yy", 1: "xx"}
 
 
+def test_a_small_language_keeps_its_words(spark):
+    rng = random.Random(3)
+    rows = [(" ".join(f"w{rng.choice('abcdefghij')}{rng.choice('klmnopqrst')}" for _ in range(10)), "big") for _ in range(3000)] + [("zum zum zam zam", "small")] * 3
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), most_rows=50)
+    assert (model.words.find(langid.hashes_of(["zum", "zam"])) >= 0).all()
+    got = langid.predict(spark.createDataFrame([(0, "zum zam")], "doc_id long, text string"), model).first()
+    assert got.lang_pred == "small"
+
+
+def test_known_languages_keep_columns_of_any_name(spark, odd_docs, no_docs):
+    model = langid.fit(odd_docs)
+    docs = odd_docs.withColumnRenamed("size", "told_lang").withColumnRenamed("key", "told_score").withColumnRenamed("digest", "Told_Lang_")
+    kept = langid.known_languages(docs, model, 0.0)
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter([1, 1, None, 6, 7, 8, 9])
+    assert langid.known_languages(no_docs, model, 0.5).count() == 0
+
+
 # -- 3 and 10
 
 
@@ -194,6 +296,20 @@ def test_token_orc(spark, odd_docs, no_docs, tokenizer):
     assert token_orc.token_index(spark, empty).count() == 0
 
 
+def test_token_orc_spreads_equal_rows_and_grows_files_with_bytes(spark, tokenizer):
+    rows = [(5, "equal rows of text")] * 400 + [(i, f"text {i}") for i in range(200)] + [(None, "no id")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    token_orc.write_token_orc(docs, path := work_path(spark, "test-orc"), PATH, file_bytes=1000)
+    files = spark.read.orc(path).groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 6 and max(r["count"] for r in files) < 300
+    got = token_orc.token_index(spark, path).orderBy("start").collect()
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x or 0))
+
+
 # -- 4
 
 
@@ -294,6 +410,79 @@ def test_decontamination_finds_short_items_inside_documents(spark):
         assert got == {(0, 0, True), (1, 0, True), (3, 1, True), (4, 2, False), (5, 3, True), (7, 4, True)}
 
 
+def brute_template(text):
+    """(template word, value) of each word, None for the value of a plain word."""
+    out, before, number_before = [], None, False
+    for m in WORD.finditer(text):
+        raw = m.group()
+        bare = raw.strip("".join(chr(c) for c in range(128) if decontaminate._PUNCTUATION[c])) or raw
+        value = bare.lower()
+        number = any(c in "0123456789" for c in bare) and not any(c.isalpha() for c in bare)
+        unit = number_before and value in decontaminate.UNITS
+        opens = before is None or before.group()[-1] in "!.:?" or "\n" in text[before.end() : m.start()]
+        name = bare[0].isupper() and not opens and not number and not unit
+        out.append(("#N" if number else "#U" if unit else "#P" if name else value, value if number or unit or name else None))
+        before, number_before = m, number
+    return out
+
+
+def brute_contamination(texts, items, width=5, share=0.8):
+    got = {}
+    for i, item in items.items():
+        a = brute_template(item or "")
+        n = min(width, len(a))
+        if not n:
+            continue
+        windows = lambda w: [(p, tuple(x for x, _ in w[p : p + n]), [v for _, v in w[p : p + n] if v is not None]) for p in range(len(w) - n + 1)]  # noqa: E731,B023
+        total = {w for _, w, _ in windows(a)}
+        for d, text in texts.items():
+            hits = [(q - p, w, x, y) for p, w, x in windows(a) for q, z, y in windows(brute_template(text or "")) if w == z and (n == width or len(x) < n or x == y)]
+            maps = {}
+            for along, _, x, y in hits:
+                for v, u in zip(x, y, strict=True):
+                    maps.setdefault((along, v), set()).add(u)
+            kept = {w for along, w, x, y in hits if x == y or all(len(maps[along, v]) == 1 for v in x)}
+            if kept and len(kept) >= share * len(total):
+                got[d, i] = (len(total), len(kept))
+    return got
+
+
+def test_decontamination_equals_brute_force_with_slots(spark):
+    rng = random.Random(21)
+    plain, names, units = ["when", "buys", "and", "sells", "each", "how", "much", "left"], ["Maria", "Peter", "Zoë", "Émile"], ["kg", "euros", "km"]
+    part = lambda: rng.choice([rng.choice(plain), rng.choice(plain), rng.choice(names), f"{rng.randrange(9)}", f"{rng.randrange(9)} {rng.choice(units)}", "end.", "so,\n"])
+    text = lambda n: " ".join(part() for _ in range(n))
+    items = {i: text(n) for i, n in enumerate([30, 12, 7, 5, 3, 1, 40, 25])} | {50: None, 51: ""}
+    items[60] = items[0] + " " + text(4)  # shares most windows with another item
+    texts = {}
+    for d in range(120):
+        source = (items[rng.choice([*range(8), 60])] or "").split(" ")
+        kind = d % 4
+        if kind == 1:  # each value renamed, always alike
+            new = {w: rng.choice(names) for w in names} | {str(k): str(rng.randrange(90)) for k in range(9)}
+            source = [new.get(w, w) for w in source]
+        elif kind == 2:  # some values renamed at one place only
+            source = [rng.choice(names) if w in names and rng.random() < 0.2 else str(rng.randrange(90)) if w.isdigit() and rng.random() < 0.2 else w for w in source]
+        elif kind == 3:
+            source = [w for w in source if rng.random() < 0.96]
+        texts[d] = text(rng.randrange(8)) + " " + " ".join(source) + " " + text(rng.randrange(8))
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_contamination(texts, items)
+    assert len(want) > 60
+    for limit in (1 << 20, 0):
+        got = {(r.doc_id, r.item_id): (r.n_windows, r.n_found) for r in decontaminate.find_contamination(docs, bench, most_broadcast=limit).collect()}
+        assert got == want
+
+
+def test_decontamination_with_phrases_that_all_items_share(spark):
+    stock = "choose the one right answer to the question that follows here and"
+    items = [(i, f"{stock} w{i}a x{i} y{i} z{i} " + " ".join(f"v{'abcdefghij'[i % 10]}{'abcdefghijklmnopqrst'[k]}q{'abcdefghij'[i // 10]}" for k in range(20))) for i in range(60)]
+    docs = [(i, stock + " nothing else of an item") for i in range(200)] + [(1000, "so " + items[7][1])]
+    got = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1000, 7)]
+
+
 # -- 6
 
 
@@ -321,6 +510,52 @@ def test_quality(spark, odd_docs, no_docs):
     assert {round(r.score, 9) for r in quality.score_quality(odd_docs, flat).collect()} == {0.7}
 
 
+def brute_features(text):
+    words = WORD.findall(text)
+    raw, n = text.encode(), len(words)
+    size, per = max(len(raw), 1), max(n, 1)
+    share = lambda f: sum(map(f, raw)) / size
+    length = [min(len(w.encode()), 60) for w in words]
+    mean = sum(length) / per
+    runs = lambda k: len({tuple(words[i : i + k]) for i in range(n - k + 1)}) if n >= k else min(n, 1)
+    return [
+        np.log1p(n) / 10, share(lambda c: chr(c) in "#*$%&|<>"), share(lambda c: chr(c) in "0123456789"), share(lambda c: 65 <= c <= 90), share(lambda c: chr(c) in ".!?,;:"), share(lambda c: c == 10), share(lambda c: c >= 0xC0),
+        mean / 20, np.sqrt(max(sum(x * x for x in length) / per - mean**2, 0)) / 20, len(set(words)) / per, sum(a == b for a, b in zip(words, words[1:], strict=False)) / per,
+        runs(2) / max(n - 1, 1), runs(3) / max(n - 2, 1), max(Counter(words).values(), default=0) / per, sum(w[-1] in "#*$%&|<>" for w in words) / per, share(lambda c: c == ord("|")), sum(x > 25 for x in length) / per, float(n == 0),
+    ]
+
+
+def test_quality_features_equal_brute_force(spark):
+    import pyarrow as pa
+
+    from siftlog.llm.bytetext import text_buffers
+
+    _, texts = corpus(spark, n=40, vocabulary=12)
+    asked = [t + x for t, x in zip(texts.values(), ["", " A1 | 2$", "\n\n..", " é" * 9, " " + "x" * 80] * 8, strict=True)] + ["", " ", "a", "a a", "É|"]
+    got = quality.features(*text_buffers(pa.array(asked)))
+    want = np.array([brute_features(t) for t in asked])
+    busy = want[:, -1] == 0  # without words, only the shares of bytes and the last feature count
+    assert np.allclose(got[busy], want[busy]) and np.allclose(got[~busy][:, [0, 1, 2, 3, 4, 5, 6, 15, 17]], want[~busy][:, [0, 1, 2, 3, 4, 5, 6, 15, 17]])
+
+
+def test_quality_weights_are_the_least_loss_of_the_pairs():
+    rng = np.random.default_rng(9)
+    y = rng.integers(0, 2, 400)
+    x = rng.normal(0, 1, (400, len(quality.FEATURES)))
+    x[:, 2] += y
+    model = quality.learn(x, y, pairs=3000, ridge=1e-2, seed=5)
+    draw = np.random.default_rng(5)
+    z = model.expand(x)
+    d = z[draw.choice(np.flatnonzero(y == 1), 3000)] - z[draw.choice(np.flatnonzero(y == 0), 3000)]
+    loss = lambda w: np.mean(np.log1p(np.exp(-d @ w))) + 0.5e-2 * w @ w
+    least = loss(model.weights)
+    assert all(loss(model.weights + 0.05 * rng.normal(0, 1, len(model.weights))) >= least for _ in range(200))
+    # No cut between two scores splits the labels better.
+    s = z @ model.weights
+    split = lambda c: (s[y == 1] >= c).mean() + (s[y == 0] < c).mean()
+    assert max(split(c) for c in s) <= split(model.threshold) + 1e-12
+
+
 @pytest.mark.parametrize("bad", [0.002, 0.2, 0.9, 0.998])
 def test_quality_cut_follows_the_labels_at_any_share_of_bad_rows(bad):
     rng = np.random.default_rng(3)
@@ -450,7 +685,7 @@ def test_warc_round_trip(spark):
         spark.conf.set("spark.sql.files.openCostInBytes", "1k")
         try:
             warc.write_warc(warc.dedup_captures(pages).coalesce(2), path := work_path(spark, "test-warc"))
-            got = warc.read_warc(spark, path).collect()
+            got = warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
             spark.conf.unset("spark.sql.files.openCostInBytes")
@@ -461,3 +696,43 @@ def test_warc_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_warc(warc.dedup_captures(pages), path := work_path(spark, "test-warc"))
     assert warc.read_warc(spark, path).count() == 0
+
+
+def foreign(version, kind, name, block, content="application/http; msgtype=response", **fields):
+    head = {"WARC-Type": kind, "WARC-Record-ID": name, "Content-Type": content, "Content-Length": str(len(block)), **{k.replace("_", "-"): v for k, v in fields.items()}}
+    return f"WARC/{version}\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_of_another_writer(spark, tmp_path):
+    body = b"<html>payload with WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n inside and WARC/1.1</html>"
+    for version in ("1.0", "1.1"):
+        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+        records = [
+            foreign(version, "warcinfo", "<urn:uuid:1>", b"software: other\r\n", "application/warc-fields"),
+            foreign(version, "request", "<urn:uuid:2>", b"GET / HTTP/1.1\r\n\r\n", "application/http; msgtype=request"),
+            foreign(version, "response", "<urn:uuid:3>", http + body, WARC_Target_URI="http://a/"),
+            foreign(version, "revisit", "<urn:uuid:4>", http, WARC_Refers_To="<urn:uuid:3>", WARC_Payload_Digest="sha1:ABC"),
+            foreign(version, "metadata", "<urn:uuid:5>", b"x: y", "application/warc-fields"),
+            foreign(version, "resource", "<urn:uuid:6>", b"plain bytes", "text/plain"),
+            foreign(version, "response", "<urn:uuid:7>", http + b"short"),
+        ]
+        (tmp_path / version).mkdir()
+        (tmp_path / version / "a.warc").write_bytes(b"".join(records) + foreign(version, "response", "<urn:uuid:8>", http + b"cut off here")[:-20])
+        rows = {r.record_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to_id, r.page_id) for r in warc.read_warc(spark, str(tmp_path / version)).collect()}
+        assert rows == {
+            "<urn:uuid:3>": (len(body), hashlib.sha256(body).hexdigest(), "response", None, None),
+            "<urn:uuid:4>": (None, "sha1:ABC", "revisit", "<urn:uuid:3>", None),
+            "<urn:uuid:7>": (5, hashlib.sha256(b"short").hexdigest(), "response", None, None),
+        }
+        every = warc.read_warc(spark, str(tmp_path / version), kinds=("warcinfo", "request", "response", "revisit", "metadata", "resource"))
+        assert every.count() == 7
+
+
+def test_warc_with_null_ids_and_huge_lengths(spark):
+    odd = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99999999999999999999999\r\n\r\n"
+    rows = [(None, None), (None, "z" * 200), (3, "z" * 200), (4, odd), (4, odd), (9223372036854775807, "last")]
+    pages = spark.createDataFrame([(i, None, h) for i, h in rows], "page_id long, url string, html string")
+    warc.write_warc(warc.dedup_captures(pages), path := work_path(spark, "test-warc"))
+    got = warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    sha = lambda h: hashlib.sha256((h or "").encode()).hexdigest()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest) for r in got) == Counter((i, len(h or ""), sha(h)) for i, h in rows)
