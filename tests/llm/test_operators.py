@@ -263,6 +263,21 @@ def test_token_counts_and_cache(spark, odd_docs, no_docs, tokenizer):
     assert token_counts.count_tokens(no_docs, PATH, work_path(spark, "test-cache")).count() == 0
 
 
+def test_token_counts_encode_only_what_a_part_filled_cache_lacks(spark, odd_docs, tokenizer):
+    want = Counter((r.doc_id, len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)) for r in odd_docs.collect())
+    for most in (0, 1 << 17):  # misses by a join of distinct texts and by broadcast
+        cache = work_path(spark, "test-cache")
+        token_counts.count_tokens(odd_docs.where("doc_id = 1 or doc_id = 2"), PATH, cache)
+        spark.createDataFrame([(b"other", "another tokenizer", 5)], token_counts.CACHE).write.mode("append").parquet(cache)
+        # A count that is there is taken as it stands, so nothing is encoded twice.
+        spark.read.parquet(cache).where("n_tokens > 5").selectExpr("content", "tokenizer", "n_tokens + 1000 as n_tokens").write.parquet(f"{cache}-b")
+        spark.read.parquet(f"{cache}-b").write.mode("append").parquet(cache)
+        got = Counter((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(odd_docs, PATH, cache, most_broadcast=most).collect())
+        held = next(n for (i, n) in want if i == 1)
+        assert got == Counter({(i, n + 1000 if i in (1, None) else n): k for (i, n), k in want.items()}) and held > 5
+        assert spark.read.parquet(cache).count() == 2 + 1 + 1 + 5
+
+
 def test_pieces_equal_the_library_on_hostile_texts(tokenizer):
     import pyarrow as pa
 
@@ -376,7 +391,7 @@ def test_decontamination(spark, odd_docs, no_docs):
         got = {(r.doc_id, r.item_id): r.exact for r in decontaminate.find_contamination(docs, bench, most_broadcast=limit).collect()}
         assert got == {(1, 0): True, (2, 0): False, (5, 1): True}
     kept = decontaminate.decontaminated(docs, bench)
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([3, 4, 6, 7, None]) and kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([3, 4, 5, 6, 7]) and kept.columns == docs.columns
     assert decontaminate.find_contamination(no_docs, bench).count() == 0
     assert decontaminate.find_contamination(odd_docs, bench.where("false")).count() == 0
 
