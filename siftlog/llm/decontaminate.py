@@ -174,7 +174,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return out.select("doc_id", "item_id", "n_windows", "n_found", "exact")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that no item contaminates; columns stay as they are."""
-    bad = saved(find_contamination(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("bad_id")).distinct(), "benchmark-bad")
-    return docs.join(bad, docs[id_col] == bad["bad_id"], "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents that no item contaminates; columns stay as they are.
+
+    Rows are judged by their texts alone (told apart by 64-bit hashes), so ids may be null or repeated. Null and empty texts stay.
+    Empty tables: an empty result, or all documents.
+    """
+    texts = docs.select(F.xxhash64(docs[text_col]).alias("doc_id"), docs[text_col].alias("text"))
+    bad = find_contamination(texts, benchmark, id_col="doc_id", text_col="text", **options)
+    bad = saved(bad.select(F.col("doc_id").alias("bad_text")).distinct(), "benchmark-bad")
+    return docs.join(bad, F.xxhash64(docs[text_col]) == bad["bad_text"], "left_anti")
