@@ -57,17 +57,20 @@ def hour_of(text: Column) -> Column:
     return out
 
 
+#: Six stamps as they are written, in order of preference.
+STAMPS = {
+    "iso": r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?",
+    "clf": r"\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}",
+    "logcat": r"\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{1,6}",
+    "bsd-syslog": r"[A-Z][a-z]{2} [ \d]?\d \d{2}:\d{2}:\d{2}",
+    "epoch-ms": r"(?<![0-9.])1[0-9]{12}(?![0-9])",
+    "time-only": r"(?<![0-9:])\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?(?![0-9])",
+}
+
+
 def raw_stamp(text: Column) -> Column:
     """The first stamp as it is written, of six shapes tried in order; null without one."""
-    shapes = (
-        r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?",
-        r"\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}",
-        r"\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}(?: [+-]\d{4})?",
-        r"[A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}",
-        r"\d{2}\.\d{2}\.\d{4} \d{2}:\d{2}:\d{2}",
-        r"\d{2}:\d{2}:\d{2}",
-    )
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, f"({s})", 1), F.lit("")) for s in shapes])
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, f"({s})", 1), F.lit("")) for s in STAMPS.values()])
 
 
 def clock_gap(a: Column, b: Column, around: int = 86400) -> Column:

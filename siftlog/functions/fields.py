@@ -10,7 +10,7 @@ JSON_FIELD = r'"([A-Za-z_][A-Za-z0-9_]{0,30})"\s*:\s*(?:"([^"\\]{1,24})"|(-?\d{1
 KV_FIELD = r"(?<![\w\-])([A-Za-z_\u0400-\u04FF][\w\u0400-\u04FF]{0,30})=([^\s|,;'\"]{1,24})"
 MOST_PLACES, MOST_VALUE = 12, 24
 #: Sixteen severity words.
-SEVERITIES = ("TRACE", "DEBUG", "INFO", "NOTICE", "WARN", "WARNING", "ERROR", "ERR", "CRITICAL", "CRIT", "ALERT", "EMERG", "FATAL", "PANIC", "SEVERE", "ALARM")
+SEVERITIES = ("EMERG", "ALERT", "FATAL", "CRITICAL", "CRIT", "PANIC", "SEVERE", "ERROR", "ERR", "WARNING", "WARN", "NOTICE", "INFO", "DEBUG", "TRACE", "VERBOSE")
 
 
 def _named(text: Column, pattern: str, prefix: str, value: Column | None = None) -> Column:
@@ -30,7 +30,10 @@ def field_bag(text: Column) -> Column:
 
     bars = F.when(F.size(F.split(text, r"\|", -1)) > 3, places(F.split(text, r"\|", -1), "pipe:")).otherwise(F.array().cast("array<struct<axis:string,value:string>>"))
     words = places(F.filter(F.split(text, r"\s+", -1), lambda w: w != ""), "ws:")
-    return F.concat(_named(text, JSON_FIELD, "json:", json_value), _named(text, KV_FIELD, "kv:"), bars, words)
+    # Places and bars have each axis once; of named fields the first of an axis stays.
+    named = F.concat(_named(text, JSON_FIELD, "json:", json_value), _named(text, KV_FIELD, "kv:"))
+    first = F.filter(named, lambda p, i: F.array_position(F.transform(named, lambda q: q["axis"]), p["axis"]) == i + 1)
+    return F.concat(F.when(F.size(F.array_distinct(F.transform(named, lambda q: q["axis"]))) < F.size(named), first).otherwise(named), bars, words)
 
 
 def extract_axis(text: Column, axis: str) -> Column:
@@ -99,6 +102,7 @@ def measure_line(text: Column) -> Column:
     return F.struct(longest.cast("long").alias("longest"), codes.alias("codes"), addresses.alias("addresses"))
 
 
+#: Fixed value: an address in a text.
 CITATION = r"([\w./\-]+\.\w+):(\d+)(?:-(\d+))?"
 
 
@@ -109,19 +113,42 @@ def citations(text: Column) -> Column:
     return F.transform(joined, lambda p: F.struct(p["path"].alias("path"), p["low"].cast("long").alias("line_lo"), F.when(p["high"] != "", p["high"].cast("long")).otherwise(p["low"].cast("long")).alias("line_hi")))
 
 
+#: Quoted spans.
+QUOTES = (r'"([^"\n]{4,400})"', r"«([^»\n]{4,400})»", r"“([^”\n]{4,400})”", r"`([^`\n]{4,400})`")
+
+
 def quoted_spans(text: Column) -> Column:
     """Spans of 4 to 400 characters between quotes, backticks or angle quotes."""
-    return F.filter(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (r'"([^"\n]{4,400})"', r"`([^`\n]{4,400})`", r"«([^»\n]{4,400})»", r"“([^”\n]{4,400})”")])), lambda s: s != "")
+    return F.filter(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in QUOTES])), lambda s: s != "")
 
 
 #: Words that carry no evidence.
-STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "was", "were", "are", "not", "but", "has", "have")
+STOP_WORDS = tuple(
+    """
+the a an and or of in on at to for from by with is are was were it this that as not but has have had be been will would can could
+should there their they them then than out into over under after before all any some such no nor only own same too very just now
+here when what which who whom why how
+и в во на с со по что как из для это эта эти этот был была было были при его её их но же то так все всё уже или если бы не да мы
+он она они там тут когда чтобы после перед над под между около него неё них
+""".split()
+)
+CYRILLIC = r"[\x{400}-\x{4FF}]"
 
 
 def token_set(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
-    """Distinct lower-case words of three letters and numbers of two digits, without stop words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]{3,}|[0-9]{2,})"), F.lit(1))
-    return F.array_distinct(F.filter(words, lambda w: ~w.isin(*stop)))
+    """Distinct lower-case words of three characters (Latin, Cyrillic, digits, underscores) and numbers of two digits, without stop words."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([0-9a-z_\x{400}-\x{4FF}]+)"), F.lit(1))
+    return F.array_distinct(F.filter(words, lambda w: ~w.isin(*stop) & (F.length(w) >= F.when(w.rlike("^[0-9]+$"), 2).otherwise(3))))
+
+
+def comparable(tokens: Column, line: Column) -> Column:
+    """The tokens that a line's scripts could hold: numbers always, Cyrillic words only where it has such letters, others only beside Latin ones."""
+    return F.filter(tokens, lambda w: w.rlike("^[0-9]+$") | F.when(w.rlike(CYRILLIC), line.rlike(CYRILLIC)).otherwise(line.rlike("[A-Za-z]")))
+
+
+def word_count(tokens: Column) -> Column:
+    """How many tokens aren't bare numbers."""
+    return F.size(F.filter(tokens, lambda w: ~w.rlike("^[0-9]+$")))
 
 
 def normalised(text: Column) -> Column:

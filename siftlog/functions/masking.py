@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftlog.functions.clock import STAMPS
+
 #: Token shapes, in order of preference where they begin together.
 UUID = r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b"
 STAMP = (
@@ -69,18 +71,17 @@ def actors(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(pieces(text), lambda p: p["kind"] == "<ip>"), lambda p: p["token"]))
 
 
+#: A coarser mask, hex words of six, and how long a shape may be.
+SHORT_HEX = r"\b(?=[0-9a-fA-F]{6,}\b)(?=[a-fA-F]*[0-9])[0-9a-fA-F]{6,}\b|\d+"
+MOST_SHAPE = 180
+
+
 def shape(text: Column) -> Column:
-    """A coarser shape: stamps, uuids, addresses, hex words of six and numbers as placeholders, one after another."""
-    for pattern, put in (
-        (r"\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?", "<ts>"),
-        (r"\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}(?: [+-]\d{4})?", "<ts>"),
-        (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<uuid>"),
-        (r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "<ip>"),
-        (r"\b[0-9a-f]{6,}\b", "<hex>"),
-        (r"\d+", "<n>"),
-    ):
+    """A coarser shape: stamps, uuids and addresses as placeholders, hex words of six and numbers as ``#``, white space squeezed."""
+    stamps = "|".join(f"(?:{p})" for name, p in STAMPS.items() if name != "epoch-ms")
+    for pattern, put in ((stamps, "<ts>"), (UUID, "<uuid>"), (ADDRESS, "<ip>"), (SHORT_HEX, "#")):
         text = F.regexp_replace(text, pattern, put)
-    return F.substring(text, 1, 160)
+    return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, MOST_SHAPE)
 
 
 def slot_label(template_: Column, slot: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftlog.functions.fields import comparable, normalised, quoted_spans, token_set, word_count
+
 
 def id_pattern(parts: list[str]) -> str:
     """A pattern for an identifier whose parts may be joined by any or no separator, with no letter or digit beside it."""
@@ -59,34 +63,86 @@ def resolve_paths(asked: DataFrame, corpus: DataFrame) -> DataFrame:
     return best.select("asked", F.when(state == "ok", F.coalesce("own", "one")).alias("path"), state.alias("state"))
 
 
-#: Verdicts on evidence from best to worst.
-VERDICTS = ("ok", "wrong-content", "out-of-range", "ambiguous", "missing", "no-quote")
+#: Verdicts on evidence from best to worst; ``ambiguous`` is settled before any line is read.
+VERDICTS = ("ok", "unverifiable", "no-quote", "wrong-content", "out-of-range", "missing-file", "binary-file", "ambiguous")
+
+
+def _support(claim: Column, line: Column, got: Column, overlap: float, quote_overlap: float, least: int, least_quote: int, least_words: int) -> Column:
+    """struct<v, quoted>: what one line says of a claim.
+
+    A quote of the claim that the line holds verbatim settles it. Else its longest quote with enough tokens that the
+    line's scripts could hold is compared by them, else the whole claim; with too few tokens nothing can be said.
+    """
+    quotes, norm = quoted_spans(claim), normalised(line)
+    verbatim = F.exists(quotes, lambda q: (normalised(q) != "") & F.contains(norm, normalised(q)))
+
+    def measured(text: Column, *before: Column) -> Column:
+        t = comparable(token_set(text), line)
+        return F.struct(*before, F.size(t).alias("n"), word_count(t).alias("w"), F.size(F.array_intersect(t, got)).alias("h"))
 
+    every = F.transform(quotes, lambda q, i: measured(q, (-F.length(q)).alias("a"), i.alias("i")))
+    best = F.array_min(F.filter(every, lambda z: (z["n"] >= least_quote) & (z["w"] >= least_words)))
+    own = measured(claim)
+    enough = lambda z, share: F.when(z["h"] >= share * z["n"], "ok").otherwise("wrong-content")
+    v = F.when(verbatim, "ok").when(best.isNotNull(), enough(best, quote_overlap)).when((own["n"] < least) | (own["w"] < least_words), "unverifiable").otherwise(enough(own, overlap))
+    return F.struct(v.alias("v"), F.coalesce(verbatim, F.lit(False)).alias("quoted"))
 
-def verify_claims(claims: DataFrame, lines: DataFrame, tokens, longest: int = 41, overlap: float = 0.34) -> DataFrame:
-    """claim_id, verdict of (claim_id, path, line_lo, line_hi, claim): does a cited line support the claim?
 
-    ``tokens``: a function from a text column to its array of comparable tokens. A claim without tokens has no quote.
+def verify_claims(claims: DataFrame, lines: DataFrame, binary: DataFrame | None = None, longest: int = 41, overlap: float = 0.34, quote_overlap: float = 0.6, least: int = 3, least_quote: int = 4, least_words: int = 2, require_quote: bool = False) -> DataFrame:
+    """claim_id, verdict of (claim_id, path, line_lo, line_hi, claim): the best that any cited line says of the claim.
+
+    Paths are resolved as ``resolve_paths`` does; ``binary`` holds paths that can't be read. Only the cited lines are joined,
+    at most ``longest`` of a range; one that ends before it begins is its first line. With ``require_quote``, nothing but a
+    verbatim quote is ok.
     """
     resolved = resolve_paths(claims.select(F.col("path").alias("asked")), lines.select("path").distinct())
-    c = claims.withColumnRenamed("path", "asked").join(resolved, "asked").withColumn("want", tokens(F.col("claim")))
-    c = c.withColumn("line_no", F.explode_outer(F.when((F.col("state") == "ok") & (F.col("line_hi") >= F.col("line_lo")), F.sequence("line_lo", F.least("line_hi", F.col("line_lo") + longest - 1)))))
+    c = claims.withColumnRenamed("path", "asked").join(resolved, "asked")
+    c = c.join(binary.select("path", F.lit(True).alias("sealed")), "path", "left") if binary is not None else c.withColumn("sealed", F.lit(None).cast("boolean"))
+    c = c.withColumn("line_no", F.explode_outer(F.when((F.col("state") == "ok") & F.col("sealed").isNull(), F.sequence("line_lo", F.least(F.greatest("line_lo", "line_hi"), F.col("line_lo") + longest - 1)))))
     got = c.join(lines.select("path", "line_no", F.col("text").alias("line")), ["path", "line_no"], "left")
-    share = F.size(F.array_intersect("want", tokens(F.coalesce("line", F.lit(""))))) / F.size("want")
-    verbatim = F.contains(F.lower("line"), F.lower("claim"))
-    verdict = F.when(F.col("state") != "ok", F.col("state")).when(F.col("line").isNull(), "out-of-range").when((F.size("want") == 0) & ~verbatim, "no-quote").when(verbatim | (share >= overlap), "ok").otherwise("wrong-content")
+    got = got.withColumn("got", token_set(F.coalesce("line", F.lit("")))).withColumn("s", _support(F.col("claim"), F.col("line"), F.col("got"), overlap, quote_overlap, least, least_quote, least_words))
+    said = F.when((F.col("s.v") != "wrong-content") & ~F.col("s.quoted"), "no-quote").otherwise(F.col("s.v")) if require_quote else F.col("s.v")
+    state = F.when(F.col("state") == "missing", "missing-file").otherwise(F.col("state"))
+    verdict = F.when(F.col("state") != "ok", state).when(F.col("sealed"), "binary-file").when(F.col("line").isNull(), "out-of-range").otherwise(said)
     rank = F.array_position(F.array(*[F.lit(v) for v in VERDICTS]), F.col("v"))
     return got.withColumn("v", verdict).groupBy("claim_id").agg(F.min_by("v", rank).alias("verdict"))
 
 
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _prefixes(least: int):
+    """Arrow task: (id, owner, text) -> n, h of each beginning of ``least`` words or more, by sums over the text's bytes; the whole text last."""
+
+    def run(batches):
+        power = np.ones(1, np.uint64)
+        for b in batches:
+            for row, owner, text in zip(b["id"].to_pylist(), b["owner"].to_pylist(), b["text"].to_pylist(), strict=True):
+                data = np.frombuffer(text.encode(), np.uint8)
+                if len(power) < len(data):
+                    power = np.full(len(data), _PRIME)
+                    power[0] = 1
+                    power = np.multiply.accumulate(power)
+                sums = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)])
+                ends = np.append(np.flatnonzero(data == 32), len(data))[least - 1 :]
+                h = sums[ends - 1] * np.uint64(0xD6E8FEB86659FD93) if len(data) else np.zeros(0, np.uint64)
+                n = np.arange(least, least + len(h))
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(h), pa.int64()), pa.array([owner] * len(h), pa.string()), pa.array(n, pa.int64()), pa.array(h.view(np.int64)), pa.array(n == n[-1:])], ["id", "owner", "n", "h", "whole"])
+
+    return run
+
+
 def sibling_prefix(texts: DataFrame, least: int = 4) -> DataFrame:
     """id, of: rows whose words are a strict prefix, of ``least`` words or more, of another's with the same owner.
 
-    Prefixes of the longer side are hashed and joined by equality.
+    Only texts that share their first ``least`` words with another are read further; their beginnings are compared by 64-bit
+    hashes, and joined by equality. Words are parted by single spaces; null texts and owners match nothing.
     """
-    t = texts.withColumn("w", F.split("text", " ")).withColumn("n", F.size("w"))
-    prefixes = t.where(F.col("n") > least).select(F.col("id").alias("of"), "owner", F.explode(F.transform(F.sequence(F.lit(least), F.col("n") - 1), lambda k: F.struct(k.alias("n"), F.xxhash64(F.array_join(F.slice("w", 1, k), " ")).alias("h")))).alias("p"))
-    return t.where(F.col("n") >= least).select("id", "owner", "n", F.xxhash64("text").alias("h")).join(prefixes.select("of", "owner", "p.n", "p.h"), ["owner", "n", "h"]).select("id", "of")
+    t = texts.where("text is not null and owner is not null").select("id", "owner", "text", F.xxhash64(F.slice(F.split("text", " ", least + 1), 1, least)).alias("key"))
+    shared = t.groupBy("owner", "key").count().where("count > 1").select("owner", "key")
+    rows = t.join(shared, ["owner", "key"], "left_semi").select("id", "owner", "text").mapInArrow(_prefixes(least), "id long, owner string, n long, h long, whole boolean")
+    whole = rows.where("whole").select("id", "owner", "n", "h")
+    return whole.join(rows.where("not whole").select(F.col("id").alias("of"), "owner", "n", "h"), ["owner", "n", "h"]).select("id", "of")
 
 
 def stitch_rotation(slices: DataFrame) -> DataFrame:
@@ -110,12 +166,15 @@ def overlap_join(a: DataFrame, b: DataFrame, bucket: int = 64) -> DataFrame:
 
 
 def proof_reach(calls: DataFrame, proofs: DataFrame) -> DataFrame:
-    """proof_id, reach: reached if a call without error covers it, unknown if one reads its file without lines or failed, else not_reached."""
-    j = proofs.join(calls, "path", "left")
-    hit = (F.col("c_lo") <= F.col("hi")) & (F.col("lo") <= F.col("c_hi")) & ~F.col("failed")
-    rank = F.when(hit, 2).when(F.col("call_id").isNotNull() & (F.col("c_lo").isNull() | F.col("failed")), 1).otherwise(0)
-    best = j.groupBy("proof_id").agg(F.max(rank).alias("r"))
-    return best.select("proof_id", F.element_at(F.array(F.lit("not_reached"), F.lit("unknown"), F.lit("reached")), F.col("r") + 1).alias("reach"))
+    """proof_id, reach: reached if a call without error covers it, unknown if one reads its file without lines or failed, else not_reached.
+
+    Ranges meet by ``overlap_join``'s buckets, not all calls of a file with all its proofs.
+    """
+    read = calls.where(F.col("c_lo").isNotNull() & ~F.col("failed")).select("path", F.col("c_lo").alias("b_lo"), F.col("c_hi").alias("b_hi"))
+    hit = overlap_join(proofs.select("proof_id", "path", "lo", "hi"), read).select("proof_id").distinct().withColumn("hit", F.lit(True))
+    vague = calls.where(F.col("c_lo").isNull() | F.col("failed")).select("path").distinct().withColumn("vague", F.lit(True))
+    j = proofs.join(hit, "proof_id", "left").join(vague, "path", "left")
+    return j.select("proof_id", F.when(F.col("hit"), "reached").when(F.col("vague"), "unknown").otherwise("not_reached").alias("reach"))
 
 
 def event_twins(df: DataFrame, keys: list[str], host: str, row: str) -> DataFrame:
@@ -165,14 +224,12 @@ def fair_worklist(rows: DataFrame, budget: int, state_share: float = 0.1, state_
     # Rows of a round over all files: a round that fits the budget needs no order inside it.
     per = r.groupBy("kind", "round").agg(F.count("*").alias("c"))
     before = F.coalesce(F.sum("c").over(W.partitionBy("kind").orderBy("round").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    per = per.select("kind", "round", before.alias("before"))
+    # Streams leave what they don't need to the states; their total is known from the rounds' counts.
+    streams = F.coalesce(F.sum(F.when(F.col("kind") == "stream", F.col("c"))).over(W.partitionBy()), F.lit(0))
+    most = budget - int(budget * state_share)
+    per = per.select("kind", "round", before.alias("before"), F.when(F.col("kind") == "stream", most).otherwise(budget - F.least(streams, F.lit(most))).alias("most"))
     inside = F.row_number().over(W.partitionBy("kind", "round").orderBy("path"))
-    r = r.withColumn("inside", inside).join(per, ["kind", "round"]).withColumn("at", F.col("before") + F.col("inside"))
-    for_state = int(budget * state_share)
-    streams = r.where((F.col("kind") == "stream") & (F.col("at") <= budget - for_state))
-    used = streams.count()
-    states = r.where((F.col("kind") != "stream") & (F.col("at") <= budget - used))
-    kept = streams.unionByName(states)
+    kept = r.withColumn("inside", inside).join(per, ["kind", "round"]).where(F.col("before") + F.col("inside") <= F.col("most"))
     # At most ``budget`` rows are left to be numbered.
     return kept.withColumn("place", F.row_number().over(W.orderBy("round", "path")).cast("long")).select("path", "line_no", F.col("round").cast("long").alias("round"), "place")
 

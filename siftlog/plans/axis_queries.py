@@ -193,9 +193,9 @@ def axis_floor(spark, d):
     return A.axis_floor(loglines(spark, d).select("path", "line_no", F.col("k").alias("value"), F.hour("ts").alias("hour")))
 
 
-@query("file_profile", "SELECT path, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, count(*) AS lines, strftime(min(ts), '%Y-%m-%d %H') AS first_stamp, strftime(max(ts), '%Y-%m-%d %H') AS last_stamp, count(*) FILTER (level = 'ALARM' AND event_type NOT IN ('view', 'click')) AS severe FROM loglines GROUP BY path")
+@query("file_profile", "SELECT path, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, count(*) AS lines, strftime(min(ts), '%Y-%m-%d %H') AS first_stamp, strftime(max(ts), '%Y-%m-%d %H') AS last_stamp, count(*) FILTER (level = 'FATAL' AND event_type NOT IN ('view', 'click')) AS severe FROM loglines GROUP BY path")
 def file_profile(spark, d):
-    return G.file_profile(loglines(spark, d), F.col("text").rlike(r"\bALARM\b"), F.date_format(clock(F.col("text")), "yyyy-MM-dd HH"))
+    return G.file_profile(loglines(spark, d), F.col("text").rlike(r"\bFATAL\b"), F.date_format(clock(F.col("text")), "yyyy-MM-dd HH"))
 
 
 @query("peer_identity", "SELECT ip, user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds, count(DISTINCT event_type) AS n FROM ev GROUP BY ALL HAVING count(DISTINCT event_type) >= 2")

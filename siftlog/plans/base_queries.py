@@ -22,9 +22,16 @@ def numbered_lines(spark, d):
     return doclines(spark, d).select("path", "line_no", F.length("text").cast("long").alias("n"))
 
 
-@query("binary_guard", "SELECT path, false AS \"binary\" FROM doclines GROUP BY path")
+@query("binary_guard", """
+WITH m AS (SELECT doc_id, max(line_no) AS last FROM doclines GROUP BY doc_id),
+l AS (SELECT path, doc_id, line_no, last, sum(strlen(text) + 1 + CASE WHEN line_no = last AND doc_id % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_no) - strlen(text) - 1 AS start FROM doclines JOIN m USING (doc_id))
+SELECT path, bool_or(doc_id % 3 = 0 AND line_no = last AND start <= 8192) AS "binary" FROM l GROUP BY path""")
 def binary_guard(spark, d):
-    return L.binary_files(doclines(spark, d))
+    """A NUL before the last line of every third file: the guard sees it only where it stands early enough."""
+    lines = doclines(spark, d)
+    last = lines.groupBy("path").agg(F.max("line_no").alias("last"))
+    nul = F.when((F.col("line_no") == F.col("last")) & (F.col("doc_id") % 3 == 0), F.concat(F.lit("\x00"), "text")).otherwise(F.col("text"))
+    return L.binary_files(lines.join(last, "path").select("path", "line_no", nul.alias("text")))
 
 
 @query("strip_ansi", "SELECT path, line_no, text FROM loglines")
@@ -61,10 +68,10 @@ def ledger_load(spark, d):
     return events(spark, d).where("k is not null").select((F.col("user_id") % 3).alias("dataset"), F.col("event_type").alias("arm"), F.col("event_id").alias("seq"), F.col("ms").alias("duration"), F.col("k").alias("tokens"))
 
 
-@query("fetch_lines", "SELECT l.path, l.line_no, l.text FROM doclines l WHERE l.doc_id % 3 = 0 AND l.line_no = 2")
+@query("fetch_lines", "SELECT path, line_no, text FROM doclines WHERE line_no = doc_id % 5 + 1")
 def fetch_lines(spark, d):
     docs = doclines(spark, d)
-    wanted = table(spark, d, "documents").where("doc_id % 3 = 0").select(F.concat("lang", F.lit("/"), "source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.lit(2).cast("long").alias("line_no"))
+    wanted = table(spark, d, "documents").select(F.concat("lang", F.lit("/"), "source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), (F.col("doc_id") % 5 + 1).alias("line_no"))
     return L.fetch_lines(docs, wanted).select("path", "line_no", "text")
 
 
@@ -134,9 +141,11 @@ def detect_key(spark, d):
     return R.detect_key(convlines(spark, d), {"conv": F.col("conv_id"), "role": F.col("role")})
 
 
-@query("json_guard", "SELECT event_type AS path, true AS whole_json FROM events GROUP BY event_type")
+@query("json_guard", "SELECT event_type AS path, 10 * count(*) FILTER (event_type <> 'view' OR k % 5 > 0) >= 9 * count(*) AS whole_json FROM ev GROUP BY event_type")
 def json_guard(spark, d):
-    return R.json_guard(table(spark, d, "events").select(F.col("event_type").alias("path"), F.col("props").alias("text")))
+    """Views whose number ends in 0 or 5 are cut off in the middle."""
+    cut = (F.col("event_type") == "view") & (F.col("k") % 5 == 0)
+    return R.json_guard(events(spark, d).select(F.col("event_type").alias("path"), F.when(cut, F.substring("props", 1, 4)).otherwise(F.col("props")).alias("text")))
 
 
 @query("clock_residue", r"SELECT path, line_no, regexp_replace(text, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z|\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2} \+\d{4}', '') AS residue FROM loglines")
@@ -205,7 +214,7 @@ def column_clock(spark, d):
     return T.column_clock(table(spark, d, "orders"), "o_orderkey", ["o_orderkey", "o_custkey", "o_totalprice"])
 
 
-@query("raw_ts", r"SELECT path, line_no, CASE WHEN event_type IN ('view', 'click') THEN strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' +0000' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' END AS stamp FROM loglines")
+@query("raw_ts", r"SELECT path, line_no, CASE WHEN event_type IN ('view', 'click') THEN strftime(ts, '%d/%b/%Y:%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' END AS stamp FROM loglines")
 def raw_ts(spark, d):
     return loglines(spark, d).select("path", "line_no", C.raw_stamp(F.col("text")).alias("stamp"))
 

@@ -23,7 +23,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("h"), F.col("user_id") % 4).alias("host"),
         F.concat(F.lit("10.0."), F.col("user_id") % 8, F.lit("."), F.col("user_id") % 250 + 1).alias("ip"),
         F.when(k < 3, 500 + k).when(k < 10, 404).otherwise(200).cast("long").alias("status"),
-        F.when(k < 2, "ALARM").when(k < 15, "WARN").otherwise("INFO").alias("level"),
+        F.when(k < 2, "FATAL").when(k < 15, "WARN").otherwise("INFO").alias("level"),
         F.floor(F.unix_micros("ts") / 1_000_000).cast("long").alias("sec"),
     )
 
@@ -45,9 +45,9 @@ def doclines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def convlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, line_no, conv_id, text: conversation turns as lines of one file for each of eight shards."""
+    """path, line_no, conv_id, text: whole conversation turns as lines, 64 conversations to a file."""
     c = table(spark, sf_dir, "conversations")
-    c = c.select(F.concat(F.lit("shard-"), F.col("conv_id") % 8).alias("path"), "conv_id", "turn", "role", F.substring(F.regexp_replace("text", r"\s+", " "), 1, 40).alias("body"))
+    c = c.select(F.concat(F.lit("shard-"), F.expr("conv_id div 64")).alias("path"), "conv_id", "turn", "role", F.regexp_replace("text", r"\s+", " ").alias("body"))
     n = F.row_number().over(W.partitionBy("path").orderBy("conv_id", "turn"))
     return c.withColumn("line_no", n.cast("long"))
 
@@ -60,7 +60,7 @@ SELECT event_id, ts, user_id, event_type, props, CAST(regexp_extract(props, '"k"
   '10.0.' || (user_id % 8) || '.' || (user_id % 250 + 1) AS ip,
   CAST(CASE WHEN CAST(regexp_extract(props, '"k": (\\d+)', 1) AS BIGINT) < 3 THEN 500 + CAST(regexp_extract(props, '"k": (\\d+)', 1) AS BIGINT)
        WHEN CAST(regexp_extract(props, '"k": (\\d+)', 1) AS BIGINT) < 10 THEN 404 ELSE 200 END AS BIGINT) AS status,
-  CASE WHEN CAST(regexp_extract(props, '"k": (\\d+)', 1) AS BIGINT) < 2 THEN 'ALARM'
+  CASE WHEN CAST(regexp_extract(props, '"k": (\\d+)', 1) AS BIGINT) < 2 THEN 'FATAL'
        WHEN CAST(regexp_extract(props, '"k": (\\d+)', 1) AS BIGINT) < 15 THEN 'WARN' ELSE 'INFO' END AS level,
   CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS sec
 FROM events""",
@@ -76,8 +76,8 @@ SELECT lang || '/' || source || '/' || doc_id || '.txt' AS path, doc_id, CAST(un
   unnest(string_split(text, chr(10))) AS text
 FROM documents""",
     "convlines": """
-SELECT 'shard-' || (conv_id % 8) AS path, conv_id, turn, role, substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 40) AS body,
-  row_number() OVER (PARTITION BY conv_id % 8 ORDER BY conv_id, turn) AS line_no
+SELECT 'shard-' || (conv_id // 64) AS path, conv_id, turn, role, regexp_replace(text, '\\s+', ' ', 'g') AS body,
+  row_number() OVER (PARTITION BY conv_id // 64 ORDER BY conv_id, turn) AS line_no
 FROM conversations""",
 }
 

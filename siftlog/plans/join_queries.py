@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,8 +14,9 @@ from siftlog.operators import tallies as G
 from siftlog.plans.axis_queries import _FLOOR
 from siftlog.plans.fixtures import doclines, events, loglines, table
 from siftlog.plans.registry import query
-from siftlog.plans.text_queries import SQL_PATH, SQL_TEMPLATE
-from siftlog.sources.lines import write_worklist
+from siftlog.plans.text_queries import SQL_PATH, SQL_QUOTES, SQL_TEMPLATE, SQL_TOKENS
+from siftlog.sources.lines import binary_files, write_worklist
+from siftlog.work import work_path
 
 _IDS = {"svc-1": ["svc", "1"], "user=7": ["user=7"], "k=42": ["k=42"], "zz-9": ["zz", "9"]}
 _HITS = r"""hits AS (SELECT path, line_no, 'svc-1' AS id FROM loglines WHERE event_type NOT IN ('view', 'click') AND user_id % 3 = 1
@@ -61,33 +60,52 @@ def resolve_paths(spark, d):
 
 
 def claims(spark, d):
-    first = doclines(spark, d).where((F.trim("text") != "") & (F.col("doc_id") % 5 == 0)).groupBy("doc_id", "path").agg(F.min_by("text", "line_no").alias("claim"), F.min("line_no").alias("line_no"))
-    k = F.floor(F.col("doc_id") / 5) % 5
+    """Of each document's first full line, a claim of one of seven kinds; see ``_CLAIMS``."""
+    first = doclines(spark, d).where(F.trim("text") != "").groupBy("doc_id", "path").agg(F.min_by("text", "line_no").alias("line"), F.min("line_no").alias("line_no"))
+    k, plain = F.col("doc_id") % 7, F.translate("line", '"`«»“”', "")
+    quoted = F.concat(F.lit('it says "'), F.substring(plain, 1, 60), F.lit('" there'))
+    turned = F.concat(F.lit('it says "'), F.array_join(F.reverse(F.split(F.substring(plain, 1, 60), " ", -1)), " "), F.lit('" there'))
     path = F.when(k == 2, F.concat(F.lit("x/"), "path")).when(k == 4, F.concat("doc_id", F.lit(".txt"))).otherwise(F.col("path"))
-    line = F.when(k == 1, F.col("line_no") + 1).when(k == 3, F.col("line_no") + 1_000_000).otherwise(F.col("line_no"))
-    return first.select(F.col("doc_id").alias("claim_id"), path.alias("path"), line.alias("line_lo"), line.alias("line_hi"), "claim")
-
-
-_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({}), '([a-z]{{3,}}|[0-9]{{2,}})', 1), lambda w: w NOT IN ('the','and','for','with','that','this','from','was','were','are','not','but','has','have')))"
-
-
-@query("verify_claims", f"""
-WITH f AS (SELECT doc_id, path, arg_min(text, line_no) AS claim, min(line_no) AS line_no FROM doclines WHERE trim(text) <> '' AND doc_id % 5 = 0 GROUP BY ALL),
-c AS (SELECT doc_id AS claim_id, CASE WHEN doc_id // 5 % 5 = 2 THEN NULL ELSE path END AS path, line_no + CASE doc_id // 5 % 5 WHEN 1 THEN 1 WHEN 3 THEN 1000000 ELSE 0 END AS line_no, claim FROM f),
-j AS (SELECT claim_id, c.path, claim, l.text AS line FROM c LEFT JOIN doclines l ON l.path = c.path AND l.line_no = c.line_no),
-t AS (SELECT *, {_TOKENS.format('claim')} AS want, {_TOKENS.format("coalesce(line, '')")} AS got FROM j)
-SELECT claim_id, CASE WHEN path IS NULL THEN 'missing' WHEN line IS NULL THEN 'out-of-range' WHEN len(want) = 0 AND NOT contains(lower(line), lower(claim)) THEN 'no-quote'
-  WHEN contains(lower(line), lower(claim)) OR len(list_intersect(want, got)) >= 0.34 * len(want) THEN 'ok' ELSE 'wrong-content' END AS verdict FROM t""")
+    at = F.when(k == 1, F.col("line_no") + 1).when(k == 3, F.col("line_no") + 1_000_000).otherwise(F.col("line_no"))
+    claim = F.when(k == 4, plain).when(k == 5, turned).when(k == 6, "строка говорит об ошибке").otherwise(quoted)
+    return first.select(F.col("doc_id").alias("claim_id"), path.alias("path"), at.alias("line_lo"), at.alias("line_hi"), claim.alias("claim"))
+
+
+def claim_verdicts(spark, d):
+    """The claims against all lines; every eleventh file is binary."""
+    lines = doclines(spark, d)
+    nul = F.when((F.col("line_no") == 1) & (F.col("doc_id") % 11 == 0), F.concat(F.lit("\x00"), "text")).otherwise(F.col("text"))
+    binary = binary_files(lines.select("path", "line_no", nul.alias("text"))).where("binary").select("path")
+    return J.verify_claims(claims(spark, d), lines, binary)
+
+
+#: The same in SQL: what a claim says, what the line holds, and the verdict of both.
+_CLAIMS = f"""
+WITH f AS (SELECT doc_id, path, min(line_no) AS line_no, translate(arg_min(text, line_no), '"`«»“”', '') AS plain FROM doclines WHERE trim(text) <> '' GROUP BY ALL),
+c AS (SELECT doc_id AS claim_id, CASE WHEN doc_id % 7 <> 2 THEN path END AS path, line_no + CASE doc_id % 7 WHEN 1 THEN 1 WHEN 3 THEN 1000000 ELSE 0 END AS line_no,
+  CASE doc_id % 7 WHEN 4 THEN plain WHEN 6 THEN 'строка говорит об ошибке' WHEN 5 THEN 'it says "' || array_to_string(list_reverse(string_split(substr(plain, 1, 60), ' ')), ' ') || '" there' ELSE 'it says "' || substr(plain, 1, 60) || '" there' END AS claim FROM f),
+j AS (SELECT claim_id, c.path, claim, l.text AS line, regexp_matches(l.text, '[\\x{{400}}-\\x{{4FF}}]') AS cyr, regexp_matches(l.text, '[A-Za-z]') AS lat, {SQL_QUOTES.format('claim')} AS qs, {SQL_TOKENS.format("coalesce(l.text, '')")} AS got,
+  trim(lower(regexp_replace(l.text, '\\s+', ' ', 'g'))) AS norm FROM c LEFT JOIN doclines l ON l.path = c.path AND l.line_no = c.line_no),
+k AS (SELECT *, list_transform(list_append(qs, claim), lambda x: list_filter({SQL_TOKENS.format('x')}, lambda w: regexp_full_match(w, '[0-9]+') OR CASE WHEN regexp_matches(w, '[\\x{{400}}-\\x{{4FF}}]') THEN cyr ELSE lat END)) AS ts FROM j),
+m AS (SELECT *, list_transform(ts, lambda t: {{'n': len(t), 'w': len(list_filter(t, lambda w: NOT regexp_full_match(w, '[0-9]+'))), 'h': len(list_intersect(t, got))}}) AS ms FROM k),
+b AS (SELECT *, list_min(list_filter(list_transform(qs, lambda x, i: {{'a': -length(x), 'i': i, 'n': ms[i].n, 'w': ms[i].w, 'h': ms[i].h}}), lambda z: z.n >= 4 AND z.w >= 2)) AS best, ms[len(ms)] AS own,
+  len(list_filter(qs, lambda x: trim(lower(regexp_replace(x, '\\s+', ' ', 'g'))) <> '' AND contains(norm, trim(lower(regexp_replace(x, '\\s+', ' ', 'g')))))) > 0 AS verbatim FROM m),
+v AS (SELECT claim_id, CASE WHEN path IS NULL THEN 'missing-file' WHEN claim_id % 11 = 0 THEN 'binary-file' WHEN line IS NULL THEN 'out-of-range' WHEN verbatim THEN 'ok'
+  WHEN best IS NOT NULL THEN CASE WHEN best.h >= 0.6 * best.n THEN 'ok' ELSE 'wrong-content' END WHEN own.n < 3 OR own.w < 2 THEN 'unverifiable' WHEN own.h >= 0.34 * own.n THEN 'ok' ELSE 'wrong-content' END AS verdict FROM b)"""
+
+
+@query("verify_claims", _CLAIMS + " SELECT claim_id, verdict FROM v")
 def verify_claims(spark, d):
-    return J.verify_claims(claims(spark, d), doclines(spark, d), X.token_set)
+    return claim_verdicts(spark, d)
 
 
 @query("sibling_prefix", r"""
-WITH t AS (SELECT doc_id AS id, lang AS owner, array_to_string(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ')[1:4 + doc_id % 4], ' ') AS text, len(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ')[1:4 + doc_id % 4]) AS n FROM documents)
+WITH t AS (SELECT doc_id AS id, lang AS owner, regexp_replace(text, '\s+', ' ', 'g') AS text, len(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ')) AS n FROM documents)
 SELECT a.id, b.id AS of FROM t a JOIN t b ON a.owner = b.owner AND a.n >= 4 AND a.n < b.n AND starts_with(b.text, a.text || ' ')""")
 def sibling_prefix(spark, d):
-    words = F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " ", -1), 1, (F.lit(4) + F.col("doc_id") % 4).cast("int"))
-    return J.sibling_prefix(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("owner"), F.array_join(words, " ").alias("text")))
+    """Whole texts that are the beginning of another's."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("owner"), F.regexp_replace("text", r"\s+", " ").alias("text"))
+    return J.sibling_prefix(docs)
 
 
 @query("refutations", """
@@ -104,14 +122,12 @@ def refutations(spark, d):
 
 
 @query("stitch_rotation", """
-WITH x AS (SELECT host || '/' || event_type AS stem, sec // 28800 % 3 AS part, sec FROM ev WHERE sec // 86400 = (SELECT min(sec) // 86400 FROM ev)),
+WITH x AS (SELECT host || '/' || event_type || '-' || (sec // 86400) AS stem, sec // 28800 % 3 AS part, sec FROM ev),
 s AS (SELECT stem, part, min(sec) AS lo, max(sec) AS hi, count(*) AS n FROM x GROUP BY ALL)
 SELECT stem AS stream, count(*) AS slices, CAST(sum(n) AS BIGINT) AS n, min(lo) AS lo, max(hi) AS hi, count(*) > 1 AS stitched FROM s GROUP BY stem""")
 def stitch_rotation(spark, d):
-    e = events(spark, d)
-    day = e.agg(F.floor(F.min("sec") / 86400)).first()[0]
-    x = e.where(F.floor(F.col("sec") / 86400) == day).withColumn("part", F.floor(F.col("sec") / 28800) % 3)
-    stem = F.concat("host", F.lit("/"), "event_type")
+    x = events(spark, d).withColumn("part", F.floor(F.col("sec") / 28800) % 3)
+    stem = F.concat("host", F.lit("/"), "event_type", F.lit("-"), F.expr("sec div 86400"))
     s = x.groupBy(stem.alias("stem"), F.concat(stem, F.lit(".log."), 2 - F.col("part")).alias("path")).agg(F.min("sec").alias("lo"), F.max("sec").alias("hi"), F.count("*").alias("n"))
     return J.stitch_rotation(s)
 
@@ -124,10 +140,10 @@ def truth(spark, d):
 
 def ranked(spark, d):
     path = F.concat("lang", F.lit("/"), "source", F.lit("/"), "doc_id", F.lit(".txt"))
-    return table(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("row_id"), path.alias("path"), (F.lit(2) + F.col("doc_id") % 6).cast("long").alias("line"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), path.alias("path"), (F.lit(2) + F.col("doc_id") % 6).cast("long").alias("line"))
 
 
-_TRUTH = f"t AS (SELECT d.doc_id AS defect_id, toxic = 1 AS is_decoy, {SQL_PATH} AS path, 1 AS lo, 3 AS hi FROM documents d JOIN labels l USING (doc_id) WHERE quality = 0 OR toxic = 1), r AS (SELECT doc_id AS row_id, {SQL_PATH} AS path, 2 + doc_id % 6 AS line FROM documents WHERE doc_id % 3 = 0)"
+_TRUTH = f"t AS (SELECT d.doc_id AS defect_id, toxic = 1 AS is_decoy, {SQL_PATH} AS path, 1 AS lo, 3 AS hi FROM documents d JOIN labels l USING (doc_id) WHERE quality = 0 OR toxic = 1), r AS (SELECT doc_id AS row_id, {SQL_PATH} AS path, 2 + doc_id % 6 AS line FROM documents)"
 
 
 @query("anchor_hits", f"WITH {_TRUTH} SELECT row_id, defect_id FROM r JOIN t ON r.path = t.path AND line BETWEEN lo AND hi")
@@ -169,12 +185,12 @@ def truth_outcome_pivot(spark, d):
 
 
 @query("proof_reach", """
-WITH c AS (SELECT 'shard-' || (conv_id % 8) AS path, conv_id * 100 + turn AS call_id, CASE WHEN turn % 3 > 0 THEN conv_id END AS c_lo, conv_id + turn AS c_hi, role <> 'user' AS failed FROM conversations),
-p AS (SELECT doc_id AS proof_id, 'shard-' || (doc_id % 9) AS path, doc_id AS lo, doc_id + 2 AS hi FROM documents WHERE doc_id % 4 = 0)
+WITH c AS (SELECT 'shard-' || (conv_id // 64) AS path, conv_id * 100 + turn AS call_id, CASE WHEN turn % 3 > 0 THEN conv_id END AS c_lo, conv_id + turn AS c_hi, role <> 'user' AS failed FROM conversations),
+p AS (SELECT doc_id AS proof_id, 'shard-' || (doc_id // 64) AS path, doc_id AS lo, doc_id + 2 AS hi FROM documents)
 SELECT proof_id, CASE max(CASE WHEN c_lo <= hi AND lo <= c_hi AND NOT failed THEN 2 WHEN call_id IS NOT NULL AND (c_lo IS NULL OR failed) THEN 1 ELSE 0 END) WHEN 2 THEN 'reached' WHEN 1 THEN 'unknown' ELSE 'not_reached' END AS reach FROM p LEFT JOIN c USING (path) GROUP BY proof_id""")
 def proof_reach(spark, d):
-    c = table(spark, d, "conversations").select(F.concat(F.lit("shard-"), F.col("conv_id") % 8).alias("path"), (F.col("conv_id") * 100 + F.col("turn")).alias("call_id"), F.when(F.col("turn") % 3 > 0, F.col("conv_id")).alias("c_lo"), (F.col("conv_id") + F.col("turn")).alias("c_hi"), (F.col("role") != "user").alias("failed"))
-    p = table(spark, d, "documents").where("doc_id % 4 = 0").select(F.col("doc_id").alias("proof_id"), F.concat(F.lit("shard-"), F.col("doc_id") % 9).alias("path"), F.col("doc_id").alias("lo"), (F.col("doc_id") + 2).alias("hi"))
+    c = table(spark, d, "conversations").select(F.concat(F.lit("shard-"), F.expr("conv_id div 64")).alias("path"), (F.col("conv_id") * 100 + F.col("turn")).alias("call_id"), F.when(F.col("turn") % 3 > 0, F.col("conv_id")).alias("c_lo"), (F.col("conv_id") + F.col("turn")).alias("c_hi"), (F.col("role") != "user").alias("failed"))
+    p = table(spark, d, "documents").select(F.col("doc_id").alias("proof_id"), F.concat(F.lit("shard-"), F.expr("doc_id div 64")).alias("path"), F.col("doc_id").alias("lo"), (F.col("doc_id") + 2).alias("hi"))
     return J.proof_reach(c, p)
 
 
@@ -260,10 +276,12 @@ def coverage_audit(spark, d):
     return c.join(n, "path", "left").select("path", F.col("declared").cast("long").alias("declared"), F.array_join(F.array_compact(flags), ",").alias("flags"))
 
 
-@query("channel_scores", "SELECT role, count(*) AS citations, count(*) FILTER (length(text) % 4 > 0) AS ok, count(*) FILTER (length(text) % 4 = 0) AS bad FROM conversations GROUP BY ROLLUP (role)")
+@query("channel_scores", _CLAIMS + """
+SELECT source AS channel, count(*) AS citations, count(*) FILTER (verdict = 'ok') AS ok, count(*) FILTER (verdict NOT IN ('ok', 'unverifiable')) AS bad FROM v JOIN documents ON doc_id = claim_id GROUP BY ROLLUP (source)""")
 def channel_scores(spark, d):
-    bad = F.length("text") % 4 == 0
-    return table(spark, d, "conversations").rollup("role").agg(F.count("*").alias("citations"), F.count_if(~bad).alias("ok"), F.count_if(bad).alias("bad"))
+    """Verdicts of each channel's claims beside those of all; a claim's channel is its document's source."""
+    v = claim_verdicts(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("claim_id"), F.col("source").alias("channel")), "claim_id")
+    return v.rollup("channel").agg(F.count("*").alias("citations"), F.count_if(F.col("verdict") == "ok").alias("ok"), F.count_if(~F.col("verdict").isin("ok", "unverifiable")).alias("bad"))
 
 
 _CANDIDATES = f"SELECT path, template, CASE WHEN event_type = 'signup' THEN 'state' ELSE 'stream' END AS kind, min(line_no) AS line_no, count(*) AS rank FROM (SELECT *, {SQL_TEMPLATE} || k AS template FROM loglines) GROUP BY path, template, event_type HAVING count(*) <= 12"
@@ -309,8 +327,7 @@ def truncation(spark, d):
 @query("worklist_sink")
 def worklist_sink(spark, d):
     """Writes the worklist as tab-separated files by host and reads it back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftlog-")
-    path = f"{base.rstrip('/')}/siftlog/worklist-{spark.sparkContext.applicationId}"
+    path = work_path(spark, "worklist")
     write_worklist(worklist(spark, d).withColumn("host", F.substring_index("path", "/", 1)), path)
     return spark.read.option("sep", "\t").option("header", True).csv(path)
 

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from siftlog.plans.registry import query
 from siftlog.streaming import jobs as S
+from siftlog.work import work_base
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def base(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftlog-")
-
-
 def stream(spark, d):
     e = S.tail(spark, f"{d}/events.parquet*", EVENTS)
     return e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("host", F.concat(F.lit("h"), F.col("user_id") % 4))
@@ -23,18 +18,18 @@ def stream(spark, d):
 
 @query("stream_tail", "SELECT event_id, user_id, event_type FROM events")
 def stream_tail(spark, d):
-    return S.collected(spark, stream(spark, d).select("event_id", "user_id", "event_type"), base(spark))
+    return S.collected(spark, stream(spark, d).select("event_id", "user_id", "event_type"), work_base(spark))
 
 
 @query("stream_manifest", "SELECT 0 AS tick, count(*) AS rows, min(event_id) AS lo, max(event_id) AS hi, max(event_id) - min(event_id) + 1 - count(*) AS gap FROM events")
 def stream_manifest(spark, d):
-    return S.manifest(spark, stream(spark, d), base(spark), "event_id")
+    return S.manifest(spark, stream(spark, d), work_base(spark), "event_id")
 
 
 @query("stream_outcome", "SELECT event_type, time_bucket(INTERVAL 10 MINUTE, ts) AS begin, count(*) AS n FROM events GROUP BY ALL")
 def stream_outcome(spark, d):
     # The files need not be in time order, so no watermark: it would drop events of later files, and hold the last windows back.
-    out = S.settled(spark, S.tumbling(stream(spark, d), ["event_type"], late=None), base(spark), ["event_type", "begin"])
+    out = S.settled(spark, S.tumbling(stream(spark, d), ["event_type"], late=None), work_base(spark), ["event_type", "begin"])
     return out.withColumn("begin", F.col("begin").cast("timestamp_ntz"))
 
 
@@ -43,7 +38,7 @@ WITH w AS (SELECT host, ts, user_id, unnest(range(0, 12)) AS i FROM (SELECT 'h'
 g AS (SELECT host, time_bucket(INTERVAL 5 MINUTE, ts) - to_minutes(CAST(5 * i AS INTEGER)) AS begin, user_id FROM w)
 SELECT host, begin, count(*) AS n, count(DISTINCT user_id) AS sources FROM g GROUP BY host, begin HAVING count(*) >= 5 AND count(DISTINCT user_id) >= 3""")
 def threshold_alert(spark, d):
-    out = S.settled(spark, S.threshold_alerts(stream(spark, d), "host", "user_id", 5, 3, late=None), base(spark), ["host", "begin"])
+    out = S.settled(spark, S.threshold_alerts(stream(spark, d), "host", "user_id", 5, 3, late=None), work_base(spark), ["host", "begin"])
     return out.select("host", F.col("begin").cast("timestamp_ntz").alias("begin"), "n", F.col("sources").cast("long").alias("sources"))
 
 
@@ -61,7 +56,7 @@ def id_sessions(spark, d):
 @query("stream_newcomer", "SELECT 'h' || (user_id % 4) AS host, CAST(user_id AS VARCHAR) AS actor FROM events GROUP BY ALL")
 def stream_newcomer(spark, d):
     e = stream(spark, d).withColumn("actor", F.col("user_id").cast("string"))
-    return S.collected(spark, S.newcomers(e, "host", "actor"), base(spark)).select("host", "actor")
+    return S.collected(spark, S.newcomers(e, "host", "actor"), work_base(spark)).select("host", "actor")
 
 
 @query("stream_frames", """
@@ -71,4 +66,4 @@ f AS (SELECT path, run, min(line_no) AS line_start, string_agg(event_type, ' ' O
 SELECT path, line_start, text FROM f WHERE run < (SELECT max(run) FROM f g WHERE g.path = f.path)""")
 def stream_frames(spark, d):
     lines = stream(spark, d).select(F.col("host").alias("path"), F.col("event_id").alias("line_no"), F.col("event_type").alias("text"))
-    return S.collected(spark, S.frames(lines, "^error$", quiet=None), base(spark))
+    return S.collected(spark, S.frames(lines, "^error$", quiet=None), work_base(spark))
