@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftlog.functions.clock import clock, shape_of
+from siftlog.functions.clock import TIME_SHAPES, clock, offset_seconds, order_key, reading, second_of_day, yearless
 
 _STAMP = r"\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?|\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}(?: [+-]\d{4})?|[A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}"
 
@@ -17,12 +17,29 @@ def clock_residue(text: Column) -> Column:
 
 
 def time_shape(lines: DataFrame, probe: int = 4000, least: float = 0.3) -> DataFrame:
-    """path, shape, hits: the shape that most of a file's first lines show, if at least ``least`` of them do."""
-    some = lines.where(F.col("line_no") <= probe).select("path", shape_of(F.col("text")).alias("shape"))
-    n = some.groupBy("path", "shape").agg(F.count("*").alias("hits"))
-    n = n.withColumn("all", F.sum("hits").over(W.partitionBy("path"))).where("shape is not null")
-    best = n.withColumn("r", F.row_number().over(W.partitionBy("path").orderBy(F.desc("hits"), "shape")))
-    return best.where((F.col("r") == 1) & (F.col("hits") >= least * F.col("all"))).select("path", "shape", "hits")
+    """path, shape, hits: of the seven shapes, each counted alone, the one that most of a file's first lines show; ties go by the shapes' order."""
+    shown = {s: F.col("text").rlike(p) if s != "epoch" else reading(F.col("text"), s).isNotNull() for s, p in TIME_SHAPES.items()}
+    n = lines.where(F.col("line_no") <= probe).groupBy("path").agg(F.count("*").alias("all"), *[F.count_if(c).alias(s) for s, c in shown.items()])
+    best = F.array_min(F.array(*[F.struct((-F.col(s)).alias("less"), F.lit(i).alias("place"), F.lit(s).alias("shape")) for i, s in enumerate(TIME_SHAPES)]))
+    n = n.select("path", "all", best["shape"].alias("shape"), (-best["less"]).alias("hits"))
+    return n.where((F.col("hits") > 0) & (F.col("hits") >= least * F.col("all"))).select("path", "shape", "hits")
+
+
+def clock_readings(lines: DataFrame) -> DataFrame:
+    """path, line_no, shape, hour, reading, dated: each line's clock in its file's shape, on one scale that rises over a file.
+
+    Dated shapes read seconds since 1970, so files can be compared; others seconds of the day, carried on over midnight
+    wherever they fall by more than twelve hours, so only differences within a file count. Lines without a stamp have no row.
+    """
+    rows = lines.select("path", "line_no", "text").join(time_shape(lines).select("path", "shape"), "path")
+    of = lambda f, names: F.coalesce(*[F.when(F.col("shape") == s, f(F.col("text"), s)) for s in names])
+    rows = rows.withColumns({"at": of(reading, ("iso", "dmy", "clf", "epoch", "compact")), "sod": of(second_of_day, ("bsd", "compact", "clock"))})
+    rows = rows.select("path", "line_no", "shape", "at", F.when(F.col("at").isNull(), F.col("sod")).alias("sod")).where("at is not null or sod is not null")
+    by = W.partitionBy("path").orderBy("line_no")
+    last = F.last("sod", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("fell", F.coalesce((F.col("sod") < last - 43200).cast("int"), F.lit(0)))
+    carried = F.col("sod") + 86400 * F.sum("fell").over(by)
+    return rows.select("path", "line_no", "shape", F.floor(F.pmod(F.coalesce("at", "sod"), F.lit(86400)) / 3600).cast("int").alias("hour"), F.floor(F.coalesce("at", carried)).cast("long").alias("reading"), F.col("at").isNotNull().alias("dated"))
 
 
 def epoch_is_clock(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -39,12 +56,22 @@ def midnight_carry(df: DataFrame, key: str, order: str, second_of_day: str) -> D
     return df.select(key, order, (F.col(second_of_day) + 86400 * F.sum("drop").over(by)).cast("long").alias("carried"))
 
 
-def stream_state(lines: DataFrame) -> DataFrame:
-    """path, kind: a stream has clocks on half its lines, 20 of them, 90 % not decreasing; everything else is state."""
-    t = lines.select("path", "line_no", F.unix_timestamp(clock(F.col("text"))).alias("s"))
-    t = t.withColumn("prev", F.lag("s").over(W.partitionBy("path").orderBy("line_no")))
-    stream = (2 * F.count("s") >= F.count("*")) & (F.count("s") >= 20) & (10 * F.count_if(F.col("s") >= F.col("prev")) >= 9 * (F.count("s") - 1))
-    return t.groupBy("path").agg(F.when(stream, "stream").otherwise("state").alias("kind"))
+def stream_state(lines: DataFrame, coverage: float = 0.5, order: float = 0.9, sparse: int = 20) -> DataFrame:
+    """path, kind, shape: a file whose time goes forward is a stream.
+
+    A line counts for the first shape that it shows; order is measured inside a shape, on the file's most frequent one (a
+    single stamp is in order). ``stream``: stamps on half the lines, in order; ``stream-sparse``: fewer, but 20 and in order;
+    ``stream-unordered``: on half the lines, out of order; else ``state``. The shape is null where no line shows one.
+    """
+    keys = F.array(*[F.struct(F.lit(s).alias("shape"), order_key(F.col("text"), s).alias("at")) for s in TIME_SHAPES])
+    t = lines.select("path", "line_no", F.get(F.filter(keys, lambda k: k["at"].isNotNull()), F.lit(0)).alias("k")).select("path", "line_no", "k.shape", "k.at")
+    t = t.withColumn("prev", F.lag("at").over(W.partitionBy("path", "shape").orderBy("line_no")))
+    n = t.groupBy("path", "shape").agg(F.count("*").alias("n"), F.count_if(F.col("at") < F.col("prev")).alias("back"))
+    n = n.groupBy("path").agg(F.sum("n").alias("all"), F.coalesce(F.sum(F.when(F.col("shape").isNotNull(), F.col("n"))), F.lit(0)).alias("hits"), F.max(F.when(F.col("shape").isNotNull(), F.struct("n", "shape", "back"))).alias("d"))
+    ordered = F.when(F.col("d.n") > 1, 1 - F.col("d.back") / (F.col("d.n") - 1)).otherwise(1.0) >= order
+    wide = F.col("hits") >= coverage * F.col("all")
+    kind = F.when(F.col("d").isNull(), "state").when(wide & ordered, "stream").when((F.col("hits") >= sparse) & ordered, "stream-sparse").when(wide, "stream-unordered").otherwise("state")
+    return n.select("path", kind.alias("kind"), "d.shape")
 
 
 def column_clock(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
@@ -56,8 +83,15 @@ def column_clock(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
 
 
 def render_key(lines: DataFrame) -> DataFrame:
-    """path, line_no, sec, body: one key for equal events in different renderings."""
-    return lines.select("path", "line_no", F.unix_timestamp(clock(F.col("text"))).alias("sec"), clock_residue(F.col("text")).alias("body"))
+    """path, line_no, base, sec, body: one key for equal events in different renderings.
+
+    Dated stamps are in UTC seconds (base ``utc``); those without a year have a timebase of their own (``yearless``), and no
+    stamp has neither.
+    """
+    text = F.col("text")
+    dated = F.unix_timestamp(clock(text)) - offset_seconds(text)
+    base = F.when(dated.isNotNull(), "utc").when(yearless(text).isNotNull(), "yearless")
+    return lines.select("path", "line_no", base.alias("base"), F.coalesce(dated, yearless(text).cast("long")).cast("long").alias("sec"), clock_residue(text).alias("body"))
 
 
 def telemetry_gap(df: DataFrame, keys: list[str], seconds: str) -> DataFrame:

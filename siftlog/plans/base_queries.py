@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftlog.functions import clock as C
 from siftlog.operators import framing as R
 from siftlog.operators import timing as T
-from siftlog.plans.fixtures import convlines, doclines, events, loglines, table
+from siftlog.plans.fixtures import clocklines, convlines, doclines, events, loglines, path_of, table, written
 from siftlog.plans.registry import query
+from siftlog.plans.text_queries import SQL_PATH
 from siftlog.sources import lines as L
+from siftlog.sources import records as S
+from siftlog.work import work_path
 
 
-@query("scan_corpus", "SELECT DISTINCT path FROM loglines WHERE NOT regexp_matches(path, '(^|/)(node_modules|__pycache__|\\.git|\\.hg|\\.svn|\\.venv)(/|$)')")
+@query("scan_corpus", "SELECT path, count(*) AS lines FROM loglines GROUP BY path")
 def scan_corpus(spark, d):
-    return L.scan_files(loglines(spark, d))
+    """Files on disk, those of web events as gzip, found below one root; copies in folders of caches are passed over."""
+    lines, root = loglines(spark, d), work_path(spark, "corpus")
+    web = F.col("event_type").isin("view", "click")
+    written(spark, lines.where(web), f"{root}/a", "gzip")
+    written(spark, lines.where(~web), f"{root}/b/c")
+    written(spark, lines.where("event_type = 'error'"), f"{root}/b/node_modules/x")
+    found = L.read_lines(spark, root)
+    return found.groupBy(path_of(F.col("path")).alias("path")).agg(F.count("*").alias("lines"))
 
 
-@query("numbered_lines", "SELECT path, line_no, length(text) AS n FROM doclines")
+@query("numbered_lines", "SELECT path, line_no, text FROM loglines")
 def numbered_lines(spark, d):
-    return doclines(spark, d).select("path", "line_no", F.length("text").cast("long").alias("n"))
+    """Lines read back from text files, every other host's as gzip, with the numbers that they have there."""
+    lines, root = loglines(spark, d), work_path(spark, "lines")
+    packed = F.col("host").isin("h0", "h2")
+    written(spark, lines.where(packed), f"{root}/z", "gzip")
+    written(spark, lines.where(~packed), f"{root}/p")
+    return L.read_lines(spark, root).select(path_of(F.col("path")).alias("path"), "line_no", "text")
 
 
 @query("binary_guard", """
@@ -40,32 +56,65 @@ def strip_ansi(spark, d):
     return loglines(spark, d).select("path", "line_no", L.strip_ansi(coloured).alias("text"))
 
 
-@query("json_events", """SELECT event_id, k FROM ev""")
+@query("json_events", "SELECT event_id, k FROM ev WHERE event_id % 7 > 1")
 def json_events(spark, d):
-    e = table(spark, d, "events").select("event_id", F.from_json("props", "k long", {"mode": "PERMISSIVE"}).alias("j"))
-    return e.where("j is not null").select("event_id", "j.k")
+    """JSON lines on disk; of seven one is cut off and one holds a text for the number."""
+    e, k = events(spark, d), F.col("event_id") % 7
+    row = F.concat(F.lit('{"event_id": '), "event_id", F.lit(', "props": '), F.when(k == 1, '{"k": "none"}').otherwise(F.col("props")), F.lit("}"))
+    e.select(F.when(k == 0, F.substring(row, 1, 14)).otherwise(row).alias("value")).write.text(path := work_path(spark, "json"))
+    return S.read_jsonl(spark, path, "event_id long, props struct<k:long>").select("event_id", "props.k")
 
 
-@query("table_scan", "SELECT CAST(l_orderkey AS BIGINT) AS src, CAST(l_partkey AS BIGINT) AS dport, CAST(floor(l_extendedprice) AS BIGINT) AS bytes FROM lineitem WHERE l_quantity > 45")
+@query("table_scan", """
+SELECT CAST(l_orderkey AS BIGINT) AS src, CASE WHEN l_linenumber <> 2 THEN CAST(l_partkey AS BIGINT) END AS dport, CASE WHEN l_linenumber NOT IN (2, 4) THEN CAST(floor(l_extendedprice) AS BIGINT) END AS bytes FROM lineitem""")
 def table_scan(spark, d):
-    return table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").cast("long").alias("src"), F.col("l_partkey").cast("long").alias("dport"), F.floor("l_extendedprice").cast("long").alias("bytes"))
+    """A tab-separated table on disk whose second and fourth lines of an order are short and whose third is long."""
+    n, cell = F.col("l_linenumber"), lambda c: F.col(c).cast("long").cast("string")
+    row = F.concat_ws("\t", cell("l_orderkey"), F.when(n != 2, cell("l_partkey")), F.when(~n.isin(2, 4), F.floor("l_extendedprice").cast("string")), F.when(n == 3, "more"))
+    rows = table(spark, d, "lineitem").select(row.alias("src\tdport\tbytes"))
+    rows.write.option("header", True).option("sep", "\x01").option("quote", "\x02").csv(path := work_path(spark, "table"))
+    return S.read_table(spark, path).select(*[F.col(c).cast("long").alias(c) for c in ("src", "dport", "bytes")])
 
 
-@query("load_labels", """SELECT doc_id, label FROM (SELECT doc_id, unnest(CASE WHEN quality = 0 AND toxic = 1 THEN ['bad', 'toxic'] WHEN quality = 0 THEN ['bad'] WHEN toxic = 1 THEN ['toxic'] ELSE [] END) AS label FROM labels)""")
+@query("load_labels", """SELECT 'shard-' || (doc_id // 64) || '.json' AS path, doc_id AS line_no, label FROM (SELECT doc_id, unnest(CASE WHEN quality = 0 AND toxic = 1 THEN ['bad', 'toxic'] WHEN quality = 0 THEN ['bad'] WHEN toxic = 1 THEN ['toxic'] ELSE [] END) AS label FROM labels WHERE doc_id % 10 > 0)""")
 def load_labels(spark, d):
+    """Label files on disk, one for 64 documents; every tenth line is no JSON."""
     marks = F.array_compact(F.array(F.when(F.col("quality") == 0, "bad"), F.when(F.col("toxic") == 1, "toxic")))
-    return table(spark, d, "labels").select("doc_id", F.explode(marks).alias("label"))
+    row = F.to_json(F.struct(F.col("doc_id").alias("line"), marks.alias("labels")))
+    path = F.concat(F.lit("shard-"), F.expr("doc_id div 64"), F.lit(".json"))
+    lines = table(spark, d, "labels").select(path.alias("path"), F.col("doc_id").alias("line_no"), F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("#"), row)).otherwise(row).alias("text"))
+    written(spark, lines, root := work_path(spark, "labels"))
+    return S.read_labels(spark, root).select(path_of(F.col("path")).alias("path"), "line_no", "label")
 
 
-@query("truth_spans", "SELECT item_id, CAST(g AS BIGINT) AS lo, CAST(least(g + 99, length(text)) AS BIGINT) AS hi FROM (SELECT item_id, text, unnest(range(1, length(text) + 1, 100)) AS g FROM benchmark)")
+@query("truth_spans", f"""
+WITH t AS (SELECT d.doc_id, toxic = 1 AS is_decoy, {SQL_PATH} AS path, unnest(CASE doc_id % 3 WHEN 0 THEN [{{'lo': 1, 'hi': 3}}, {{'lo': 5, 'hi': 6}}] WHEN 1 THEN [{{'lo': 2, 'hi': 2}}] ELSE [{{'lo': 4, 'hi': 4}}] END) AS s FROM documents d JOIN labels l USING (doc_id) WHERE quality = 0 OR toxic = 1)
+SELECT 'set-' || (doc_id // 16) AS dataset, 'D' || doc_id AS defect_id, is_decoy, path, CAST(s.lo AS BIGINT) AS lo, CAST(s.hi AS BIGINT) AS hi FROM t""")
 def truth_spans(spark, d):
-    b = table(spark, d, "benchmark")
-    return b.where(F.length("text") > 0).select("item_id", F.length("text").alias("n"), F.explode(F.expr("sequence(1, length(text), 100)")).alias("lo")).select("item_id", F.col("lo").cast("long").alias("lo"), F.least(F.col("lo") + 99, F.col("n")).cast("long").alias("hi"))
-
-
-@query("ledger_load", "SELECT user_id % 3 AS dataset, event_type AS arm, event_id AS seq, ms AS duration, k AS tokens FROM ev WHERE k IS NOT NULL")
+    """Answer keys on disk: every other one lists its defects, the rest name them; a third of the defects has an anchor only."""
+    marks = table(spark, d, "labels").where("quality = 0 or toxic = 1").select("doc_id", F.when(F.col("toxic") == 1, "Red herring: noise").otherwise("broken").alias("title"))
+    docs = table(spark, d, "documents").select("doc_id", F.concat("lang", F.lit("/"), "source", F.lit("/"), "doc_id", F.lit(".txt")).alias("file")).join(marks, "doc_id")
+    span = lambda lo, hi: F.struct("file", F.lit(lo).alias("line_start"), (F.lit(hi) if hi else F.lit(None).cast("int")).alias("line_end"))
+    k = F.col("doc_id") % 3
+    places = F.when(k == 1, F.array(span(2, None))).when(k == 0, F.array(span(1, 3)))
+    more, anchor = F.when(k == 0, F.array(span(5, 6))), F.when(k == 2, F.concat("file", F.lit(":4")))
+    defect = F.struct("title", places.alias("proof_locations"), more.alias("alternate_proof_locations"), anchor.alias("anchor"))
+    name = F.concat(F.lit("D"), "doc_id")
+    keys = docs.withColumns({"name": name, "defect": defect}).groupBy(F.concat(F.lit("set-"), F.expr("doc_id div 16")).alias("dataset"), (F.expr("doc_id div 16") % 2 == 0).alias("listed"))
+    keys = keys.agg(F.collect_list(F.struct("name", "defect")).alias("d"))  # 16 at most
+    listed = F.to_json(F.struct("dataset", F.transform("d", lambda x: x["defect"].withField("id", x["name"])).alias("defects")))
+    named = F.to_json(F.struct("dataset", F.map_from_entries("d").alias("defects")))
+    keys.select(F.when(F.col("listed"), listed).otherwise(named).alias("value")).write.text(path := work_path(spark, "keys"))
+    return S.read_truth(spark, path)
+
+
+@query("ledger_load", "SELECT 'ds' || (user_id % 3) AS dataset, event_type AS arm, event_id AS seq, ms AS duration, k AS tokens FROM ev WHERE event_id % 9 > 0")
 def ledger_load(spark, d):
-    return events(spark, d).where("k is not null").select((F.col("user_id") % 3).alias("dataset"), F.col("event_type").alias("arm"), F.col("event_id").alias("seq"), F.col("ms").alias("duration"), F.col("k").alias("tokens"))
+    """A ledger of runs as JSON lines on disk; every ninth is cut off."""
+    e = events(spark, d)
+    row = F.to_json(F.struct(F.concat(F.lit("ds"), F.col("user_id") % 3).alias("dataset"), F.col("event_type").alias("arm"), F.col("event_id").alias("seq"), F.col("ms").alias("duration"), F.col("k").alias("tokens"), F.lit("x").alias("answer")))
+    e.select(F.when(F.col("event_id") % 9 == 0, F.substring(row, 1, 30)).otherwise(row).alias("value")).write.text(path := work_path(spark, "ledger"))
+    return S.read_jsonl(spark, path, "dataset string, arm string, seq long, duration long, tokens long")
 
 
 @query("fetch_lines", "SELECT path, line_no, text FROM doclines WHERE line_no = doc_id % 5 + 1")
@@ -162,9 +211,22 @@ def informative_fields(spark, d):
     return docs.join(whole, "path")
 
 
-@query("time_shape", r"SELECT path, CASE WHEN path LIKE '%view%' OR path LIKE '%click%' THEN 'clf' ELSE 'iso' END AS shape, count(*) AS hits FROM loglines GROUP BY path")
+@query("time_shape", """
+WITH c AS (SELECT path, shape, count(*) AS hits FROM clocklines GROUP BY ALL),
+l AS (SELECT path, CASE WHEN event_type IN ('view', 'click') THEN 'clf' ELSE 'iso' END AS shape, count(*) AS hits FROM loglines GROUP BY ALL)
+SELECT path, shape, hits FROM c WHERE hits > 0 UNION ALL SELECT path, shape, hits FROM l""")
 def time_shape(spark, d):
-    return T.time_shape(loglines(spark, d))
+    cols = ["path", "line_no", "text"]
+    return T.time_shape(clocklines(spark, d).select(cols).unionByName(loglines(spark, d).select(cols)))
+
+
+@query("clock_readings", """
+WITH g AS (SELECT *, sec % 86400 AS sod, lag(sec % 86400) OVER (PARTITION BY path ORDER BY line_no) AS prev FROM clocklines),
+c AS (SELECT *, sod + 86400 * sum(CASE WHEN sod < prev - 43200 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_no) AS carried, shape NOT IN ('bsd', 'clock') AS dated FROM g)
+SELECT path, line_no, shape, CAST(sod // 3600 AS INTEGER) AS hour, CAST(CASE WHEN dated THEN sec ELSE carried END AS BIGINT) AS reading, dated FROM c""")
+def clock_readings(spark, d):
+    """Lines stamped in all seven shapes, over many midnights."""
+    return T.clock_readings(clocklines(spark, d))
 
 
 @query("parse_clock", "SELECT path, line_no, sec FROM loglines")
@@ -198,12 +260,21 @@ def hour_bucket(spark, d):
 
 
 @query("stream_state", """
-WITH a AS (SELECT path, line_no, epoch_us(date_trunc('second', ts)) AS s FROM loglines UNION ALL SELECT path, line_no, NULL FROM doclines),
-g AS (SELECT *, lag(s) OVER (PARTITION BY path ORDER BY line_no) AS prev FROM a)
-SELECT path, CASE WHEN 2 * count(s) >= count(*) AND count(s) >= 20 AND 10 * count(*) FILTER (s >= prev) >= 9 * (count(s) - 1) THEN 'stream' ELSE 'state' END AS kind FROM g GROUP BY path""")
+SELECT path, 'stream' AS kind, shape FROM clocklines GROUP BY ALL UNION ALL SELECT path, 'stream', CASE WHEN event_type IN ('view', 'click') THEN 'clf' ELSE 'iso' END FROM loglines GROUP BY ALL
+UNION ALL SELECT 'shuffled/' || event_type, 'stream-unordered', 'iso' FROM ev GROUP BY ALL
+UNION ALL SELECT 'sparse/' || event_type, CASE WHEN count(*) FILTER (event_id % 4 = 0) >= 20 THEN 'stream-sparse' ELSE 'state' END, 'iso' FROM ev GROUP BY ALL
+UNION ALL SELECT 'plain/' || event_type, 'state', NULL FROM ev GROUP BY ALL""")
 def stream_state(spark, d):
-    cols = ["path", "line_no", "text"]
-    return T.stream_state(loglines(spark, d).select(cols).unionByName(doclines(spark, d).select(cols)))
+    """Files in all shapes, files whose lines are out of order, files with a stamp on every fourth line only, files without any."""
+    cols, e = ["path", "line_no", "text"], events(spark, d)
+    name = lambda kind: F.concat(F.lit(f"{kind}/"), "event_type").alias("path")
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    shuffled = e.select(name("shuffled"), F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 12), 16, 10).cast("long").alias("line_no"), stamp.alias("text"))
+    order = F.struct("ts", "event_id")
+    sparse = e.select(name("sparse"), F.row_number().over(W.partitionBy("event_type").orderBy(order)).cast("long").alias("line_no"), F.when(F.col("event_id") % 4 == 0, stamp).otherwise("no stamp here").alias("text"))
+    plain = e.select(name("plain"), F.col("event_id").alias("line_no"), F.concat(F.lit("key = "), "k").alias("text"))
+    files = clocklines(spark, d).select(cols).unionByName(loglines(spark, d).select(cols)).unionByName(shuffled).unionByName(sparse).unionByName(plain)
+    return T.stream_state(files)
 
 
 @query("column_clock", """
@@ -228,9 +299,16 @@ def clock_gap(spark, d):
     return e.join(peak, "host").select("event_id", C.clock_gap(F.col("sec") % 86400, F.col("peak")).alias("gap"))
 
 
-@query("render_key", r"""SELECT path, line_no, sec, regexp_replace(text, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z|\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2} \+\d{4}', '') AS body FROM loglines""")
+@query("render_key", r"""
+SELECT path, line_no, 'utc' AS base, CASE WHEN event_type IN ('view', 'click') THEN sec WHEN k % 3 = 1 THEN sec - 7200 WHEN k % 3 = 2 THEN sec + 19800 ELSE sec END AS sec,
+  regexp_replace(text, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z|\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2} \+\d{4}', '') AS body FROM loglines
+UNION ALL SELECT path, line_no, 'yearless', ((month(ts) * 31 + day(ts)) * 86400 + sec % 86400)::BIGINT, ' event of ' || user_id FROM clocklines WHERE shape = 'bsd'""")
 def render_key(spark, d):
-    return T.render_key(loglines(spark, d))
+    """Stamps with an offset, and stamps without a year."""
+    k = F.col("k") % 3
+    zone = F.when(k == 1, "+02:00").when(k == 2, "-0530").otherwise("Z")
+    moved = loglines(spark, d).select("path", "line_no", F.when(F.col("event_type").isin("view", "click"), F.col("text")).otherwise(F.concat(F.substring("text", 1, 19), zone, F.expr("substr(text, 21)"))).alias("text"))
+    return T.render_key(moved.unionByName(clocklines(spark, d).where("shape = 'bsd'").select("path", "line_no", "text")))
 
 
 @query("telemetry_gap", """

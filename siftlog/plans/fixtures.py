@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,6 +44,30 @@ def doclines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(path.alias("path"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "text")).select("path", "doc_id", (F.col("i") + 1).cast("long").alias("line_no"), "text")
 
 
+def written(spark: SparkSession, lines: DataFrame, root: str, compression: str = "none") -> None:
+    """(path, line_no, text) as one text file for each path, in a folder named by it; see ``path_of``."""
+    files = lines.select(F.translate("path", "/", "~").alias("file"), "line_no", "text").repartition("file").sortWithinPartitions("file", "line_no")
+    files.select("file", "text").write.mode("append").partitionBy("file").option("compression", compression).text(root)
+
+
+def path_of(file_path: Column) -> Column:
+    """The path that ``written`` named a file by."""
+    return F.translate(F.regexp_extract(file_path, "/file=([^/]+)/", 1), "~", "/")
+
+
+def clocklines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, line_no, text, shape, sec: events stamped in one of seven shapes, one file for each host and shape."""
+    e = events(spark, sf_dir)
+    stamps = {"iso": "yyyy-MM-dd HH:mm:ss", "dmy": "dd.MM.yyyy HH:mm:ss", "bsd": "MMM dd HH:mm:ss", "clf": "dd/MMM/yyyy:HH:mm:ss", "compact": "yyyyMMdd'|'HHmmss'.000|'", "epoch": None, "clock": "HH:mm:ss"}
+    shape = F.element_at(F.array(*[F.lit(s) for s in stamps]), (F.expr("user_id div 4") % 7 + 1).cast("int"))
+    stamp = F.col("sec").cast("string")
+    for name, form in stamps.items():
+        stamp = F.when(F.col("shape") == name, F.date_format("ts", form)).otherwise(stamp) if form else stamp
+    e = e.withColumn("shape", shape).withColumn("path", F.concat("host", F.lit("/"), "shape", F.lit(".log")))
+    n = F.row_number().over(W.partitionBy("path").orderBy("ts", "event_id")).cast("long")
+    return e.select("path", n.alias("line_no"), F.concat(stamp, F.lit(" event of "), "user_id").alias("text"), "shape", "sec")
+
+
 def convlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, line_no, conv_id, text: whole conversation turns as lines, 64 conversations to a file."""
     c = table(spark, sf_dir, "conversations")
@@ -71,6 +95,9 @@ SELECT *, host || '/logs/' || event_type || '.log' AS path, row_number() OVER (P
     ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z ' || level || ' svc-' || (user_id % 3) || ' user=' || user_id || ' took ' || ms || 'ms k=' || k || ' from ' || ip
   END AS text
 FROM ev""",
+    "clocklines": """
+SELECT host || '/' || shape || '.log' AS path, row_number() OVER (PARTITION BY host, shape ORDER BY ts, event_id) AS line_no, shape, sec, ts, user_id
+FROM (SELECT *, ['iso', 'dmy', 'bsd', 'clf', 'compact', 'epoch', 'clock'][user_id // 4 % 7 + 1] AS shape FROM ev)""",
     "doclines": """
 SELECT lang || '/' || source || '/' || doc_id || '.txt' AS path, doc_id, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS BIGINT) AS line_no,
   unnest(string_split(text, chr(10))) AS text
