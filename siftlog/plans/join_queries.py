@@ -11,11 +11,12 @@ from siftlog.functions.clock import clock_gap
 from siftlog.operators import axes as A
 from siftlog.operators import joins as J
 from siftlog.operators import tallies as G
-from siftlog.plans.axis_queries import _FLOOR
+from siftlog.plans.axis_queries import _FLOOR, _RATE, rates
 from siftlog.plans.fixtures import doclines, events, loglines, table
 from siftlog.plans.registry import query
 from siftlog.plans.text_queries import SQL_PATH, SQL_QUOTES, SQL_TEMPLATE, SQL_TOKENS
 from siftlog.sources.lines import binary_files, write_worklist
+from siftlog.sources.records import read_table, write_table
 from siftlog.work import work_path
 
 _IDS = {"svc-1": ["svc", "1"], "user=7": ["user=7"], "k=42": ["k=42"], "zz-9": ["zz", "9"]}
@@ -324,12 +325,25 @@ def truncation(spark, d):
     return c.join(shown, ["path", "line_no"], "left").groupBy("path").agg(F.count("*").alias("groups"), (F.count("*") - F.count("s")).alias("dropped"))
 
 
-@query("worklist_sink")
+@query("worklist_sink", f"""
+WITH c AS ({_CANDIDATES}), r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY rank, line_no) AS round FROM c),
+a AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY round, path) AS pos FROM r WHERE kind = 'stream' OR round <= 3),
+k AS (SELECT * FROM a WHERE kind = 'stream' AND pos <= 54 UNION ALL SELECT * FROM a WHERE kind = 'state' AND pos <= 60 - (SELECT count(*) FROM a WHERE kind = 'stream' AND pos <= 54))
+SELECT path, line_no, round, row_number() OVER (ORDER BY round, path) AS place, string_split(path, '/')[1] AS host FROM k""")
 def worklist_sink(spark, d):
     """Writes the worklist as tab-separated files by host and reads it back."""
     path = work_path(spark, "worklist")
     write_worklist(worklist(spark, d).withColumn("host", F.substring_index("path", "/", 1)), path)
-    return spark.read.option("sep", "\t").option("header", True).csv(path)
+    return read_table(spark, path).select("path", *[F.col(c).cast("long").alias(c) for c in ("line_no", "round", "place")], F.substring_index("path", "/", 1).alias("host"))
+
+
+@query("tempo_sink", _RATE + " SELECT path, grp, n0, n1, CAST(ratio AS DOUBLE) AS ratio, CASE WHEN ratio >= 1.25 OR ratio <= 0.8 THEN 'rate' ELSE 'background' END AS kind FROM r")
+def tempo_sink(spark, d):
+    """Writes the tempo table, what moved beside what didn't, as tab-separated text and reads it back."""
+    r = rates(spark, d)
+    write_table(r.select("path", "grp", "n0", "n1", "ratio", F.when(F.col("moved"), "rate").otherwise("background").alias("kind")), path := work_path(spark, "tempo"))
+    got = read_table(spark, path)
+    return got.select("path", "grp", F.col("n0").cast("long").alias("n0"), F.col("n1").cast("long").alias("n1"), F.col("ratio").cast("double").alias("ratio"), "kind")
 
 
 @query("diversity_cap", """

@@ -6,24 +6,54 @@ from pyspark.sql import functions as F
 
 from siftlog.plans.registry import query
 from siftlog.streaming import jobs as S
-from siftlog.work import work_base
+from siftlog.work import work_base, work_path
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def stream(spark, d):
-    e = S.tail(spark, f"{d}/events.parquet*", EVENTS)
+    return _shaped(S.tail(spark, f"{d}/events.parquet*", EVENTS))
+
+
+def _shaped(e):
     return e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("host", F.concat(F.lit("h"), F.col("user_id") % 4))
 
 
+def feed(spark, d, root, parts=range(4), each=None):
+    """Appends quarters of the events, by their ids, one after another to a folder; ``each`` files of them where it is given."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    last = e.agg(F.max("event_id")).first()[0] or 0
+    for i in parts:
+        part = e.where(F.floor(F.col("event_id") * 4 / (last + 1)) == i)
+        (part.coalesce(each) if each else part).write.mode("append").parquet(root)
+    return root
+
+
 @query("stream_tail", "SELECT event_id, user_id, event_type FROM events")
 def stream_tail(spark, d):
-    return S.collected(spark, stream(spark, d).select("event_id", "user_id", "event_type"), work_base(spark))
+    """Two runs with one cursor: half of the files is there before the first, the rest comes before the second."""
+    root, out = work_path(spark, "feed"), work_path(spark, "tail")
+    for parts in (range(2), range(2, 4)):
+        feed(spark, d, root, parts)
+        rows = S.into(spark, S.tail(spark, root, EVENTS).select("event_id", "user_id", "event_type"), out)
+    return rows.drop("tick")
+
+
+@query("stream_manifest", """
+WITH p AS (SELECT event_id, event_id * 4 // ((SELECT max(event_id) FROM events) + 1) AS tick FROM events WHERE event_id % 50 <> 7 AND event_id >= 5),
+t AS (SELECT tick, count(*) AS rows, min(event_id) AS lo, max(event_id) AS hi, max(event_id) - min(event_id) + 1 - count(*) AS gap FROM p GROUP BY tick)
+SELECT tick, rows, lo, hi, gap, coalesce(lo - lag(hi) OVER (ORDER BY tick) - 1, 0) AS skipped, CASE WHEN tick = 0 THEN lo ELSE 0 END AS truncated_head FROM t""")
+def stream_manifest(spark, d):
+    """Four files and ticks; events that never came leave gaps inside them, between them and before the first."""
+    files = S.tail(spark, feed(spark, d, work_path(spark, "feed"), each=1), EVENTS).where("event_id % 50 <> 7 and event_id >= 5")
+    return S.manifest(spark, files, work_base(spark), "event_id")
 
 
-@query("stream_manifest", "SELECT 0 AS tick, count(*) AS rows, min(event_id) AS lo, max(event_id) AS hi, max(event_id) - min(event_id) + 1 - count(*) AS gap FROM events")
-def stream_manifest(spark, d):
-    return S.manifest(spark, stream(spark, d), work_base(spark), "event_id")
+@query("stream_stale", """
+WITH s AS (SELECT user_id, max(ts) AS seen, count(*) AS n FROM events GROUP BY user_id) SELECT user_id, seen, n, seen <= (SELECT max(seen) FROM s) - INTERVAL 12 HOUR AS stale FROM s""")
+def stream_stale(spark, d):
+    seen = S.settled(spark, S.last_seen(_shaped(S.tail(spark, feed(spark, d, work_path(spark, "feed")), EVENTS)), "user_id"), work_base(spark), ["user_id"])
+    return S.stale(seen, "12 hours").withColumn("seen", F.col("seen").cast("timestamp_ntz"))
 
 
 @query("stream_outcome", "SELECT event_type, time_bucket(INTERVAL 10 MINUTE, ts) AS begin, count(*) AS n FROM events GROUP BY ALL")
@@ -38,8 +68,8 @@ WITH w AS (SELECT host, ts, user_id, unnest(range(0, 12)) AS i FROM (SELECT 'h'
 g AS (SELECT host, time_bucket(INTERVAL 5 MINUTE, ts) - to_minutes(CAST(5 * i AS INTEGER)) AS begin, user_id FROM w)
 SELECT host, begin, count(*) AS n, count(DISTINCT user_id) AS sources FROM g GROUP BY host, begin HAVING count(*) >= 5 AND count(DISTINCT user_id) >= 3""")
 def threshold_alert(spark, d):
-    out = S.settled(spark, S.threshold_alerts(stream(spark, d), "host", "user_id", 5, 3, late=None), work_base(spark), ["host", "begin"])
-    return out.select("host", F.col("begin").cast("timestamp_ntz").alias("begin"), "n", F.col("sources").cast("long").alias("sources"))
+    counts = S.settled(spark, S.source_counts(stream(spark, d), "host", "user_id", late=None), work_base(spark), ["host", "begin", "user_id"])
+    return S.threshold_alerts(counts, "host", 5, 3).select("host", F.col("begin").cast("timestamp_ntz").alias("begin"), "n", F.col("sources").cast("long").alias("sources"))
 
 
 @query("id_sessions", """
@@ -47,15 +77,14 @@ WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUT
 r AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g)
 SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM r GROUP BY user_id, run""")
 def id_sessions(spark, d):
-    # Sessions of a table that is read whole: the batch form of the same job.
-    e = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = S.sessions(e, ["user_id"])
+    files = _shaped(S.tail(spark, feed(spark, d, work_path(spark, "feed")), EVENTS))
+    out = S.final(spark, S.sessions(files, ["user_id"], late=None), work_base(spark))
     return out.withColumn("first", F.col("first").cast("timestamp_ntz")).withColumn("last", F.col("last").cast("timestamp_ntz"))
 
 
 @query("stream_newcomer", "SELECT 'h' || (user_id % 4) AS host, CAST(user_id AS VARCHAR) AS actor FROM events GROUP BY ALL")
 def stream_newcomer(spark, d):
-    e = stream(spark, d).withColumn("actor", F.col("user_id").cast("string"))
+    e = _shaped(S.tail(spark, feed(spark, d, work_path(spark, "feed")), EVENTS)).withColumn("actor", F.col("user_id").cast("string"))
     return S.collected(spark, S.newcomers(e, "host", "actor"), work_base(spark)).select("host", "actor")
 
 
@@ -65,5 +94,5 @@ r AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PART
 f AS (SELECT path, run, min(line_no) AS line_start, string_agg(event_type, ' ' ORDER BY line_no) AS text FROM r GROUP BY path, run)
 SELECT path, line_start, text FROM f WHERE run < (SELECT max(run) FROM f g WHERE g.path = f.path)""")
 def stream_frames(spark, d):
-    lines = stream(spark, d).select(F.col("host").alias("path"), F.col("event_id").alias("line_no"), F.col("event_type").alias("text"))
+    lines = _shaped(S.tail(spark, feed(spark, d, work_path(spark, "feed"), each=1), EVENTS)).select(F.col("host").alias("path"), F.col("event_id").alias("line_no"), F.col("event_type").alias("text"))
     return S.collected(spark, S.frames(lines, "^error$", quiet=None), work_base(spark))

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
@@ -28,9 +29,11 @@ def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
     query.awaitTermination()
 
 
-def _ticks(spark: SparkSession, stream: DataFrame, base: str, mode: str) -> DataFrame:
-    """``drain`` into a table with one folder for each tick, overwritten if a tick is repeated; the rows and their ``tick``."""
-    out = f"{base.rstrip('/')}/siftlog/stream-{uuid.uuid4().hex}"
+def into(spark: SparkSession, stream: DataFrame, out: str, mode: str = "append") -> DataFrame:
+    """``drain`` into a table with one folder for each tick, overwritten if a tick is repeated; the rows and their ``tick``.
+
+    The cursor stands beside the table, so a later call with the same ``out`` goes on with the files that are new.
+    """
 
     def write(rows: DataFrame, tick: int) -> None:
         rows.write.mode("overwrite").parquet(f"{out}/data/tick={tick}")
@@ -39,6 +42,10 @@ def _ticks(spark: SparkSession, stream: DataFrame, base: str, mode: str) -> Data
     return spark.read.schema(StructType([*stream.schema.fields, StructField("tick", LongType())])).parquet(f"{out}/data")
 
 
+def _ticks(spark: SparkSession, stream: DataFrame, base: str, mode: str) -> DataFrame:
+    return into(spark, stream, f"{base.rstrip('/')}/siftlog/stream-{uuid.uuid4().hex}", mode)
+
+
 def collected(spark: SparkSession, stream: DataFrame, base: str, mode: str = "append") -> DataFrame:
     """The rows of all ticks."""
     return _ticks(spark, stream, base, mode).select(*stream.columns)
@@ -50,8 +57,18 @@ def settled(spark: SparkSession, stream: DataFrame, base: str, keys: list[str])
     return last.select("r.*")
 
 
-def manifest(spark: SparkSession, stream: DataFrame, base: str, key: str) -> DataFrame:
-    """tick, rows, lo, hi, gap: one row for each tick; gap counts missing values of the running ``key`` inside it."""
+def final(spark: SparkSession, stream: DataFrame, base: str) -> DataFrame:
+    """An aggregate in complete mode: what the last tick gave."""
+    rows = _ticks(spark, stream, base, "complete")
+    return rows.join(rows.agg(F.max("tick").alias("tick")), "tick").select(*stream.columns)
+
+
+def manifest(spark: SparkSession, stream: DataFrame, base: str, key: str, first: int = 0) -> DataFrame:
+    """One row for each tick: tick, rows, lo, hi of the running ``key``, and what is missing.
+
+    ``gap``: values missing inside the tick; ``skipped``: values between the tick before and this one; ``truncated_head``:
+    values from ``first`` on before the first tick.
+    """
     out = f"{base.rstrip('/')}/siftlog/manifest-{uuid.uuid4().hex}"
 
     def write(rows: DataFrame, tick: int) -> None:
@@ -59,7 +76,9 @@ def manifest(spark: SparkSession, stream: DataFrame, base: str, key: str) -> Dat
         row.withColumn("gap", F.col("hi") - F.col("lo") + 1 - F.col("rows")).write.mode("overwrite").parquet(f"{out}/data/tick_id={tick}")
 
     drain(stream, write, f"{out}/cursor")
-    return spark.read.parquet(f"{out}/data").select("tick", "rows", "lo", "hi", "gap")
+    before = F.lag("hi").over(W.orderBy("tick"))  # one row for each tick
+    rows = spark.read.parquet(f"{out}/data").select("tick", "rows", "lo", "hi", "gap")
+    return rows.withColumns({"skipped": F.coalesce(F.col("lo") - before - 1, F.lit(0)), "truncated_head": F.when(before.isNull(), F.col("lo") - first).otherwise(0)})
 
 
 def _until(events: DataFrame, late: str | None) -> DataFrame:
@@ -72,18 +91,35 @@ def tumbling(events: DataFrame, keys: list[str], width: str = "10 minutes", late
     return w.select(*keys, F.col("window.start").alias("begin"), "n")
 
 
-def threshold_alerts(events: DataFrame, key: str, source: str, failures: int, sources: int, width: str = "1 hour", slide: str = "5 minutes", late: str | None = "1 hour") -> DataFrame:
-    """key, begin, n, sources of sliding windows with at least ``failures`` events from ``sources`` sources; ``late`` as for ``tumbling``."""
-    w = _until(events, late).groupBy(F.window("ts", width, slide), key).agg(F.count("*").alias("n"), F.size(F.collect_set(source)).alias("sources"))
-    return w.where((F.col("n") >= failures) & (F.col("sources") >= sources)).select(key, F.col("window.start").alias("begin"), "n", "sources")
+def source_counts(events: DataFrame, key: str, source: str, width: str = "1 hour", slide: str = "5 minutes", late: str | None = "1 hour") -> DataFrame:
+    """key, begin, source, n in sliding windows; a state row is one source of a window, so no set of sources grows. ``late`` as for ``tumbling``."""
+    w = _until(events, late).groupBy(F.window("ts", width, slide), key, source).agg(F.count("*").alias("n"))
+    return w.select(key, F.col("window.start").alias("begin"), source, "n")
+
+
+def threshold_alerts(counts: DataFrame, key: str, failures: int, sources: int) -> DataFrame:
+    """key, begin, n, sources of the windows of ``source_counts`` with at least ``failures`` events from ``sources`` sources."""
+    w = counts.groupBy(key, "begin").agg(F.sum("n").alias("n"), F.count("*").alias("sources"))
+    return w.where((F.col("n") >= failures) & (F.col("sources") >= sources))
 
 
-def sessions(events: DataFrame, keys: list[str], gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """keys, first, last, n of runs of events with no pause of ``gap``."""
-    w = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), *keys).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+def sessions(events: DataFrame, keys: list[str], gap: str = "30 minutes", late: str | None = "1 hour") -> DataFrame:
+    """keys, first, last, n of runs of events with no pause of ``gap``; without ``late`` for batches and complete mode."""
+    w = _until(events, late).groupBy(F.session_window("ts", gap).alias("w"), *keys).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
     return w.select(*keys, "first", "last", "n")
 
 
+def last_seen(events: DataFrame, key: str) -> DataFrame:
+    """key, seen, n: the newest event of each key so far, in update mode; a key that no tick brings keeps its row."""
+    return events.groupBy(key).agg(F.max("ts").alias("seen"), F.count("*").alias("n"))
+
+
+def stale(seen: DataFrame, after: str) -> DataFrame:
+    """The rows of ``last_seen`` and whether they are ``after`` or more behind the newest of all."""
+    newest = seen.agg(F.max("seen").alias("newest"))
+    return seen.join(F.broadcast(newest)).withColumn("stale", F.col("seen") <= F.col("newest") - F.expr(f"interval {after}")).drop("newest")  # one row
+
+
 def newcomers(events: DataFrame, key: str, actor: str) -> DataFrame:
     """key, actor: a row for each actor when it first appears under its key.
 
@@ -108,20 +144,14 @@ def frames(lines: DataFrame, start: str, quiet: str | None = "10 minutes") -> Da
             state.remove()
             yield pd.DataFrame([(k[0], at, text)], columns=["path", "line_start", "text"])
             return
-        at, text = state.get if state.exists else (None, None)
-        rows = []
-        new = pd.concat(list(batches)).sort_values("line_no")
-        for n, t in zip(new["line_no"], new["text"], strict=True):
-            if at is None or opens.search(t):
-                if at is not None:
-                    rows.append((k[0], at, text))
-                at, text = int(n), t
-            else:
-                text += " " + t
-        if at is not None:
-            state.update((at, text))
-            if wait is not None:
-                state.setTimeoutDuration(int(wait.total_seconds() * 1000))
-        yield pd.DataFrame(rows, columns=["path", "line_start", "text"])
+        held = [pd.DataFrame([state.get], columns=["line_no", "text"])] if state.exists else []
+        new = pd.concat([*held, pd.concat(list(batches))[["line_no", "text"]].sort_values("line_no")], ignore_index=True)
+        begins = new["text"].str.contains(opens)
+        begins.iloc[0] = True  # the open record, or what stands before the first start
+        records = new.groupby(begins.cumsum()).agg(line_start=("line_no", "first"), text=("text", " ".join))
+        state.update((int(records["line_start"].iloc[-1]), records["text"].iloc[-1]))
+        if wait is not None:
+            state.setTimeoutDuration(int(wait.total_seconds() * 1000))
+        yield pd.DataFrame({"path": k[0], "line_start": records["line_start"].iloc[:-1], "text": records["text"].iloc[:-1]})
 
     return lines.groupBy("path").applyInPandasWithState(step, "path string, line_start long, text string", "line_start long, text string", "append", GroupStateTimeout.ProcessingTimeTimeout if quiet else GroupStateTimeout.NoTimeout)

@@ -36,3 +36,28 @@ def test_windows_span_files_in_any_time_order(spark, tmp_path, name):
     df = QUERIES[name](spark, d)
     want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
     assert want and Counter(map(tuple, df.collect())) == Counter(want)
+
+
+def test_a_tail_goes_on_where_its_cursor_stands(spark, tmp_path):
+    from siftlog.streaming import jobs as S
+
+    at = dt.datetime(2024, 1, 1)
+    day = lambda i: [(100 * i + k, at + dt.timedelta(days=i), k, "view") for k in range(5)]
+    d = written(spark, tmp_path, [day(0), day(1)])
+    run = lambda: S.into(spark, S.tail(spark, f"{d}/events.parquet", EVENTS).select("event_id"), f"{tmp_path}/out").collect()
+    assert len(run()) == 10 and {r.tick for r in run()} == {0, 1}  # the second run finds nothing new
+    written(spark, tmp_path, [day(2), day(-3)])  # late files, too
+    rows = run()
+    assert Counter(r.event_id for r in rows) == Counter(i for k in (0, 1, 2, -3) for i, *_ in day(k)) and {r.tick for r in rows} == {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("name", ["stream_tail", "stream_newcomer", "stream_frames", "stream_stale", "id_sessions", "stream_manifest"])
+def test_jobs_over_many_ticks_equal_their_sql(spark, tmp_path, name):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, at + dt.timedelta(minutes=11 * ((i * 7) % 300)), i % 9, ("view", "error", "click")[i % 3 if i % 4 else 0]) for i in range(300)]
+    d = written(spark, tmp_path, [rows[k::5] for k in range(5)])
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet/*.parquet'")
+    df = QUERIES[name](spark, d)
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+    assert want and Counter(map(tuple, df.collect())) == Counter(want)
