@@ -62,7 +62,7 @@ def severity_words(text: Column) -> Column:
 
 def vocabulary(text: Column) -> Column:
     """Words of 3 to 12 capital letters."""
-    return F.regexp_extract_all(text, F.lit(r"\b([A-Z]{3,12})\b"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_\-])([A-Z]{3,12})(?![A-Za-z0-9_\-])"), F.lit(1))
 
 
 def const_tokens(text: Column) -> Column:

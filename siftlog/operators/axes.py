@@ -5,7 +5,7 @@ All counts are aggregated before any window runs, so windows see one row for eac
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -110,17 +110,31 @@ def comparable_hours(hours: DataFrame, least: int = 100) -> DataFrame:
     return ok.groupBy("path").agg(F.min("hour").alias("h0"), F.max("hour").alias("h1"))
 
 
-def axis_rate(counts: DataFrame, hours: DataFrame, low: float = 1 / 3, high: float = 3.0, least: int = 5) -> DataFrame:
-    """path, grp, n0, n1, moved: each group's share in the last comparable hour against the first.
+def _deviation(ratio: Column) -> Column:
+    return F.coalesce(F.when(ratio > 0, F.greatest(ratio, 1 / ratio)), F.lit(0.0))
 
-    ``counts``: path, grp, hour, n; ``hours``: path, h0, h1. Groups below ``least`` in either hour are left out.
+
+def axis_rate(counts: DataFrame, hours: DataFrame, levels: DataFrame, low: float = 1 / 3, high: float = 3.0, least: int = 5) -> DataFrame:
+    """path, grp, n0, n1, ratio, slot, slot_ratio, factor, driver, moved: what changed from the first comparable hour to the last.
+
+    ``counts``: path, grp, hour, n; ``hours``: path, h0, h1; ``levels``: path, grp, hour, slot, level (a high percentile of a
+    numeric place). ratio is that of a group's shares, null below ``least`` records in either hour; slot is the place whose level
+    changed most. A group has moved if either ratio is ``low`` or less, or ``high`` or more; driver says which one is farther off.
     """
     all_ = counts.groupBy("path", "hour").agg(F.sum("n").alias("all"))
-    c = counts.join(hours, "path").where((F.col("hour") == F.col("h0")) | (F.col("hour") == F.col("h1"))).join(all_, ["path", "hour"])
-    at = lambda v, h: F.coalesce(F.sum(F.when(F.col("hour") == F.col(h), F.col(v))), F.lit(0))
-    p = c.where("h0 <> h1").groupBy("path", "grp").agg(at("n", "h0").alias("n0"), at("n", "h1").alias("n1"), F.max(F.when(F.col("hour") == F.col("h0"), F.col("all"))).alias("a0"), F.max(F.when(F.col("hour") == F.col("h1"), F.col("all"))).alias("a1"))
-    p = p.where((F.col("n0") >= least) & (F.col("n1") >= least)).withColumn("ratio", F.round((F.col("n1") / F.col("a1")) / (F.col("n0") / F.col("a0")), 6))
-    return p.select("path", "grp", "n0", "n1", "ratio", ((F.col("ratio") >= high) | (F.col("ratio") <= low)).alias("moved"))
+    ends = (F.col("hour") == F.col("h0")) | (F.col("hour") == F.col("h1"))
+    hours = hours.where("h0 <> h1")
+    c = counts.join(hours, "path").where(ends).join(all_, ["path", "hour"])
+    at = lambda v, h: F.sum(F.when(F.col("hour") == F.col(h), F.col(v)))
+    p = c.groupBy("path", "grp").agg(F.coalesce(at("n", "h0"), F.lit(0)).alias("n0"), F.coalesce(at("n", "h1"), F.lit(0)).alias("n1"), at("all", "h0").alias("a0"), at("all", "h1").alias("a1"))
+    p = p.withColumn("ratio", F.when((F.col("n0") >= least) & (F.col("n1") >= least), F.round((F.col("n1") / F.col("a1")) / (F.col("n0") / F.col("a0")), 6)))
+    v = levels.join(hours, "path").where(ends).groupBy("path", "grp", "slot").agg(at("level", "h0").alias("v0"), at("level", "h1").alias("v1")).where("v0 <> 0 and v1 is not null")
+    v = v.withColumn("slot_ratio", F.round(F.col("v1") / F.col("v0"), 6))
+    v = v.groupBy("path", "grp").agg(F.min(F.struct((-F.abs(F.col("slot_ratio") - 1)).alias("off"), "slot", "slot_ratio")).alias("v")).select("path", "grp", "v.slot", "v.slot_ratio")
+    r = p.join(v, ["path", "grp"], "left").where("ratio is not null or slot_ratio is not null")
+    beyond = lambda x: F.coalesce((F.col(x) >= high) | (F.col(x) <= low), F.lit(False))
+    share, level = _deviation(F.col("ratio")), _deviation(F.col("slot_ratio"))
+    return r.select("path", "grp", "n0", "n1", "ratio", "slot", "slot_ratio", F.round(F.greatest(share, level), 6).alias("factor"), F.when(share >= level, "share").otherwise("slot").alias("driver"), (beyond("ratio") | beyond("slot_ratio")).alias("moved"))
 
 
 def axis_background(rates: DataFrame, least: int = 800) -> DataFrame:

@@ -241,18 +241,65 @@ def diversity_cap(rows: DataFrame, file: str, slot: str, strength: str, row: str
 
 
 def receipt_sample(rows: DataFrame, group: str, file: str, row: str, first: Column, least: int = 3) -> DataFrame:
-    """group, row: a hash-ordered sample of max(least, ceil(sqrt(n))) rows of each group, one per file before seconds, ``first`` rows before all."""
+    """group, row: a hash-ordered sample of max(least, ceil(sqrt(n)), files with ``first`` rows) rows of each group, one per file before seconds, ``first`` rows before all."""
     key = F.sha2(F.concat_ws("|", group, F.col(row).cast("string")), 256)
     r = rows.select(group, file, row, first.alias("pref"), key.alias("key"))
     r = r.withColumn("turn", F.row_number().over(W.partitionBy(group, file).orderBy(F.desc("pref"), "key")))
-    n = r.groupBy(group).agg(F.count("*").alias("n"))
-    need = F.least(F.col("n"), F.greatest(F.lit(least), F.ceil(F.sqrt("n"))))
+    n = r.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("pref"), F.col(file))).alias("files"))
+    need = F.least(F.col("n"), F.greatest(F.lit(least), F.ceil(F.sqrt("n")), F.col("files")))
     # No file gives more rows than the group needs.
     r = r.join(n.select(group, need.alias("need")), group).where(F.col("turn") <= F.col("need"))
     r = r.withColumn("at", F.row_number().over(W.partitionBy(group).orderBy(F.desc("pref"), "turn", "key")))
     return r.where(F.col("at") <= F.col("need")).select(group, row)
 
 
+def receipt_audit(covered: DataFrame, due: DataFrame, receipts: DataFrame, addresses: DataFrame, rules: list[str]) -> DataFrame:
+    """rule, row, kind, n: what is wrong with the receipts (rule, row, ref, quote, decision) that rules brought for rows.
+
+    ``covered`` and ``due``: (rule, row) that a rule covers, and those it owes a receipt for; ``addresses``: (row, own), the rows that
+    there are. Kinds: missing (owed, and no receipt decides for the rule), duplicate-identical and duplicate-conflicting,
+    candidate, unknown-rule, unknown-row, row-not-covered (the first that applies), wrong-address.
+    """
+    count = lambda df, kind: df.groupBy("rule", "row").agg(F.count("*").alias("n")).select("rule", "row", (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), "n")
+    missing = count(due.join(receipts.where("decision = 'rule'").select("rule", "row").distinct(), ["rule", "row"], "left_anti"), "missing")
+    twice = receipts.groupBy("rule", "row").agg(F.count("*").alias("times"), F.count_distinct(F.struct("ref", "quote", "decision")).alias("d")).where("times > 1")
+    twice = twice.select("rule", "row", F.when(F.col("d") == 1, "duplicate-identical").otherwise("duplicate-conflicting").alias("kind"), F.lit(1).cast("long").alias("n"))
+    placed = receipts.join(addresses, "row", "left").join(covered.distinct().withColumn("held", F.lit(True)), ["rule", "row"], "left")
+    why = F.when(~F.col("rule").isin(*rules), "unknown-rule").when(F.col("own").isNull(), "unknown-row").when(F.col("held").isNull(), "row-not-covered")
+    off = placed.withColumn("kind", why).where("kind is not null").groupBy("rule", "row", "kind").agg(F.count("*").alias("n"))
+    parts = [twice, count(receipts.where("decision = 'candidate'"), "candidate"), off, count(placed.where("ref <> own"), "wrong-address")]
+    for p in parts:
+        missing = missing.unionByName(p)
+    return missing
+
+
+def coverage_audit(declared: DataFrame, inventory: DataFrame) -> DataFrame:
+    """asked, state, flags of declared files (asked, state: empty, binary or text; cited: a path that its evidence is from, or null) against an inventory (path, n, binary).
+
+    Flags: missing, ambiguous (several files by that name), duplicate, false-empty, false-binary, foreign-file.
+    """
+    found = resolve_paths(declared.select("asked"), inventory.select("path")).withColumnRenamed("state", "there")
+    j = declared.join(found, "asked").join(inventory, "path", "left").withColumn("times", F.count("*").over(W.partitionBy("asked")))
+    flags = F.array(
+        F.when(F.col("there") != "ok", F.col("there")), F.when(F.col("times") > 1, "duplicate"), F.when((F.col("state") == "empty") & (F.col("n") > 0), "false-empty"),
+        F.when((F.col("state") == "binary") & ~F.col("binary"), "false-binary"), F.when(F.col("cited") != F.col("path"), "foreign-file"),
+    )
+    return j.select("asked", "state", F.array_join(F.array_compact(flags), ",").alias("flags"))
+
+
+#: From weakest to strongest; a truth that no block meets is elsewhere.
+OUTCOMES = ("elsewhere", "dismissed", "unlabelled", "normal", "incident")
+
+
+def truth_outcomes(truth: DataFrame, blocks: DataFrame) -> DataFrame:
+    """is_decoy and a count for each of ``OUTCOMES``: what became of each truth (defect_id, is_decoy, path, lo, hi), by the strongest
+    outcome of the blocks (path, b_lo, b_hi, outcome) that it meets."""
+    rank = F.array_position(F.array(*[F.lit(o) for o in OUTCOMES]), F.col("outcome"))
+    met = overlap_join(truth.select("defect_id", "path", "lo", "hi"), blocks).groupBy("defect_id").agg(F.max(rank).alias("rank"))
+    z = truth.select("defect_id", "is_decoy").distinct().join(met, "defect_id", "left").withColumn("zone", F.element_at(F.array(*[F.lit(o) for o in OUTCOMES]), F.coalesce(F.col("rank"), F.lit(1)).cast("int")))
+    return z.groupBy("is_decoy").pivot("zone", list(OUTCOMES)).agg(F.count("defect_id")).na.fill(0)
+
+
 def byte_budget(blocks: DataFrame, budget: int) -> DataFrame:
     """id of (id, earned, klass, cost): earned blocks always; of the rest, class by class, the cheapest that fit.
 
@@ -270,11 +317,13 @@ def byte_budget(blocks: DataFrame, budget: int) -> DataFrame:
 
 
 def priority_cut(rows: DataFrame, file: str, klass: str, row: str, order: list[str], weak: str, weak_each: int = 6, most: int = 250) -> DataFrame:
-    """row, place: rows by the order of their classes, then file and row; ``weak`` rows are held to ``weak_each`` of a file."""
+    """row, place, dropped: rows by the order of their classes, then file and row, ``most`` of them; ``weak`` rows are held to
+    ``weak_each`` of a file; dropped counts all rows that were left out."""
     rank = F.array_position(F.array(*[F.lit(k) for k in order]), F.col(klass))
     r = rows.withColumn("p", rank).withColumn("w", F.row_number().over(W.partitionBy(file, klass).orderBy(row)))
     r = r.where((F.col(klass) != weak) | (F.col("w") <= weak_each)).orderBy("p", file, row).limit(most)
-    return r.select(row, F.row_number().over(W.orderBy("p", file, row)).cast("long").alias("place"))
+    r = r.withColumns({"place": F.row_number().over(W.orderBy("p", file, row)).cast("long"), "kept": F.count("*").over(W.partitionBy())})  # ``most`` rows
+    return r.join(F.broadcast(rows.agg(F.count("*").alias("all")))).select(row, "place", (F.col("all") - F.col("kept")).alias("dropped"))  # one row
 
 
 def stride_sample(lines: DataFrame, most: int, edge: int) -> DataFrame:

@@ -6,10 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def file_profile(lines: DataFrame, severity: Column, stamp: Column) -> DataFrame:
-    """path, bytes, lines, first_stamp, last_stamp, severe: one pass over each file's lines."""
-    return lines.groupBy("path").agg(F.sum(F.octet_length("text") + 1).cast("long").alias("bytes"), F.count("*").alias("lines"), F.min_by(stamp, "line_no").alias("first_stamp"), F.max_by(stamp, "line_no").alias("last_stamp"), F.count_if(severity).alias("severe"))
+from siftlog.functions.clock import raw_stamp
+from siftlog.functions.fields import severity_words, vocabulary
+from siftlog.functions.masking import shape
+
+
+def file_profile(lines: DataFrame, words: int = 12) -> DataFrame:
+    """path, bytes, lines, first_stamp, last_stamp (as written), shapes (distinct), severities (word=n in order) and the ``words`` most frequent capital words."""
+    text, stamp = F.col("text"), raw_stamp(F.col("text"))
+    own = lines.groupBy("path").agg(F.sum(F.octet_length("text") + 1).cast("long").alias("bytes"), F.count("*").alias("lines"), F.min_by(stamp, F.when(stamp.isNotNull(), F.col("line_no"))).alias("first_stamp"), F.max_by(stamp, F.when(stamp.isNotNull(), F.col("line_no"))).alias("last_stamp"))
+    shapes = lines.groupBy("path", shape(text).alias("shape")).agg(F.lit(1)).groupBy("path").agg(F.count("*").alias("shapes"))
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: F.concat(x["word"], F.lit("="), x["n"])), ",")
+
+    def counted(found: Column) -> DataFrame:
+        return lines.select("path", F.explode(found).alias("word")).groupBy("path", "word").agg(F.count("*").alias("n"))
+
+    severities = counted(severity_words(text)).groupBy("path").agg(listed(F.struct("word", "n")).alias("severities"))
+    top = counted(vocabulary(text)).withColumn("r", F.row_number().over(W.partitionBy("path").orderBy(F.desc("n"), "word"))).where(F.col("r") <= words)
+    top = top.groupBy("path").agg(listed(F.struct("r", "word", "n")).alias("vocabulary"))
+    out = own.join(shapes, "path", "left").join(severities, "path", "left").join(top, "path", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("severities", "vocabulary")})
 
 
 def top_and_rare(counts: DataFrame, keys: list[str], value: str, top: int, rare: int) -> DataFrame:

@@ -13,7 +13,7 @@ from siftlog.operators import predicates as P
 from siftlog.operators import tallies as G
 from siftlog.plans.fixtures import doclines, events, loglines, table
 from siftlog.plans.registry import query
-from siftlog.plans.text_queries import _RULES, _VERDICTS, SQL_TEMPLATE, verdicts
+from siftlog.plans.text_queries import _RULES, _VERDICTS, SQL_SHAPE, SQL_TEMPLATE, verdicts
 
 _WORDS = r"SELECT path, 'ws:' || (i - 1) AS axis, t[i] AS value FROM (SELECT path, t, unnest(range(1, least(len(t), 12) + 1)) AS i FROM (SELECT path, string_split(text, ' ') AS t FROM loglines)) WHERE length(t[i]) <= 24 UNION ALL SELECT path, 'kv:k', CAST(k AS VARCHAR) FROM loglines WHERE event_type NOT IN ('view', 'click') UNION ALL SELECT path, 'kv:user', CAST(user_id AS VARCHAR) FROM loglines WHERE event_type NOT IN ('view', 'click')"
 _T = f"SELECT *, {SQL_TEMPLATE} AS template FROM loglines"
@@ -132,26 +132,35 @@ def hours(spark, d):
     return loglines(spark, d).groupBy("path", F.hour("ts").alias("hour")).agg(F.count("*").alias("n"))
 
 
-_RATE = """
-WITH c AS (SELECT host AS path, event_type AS grp, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n FROM ev GROUP BY ALL),
-x AS (SELECT path, 0 AS h0, 23 AS h1 FROM c GROUP BY path), a AS (SELECT path, hour, sum(n) AS tot FROM c GROUP BY ALL),
+_RATE = f"""
+WITH c AS (SELECT host AS path, event_type AS grp, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n FROM ev GROUP BY ALL), a AS (SELECT path, hour, sum(n) AS tot FROM c GROUP BY ALL),
+m AS (SELECT path, list_sort(list(tot))[least(count(*) - 1, count(*) // 2) + 1] AS mid FROM a GROUP BY path),
+x AS (SELECT path, min(hour) AS h0, max(hour) AS h1 FROM a JOIN m USING (path) WHERE tot >= 2 AND 4 * tot >= mid GROUP BY path HAVING min(hour) < max(hour)),
 p AS (SELECT c.path, grp, sum(CASE WHEN c.hour = h0 THEN n ELSE 0 END) AS n0, sum(CASE WHEN c.hour = h1 THEN n ELSE 0 END) AS n1, max(CASE WHEN c.hour = h0 THEN tot END) AS a0, max(CASE WHEN c.hour = h1 THEN tot END) AS a1
   FROM c JOIN x ON x.path = c.path JOIN a ON a.path = c.path AND a.hour = c.hour WHERE c.hour IN (h0, h1) GROUP BY ALL),
-r AS (SELECT path, grp, CAST(n0 AS BIGINT) AS n0, CAST(n1 AS BIGINT) AS n1, round((n1 / a1) / (n0 / a0), 6) AS ratio FROM p WHERE n0 >= 2 AND n1 >= 2)"""
+s AS (SELECT host AS path, event_type AS grp, CAST(hour(ts) AS INTEGER) AS hour, 'ms' AS slot, ms AS v FROM ev UNION ALL SELECT host, event_type, CAST(hour(ts) AS INTEGER), 'k', k FROM ev),
+l AS (SELECT path, grp, hour, slot, {_Q.format(v='v', q=0.99)} AS level FROM s WHERE v IS NOT NULL GROUP BY ALL),
+v AS (SELECT path, grp, slot, round(max(level) FILTER (hour = h1) / nullif(max(level) FILTER (hour = h0), 0), 6) AS sr FROM l JOIN x USING (path) GROUP BY ALL),
+b AS (SELECT path, grp, slot, sr FROM v WHERE sr IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path, grp ORDER BY abs(sr - 1) DESC, slot) = 1),
+q AS (SELECT path, grp, CAST(n0 AS BIGINT) AS n0, CAST(n1 AS BIGINT) AS n1, CASE WHEN n0 >= 2 AND n1 >= 2 THEN round((n1 / a1) / (n0 / a0), 6) END AS ratio, slot, sr AS slot_ratio FROM p LEFT JOIN b USING (path, grp)),
+r AS (SELECT *, coalesce(CASE WHEN ratio > 0 THEN greatest(ratio, 1 / ratio) END, 0) AS f, coalesce(CASE WHEN slot_ratio > 0 THEN greatest(slot_ratio, 1 / slot_ratio) END, 0) AS g,
+  coalesce(ratio >= 1.25 OR ratio <= 0.8, false) OR coalesce(slot_ratio >= 1.25 OR slot_ratio <= 0.8, false) AS moved FROM q WHERE ratio IS NOT NULL OR slot_ratio IS NOT NULL)"""
 
 
 def rates(spark, d):
-    c = events(spark, d).groupBy(F.col("host").alias("path"), F.col("event_type").alias("grp"), F.hour("ts").alias("hour")).agg(F.count("*").alias("n"))
-    ends = c.select("path").distinct().withColumns({"h0": F.lit(0), "h1": F.lit(23)})
-    return A.axis_rate(c, ends, low=0.8, high=1.25, least=2)
+    e = events(spark, d).select(F.col("host").alias("path"), F.col("event_type").alias("grp"), F.hour("ts").alias("hour"), "ms", "k")
+    c = e.groupBy("path", "grp", "hour").agg(F.count("*").alias("n"))
+    ends = A.comparable_hours(c.groupBy("path", "hour").agg(F.sum("n").alias("n")), least=2)
+    values = e.select("path", "grp", "hour", F.explode(F.create_map(F.lit("ms"), "ms", F.lit("k"), "k")).alias("slot", "value"))
+    return A.axis_rate(c, ends, A.floor_quantiles(values, ["path", "grp", "slot", "hour"], "value", level=0.99).drop("n"), low=0.8, high=1.25, least=2)
 
 
-@query("axis_rate", _RATE + " SELECT *, ratio >= 1.25 OR ratio <= 0.8 AS moved FROM r")
+@query("axis_rate", _RATE + " SELECT path, grp, n0, n1, ratio, slot, slot_ratio, round(greatest(f, g), 6) AS factor, CASE WHEN f >= g THEN 'share' ELSE 'slot' END AS driver, moved FROM r")
 def axis_rate(spark, d):
     return rates(spark, d)
 
 
-@query("axis_background", _RATE + " SELECT * FROM r WHERE n0 + n1 >= 10 AND ratio BETWEEN 0.8 AND 1.25")
+@query("axis_background", _RATE + " SELECT path, grp, n0, n1, ratio FROM r WHERE n0 + n1 >= 10 AND ratio BETWEEN 0.8 AND 1.25")
 def axis_background(spark, d):
     return A.axis_background(rates(spark, d), least=10)
 
@@ -193,9 +202,13 @@ def axis_floor(spark, d):
     return A.axis_floor(loglines(spark, d).select("path", "line_no", F.col("k").alias("value"), F.hour("ts").alias("hour")))
 
 
-@query("file_profile", "SELECT path, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, count(*) AS lines, strftime(min(ts), '%Y-%m-%d %H') AS first_stamp, strftime(max(ts), '%Y-%m-%d %H') AS last_stamp, count(*) FILTER (level = 'FATAL' AND event_type NOT IN ('view', 'click')) AS severe FROM loglines GROUP BY path")
+@query("file_profile", f"""
+WITH w AS (SELECT path, w AS word, count(*) AS n FROM (SELECT path, unnest(regexp_extract_all(text, '\\b([A-Z]{{3,12}})\\b', 1)) AS w FROM loglines) GROUP BY ALL),
+t AS (SELECT path, string_agg(word || '=' || n, ',' ORDER BY n DESC, word) AS vocabulary, string_agg(word || '=' || n, ',' ORDER BY word) FILTER (word IN ('FATAL', 'WARN', 'INFO')) AS severities FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n DESC, word) AS r FROM w) WHERE r <= 12 GROUP BY path)
+SELECT l.path, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, count(*) AS lines, CASE WHEN max(event_type) IN ('view', 'click') THEN strftime(min(ts), '%d/%b/%Y:%H:%M:%S') ELSE strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') END AS first_stamp, CASE WHEN max(event_type) IN ('view', 'click') THEN strftime(max(ts), '%d/%b/%Y:%H:%M:%S') ELSE strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') END AS last_stamp,
+  count(DISTINCT {SQL_SHAPE}) AS shapes, coalesce(any_value(severities), '') AS severities, coalesce(any_value(vocabulary), '') AS vocabulary FROM loglines l LEFT JOIN t ON t.path = l.path GROUP BY l.path""")
 def file_profile(spark, d):
-    return G.file_profile(loglines(spark, d), F.col("text").rlike(r"\bFATAL\b"), F.date_format(clock(F.col("text")), "yyyy-MM-dd HH"))
+    return G.file_profile(loglines(spark, d))
 
 
 @query("peer_identity", "SELECT ip, user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds, count(DISTINCT event_type) AS n FROM ev GROUP BY ALL HAVING count(DISTINCT event_type) >= 2")

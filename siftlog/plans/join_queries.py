@@ -177,12 +177,18 @@ def detector_score(spark, d):
     return j.groupBy("quality").agg(F.count_if(F.col("n_chars") < 300).alias("flagged"), F.count("*").alias("n"))
 
 
-@query("truth_outcome_pivot", """
-WITH o AS (SELECT toxic, CASE WHEN n_chars < 300 THEN 'dismissed' WHEN n_chars < 2000 THEN 'normal' ELSE 'incident' END AS outcome FROM documents JOIN labels USING (doc_id))
-SELECT toxic, count(*) FILTER (outcome = 'incident') AS incident, count(*) FILTER (outcome = 'normal') AS normal, count(*) FILTER (outcome = 'dismissed') AS dismissed FROM o GROUP BY toxic""")
+@query("truth_outcome_pivot", f"""
+WITH {_TRUTH}, o AS (SELECT {SQL_PATH} AS path, 1 AS b_lo, 2 AS b_hi, CASE WHEN n_chars < 300 THEN 'dismissed' WHEN n_chars < 2000 THEN 'unlabelled' ELSE 'normal' END AS outcome FROM documents WHERE doc_id % 6 < 5
+  UNION ALL SELECT {SQL_PATH}, 3, 6, 'incident' FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT {SQL_PATH}, 4, 6, 'incident' FROM documents),
+z AS (SELECT defect_id, is_decoy, max(CASE outcome WHEN 'incident' THEN 4 WHEN 'normal' THEN 3 WHEN 'unlabelled' THEN 2 WHEN 'dismissed' THEN 1 ELSE 0 END) AS z FROM t LEFT JOIN o ON o.path = t.path AND b_lo <= hi AND lo <= b_hi GROUP BY ALL)
+SELECT is_decoy, count(*) FILTER (z = 4) AS incident, count(*) FILTER (z = 3) AS normal, count(*) FILTER (z = 2) AS unlabelled, count(*) FILTER (z = 1) AS dismissed, count(*) FILTER (z = 0) AS elsewhere FROM z GROUP BY is_decoy""")
 def truth_outcome_pivot(spark, d):
-    j = table(spark, d, "documents").select("doc_id", F.when(F.col("n_chars") < 300, "dismissed").when(F.col("n_chars") < 2000, "normal").otherwise("incident").alias("outcome")).join(table(spark, d, "labels"), "doc_id")
-    return j.groupBy("toxic").pivot("outcome", ["incident", "normal", "dismissed"]).agg(F.count("doc_id")).na.fill(0)
+    path = F.concat("lang", F.lit("/"), "source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path")
+    docs = table(spark, d, "documents").select("doc_id", path, "n_chars")
+    block = lambda rows, lo, hi, outcome: rows.select("path", F.lit(lo).alias("b_lo"), F.lit(hi).alias("b_hi"), outcome.alias("outcome"))
+    told = F.when(F.col("n_chars") < 300, "dismissed").when(F.col("n_chars") < 2000, "unlabelled").otherwise("normal")
+    blocks = block(docs.where("doc_id % 6 < 5"), 1, 2, told).unionByName(block(docs.where("doc_id % 4 = 0"), 3, 6, F.lit("incident"))).unionByName(block(docs, 4, 6, F.lit("incident")))
+    return J.truth_outcomes(truth(spark, d), blocks)
 
 
 @query("proof_reach", """
@@ -266,15 +272,20 @@ def attribute_unique(spark, d):
 
 
 @query("coverage_audit", """
-WITH n AS (SELECT path, count(*) AS n FROM loglines GROUP BY path),
-c AS (SELECT path, CASE WHEN path LIKE 'h0%' THEN 0 ELSE n END AS declared FROM n WHERE path NOT LIKE '%view%' UNION ALL SELECT path, n FROM n WHERE path LIKE 'h2/%click%' UNION ALL SELECT 'x.log', 1)
-SELECT c.path, CAST(c.declared AS BIGINT) AS declared, concat_ws(',', CASE WHEN n.path IS NULL THEN 'missing' END, CASE WHEN count(*) OVER (PARTITION BY c.path) > 1 THEN 'duplicate' END, CASE WHEN declared = 0 AND n.n > 0 THEN 'false-empty' END) AS flags FROM c LEFT JOIN n USING (path)""")
+WITH n AS (SELECT path, host, event_type, count(*) AS n, event_type = 'signup' AS bin FROM loglines GROUP BY ALL),
+c AS (SELECT path AS asked, CASE host WHEN 'h0' THEN 'empty' WHEN 'h1' THEN 'binary' ELSE 'text' END AS state, CASE WHEN event_type = 'error' THEN 'h3/logs/error.log' ELSE path END AS cited FROM n WHERE event_type <> 'view'
+  UNION ALL SELECT path, 'text', path FROM n WHERE host = 'h2' AND event_type = 'click' UNION ALL SELECT 'x.log', 'text', NULL UNION ALL SELECT 'click.log', 'text', NULL),
+j AS (SELECT asked, state, cited, n.path, n, bin, asked = 'click.log' AS amb, count(*) OVER (PARTITION BY asked) AS times FROM c LEFT JOIN n ON n.path = asked)
+SELECT asked, state, concat_ws(',', CASE WHEN amb THEN 'ambiguous' WHEN path IS NULL THEN 'missing' END, CASE WHEN times > 1 THEN 'duplicate' END, CASE WHEN state = 'empty' AND n > 0 THEN 'false-empty' END, CASE WHEN state = 'binary' AND NOT bin THEN 'false-binary' END, CASE WHEN cited <> path THEN 'foreign-file' END) AS flags FROM j""")
 def coverage_audit(spark, d):
-    n = loglines(spark, d).groupBy("path").agg(F.count("*").alias("n"))
-    c = n.where("path not like '%view%'").select("path", F.when(F.col("path").startswith("h0"), 0).otherwise(F.col("n")).alias("declared"))
-    c = c.unionByName(n.where("path like 'h2/%click%'").select("path", F.col("n").alias("declared"))).unionByName(spark.createDataFrame([("x.log", 1)], "path string, declared long"))
-    flags = F.array(F.when(F.col("n").isNull(), "missing"), F.when(F.count("*").over(W.partitionBy("path")) > 1, "duplicate"), F.when((F.col("declared") == 0) & (F.col("n") > 0), "false-empty"))
-    return c.join(n, "path", "left").select("path", F.col("declared").cast("long").alias("declared"), F.array_join(F.array_compact(flags), ",").alias("flags"))
+    """Declared files against the inventory: hosts declared empty or binary, files declared twice, by a bare name or not there, citations from elsewhere."""
+    n = loglines(spark, d).groupBy("path", "host", "event_type").agg(F.count("*").alias("n")).withColumn("binary", F.col("event_type") == "signup")
+    state = F.when(F.col("host") == "h0", "empty").when(F.col("host") == "h1", "binary").otherwise("text")
+    cited = F.when(F.col("event_type") == "error", "h3/logs/error.log").otherwise(F.col("path"))
+    c = n.where("event_type <> 'view'").select(F.col("path").alias("asked"), state.alias("state"), cited.alias("cited"))
+    c = c.unionByName(n.where("host = 'h2' and event_type = 'click'").select(F.col("path").alias("asked"), F.lit("text").alias("state"), F.col("path").alias("cited")))
+    c = c.unionByName(spark.createDataFrame([("x.log", "text", None), ("click.log", "text", None)], "asked string, state string, cited string"))
+    return J.coverage_audit(c, n.select("path", "n", "binary"))
 
 
 @query("channel_scores", _CLAIMS + """
@@ -337,7 +348,7 @@ def worklist_sink(spark, d):
     return read_table(spark, path).select("path", *[F.col(c).cast("long").alias(c) for c in ("line_no", "round", "place")], F.substring_index("path", "/", 1).alias("host"))
 
 
-@query("tempo_sink", _RATE + " SELECT path, grp, n0, n1, CAST(ratio AS DOUBLE) AS ratio, CASE WHEN ratio >= 1.25 OR ratio <= 0.8 THEN 'rate' ELSE 'background' END AS kind FROM r")
+@query("tempo_sink", _RATE + " SELECT path, grp, n0, n1, CAST(ratio AS DOUBLE) AS ratio, CASE WHEN moved THEN 'rate' ELSE 'background' END AS kind FROM r")
 def tempo_sink(spark, d):
     """Writes the tempo table, what moved beside what didn't, as tab-separated text and reads it back."""
     r = rates(spark, d)
@@ -368,21 +379,35 @@ def latest_row(spark, d):
 @query("receipt_sample", """
 WITH e AS (SELECT event_type, host, event_id, k < 2 AS pref, sha256(event_type || '|' || event_id) AS key FROM ev),
 t AS (SELECT *, row_number() OVER (PARTITION BY event_type, host ORDER BY pref DESC, key) AS turn, count(*) OVER (PARTITION BY event_type) AS n FROM e),
+f AS (SELECT event_type, count(DISTINCT host) FILTER (pref) AS files FROM e GROUP BY event_type),
 a AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY pref DESC, turn, key) AS pos FROM t)
-SELECT event_type, event_id FROM a WHERE pos <= least(n, greatest(3, ceil(sqrt(n))))""")
+SELECT event_type, event_id FROM a JOIN f USING (event_type) WHERE pos <= least(n, greatest(3, ceil(sqrt(n)), files))""")
 def receipt_sample(spark, d):
     return J.receipt_sample(events(spark, d), "event_type", "host", "event_id", F.col("k") < 2)
 
 
-@query("receipt_audit", """
-WITH s AS (SELECT event_id, 'R' || (event_id % 4) AS rule FROM ev WHERE event_id % 3 = 0), r AS (SELECT event_id, 'R' || (event_id % 5) AS rule FROM ev WHERE event_id % 6 = 0)
-SELECT coalesce(s.event_id, r.event_id) AS event_id, CASE WHEN r.event_id IS NULL THEN 'missing' WHEN s.rule <> r.rule AND r.rule = 'R4' THEN 'unknown-rule' WHEN s.rule <> r.rule THEN 'conflict' ELSE 'ok' END AS state FROM s FULL JOIN r ON s.event_id = r.event_id""")
+_RECEIPTS = """
+WITH c AS (SELECT event_id AS row, 'R' || (event_id % 4) AS rule, host || ':' || k AS ref FROM ev),
+g AS (SELECT event_id AS row, 'R' || (event_id % 5) AS rule, CASE WHEN event_id % 30 = 0 THEN 'nowhere:1' ELSE host || ':' || k END AS ref, 'q' || ms AS quote, CASE WHEN event_id % 42 = 0 THEN 'candidate' ELSE 'rule' END AS decision FROM ev WHERE event_id % 6 = 0),
+r AS (SELECT * FROM g UNION ALL SELECT * FROM g WHERE row % 24 = 0 UNION ALL SELECT row, rule, ref, quote || '!', decision FROM g WHERE row % 36 = 0 UNION ALL SELECT row + 1000000000, rule, ref, quote, decision FROM g WHERE row % 66 = 0)"""
+
+
+@query("receipt_audit", _RECEIPTS + """
+SELECT rule, row, 'missing' AS kind, count(*) AS n FROM c WHERE row % 3 = 0 AND NOT EXISTS (SELECT 1 FROM r WHERE r.rule = c.rule AND r.row = c.row AND decision = 'rule') GROUP BY ALL
+UNION ALL SELECT rule, row, CASE WHEN count(DISTINCT (ref, quote, decision)) = 1 THEN 'duplicate-identical' ELSE 'duplicate-conflicting' END, 1 FROM r GROUP BY rule, row HAVING count(*) > 1
+UNION ALL SELECT rule, row, 'candidate', count(*) FROM r WHERE decision = 'candidate' GROUP BY ALL
+UNION ALL SELECT rule, row, CASE WHEN rule = 'R4' THEN 'unknown-rule' WHEN row >= 1000000000 THEN 'unknown-row' ELSE 'row-not-covered' END, count(*) FROM r WHERE rule = 'R4' OR row >= 1000000000 OR row % 4 <> CAST(rule[2:] AS BIGINT) GROUP BY ALL
+UNION ALL SELECT rule, r.row, 'wrong-address', count(*) FROM r JOIN (SELECT row, ref AS own FROM c) o ON o.row = r.row WHERE ref <> own GROUP BY ALL""")
 def receipt_audit(spark, d):
-    e = events(spark, d)
-    due = e.where("event_id % 3 = 0").select("event_id", F.concat(F.lit("R"), F.col("event_id") % 4).alias("rule"))
-    got = e.where("event_id % 6 = 0").select("event_id", F.concat(F.lit("R"), F.col("event_id") % 5).alias("given"))
-    state = F.when(F.col("given").isNull(), "missing").when((F.col("rule") != F.col("given")) & (F.col("given") == "R4"), "unknown-rule").when(F.col("rule") != F.col("given"), "conflict").otherwise("ok")
-    return due.join(got, "event_id", "full_outer").select("event_id", state.alias("state"))
+    """Rules that cover every fourth row; receipts for some, doubled, in doubt, misaddressed, of rules and rows that aren't there."""
+    e, row = events(spark, d), F.col("event_id").alias("row")
+    ref = F.concat("host", F.lit(":"), "k")
+    covered = e.select(row, F.concat(F.lit("R"), F.col("event_id") % 4).alias("rule"), ref.alias("own"))
+    got = e.where("event_id % 6 = 0").select(row, F.concat(F.lit("R"), F.col("event_id") % 5).alias("rule"), F.when(F.col("event_id") % 30 == 0, "nowhere:1").otherwise(ref).alias("ref"), F.concat(F.lit("q"), "ms").alias("quote"), F.when(F.col("event_id") % 42 == 0, "candidate").otherwise("rule").alias("decision"))
+    more = got.where("row % 36 = 0").withColumn("quote", F.concat("quote", F.lit("!")))
+    lost = got.where("row % 66 = 0").withColumn("row", F.col("row") + 1_000_000_000)
+    receipts = got.unionByName(got.where("row % 24 = 0")).unionByName(more).unionByName(lost)
+    return J.receipt_audit(covered.select("rule", "row"), covered.where("row % 3 = 0").select("rule", "row"), receipts, covered.select("row", "own"), ["R0", "R1", "R2", "R3"])
 
 
 @query("top_rare_shapes", f"""
@@ -394,13 +419,17 @@ def top_rare_shapes(spark, d):
     return G.top_and_rare(c, ["path"], "shape", 1, 1)
 
 
+_KLASS = ("T", "C", "P", "S", "B", "O", "V", "F")
+
+
 @query("priority_cut", """
-WITH e AS (SELECT event_id, host, CASE WHEN status >= 500 THEN 'T' WHEN status = 404 THEN 'C' WHEN ms > 400 THEN 'P' ELSE 'F' END AS klass FROM ev),
-w AS (SELECT *, row_number() OVER (PARTITION BY host, klass ORDER BY event_id) AS w, CASE klass WHEN 'T' THEN 1 WHEN 'C' THEN 2 WHEN 'P' THEN 3 ELSE 4 END AS p FROM e)
-SELECT event_id, place FROM (SELECT event_id, row_number() OVER (ORDER BY p, host, event_id) AS place FROM w WHERE klass <> 'F' OR w <= 6) WHERE place <= 250""")
+WITH e AS (SELECT event_id, host, CASE WHEN status >= 500 THEN 'T' WHEN status = 404 THEN 'C' WHEN ms > 480 THEN 'P' WHEN k > 97 THEN 'S' WHEN k = 42 THEN 'B' WHEN k = 50 THEN 'O' WHEN ms < 10 THEN 'V' ELSE 'F' END AS klass FROM ev),
+w AS (SELECT *, row_number() OVER (PARTITION BY host, klass ORDER BY event_id) AS w, strpos('TCPSBOVF', klass) AS p FROM e),
+n AS (SELECT event_id, row_number() OVER (ORDER BY p, host, event_id) AS place FROM w WHERE klass <> 'F' OR w <= 6)
+SELECT event_id, place, (SELECT count(*) FROM ev) - (SELECT count(*) FROM n WHERE place <= 250) AS dropped FROM n WHERE place <= 250""")
 def priority_cut(spark, d):
-    klass = F.when(F.col("status") >= 500, "T").when(F.col("status") == 404, "C").when(F.col("ms") > 400, "P").otherwise("F")
-    return J.priority_cut(events(spark, d).withColumn("klass", klass), "host", "klass", "event_id", ["T", "C", "P", "F"], "F")
+    klass = F.when(F.col("status") >= 500, "T").when(F.col("status") == 404, "C").when(F.col("ms") > 480, "P").when(F.col("k") > 97, "S").when(F.col("k") == 42, "B").when(F.col("k") == 50, "O").when(F.col("ms") < 10, "V").otherwise("F")
+    return J.priority_cut(events(spark, d).withColumn("klass", klass), "host", "klass", "event_id", list(_KLASS), "F")
 
 
 @query("byte_budget", """

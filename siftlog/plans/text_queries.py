@@ -36,7 +36,11 @@ def actors(spark, d):
     return loglines(spark, d).select("path", F.explode(M.actors(F.col("text"))).alias("actor")).groupBy("path", "actor").agg(F.count("*").alias("n"))
 
 
-@query("line_shape", r"""SELECT path, substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z|\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}', '<ts>', 'g'), '\b\d{1,3}(\.\d{1,3}){3}\b', '<ip>', 'g'), '\b[0-9a-f]{6,}\b', '#', 'g'), '\d+', '#', 'g'), 1, 180) AS shape, count(*) AS n FROM loglines GROUP BY ALL""")
+#: The shape of the derived lines in SQL.
+SQL_SHAPE = r"""substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z|\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}', '<ts>', 'g'), '\b\d{1,3}(\.\d{1,3}){3}\b', '<ip>', 'g'), '\b[0-9a-f]{6,}\b', '#', 'g'), '\d+', '#', 'g'), 1, 180)"""
+
+
+@query("line_shape", f"SELECT path, {SQL_SHAPE} AS shape, count(*) AS n FROM loglines GROUP BY ALL")
 def line_shape(spark, d):
     return loglines(spark, d).groupBy("path", M.shape(F.col("text")).alias("shape")).agg(F.count("*").alias("n"))
 

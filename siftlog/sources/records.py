@@ -59,4 +59,4 @@ def truth_spans(keys: DataFrame, key: str = "value") -> DataFrame:
 
 def read_truth(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """``truth_spans`` of answer keys on disk: one to a line, or one to a file."""
-    return truth_spans(spark.read.option("wholetext", whole_files).option("recursiveFileLookup", True).text(path))
+    return truth_spans(spark.read.text(path, wholetext=whole_files, recursiveFileLookup=True))
