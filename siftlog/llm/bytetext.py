@@ -31,7 +31,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = (np.full(size, U(b & (1 << 64) - 1)) for b in (BASE, INVERSE))
         up[0] = down[0] = U(1)
         up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size > 1 << 22:
+        if size > 1 << 21:
             return up[:n], down[:n]
         _powers.update(up=up, down=down)
     return _powers["up"][:n], _powers["down"][:n]

@@ -27,10 +27,12 @@ OPEN, CLOSE = ord("<"), ord(">")
 @cache
 def _characters() -> tuple[np.ndarray, np.ndarray]:
     """Of each code point: its lower case, where that is one character, and whether that is a letter."""
-    every = [chr(i) for i in range(0x110000)]
-    low = [c.lower() for c in every]
-    points = np.array([ord(x if len(x) == 1 else c) for c, x in zip(every, low, strict=True)], np.uint32)
-    return points, np.array([c.isalpha() for c in every])[points]
+    points, letters = np.zeros(0x110000, np.uint32), np.zeros(0x110000, bool)
+    for a in range(0, 0x110000, 0x1000):  # some at a time, for their objects would be many times the tables
+        some = [chr(i) for i in range(a, a + 0x1000)]
+        points[a : a + 0x1000] = [ord(low if len(low := c.lower()) == 1 else c) for c in some]
+        letters[a : a + 0x1000] = [c.isalpha() for c in some]
+    return points, letters[points]
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,6 +67,15 @@ def _hashes(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.nda
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xA24BAED4963EE407))
 
 
+def _word_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of words in order, some at a time to bound memory."""
+    out = [np.zeros(0, U)]
+    for i, j in spans(np.append(starts, ends[-1:]), 1 << 19) if len(starts) else ():
+        sums, down = _sums(points[starts[i] : ends[j - 1]])
+        out.append(_hashes(sums, down, starts[i:j] - starts[i], ends[i:j] - starts[i]))
+    return np.concatenate(out)
+
+
 def hashes_of(strings: list[str]) -> np.ndarray:
     """The hash of each string, as words and n-grams have it."""
     size = np.array([len(s) for s in strings], np.int64)
@@ -144,7 +155,7 @@ class LanguageModel:
         out = np.zeros((docs, len(self.languages)))
         if not len(starts) or not self.languages:
             return out, np.bincount(doc, minlength=docs)
-        distinct, first, index = np.unique(_hashes(*_sums(points), starts, ends), return_index=True, return_inverse=True)
+        distinct, first, index = np.unique(_word_hashes(points, starts, ends), return_index=True, return_inverse=True)
         scores = np.zeros((len(distinct), len(self.languages)))
         row = self.words.find(distinct)
         scores[row >= 0] = self.words.rows[row[row >= 0]]
@@ -197,20 +208,17 @@ def _counted(longest: int):
             place = b["place"].to_numpy(zero_copy_only=False).astype(np.int64)
             for i, j in spans(offsets):
                 points, starts, ends, doc = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                if not len(starts):
-                    continue
-                lang = place[i + doc]
-                found = [(0, _hashes(*_sums(points), starts, ends), lang)]
-                text, a, stop = _marked(points, starts, ends)
-                sums, down = _sums(text)
-                owner = np.repeat(np.arange(len(a)), stop - a)
-                for size in range(1, longest + 1):
-                    at = np.flatnonzero(np.arange(len(text)) + size <= stop[owner])
-                    found.append((size, _hashes(sums, down, at, at + size), lang[owner[at]]))
-                for size, h, lang in found:
-                    for one in np.unique(lang):
-                        keys, n = np.unique(h[lang == one], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), size, np.int32)), pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), one, np.int32)), pa.array(n.astype(np.int64))], ["size", "key", "place", "n"])
+                for u, v in spans(np.concatenate(([0], np.cumsum(ends - starts))), 1 << 18):  # some words at a time, to bound memory
+                    lang = place[i + doc[u:v]]
+                    text, a, stop = _marked(points, starts[u:v], ends[u:v])
+                    sums, down = _sums(text)
+                    owner = np.repeat(np.arange(len(a)), stop - a)
+                    for size in range(longest + 1):
+                        at = np.flatnonzero(np.arange(len(text)) + size <= stop[owner]) if size else a + 1
+                        h, of = _hashes(sums, down, at, at + size if size else stop - 1), lang[owner[at]]
+                        for one in np.unique(of):
+                            keys, n = np.unique(h[of == one], return_counts=True)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), size, np.int32)), pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), one, np.int32)), pa.array(n.astype(np.int64))], ["size", "key", "place", "n"])
         give_back()
 
     return run

@@ -22,6 +22,8 @@ _WORD[SPACE] = 0
 #: Lead bytes of letters U+00C0 to U+023F are 0xC3 to 0xC8; other lead bytes, apostrophes and underscores keep a text whole.
 _WHOLE = np.zeros(256, bool)
 _WHOLE[[0x27, 0x5F, 0xC2, *range(0xC9, 0x100)]] = True
+#: Bytes of a document that are encoded at once.
+LONG = 1 << 19
 _held: dict[str, Pieces] = {}
 
 
@@ -77,7 +79,28 @@ class Pieces:
         self.at, self.size = np.concatenate((self.at, at))[order], np.concatenate((self.size, size))[order]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, counts_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all documents end to end, number of ids of each document); the first is empty if only counts are asked for."""
+        """(ids of all documents end to end, number of ids of each document); the first is empty if only counts are asked for.
+
+        Documents above ``LONG`` bytes are encoded in parts that end at white space, to bound memory.
+        """
+        if not (np.diff(offsets) > LONG).any():
+            return self._encode(data, offsets, counts_only)
+        ids, n = [], []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            size = 0
+            while True:
+                stop = min(b, a + LONG)
+                if stop < b:  # the first white space from there on, so a longer word stays whole
+                    stop += int(np.argmax(SPACE[data[stop:b]])) if SPACE[data[stop:b]].any() else b - stop
+                part, k = self._encode(data[a:stop], np.array([0, stop - a]), counts_only)
+                ids.append(part)
+                size, a = size + int(k[0]), stop
+                if a >= b:
+                    break
+            n.append(size)
+        return np.concatenate([np.zeros(0, np.int32), *ids]), np.array(n, np.int64)
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray, counts_only: bool) -> tuple[np.ndarray, np.ndarray]:
         text, starts, ends, doc = cut(data, offsets)
         docs = len(offsets) - 1
         if not len(starts):

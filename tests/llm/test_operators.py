@@ -295,6 +295,22 @@ def test_pieces_equal_the_library_on_hostile_texts(tokenizer):
             assert one.tolist() == tokenizer.encode(texts[k], add_special_tokens=False).ids, texts[k]
 
 
+def test_long_documents_in_parts_equal_the_library(tokenizer, monkeypatch):
+    import pyarrow as pa
+
+    from siftlog.llm import tokens
+    from siftlog.llm.bytetext import text_buffers
+
+    rng = random.Random(6)
+    parts = ["word", "don't", "É_é", "<|endoftext|>", "\n\n", "  ", "12.5", "日本", "\t", "x" * 90]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "", " "]) for _ in range(k)) for k in (0, 3, 80, 400, 0, 90)] + ["y" * 500, " " * 300, "tail "]
+    monkeypatch.setattr(tokens, "LONG", 64)
+    ids, n = tokens.Pieces(PATH).encode(*text_buffers(pa.array(texts)))
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+    assert tokens.Pieces(PATH).encode(*text_buffers(pa.array(texts)), counts_only=True)[1].tolist() == n.tolist()
+
+
 def test_token_orc(spark, odd_docs, no_docs, tokenizer):
     path = work_path(spark, "test-orc")
     token_orc.write_token_orc(odd_docs, path, PATH)
