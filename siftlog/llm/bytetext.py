@@ -139,6 +139,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
 
 def give_back() -> None:
     """Return freed memory to the system at the end of a task: workers are reused, and each would keep its own peak."""
+    _powers.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

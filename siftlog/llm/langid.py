@@ -281,6 +281,7 @@ def labelled(docs: DataFrame, model: LanguageModel, text_col: str = "text", name
             got = [m.judged(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], certain_at) for i, j in spans(offsets)]
             at, scores = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((int, float), zip(*got, strict=True) if got else ((), ()), strict=True))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names_of[at].tolist(), pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, *names])
+        m.guesses = None
         give_back()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))

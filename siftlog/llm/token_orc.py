@@ -33,10 +33,11 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks_for(held, file_bytes))
 
     def encode(batches):
+        give_back()  # what tasks of other operators left in this worker
         coder = pieces(tokenizer_path)
         for b in batches:
             data, offsets = text_buffers(b["text"])
-            for i, j in spans(offsets):
+            for i, j in spans(offsets, 1 << 18):
                 ids, n = coder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ids = np.insert(ids, np.cumsum(n), np.int32(end_id))
                 ends = np.concatenate(([0], np.cumsum(n + 1)))

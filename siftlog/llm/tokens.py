@@ -23,7 +23,7 @@ _WORD[SPACE] = 0
 _WHOLE = np.zeros(256, bool)
 _WHOLE[[0x27, 0x5F, 0xC2, *range(0xC9, 0x100)]] = True
 #: Bytes of a document that are encoded at once.
-LONG = 1 << 19
+LONG = 1 << 18
 _held: dict[str, Pieces] = {}
 
 
