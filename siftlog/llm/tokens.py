@@ -63,20 +63,35 @@ class Pieces:
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.at, self.size, self.ids = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # sorted hashes, where their ids begin, how many they are
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def _find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where the ids of each hash begin, -1 if it isn't held; how many they are)."""
+        at, size = np.full(len(wanted), -1, np.int64), np.zeros(len(wanted), np.int64)
+        for known, begin, count in self.runs:
+            place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            met = np.flatnonzero(known[place] == wanted)
+            at[met], size[met] = begin[place[met]], count[place[met]]
+        return at, size
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        ids, size = [self.ids], []
+        ids, size = [], []
         for i in range(0, len(texts), 5000):
             got = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 5000], add_special_tokens=False)]
             size += map(len, got)
             ids.append(np.array([x for one in got for x in one], np.int32))
-        size = np.array(size, np.int64)
-        at = len(self.ids) + np.cumsum(size) - size
-        known = np.concatenate((self.known, hashes))
-        order = np.argsort(known, kind="stable")
-        self.known, self.ids = known[order], np.concatenate(ids)
-        self.at, self.size = np.concatenate((self.at, at))[order], np.concatenate((self.size, size))[order]
+        ids, size = np.concatenate(ids), np.array(size, np.int64)
+        if self.used + len(ids) > len(self.ids):  # a quarter more, so that each id is moved a few times only
+            self.ids = np.concatenate((self.ids[: self.used], np.zeros(len(ids) + self.used // 4, np.int32)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        run = hashes, self.used + np.cumsum(size) - size, size
+        self.used += len(ids)
+        # A run joins those before it that are not four times its size: few runs to search, and each hash is moved a few times only.
+        while self.runs and len(self.runs[-1][0]) < 4 * len(run[0]):
+            run = tuple(map(np.concatenate, zip(self.runs.pop(), run, strict=True)))
+        order = np.argsort(run[0], kind="stable")
+        self.runs.append(tuple(x[order] for x in run))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, counts_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents end to end, number of ids of each document); the first is empty if only counts are asked for.
@@ -106,21 +121,20 @@ class Pieces:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(docs, np.int64)
         distinct, first, index = np.unique(word_hashes(text, starts, ends), return_index=True, return_inverse=True)
-        for _ in range(2):
-            place = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
-            new = np.flatnonzero(self.known[place] != distinct) if len(self.known) else np.arange(len(distinct))
-            if not len(new):
-                break
-            if len(self.known) + len(new) > self.most and len(self.known):
+        at, size = self._find(distinct)
+        if (at < 0).any():
+            new = np.flatnonzero(at < 0)
+            if self.runs and sum(len(r[0]) for r in self.runs) + len(new) > self.most:
                 self._clear()
                 new = np.arange(len(distinct))
             raw = text.tobytes()
             self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-        size = self.size[place][index]
+            at, size = self._find(distinct)
+        at, size = at[index], size[index]
         n = np.bincount(doc, size, docs).astype(np.int64)
         if counts_only:
             return np.zeros(0, np.int32), n
-        return self.ids[np.arange(size.sum()) + np.repeat(self.at[place][index] - (np.cumsum(size) - size), size)], n
+        return self.ids[np.arange(size.sum()) + np.repeat(at - (np.cumsum(size) - size), size)], n
 
 
 def pieces(path: str) -> Pieces:

@@ -767,3 +767,18 @@ def test_warc_with_null_ids_and_huge_lengths(spark):
     got = warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
     sha = lambda h: hashlib.sha256((h or "").encode()).hexdigest()
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest) for r in got) == Counter((i, len(h or ""), sha(h)) for i, h in rows)
+
+
+def test_pieces_forget_and_keep_alike():
+    """Ids are the library's, whether the cache holds all pieces in many runs or starts anew again and again."""
+    from siftlog.llm.tokens import Pieces
+
+    texts = [" ".join(f"w{i * j % 977}x{j}, Ünï{j % 13}'s" for j in range(i % 40)) for i in range(300)]
+    for most in (50, 2_000_000):
+        held = Pieces(PATH, most)
+        want = [e.ids for e in held.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        for i in range(0, len(texts), 7):
+            some = [t.encode() for t in texts[i : i + 7]]
+            ids, n = held.encode(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)]))
+            assert n.tolist() == [len(w) for w in want[i : i + 7]]
+            assert ids.tolist() == [x for w in want[i : i + 7] for x in w]
