@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftlog.llm.bytetext import LOWER, U, give_back, mix, prefix_sums, spans, text_buffers, word_bounds
-from siftlog.llm.shared import picked, saved
+from siftlog.llm.shared import picked, saved, small_batches
 
 #: Units, after a number.
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "lb", "oz", "ml", "l", "s", "sec", "min", "h", "hr", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "meters", "metres", "miles", "feet", "inches", "grams", "pounds", "liters", "litres", "dollars", "euros", "cents", "percent", "%", "$", "€", "£", "°c", "°f", "kmh", "mph", "w", "kw", "v", "hz", "kb", "mb", "gb")
@@ -152,7 +152,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     found = texts(docs, id_col, text_col).mapInArrow(_windows(width, lengths, wanted), MATCH).select("doc_id", "spot", "place", "window", "slots")
     if wanted is None:
         found = found.join(distinct, "window", "left_semi")
-    found = saved(found, "benchmark-found")  # windows of items only
+    with small_batches(spark):
+        found = saved(found, "benchmark-found")  # windows of items only
     asked = items.select(F.col("doc_id").alias("item_id"), F.col("place").alias("item_place"), "window", F.col("slots").alias("item_slots"), "bare")
     # A document with the asked share of an item's windows has one of its rarest few, so windows that many items share meet only
     # the pairs that those few leave.

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlog.llm.bytetext import spans, text_buffers
-from siftlog.llm.shared import picked, saved
+from siftlog.llm.shared import picked, saved, small_batches
 from siftlog.llm.tokens import pieces
 
 CACHE = "content binary, tokenizer string, n_tokens long"
@@ -66,6 +66,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
             yield pa.RecordBatch.from_arrays([b["content"], pa.array(np.concatenate([np.zeros(0, np.int64), *n]))], ["content", "n_tokens"])
 
     new = texts.mapInArrow(encode, "content binary, n_tokens long")
-    new.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
+    with small_batches(spark):
+        new.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     out = rows.join(read_cache(spark, cache_path, version), "content")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftlog.llm.bytetext import give_back, spans, text_buffers
-from siftlog.llm.shared import chunks_for, picked, saved
+from siftlog.llm.shared import chunks_for, picked, saved, small_batches
 from siftlog.llm.tokens import pieces
 
 
@@ -48,7 +48,9 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
     ordered = docs.repartitionByRange(n, *order, "reader").sortWithinPartitions(*order)
     out = ordered.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids array<int>").write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01)
-    out.option("orc.create.index", "true").option("orc.row.index.stride", 1000).option("orc.stripe.size", stripe_bytes).option("compression", "zstd").orc(path)
+    out = out.option("orc.create.index", "true").option("orc.row.index.stride", 1000).option("orc.stripe.size", stripe_bytes).option("compression", "zstd")
+    with small_batches(docs.sparkSession):
+        out.orc(path)
 
 
 def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +71,8 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
     rows = read_token_orc(spark, path).select(F.col("_metadata.file_name").alias("file"), "doc_id", "ids").withColumn("place", F.monotonically_increasing_id())
     rows = rows.select("file", "place", "doc_id", "ids").mapInArrow(digest, "file string, place long, doc_id long, n_tokens long, ids_crc32 long")
-    rows = saved(rows, "orc-index")
+    with small_batches(spark):
+        rows = saved(rows, "orc-index")
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("held"), F.bool_or(F.col("doc_id").isNull()).alias("null_ids"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     by_id = W.orderBy(F.col("null_ids").desc(), F.col("least").asc_nulls_first(), F.col("most").asc_nulls_first(), "file")  # one row for each file
     files = files.withColumn("base", F.coalesce(F.sum("held").over(by_id.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from siftlog.llm import decontaminate, host_rules, jaccard_join, langid, mixing, packed, quality, suffix_dedup, token_counts, token_orc, warc
 from siftlog.llm.components import components
 from siftlog.llm.queries import TOKENIZER
-from siftlog.llm.shared import work_path
+from siftlog.llm.shared import small_batches, work_path
 
 PATH = public_tokenizers.path(TOKENIZER)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -327,6 +327,34 @@ def test_token_orc(spark, odd_docs, no_docs, tokenizer):
     assert token_orc.token_index(spark, empty).count() == 0
 
 
+def test_small_batches_bound_bytes_and_put_the_setting_back(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(2000, numPartitions=1).select(F.repeat(F.lit("x"), 1000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield b.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    def written():
+        texts.mapInArrow(sizes, "rows long, bytes long").write.parquet(path := work_path(spark, "sizes"))
+        return spark.read.parquet(path).collect()
+
+    assert spark.conf.get(key, None) is None
+    assert [r["rows"] for r in written()] == [2000]
+    with small_batches(spark, 100_000):
+        got = written()
+    assert sum(r["rows"] for r in got) == 2000 and len(got) > 15 and max(r["bytes"] for r in got) < 110_000
+    assert spark.conf.get(key, None) is None
+    spark.conf.set(key, "123456")
+    try:
+        with pytest.raises(ZeroDivisionError), small_batches(spark):
+            assert spark.conf.get(key) == str(4 << 20)
+            1 / 0
+        assert spark.conf.get(key) == "123456"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_token_orc_spreads_equal_rows_and_grows_files_with_bytes(spark, tokenizer):
     rows = [(5, "equal rows of text")] * 400 + [(i, f"text {i}") for i in range(200)] + [(None, "no id")] * 3
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
