@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlog.llm.conversation_repair import COUNTS, damaged, repair
 from siftlog.llm.decontaminate import find_contamination
 from siftlog.llm.fill_middle import fill_in_middle, restored
 from siftlog.llm.host_rules import host_rules
@@ -13,6 +14,7 @@ from siftlog.llm.jaccard_join import jaccard_classes
 from siftlog.llm.langid import fit, predict
 from siftlog.llm.mixing import mix_sources
 from siftlog.llm.quality import fit_quality, score_quality
+from siftlog.llm.secret_scan import KINDS, listed, scan_secrets
 from siftlog.llm.shared import work_path
 from siftlog.llm.suffix_dedup import remove_repeats
 from siftlog.llm.token_counts import count_tokens
@@ -80,6 +82,22 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, path)
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < KINDS.index("random"))
+    n = [F.size(F.filter("spans", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{name}") for kind, name in enumerate(KINDS[:3])]
+    return found.select("doc_id", *n, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that lost every row have zeros, no audit and the digest of nothing."""
+    rows = table(spark, sf_dir, "conversations")
+    found = repair(damaged(rows)).verdicts.withColumnRenamed("conv_id", "repaired_id").withColumn("found", F.lit(True))
+    out = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("repaired_id")), "left")
+    nothing = dict.fromkeys(COUNTS, F.lit(0)) | {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    return out.select("conv_id", *[F.when(F.col("found"), F.col(c)).otherwise(x).alias(c) for c, x in nothing.items()])
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_in_middle(table(spark, sf_dir, "documents"))
     back = restored(F.col("output"), F.col("form"))
@@ -87,11 +105,62 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns(digests).drop("output")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_language, op3_token_counts, op4_suffix_dedup, op5_decontaminate, op6_quality, op7_jaccard, op8_host_rules, op9_warc, op10_token_orc, op13_fill_middle)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_language, op3_token_counts, op4_suffix_dedup, op5_decontaminate, op6_quality, op7_jaccard, op8_host_rules, op9_warc, op10_token_orc, op11_secret_scan, op12_conversation_repair, op13_fill_middle)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+
+
+def _repair_sql() -> str:
+    """The shortest path over four states, a turn at a time; each state holds its least (cost, audit) and the repaired turns."""
+
+    def way(v: str, cost: int | str, edit: str, line: str = "") -> str:
+        new = f", 'r': list_append({v}.r, {line})" if line else f", 'r': {v}.r"
+        return f"CASE WHEN {v} IS NOT NULL THEN {{'c': {v}.c + {cost}, 'a': {v}.a || '{edit}'{new}}} END"
+
+    least = lambda *ways: f"list_min([{', '.join(ways)}])"
+    user, assistant = "'user:'", "'assistant:'"
+    keep = lambda v, initial: f"CASE WHEN i = '{initial}' AND NOT gone THEN {way(v, 'more', 'K', 'line')} END"
+    rerole = lambda v, role: f"CASE WHEN NOT gone THEN {way(v, '3 + more', 'R', f'{role} || text')} END"
+    w2 = least("v2", way("v0", 3, "I", user), way("v1", 3, "I", user), way("v3", 3, "I", user))
+    return rf"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(key) + 1), lambda p: list_transform(range(0, 8), lambda b: (ascii(key[p]) >> b)::BIGINT & 1)))),
+    lambda c, b: xor(c >> 1, xor(c & 1, b) * 3988292384)), 4294967295) % 20 AS kind FROM k),
+d AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE kind <> 0),
+o AS (
+  SELECT *, row_number() OVER c AS p, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, lag(left(role, 1)) OVER c AS before,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t
+  FROM d WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+f AS (
+  SELECT *, left(role, 1) AS i, role || ':' || text AS line, t = '' AS blank, t <> '' AND nth > 1 AS duplicate, t <> '' AND nth = 1 AND NOT contains('.!?', right(t, 1)) AS truncated FROM o),
+g AS (SELECT conv_id, p, i, line, text, blank OR duplicate AS gone, CASE WHEN truncated THEN 3 ELSE 0 END AS more FROM f),
+s(conv_id, p, v0, v1, v2, v3) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, {{'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]}}, NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR[]), NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR[]), NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR[]) FROM g
+  UNION ALL
+  SELECT conv_id, p, {way('v0', 4, 'D')}, {least(way('v1', 4, 'D'), keep('v0', 's'))},
+    {least(way('w2', 4, 'D'), keep('v0', 'u'), keep('v1', 'u'), keep('w3', 'u'), rerole('v0', user), rerole('v1', user), rerole('w3', user))},
+    {least(way('w3', 4, 'D'), keep('w2', 'a'), rerole('w2', assistant))}
+  FROM (SELECT *, {least('v3', way('w2', 3, 'I', assistant))} AS w3
+    FROM (SELECT g.*, v0, v1, v2, v3, {w2} AS w2 FROM s JOIN g ON s.conv_id IS NOT DISTINCT FROM g.conv_id AND g.p = s.p + 1))),
+e AS (
+  SELECT conv_id, {least('v0', 'v3', way('v2', 3, 'I', assistant), way(f"({way('v1', 3, 'I', user)})", 3, 'I', assistant))} AS best
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY p DESC) AS back FROM s) WHERE back = 1),
+n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
 ORACLE_SQL = {
+    "op12_conversation_repair": _repair_sql(),
     "op1_mix": f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
