@@ -1,20 +1,23 @@
 """Records: which physical lines form one, by five framings.
 
-Windows run over a file's lines in order (path, line_no); every framing gives path, line_start, line_end, text.
+What a line needs of the lines before it comes from ``along``, so a file's lines are spread over tasks; every framing
+gives path, line_start, line_end, text. ``framed`` deals each file of a mixed corpus to its framing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
-from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from siftlog.functions.clock import TIME_SHAPES, order_key
+from siftlog.operators.scan import along
 from siftlog.operators.timing import clock_residue
+from siftlog.work import saved
 
 #: Line shapes.
 CRI = r"^\S+Z (stdout|stderr) [PF] "
+CRI_TAG = r"^\S+Z (?:stdout|stderr) ([PF]) "
 BLOCK_KEY = r"^[A-Za-z_][A-Za-z0-9_.-]*[:=]"
 LEADING_STAMP = (
     r"^\W{0,3}(?:\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}|\d{2}\.\d{2}\.\d{4} \d{2}:\d{2}:\d{2}|[A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}"
@@ -23,10 +26,6 @@ LEADING_STAMP = (
 REQUEST_LINE = r'^\S+ \S+ \S+ \[\d{2}/[A-Za-z]{3}/\d{4}(?::\d{2}){3} [-+]\d{4}\] "[^"]*" \d{3} (?:\d+|-)'
 
 
-def _in_file() -> WindowSpec:
-    return W.partitionBy("path").orderBy("line_no")
-
-
 def frame_choice(lines: DataFrame, probe: int = 4000) -> DataFrame:
     """path, framing from shares over a file's first ``probe`` lines: cri 0.90; blank 0.02 and key 0.50: block; leading stamp 0.55: anchor; else line."""
     some = lines.where(F.col("line_no") <= probe)
@@ -44,7 +43,7 @@ def frame_line(lines: DataFrame) -> DataFrame:
 
 def _grouped(lines: DataFrame, start: Column, glue: str, text: Column | None = None) -> DataFrame:
     """Runs that begin where ``start`` holds, their lines joined in order."""
-    runs = lines.withColumn("run", F.sum(start.cast("int")).over(_in_file()))
+    runs = along(lines, sums={"run": start.cast("int")})
     parts = F.array_sort(F.collect_list(F.struct("line_no", (text if text is not None else F.col("text")).alias("text"))))
     return runs.groupBy("path", "run").agg(F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"), F.array_join(F.transform(parts, lambda p: p["text"]), glue).alias("text")).drop("run")
 
@@ -58,21 +57,56 @@ def frame_anchor(lines: DataFrame, start: str = LEADING_STAMP) -> DataFrame:
 def frame_block(lines: DataFrame) -> DataFrame:
     """Paragraphs between blank lines, joined by line feeds."""
     blank = F.trim("text") == ""
-    marked = lines.withColumn("opens", F.coalesce(F.lag(blank).over(_in_file()), F.lit(True))).where(~blank)
-    return _grouped(marked, F.col("opens"), "\n")
+    marked = along(lines, before={"was": blank}).where(~blank)
+    return _grouped(marked, F.coalesce("was", F.lit(True)), "\n")
 
 
 def frame_cri(lines: DataFrame, partial: Column, body: Column) -> DataFrame:
     """Lines whose ``partial`` flag holds go on in the next; the first keeps its text, others add ``body``."""
-    lines = lines.withColumn("opens", F.coalesce(F.lag(~partial).over(_in_file()), F.lit(True)))
+    lines = along(lines, before={"was": F.struct(partial.alias("partial"))}).withColumn("opens", F.coalesce(~F.col("was.partial"), F.lit(True)))
     return _grouped(lines, F.col("opens"), "", F.when(F.col("opens"), F.col("text")).otherwise(body))
 
 
 def frame_key(lines: DataFrame, key: Column) -> DataFrame:
     """Consecutive lines that share ``key`` are one record, joined by line feeds."""
-    lines = lines.withColumn("key", key)
-    opens = F.coalesce(F.lag("key").over(_in_file()) != F.col("key"), F.lit(True))
-    return _grouped(lines.withColumn("opens", opens), F.col("opens"), "\n")
+    lines = along(lines.withColumn("key", key), before={"was": F.struct("key")})
+    return _grouped(lines, F.coalesce(F.col("was.key") != F.col("key"), F.lit(True)), "\n")
+
+
+def framing_of(lines: DataFrame, fields: dict[str, Column] | None = None) -> DataFrame:
+    """path, framing, field: ``frame_choice``, and ``key`` where nothing else claims a file and ``detect_key`` finds one of ``fields``."""
+    choice = frame_choice(lines)
+    if not fields:
+        return choice.select("path", "framing", F.lit(None).cast("string").alias("field"))
+    open_ = choice.where("framing = 'line' and not one_line_grammar").select("path")
+    keys = detect_key(lines.join(open_, "path", "left_semi"), fields).select("path", "field")
+    return choice.join(keys, "path", "left").select("path", F.when(F.col("field").isNotNull(), "key").otherwise(F.col("framing")).alias("framing"), "field")
+
+
+def framed(lines: DataFrame, fields: dict[str, Column] | None = None, choice: DataFrame | None = None) -> DataFrame:
+    """path, framing, line_start, line_end, text of the records of a mixed corpus, each file read by its own framing, all in one pass.
+
+    ``choice`` (path, framing, field) is that of ``framing_of`` unless it is given. ``line``: each line that isn't blank.
+    ``anchor``: leading stamps begin records, the rest joins by a space. ``block``: paragraphs. ``cri``: a line whose last tag
+    before it is partial goes on, also one without a tag; the first keeps its prefix. ``key``: neighbours of one value of the file's field; lines
+    without it join each other. A file without a line that isn't blank has no records.
+    """
+    choice = saved(framing_of(lines, fields) if choice is None else choice, "framing")  # a row a file; its size is known
+    rows = lines.select("path", "line_no", "text").join(choice, "path")
+    key = F.coalesce(*[F.when(F.col("field") == n, c.cast("string")) for n, c in (fields or {}).items()], F.lit(None).cast("string"))
+    full, of = F.trim("text") != "", F.col("framing")
+    rows = rows.withColumns({"full": full, "key": key, "tag": F.nullif(F.regexp_extract("text", CRI_TAG, 1), F.lit(""))})
+    rows = along(rows, before={"blank": ~F.col("full"), "tag_was": F.col("tag"), "key_was": F.when(F.col("full"), F.struct("key"))})
+    goes_on = F.coalesce(F.col("tag_was") == "P", F.lit(False))
+    opens = F.when(of == "line", True).when(of == "anchor", F.col("text").rlike(LEADING_STAMP)).when(of == "block", F.coalesce("blank", F.lit(True))).when(of == "cri", ~goes_on)
+    opens = opens.otherwise(F.col("key_was").isNull() | ~F.col("key_was.key").eqNullSafe(F.col("key")))
+    rows = rows.withColumn("opens", opens).where(F.col("full") | (of == "cri") & goes_on)
+    part = F.when(of == "anchor", F.trim("text")).when((of == "cri") & ~F.col("opens"), F.regexp_replace("text", CRI, "")).otherwise(F.col("text"))
+    runs = along(rows.select("path", "framing", "line_no", part.alias("text"), "opens"), sums={"run": F.col("opens").cast("int")})
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda p: p["text"])
+    out = runs.groupBy("path", "framing", "run").agg(F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"), parts.alias("parts"))
+    text = F.when(of == "anchor", F.array_join("parts", " ")).when(of == "cri", F.array_join("parts", "")).otherwise(F.array_join("parts", "\n"))
+    return out.select("path", "framing", "line_start", "line_end", text.alias("text"))
 
 
 def _stamp(text: Column) -> Column:

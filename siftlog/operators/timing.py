@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftlog.functions.clock import TIME_SHAPES, clock, offset_seconds, order_key, reading, second_of_day, yearless
+from siftlog.operators.scan import along
 
 _STAMP = r"\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?|\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}(?: [+-]\d{4})?|[A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}"
 
@@ -26,19 +27,18 @@ def time_shape(lines: DataFrame, probe: int = 4000, least: float = 0.3) -> DataF
 
 
 def clock_readings(lines: DataFrame) -> DataFrame:
-    """path, line_no, shape, hour, reading, dated: each line's clock in its file's shape, on one scale that rises over a file.
+    """path, line_no, shape, hour, reading, dated of each line with a stamp in its file's shape.
 
-    Dated shapes read seconds since 1970, so files can be compared; others seconds of the day, carried on over midnight
-    wherever they fall by more than twelve hours, so only differences within a file count. Lines without a stamp have no row.
+    ``dated`` readings are seconds since 1970. Without a date they count from the file's first midnight: where the time of day is
+    over twelve hours below the stamp before it, a day has passed. Such readings mean nothing beside another file's.
     """
     rows = lines.select("path", "line_no", "text").join(time_shape(lines).select("path", "shape"), "path")
     of = lambda f, names: F.coalesce(*[F.when(F.col("shape") == s, f(F.col("text"), s)) for s in names])
     rows = rows.withColumns({"at": of(reading, ("iso", "dmy", "clf", "epoch", "compact")), "sod": of(second_of_day, ("bsd", "compact", "clock"))})
     rows = rows.select("path", "line_no", "shape", "at", F.when(F.col("at").isNull(), F.col("sod")).alias("sod")).where("at is not null or sod is not null")
-    by = W.partitionBy("path").orderBy("line_no")
-    last = F.last("sod", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("fell", F.coalesce((F.col("sod") < last - 43200).cast("int"), F.lit(0)))
-    carried = F.col("sod") + 86400 * F.sum("fell").over(by)
+    rows = along(rows, before={"last": F.col("sod")})
+    rows = along(rows, sums={"falls": F.coalesce((F.col("sod") < F.col("last") - 43200).cast("int"), F.lit(0))})
+    carried = F.col("sod") + 86400 * F.col("falls")
     return rows.select("path", "line_no", "shape", F.floor(F.pmod(F.coalesce("at", "sod"), F.lit(86400)) / 3600).cast("int").alias("hour"), F.floor(F.coalesce("at", carried)).cast("long").alias("reading"), F.col("at").isNotNull().alias("dated"))
 
 
@@ -51,9 +51,9 @@ def epoch_is_clock(df: DataFrame, key: str, order: str, value: str) -> DataFrame
 
 def midnight_carry(df: DataFrame, key: str, order: str, second_of_day: str) -> DataFrame:
     """key, order, carried: seconds that go on over midnight, wherever a clock without dates falls by over 12 hours."""
-    by = W.partitionBy(key).orderBy(order)
-    df = df.withColumn("drop", F.coalesce((F.col(second_of_day) < F.lag(second_of_day).over(by) - 43200).cast("int"), F.lit(0)))
-    return df.select(key, order, (F.col(second_of_day) + 86400 * F.sum("drop").over(by)).cast("long").alias("carried"))
+    df = along(df.select(key, order, second_of_day), before={"last": F.struct(second_of_day)}, by=(key,), order=order)
+    df = along(df, sums={"falls": F.coalesce((F.col(second_of_day) < F.col(f"last.{second_of_day}") - 43200).cast("int"), F.lit(0))}, by=(key,), order=order)
+    return df.select(key, order, (F.col(second_of_day) + 86400 * F.col("falls")).cast("long").alias("carried"))
 
 
 def stream_state(lines: DataFrame, coverage: float = 0.5, order: float = 0.9, sparse: int = 20) -> DataFrame:
@@ -65,7 +65,7 @@ def stream_state(lines: DataFrame, coverage: float = 0.5, order: float = 0.9, sp
     """
     keys = F.array(*[F.struct(F.lit(s).alias("shape"), order_key(F.col("text"), s).alias("at")) for s in TIME_SHAPES])
     t = lines.select("path", "line_no", F.get(F.filter(keys, lambda k: k["at"].isNotNull()), F.lit(0)).alias("k")).select("path", "line_no", "k.shape", "k.at")
-    t = t.withColumn("prev", F.lag("at").over(W.partitionBy("path", "shape").orderBy("line_no")))
+    t = along(t, before={"prev": F.col("at")}, by=("path", "shape"))
     n = t.groupBy("path", "shape").agg(F.count("*").alias("n"), F.count_if(F.col("at") < F.col("prev")).alias("back"))
     n = n.groupBy("path").agg(F.sum("n").alias("all"), F.coalesce(F.sum(F.when(F.col("shape").isNotNull(), F.col("n"))), F.lit(0)).alias("hits"), F.max(F.when(F.col("shape").isNotNull(), F.struct("n", "shape", "back"))).alias("d"))
     ordered = F.when(F.col("d.n") > 1, 1 - F.col("d.back") / (F.col("d.n") - 1)).otherwise(1.0) >= order

@@ -76,6 +76,32 @@ def convlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("line_no", n.cast("long"))
 
 
+def rotlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, line_no, text: all events on one day, by host and type in three slices of eight hours, in three framings.
+
+    h0's families are whole. h1's slices are cut at half past, so two share an hour; h2 writes no dates; of h3, views and
+    clicks overlap, signups and purchases change their stamps, errors change their framing.
+    """
+    e = events(spark, sf_dir).withColumn("t", F.col("sec") % 86400)
+    host, kind = F.col("host"), F.col("event_type")
+    cut = F.when(host == "h1", 1800).otherwise(0)
+    part = F.floor((F.col("t") + cut) / 28800)
+    part = F.when(part > 2, 2).when((host == "h3") & kind.isin("view", "click") & (F.col("event_id") % 10 == 0), 0).otherwise(part)
+    e = e.withColumn("part", part)
+    day, time = F.lit("2024-02-01"), F.date_format(F.timestamp_seconds(F.col("t")), "HH:mm:ss")
+    old = (host == "h3") & kind.isin("signup", "purchase") & (F.col("part") == 0)
+    stamp = F.when(host == "h2", time).when(kind.isin("view", "click"), F.concat(F.lit("01/Feb/2024:"), time, F.lit(" +0000"))).when(old, F.concat(F.lit("01.02.2024 "), time)).otherwise(F.concat(day, F.lit("T"), time, F.lit("Z")))
+    web = F.concat("ip", F.lit(" - - ["), stamp, F.lit('] "GET /'), kind, F.lit(' HTTP/1.1" '), "status", F.lit(" "), "ms")
+    app = F.concat(stamp, F.lit(" "), "level", F.lit(" took "), "ms", F.lit("ms"))
+    block = F.array(F.concat(F.lit("Time: "), stamp), F.concat(F.lit("Code: "), "status"), F.concat(F.lit("Took: "), "ms"), F.lit(""))
+    flat = F.array(F.concat(stamp, F.lit(" error "), "status", F.lit(" took "), "ms"))
+    lines = F.when(kind.isin("view", "click"), F.array(web)).when(kind == "error", F.when((host == "h3") & (F.col("part") == 2), flat).otherwise(block))
+    lines = lines.otherwise(F.when(F.col("event_id") % 3 == 0, F.array(app, F.concat(F.lit("  at step "), "k"))).otherwise(F.array(app)))
+    suffix = F.element_at(F.array(F.lit(".log.2.gz"), F.lit(".log.1"), F.lit(".log")), (F.col("part") + 1).cast("int"))
+    rows = e.select(F.concat(host, F.lit("/"), kind, suffix).alias("path"), "t", "event_id", F.posexplode(lines).alias("i", "text"))
+    return rows.select("path", F.row_number().over(W.partitionBy("path").orderBy("t", "event_id", "i")).cast("long").alias("line_no"), "text")
+
+
 #: The same inputs in DuckDB SQL; each names the ones before it that it needs.
 TABLES = {
     "ev": """
@@ -102,6 +128,21 @@ FROM (SELECT *, ['iso', 'dmy', 'bsd', 'clf', 'compact', 'epoch', 'clock'][user_i
 SELECT lang || '/' || source || '/' || doc_id || '.txt' AS path, doc_id, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS BIGINT) AS line_no,
   unnest(string_split(text, chr(10))) AS text
 FROM documents""",
+    "rotevents": """
+SELECT *, CASE WHEN host = 'h2' THEN time WHEN event_type IN ('view', 'click') THEN '01/Feb/2024:' || time || ' +0000'
+    WHEN host = 'h3' AND event_type IN ('signup', 'purchase') AND part = 0 THEN '01.02.2024 ' || time ELSE '2024-02-01T' || time || 'Z' END AS stamp,
+  host || '/' || event_type || ['.log.2.gz', '.log.1', '.log'][part + 1] AS path
+FROM (SELECT *, strftime(TIMESTAMP '2024-02-01' + to_seconds(t), '%H:%M:%S') AS time,
+    CASE WHEN host = 'h3' AND event_type IN ('view', 'click') AND event_id % 10 = 0 THEN 0 ELSE least((t + CASE host WHEN 'h1' THEN 1800 ELSE 0 END) // 28800, 2) END AS part
+  FROM (SELECT *, sec % 86400 AS t FROM ev))""",
+    "rotrecords": """
+SELECT path, host, event_type, part, t, event_id, lines, framing, text, CAST(1 + sum(lines) OVER (PARTITION BY path ORDER BY t, event_id) - lines AS BIGINT) AS line_no, CAST(line_no + lines - 1 - CASE framing WHEN 'block' THEN 1 ELSE 0 END AS BIGINT) AS line_end
+FROM (SELECT *, CASE WHEN event_type IN ('view', 'click') THEN 'line' WHEN event_type = 'error' THEN CASE WHEN host = 'h3' AND part = 2 THEN 'anchor' ELSE 'block' END ELSE CASE WHEN host = 'h2' THEN 'line' ELSE 'anchor' END END AS framing,
+    CASE WHEN event_type IN ('view', 'click') THEN 1 WHEN event_type = 'error' THEN CASE WHEN host = 'h3' AND part = 2 THEN 1 ELSE 4 END ELSE CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END END AS lines,
+    CASE WHEN event_type IN ('view', 'click') THEN ip || ' - - [' || stamp || '] "GET /' || event_type || ' HTTP/1.1" ' || status || ' ' || ms
+      WHEN event_type = 'error' THEN CASE WHEN host = 'h3' AND part = 2 THEN stamp || ' error ' || status || ' took ' || ms ELSE 'Time: ' || stamp || chr(10) || 'Code: ' || status || chr(10) || 'Took: ' || ms END
+      ELSE stamp || ' ' || level || ' took ' || ms || 'ms' || CASE WHEN event_id % 3 = 0 AND host <> 'h2' THEN ' at step ' || k ELSE '' END END AS text, k
+  FROM rotevents)""",
     "convlines": """
 SELECT 'shard-' || (conv_id // 64) AS path, conv_id, turn, role, regexp_replace(text, '\\s+', ' ', 'g') AS body,
   row_number() OVER (PARTITION BY conv_id // 64 ORDER BY conv_id, turn) AS line_no

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_base(spark: SparkSession) -> str:
@@ -21,3 +21,10 @@ def work_base(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     return f"{work_base(spark)}/siftlog/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors, and Spark knows its size."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
