@@ -76,5 +76,6 @@ def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mean = mean or 0.0
     strength = max(mean * (1 - mean) / spread - 1, 1.0) if spread else 1.0
     verdicts = hosts.select(F.col("host").alias("of"), ((F.col("failures") + mean * strength) / (F.col("n") + strength)).alias("host_rate"))
+    verdicts = saved(verdicts, "host-verdicts")  # its size is known: few hosts are broadcast, and no document is shuffled by its host
     out = base.join(verdicts, base["host"].eqNullSafe(verdicts["of"])).drop("of")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= host_limit))
