@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from siftlog.llm.bytetext import U, give_back, mix, powers, spans, text_buffers
-from siftlog.llm.shared import unused
+from siftlog.llm.shared import saved, unused
 
 UNKNOWN = "und"
 OPEN, CLOSE = ord("<"), ord(">")
@@ -93,19 +93,28 @@ def _marked(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return out, stop - size, stop
 
 
+def _row_of(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted key among sorted ones, -1 where there is none."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
 @dataclass
 class Scored:
-    """Sorted hashes, and a row of scores by language for each."""
+    """Sorted hashes, and a full row of scores by language for each: for few keys."""
 
     keys: np.ndarray
     rows: np.ndarray
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
-        """The row of each key, -1 where there is none."""
-        if not len(self.keys):
-            return np.full(len(wanted), -1)
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return np.where(self.keys[at] == wanted, at, -1)
+        return _row_of(self.keys, wanted)
+
+    def entries(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which of the rows, language, score) of each entry of the rows."""
+        size = self.rows.shape[1]
+        return np.repeat(np.arange(len(row)), size), np.tile(np.arange(size), len(row)), self.rows[row].ravel()
 
     def joined(self, keys: np.ndarray, rows: np.ndarray) -> Scored:
         keys, rows = np.concatenate((self.keys, keys)), np.concatenate((self.rows, rows))
@@ -113,21 +122,67 @@ class Scored:
         return Scored(keys[order], rows[order])
 
 
+@dataclass
+class Sparse:
+    """Sorted hashes; key i has the languages ``place[start[i]:start[i + 1]]`` with what each gains over one that lacks the key."""
+
+    keys: np.ndarray
+    start: np.ndarray
+    place: np.ndarray
+    gain: np.ndarray
+    languages: int
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        return _row_of(self.keys, wanted)
+
+    def entries(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which of the rows, language, gain) of each entry of the rows."""
+        begin, size = self.start[row].astype(np.int64), (self.start[row + 1] - self.start[row]).astype(np.int64)
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+        return np.repeat(np.arange(len(row)), size), self.place[at], self.gain[at]
+
+    @property
+    def rows(self) -> np.ndarray:
+        """Full rows less their mean, to look at a small model."""
+        out = np.zeros((len(self.keys), self.languages))
+        which, place, gain = self.entries(np.arange(len(self.keys)))
+        out[which, place] = gain
+        return out - out.mean(axis=1, keepdims=True)
+
+    @property
+    def nbytes(self) -> int:
+        return self.keys.nbytes + self.start.nbytes + self.place.nbytes + self.gain.nbytes
+
+
 @dataclass
 class LanguageModel:
-    """words and grams (by length) with their scores; ``guesses`` are those of unseen words that a task has met, ``most_guesses`` at most."""
+    """words and grams (by length) with their scores; ``guesses`` are those of unseen words that a task has met, ``most_guesses`` of four languages at most."""
 
     languages: list[str]
-    words: Scored
-    grams: dict[int, Scored]
+    words: Sparse | Scored
+    grams: dict[int, Sparse | Scored]
     most_guesses: int = 200_000
     guesses: Scored | None = field(default=None, repr=False)
 
+    @property
+    def nbytes(self) -> int:
+        return sum(t.nbytes for t in (self.words, *self.grams.values()))
+
+    def _sums(self, owner: np.ndarray, scored: Sparse | Scored, row: np.ndarray, owners: int) -> np.ndarray:
+        """By owner and language, the sum of the scores of rows."""
+        which, place, score = scored.entries(row)
+        size = len(self.languages)
+        return np.bincount(owner[which] * size + place, score, owners * size).reshape(owners, size)
+
+    def _at_once(self, most: int) -> int:
+        """``most`` for up to four languages, fewer for more, to bound memory."""
+        return max(most * 4 // max(len(self.languages), 4), 1)
+
     def backoff(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Scores of unseen words, each read whole."""
         out = np.zeros((len(starts), len(self.languages)))
         # Some words at a time, to bound memory; a longer word is a run of its own.
-        for i, j in spans(np.concatenate(([0], np.cumsum(ends - starts))), 1 << 18):
+        for i, j in spans(np.concatenate(([0], np.cumsum(ends - starts))), self._at_once(1 << 18)):
             text, a, b = _marked(points, starts[i:j], ends[i:j])
             sums, down = _sums(text)
             owner = np.repeat(np.arange(j - i), b - a)
@@ -138,8 +193,7 @@ class LanguageModel:
                 known = fits[row >= 0]
                 if not len(known):
                     continue
-                for k in range(out.shape[1]):
-                    out[i:j, k] += np.bincount(owner[known], self.grams[size].rows[row[row >= 0], k], j - i)
+                out[i:j] += self._sums(owner[known], self.grams[size], row[row >= 0], j - i)
                 met += np.bincount(owner[known], minlength=j - i)
                 left = np.zeros(len(text), bool)
                 left[open_] = True
@@ -148,6 +202,21 @@ class LanguageModel:
             out[i:j] /= np.maximum(met, 1)[:, None]
         return out
 
+    def guessed(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Scores of unseen words, from what the task remembers or by backoff."""
+        none = Scored(np.zeros(0, U), np.zeros((0, len(self.languages))))
+        held = self.guesses or none
+        row = held.find(keys)
+        out = np.zeros((len(keys), len(self.languages)))
+        out[row >= 0] = held.rows[row[row >= 0]]
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            out[new] = self.backoff(points, starts[new], ends[new])
+            most = self._at_once(self.most_guesses)
+            if len(new) <= most:
+                self.guesses = (held if len(held.keys) + len(new) <= most else none).joined(keys[new], out[new])
+        return out
+
     def totals(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(sums of scores, number of words) of each text."""
         docs = len(offsets) - 1
@@ -156,22 +225,23 @@ class LanguageModel:
         if not len(starts) or not self.languages:
             return out, np.bincount(doc, minlength=docs)
         distinct, first, index = np.unique(_word_hashes(points, starts, ends), return_index=True, return_inverse=True)
-        scores = np.zeros((len(distinct), len(self.languages)))
         row = self.words.find(distinct)
-        scores[row >= 0] = self.words.rows[row[row >= 0]]
+        of, known = row[index], np.flatnonzero(row[index] >= 0)
+        step = self._at_once(1 << 18)
+        for i in range(0, len(known), step):
+            some = known[i : i + step]
+            out += self._sums(doc[some], self.words, of[some], docs)
         unseen = np.flatnonzero(row < 0)
-        none = Scored(np.zeros(0, U), np.zeros((0, len(self.languages))))
-        held = self.guesses or none
-        row = held.find(distinct[unseen])
-        scores[unseen[row >= 0]] = held.rows[row[row >= 0]]
-        new = unseen[row < 0]
-        if len(new):
-            scores[new] = self.backoff(points, starts[first[new]], ends[first[new]])
-            room = held if len(held.keys) + len(new) <= self.most_guesses else none
-            if len(new) <= self.most_guesses:
-                self.guesses = room.joined(distinct[new], scores[new])
-        for k in range(out.shape[1]):
-            out[:, k] = np.bincount(doc, scores[index, k], docs)
+        place = np.full(len(distinct), -1)
+        place[unseen] = np.arange(len(unseen))
+        place, step = place[index], self._at_once(1 << 17)
+        for i in range(0, len(unseen), step):
+            some = unseen[i : i + step]
+            guesses = Scored(distinct[some], self.guessed(distinct[some], points, starts[first[some]], ends[first[some]]))
+            there = np.flatnonzero((place >= i) & (place < i + step))
+            for j in range(0, len(there), step):
+                part = there[j : j + step]
+                out += self._sums(doc[part], guesses, place[part] - i, docs)
         return out, np.bincount(doc, minlength=docs)
 
     def judged(self, data: np.ndarray, offsets: np.ndarray, certain_at: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,17 +256,18 @@ class LanguageModel:
         return np.where(words > 0, best, -1), np.where(words > 0, score, 0.0)
 
 
-def _logs(counts: np.ndarray) -> np.ndarray:
-    """Log frequencies of rows of counts by language, less their mean, so that only differences count.
+def _sparse(key: np.ndarray, place: np.ndarray, n: np.ndarray, totals: np.ndarray) -> Sparse:
+    """Counts by key and language as gains in log frequency over a language that lacks the key.
 
     Languages are brought to the total of the largest before a tenth of a count is added, so what none or few of a
     language's texts hold speaks neither for nor against it because it has fewer texts.
     """
-    if not len(counts):
-        return counts
-    total = counts.sum(axis=0)
-    m = np.log(counts * (total.max() / np.maximum(total, 1)) + 0.1)
-    return (m - m.mean(axis=1, keepdims=True)).astype(np.float32)
+    order = np.lexsort((place, key))
+    key, place, n = key[order], place[order], n[order]
+    keys, start = np.unique(key, return_index=True)
+    scale = totals.max(initial=1) / np.maximum(totals, 1)
+    gain = np.log(n * scale[place] + 0.1) - np.log(0.1)
+    return Sparse(keys, np.append(start, len(key)).astype(np.int32), place.astype(np.int16), gain.astype(np.float32), len(totals))
 
 
 def _counted(longest: int):
@@ -224,42 +295,47 @@ def _counted(longest: int):
     return run
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", most_rows: int = 2000, least_count: int = 2, longest: int = 5) -> LanguageModel:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", most_rows: int = 2000, most_bytes: int = 32 << 20, most_entries: int = 4_000_000, least_count: int = 2, longest: int = 5) -> LanguageModel:
     """Learn from about ``most_rows`` different whole texts of each language (a share of them by a hash of the text, so reruns agree).
 
-    This bound alone fixes the model's size: every word and every n-gram that occurs ``least_count`` times in the sample is
-    kept, so a small language loses nothing to a large one. Words of any length teach all their n-grams. Rows with a
+    Three bounds fix the size of sample and model. A language whose texts are more than its share of ``most_bytes`` (that of all languages
+    alike) gives fewer of them. Every word and n-gram that occurs ``least_count`` times in the sample is kept, in the languages that have
+    it; if these are more than ``most_entries`` entries, as many times more as bring them below: some 15 bytes an entry are
+    broadcast. So a small language loses nothing to a large one. Words of any length teach all their n-grams. Rows with a
     null text or language teach nothing; without rows the model has no languages.
     """
     rows = labelled.select(labelled[text_col].alias("text"), labelled[lang_col].cast("string").alias("lang")).where("text is not null and lang is not null").withColumn("hash", F.xxhash64("text", F.lit(7)))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang", "hash").agg(F.lit(1)).groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
+    each = rows.groupBy("lang", "hash").agg(F.max(F.octet_length("text").cast("long")).alias("size"))
+    sizes = {r["lang"]: r for r in each.groupBy("lang").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}  # one row for each language
     languages = sorted(sizes)
     if not languages:
-        return LanguageModel([], Scored(np.zeros(0, U), np.zeros((0, 0))), {})
-    bound = F.create_map(*[F.lit(x) for k in languages for x in (k, int(min(1.0, most_rows / sizes[k]) * (1 << 20)) + 1)])
+        none = Scored(np.zeros(0, U), np.zeros((0, 0)))
+        return LanguageModel([], none, {})
+    share = {k: min(1.0, most_rows / r["n"], most_bytes / len(languages) / max(r["size"], 1)) for k, r in sizes.items()}
+    bound = F.create_map(*[F.lit(x) for k in languages for x in (k, int(share[k] * (1 << 20)) + 1)])
     place = F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, i)])
     sample = rows.where(F.pmod("hash", F.lit(1 << 20)) < bound[F.col("lang")]).groupBy("lang", "hash").agg(F.first("text").alias("text"))
     sample = sample.select("text", place[F.col("lang")].cast("int").alias("place"))
     counts = sample.mapInArrow(_counted(longest), "size int, key long, place int, n long").groupBy("size", "key", "place").agg(F.sum("n").alias("n"))
     by_key = counts.groupBy("size", "key").agg(F.sum("n").alias("total"), F.collect_list(F.struct("place", "n")).alias("by")).where(F.col("total") >= least_count)
-    got = by_key.select("size", "key", F.explode("by").alias("b")).select("size", "key", "b.place", "b.n").toArrow()  # most_rows bounds it
+    by_key = saved(by_key, "language-counts")
+    at_total = by_key.groupBy(F.least("total", F.lit(10_000)).alias("total")).agg(F.sum(F.size("by")).alias("entries")).collect()  # a row a count, 10,000 at most
+    entries, least = 0, None
+    for r in sorted(at_total, key=lambda r: -r["total"]):
+        entries += r["entries"]
+        if entries > most_entries:
+            break
+        least = r["total"]
+    got = by_key.where(F.col("total") >= (10_000 if least is None else least)).select("size", "key", F.explode("by").alias("b")).select("size", "key", "b.place", "b.n").toArrow()  # most_entries bounds it
     size, key, at, n = (got[c].to_numpy() for c in ("size", "key", "place", "n"))
     key = key.view(np.uint64)
+    totals = lambda mine: np.bincount(at[mine], n[mine], len(languages))
 
-    def scored(of: int) -> Scored:
+    def sparse(of: int) -> Sparse:
         mine = size == of
-        keys, index = np.unique(key[mine], return_inverse=True)
-        m = np.zeros((len(keys), len(languages)))
-        m[index, at[mine]] = n[mine]
-        return Scored(keys, m)
-
-    words, grams = scored(0), {k: scored(k) for k in range(1, longest + 1)}
-    words.rows = _logs(words.rows)
-    rows_of = np.cumsum([0, *(len(grams[k].keys) for k in grams)])
-    logs = _logs(np.concatenate([grams[k].rows for k in grams]))
-    for k, i, j in zip(grams, rows_of[:-1], rows_of[1:], strict=True):
-        grams[k].rows = logs[i:j]
-    return LanguageModel(languages, words, grams)
+        return _sparse(key[mine], at[mine], n[mine], totals(size == 0 if of == 0 else size > 0))
+
+    return LanguageModel(languages, sparse(0), {k: sparse(k) for k in range(1, longest + 1)})
 
 
 def labelled(docs: DataFrame, model: LanguageModel, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score"), certain_at: int = 20) -> DataFrame:
