@@ -14,7 +14,7 @@ from siftlog.llm.jaccard_join import jaccard_classes
 from siftlog.llm.langid import fit, predict
 from siftlog.llm.mixing import mix_sources
 from siftlog.llm.quality import fit_quality, score_quality
-from siftlog.llm.secret_scan import KINDS, listed, scan_secrets
+from siftlog.llm.secret_scan import ACCESS, CANDIDATE, ENCODINGS, HEX, KINDS, listed, scan_secrets
 from siftlog.llm.shared import work_path
 from siftlog.llm.suffix_dedup import remove_repeats
 from siftlog.llm.token_counts import count_tokens
@@ -111,6 +111,59 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
 
+def _secrets_sql() -> str:
+    """Spans by pieces and matches, each test from its definition, and the step-up control of false finds."""
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    assign = rf"""({"|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    patterns = (assign, ACCESS, HEX, CANDIDATE)
+    found = " UNION ALL ".join(f"SELECT doc_id, {k} AS kind, string_split_regex(t, '{p}') AS pieces, regexp_extract_all(t, '{p}') AS tokens FROM d" for k, p in enumerate(patterns))
+    tail = lambda z: f"exp(-pow({z}, 2) / 2) / ((0.661 * {z} + 0.339 * sqrt(pow({z}, 2) + 5.51)) * sqrt(2 * pi()))"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({found}),
+x AS (SELECT *, unnest(range(1, len(tokens) + 1)) AS i FROM m WHERE len(tokens) > 0),
+s AS (
+  SELECT doc_id, kind, tokens[i] AS token, length(array_to_string(pieces[1:i], '')) + length(array_to_string(tokens[1:i - 1], '')) AS start, start + length(tokens[i]) AS stop FROM x),
+base AS (SELECT * FROM s WHERE kind IN (1, 2) OR kind = 0 AND length(regexp_extract(token, '{assign}', 2)) >= 6),
+free AS (SELECT * FROM s WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = s.doc_id AND b.start < s.stop AND s.start < b.stop)),
+enc(e, alphabet) AS (VALUES {", ".join(f"({e}, '{a}')" for e, a in enumerate(ENCODINGS))}),
+c AS (SELECT e, alphabet, length(alphabet)::DOUBLE AS k, unnest(string_split(alphabet, '')) AS c FROM enc),
+f AS (SELECT c, (SELECT sum(length(t) - length(replace(t, c, '')))::DOUBLE FROM d) AS n FROM (SELECT DISTINCT c FROM c)),
+v AS (
+  SELECT e, alphabet, k, f.c, f.n + CASE WHEN alphabet IN (lower(alphabet), upper(alphabet)) THEN coalesce(b.n, 0) ELSE 0 END AS n
+  FROM c JOIN f USING (c) LEFT JOIN f b ON b.c <> f.c AND lower(b.c) = lower(f.c)),
+g AS (SELECT e, alphabet, k, n / sum(n) OVER (PARTITION BY e) AS p FROM v),
+o AS (
+  SELECT e, alphabet, k, greatest(coalesce(sum(CASE WHEN isnan(p) THEN 0 ELSE p * p END), 0), 1 / k) AS two, greatest(coalesce(sum(CASE WHEN isnan(p) THEN 0 ELSE p * p * p END), 0), two * two) AS three
+  FROM g GROUP BY e, alphabet, k),
+t AS (SELECT token, min(e) AS e FROM (SELECT DISTINCT token FROM free) JOIN enc ON translate(token, alphabet, '') = '' GROUP BY token),
+q AS (
+  SELECT token, k, two, three, length(token)::DOUBLE AS n, translate(token, alphabet, repeat('0', (k / 2)::INT) || repeat('1', (k / 2)::INT)) AS h,
+    list_sum(list_transform(string_split(alphabet, ''), lambda x: pow(length(token) - length(replace(token, x, '')), 2))) AS squares,
+    list_transform(string_split(token, ''), lambda x: 2 * instr(alphabet, x) - 1 - k) AS y
+  FROM t JOIN o USING (e)),
+z AS (
+  SELECT token, n * log2(k) AS bits,
+    greatest(abs((k * squares / n - n - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n)),
+      abs(((length(h) - length(replace(h, '01', '')) + length(h) - length(replace(h, '10', ''))) / 2 - (n - 1) / 2) / sqrt((n - 1) / 4)),
+      abs(list_sum(list_transform(range(1, len(y)), lambda i: y[i] * y[i + 1])) / ((k * k - 1) / 3) / sqrt(n - 1))) AS worst,
+    (n * (n - 1) / 2 * two - (squares - n) / 2) / sqrt(n * (n - 1) / 2 * (two - two * two) + n * (n - 1) * (n - 2) * (three - two * two)) AS fewer
+  FROM q),
+p AS (
+  SELECT token, bits, least(1, 6 * {tail("worst")}) AS battery, greatest(CASE WHEN fewer >= 0 THEN {tail("fewer")} ELSE 1 - {tail("abs(fewer)")} END, 1e-290) AS p FROM z),
+w AS (SELECT *, least(greatest(floor(-16 * log2(p * (SELECT avg(bits) FROM p) / bits)), 0), 14400) AS step FROM p),
+n AS (SELECT step, sum(count(*)) OVER (ORDER BY step DESC) AS so_far, sum(count(*)) OVER () AS total FROM w GROUP BY step),
+l AS (SELECT min(step) AS least FROM n WHERE pow(2, -step / 16.0) * total <= 0.01 * so_far),
+a AS (
+  SELECT doc_id, kind, start, stop FROM base
+  UNION ALL SELECT doc_id, kind, start, stop FROM free JOIN w USING (token) WHERE bits >= 64 AND battery >= 0.001 AND step >= (SELECT least FROM l)),
+b AS (
+  SELECT doc_id, kind, start, stop, CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'random' END || ':' || start || ':' || stop AS span FROM a)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY start, kind, stop) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, kind, stop), '') AS spans
+FROM d LEFT JOIN b ON b.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
 def _repair_sql() -> str:
     """The shortest path over four states, a turn at a time; each state holds its least (cost, audit) and the repaired turns."""
 
@@ -160,6 +213,7 @@ FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS
 
 
 ORACLE_SQL = {
+    "op11_secret_scan": _secrets_sql(),
     "op12_conversation_repair": _repair_sql(),
     "op1_mix": f"""
 WITH d AS (

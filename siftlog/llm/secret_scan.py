@@ -106,11 +106,16 @@ def frequencies(docs: DataFrame) -> dict[str, int]:
 
 
 def _equal_pairs(counts: dict[str, int]) -> list[tuple[float, float]]:
-    """For each alphabet, the chance that two ordinary characters are equal, and that three are; never below uniform ones."""
+    """For each alphabet, the chance that two ordinary characters are equal, and that three are; never below uniform ones.
+
+    In an alphabet of one case a letter counts in both: words in capitals have the letters of other words.
+    """
     out = []
     for alphabet in ENCODINGS:
-        total, k = sum(counts[c] for c in alphabet), len(alphabet)
-        two, three = (sum((counts[c] / total) ** e for c in alphabet) if total else 0.0 for e in (2, 3))
+        one_case = alphabet in (alphabet.lower(), alphabet.upper())
+        own = [sum(counts[x] for x in ({c.lower(), c.upper()} if one_case else {c})) for c in alphabet]
+        total, k = sum(own), len(alphabet)
+        two, three = (sum((n / total) ** e for n in own) if total else 0.0 for e in (2, 3))
         two = max(two, 1 / k)
         out.append((two, max(three, two * two)))
     return out
