@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siftlog.llm.bytetext import spans, text_buffers, word_bounds
 from siftlog.llm.shared import picked
@@ -119,7 +120,7 @@ def with_rank_index(docs: DataFrame, name: str = "rank_index", text_col: str = "
             found = pa.array([x.stored() for _, _, x in _indexes(b.column(at), error)], kind)
             yield pa.RecordBatch.from_arrays([*b.columns, found], [*b.schema.names, name])
 
-    return docs.mapInArrow(indexed, docs.schema.add(name, INDEX))
+    return docs.mapInArrow(indexed, StructType([*docs.schema.fields, *StructType.fromDDL(f"`{name}` {INDEX}").fields]))
 
 
 def _hashes(doc_id: Column, seed: int) -> list[Column]:
