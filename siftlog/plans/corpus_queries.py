@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from siftlog.operators.framing import framed
 from siftlog.operators.rotation import stitch
-from siftlog.plans.fixtures import path_of, rotlines, written
+from siftlog.operators.trace import trace
+from siftlog.plans.fixtures import events, loglines, path_of, rotlines, written
 from siftlog.plans.registry import query
 from siftlog.sources.lines import read_lines
 from siftlog.work import saved, work_path
@@ -68,3 +69,24 @@ SELECT stream, template, CAST(place AS INTEGER) AS place, count(*) AS n, min(v)
 def rotation_places(spark, d):
     _, _, places = stitch(rotated(spark, d))
     return places.withColumn("total", F.round("total", 3))
+
+
+#: Each user, address and service as they are written elsewhere, and orders that no line has.
+_TRACED = """i AS (SELECT DISTINCT 'USER=' || user_id AS id, user_id, NULL AS ip, NULL AS svc FROM ev UNION ALL SELECT DISTINCT ip, NULL, ip, NULL FROM ev
+  UNION ALL SELECT DISTINCT 'Svc_' || (user_id % 3), NULL, NULL, user_id % 3 FROM ev UNION ALL SELECT DISTINCT 'ORD-' || user_id, -1, NULL, NULL FROM ev)"""
+
+
+@query("id_trace_table", f"""
+WITH {_TRACED}, l AS (SELECT *, event_type IN ('view', 'click') AS web FROM loglines),
+h AS (SELECT id, path, line_no, text, CASE WHEN web THEN strftime(ts, '%d/%b/%Y:%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' END AS stamp
+  FROM l JOIN i ON i.ip = l.ip OR regexp_matches(text, '(^|[^A-Za-z0-9])' || replace(i.ip, '.', '[-_.:/]?') || '($|[^A-Za-z0-9])') OR NOT web AND (i.user_id = l.user_id OR i.svc = l.user_id % 3)),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, path ORDER BY line_no) AS r FROM h)
+SELECT id, path, count(*) AS n, string_agg(line_no, ',' ORDER BY line_no) FILTER (r <= 20) AS refs, string_agg(text, chr(10) ORDER BY line_no) FILTER (r <= 3) AS samples,
+  arg_min(stamp, line_no) AS first_ts, arg_max(stamp, line_no) AS last_ts, count(*) > 20 AS truncated FROM r GROUP BY id, path""")
+def id_trace_table(spark, d):
+    """Thousands of identifiers as rows, through every log line."""
+    e = events(spark, d)
+    names = [F.concat(F.lit("USER="), "user_id"), F.col("ip"), F.concat(F.lit("Svc_"), F.col("user_id") % 3), F.concat(F.lit("ORD-"), "user_id")]
+    ids = e.select(F.explode(F.array(*names)).alias("id"))
+    lines = loglines(spark, d).select("path", F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"), "text")
+    return trace(lines, ids).withColumns({"refs": F.array_join("refs", ","), "samples": F.array_join("samples", "\n")})
