@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftlog.operators.framing import framed
+from siftlog.operators.nested import event_facts, event_fields
 from siftlog.operators.rotation import stitch
 from siftlog.operators.trace import trace
-from siftlog.plans.fixtures import events, loglines, path_of, rotlines, written
+from siftlog.plans.fixtures import events, loglines, nested_events, path_of, rotlines, written
 from siftlog.plans.registry import query
 from siftlog.sources.lines import read_lines
 from siftlog.work import saved, work_path
@@ -90,3 +91,39 @@ def id_trace_table(spark, d):
     ids = e.select(F.explode(F.array(*names)).alias("id"))
     lines = loglines(spark, d).select("path", F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"), "text")
     return trace(lines, ids).withColumns({"refs": F.array_join("refs", ","), "samples": F.array_join("samples", "\n")})
+
+
+_PAGE_PAIRS = """pp AS (SELECT 'p' || page_id AS "row", unnest([0, 1]) AS src, unnest([url, html]) AS s FROM pages),
+pk AS (SELECT "row", src, unnest(regexp_extract_all(s, '([A-Za-z][A-Za-z0-9_]{2,31})=([^\\r\\n\\t]{0,120})', 1)) AS k, unnest(regexp_extract_all(s, '([A-Za-z][A-Za-z0-9_]{2,31})=([^\\r\\n\\t]{0,120})', 2)) AS v,
+  unnest(range(1, len(regexp_extract_all(s, '([A-Za-z][A-Za-z0-9_]{2,31})=([^\\r\\n\\t]{0,120})')) + 1)) AS i FROM pp)"""
+
+
+@query("nested_fields", f"""
+WITH x AS (SELECT 'e' || event_id AS "row", event_id % 5 AS kind, * FROM ev), {_PAGE_PAIRS}
+SELECT "row", 'provider' AS field, 'App' AS value FROM x WHERE kind IN (0, 1, 3) UNION ALL SELECT "row", 'channel', 'Security' FROM x WHERE kind IN (0, 1, 3)
+UNION ALL SELECT "row", 'event_id', ['4624', '4625', '1', '2'][kind + 1] FROM x WHERE kind < 4 UNION ALL SELECT "row", 'computer', host FROM x WHERE kind < 4
+UNION ALL SELECT "row", 'data.TargetUserName', 'user' || user_id FROM x WHERE kind = 0 UNION ALL SELECT "row", 'data.SubjectUserName', '' FROM x WHERE kind = 0
+UNION ALL SELECT "row", 'data[0]', 'first' FROM x WHERE kind = 0 UNION ALL SELECT "row", 'data[1]', 'CODE_RED_' || (k % 3) FROM x WHERE kind = 0
+UNION ALL SELECT "row", 'data[0]', 'User=user' || user_id || chr(9) || 'ip=' || ip || chr(10) || 'role=admin ' || chr(10) || 'role= other' || chr(10) || 'it=no' FROM x WHERE kind = 1
+UNION ALL SELECT "row", 'data[1]', '''acct' || k || ''' and ''b c''' FROM x WHERE kind = 1
+UNION ALL SELECT "row", 'kv.User', 'user' || user_id FROM x WHERE kind = 1 UNION ALL SELECT "row", 'kv.role', 'other' FROM x WHERE kind = 1
+UNION ALL SELECT "row", 'data[0]', 'STATE_OLD_VALUE from 8.8.4.' || (k % 200 + 1) || ', 10.1.2.3, 100.64.0.1, 8.8.8.300' FROM x WHERE kind = 2
+UNION ALL SELECT "row", 'data[' || src || ']', s FROM pp WHERE length(s) <= 120
+UNION ALL SELECT "row", 'kv.' || k, regexp_replace(arg_max(v, (src, i)), '^\\s+|\\s+$', '', 'g') FROM pk GROUP BY "row", k""")
+def nested_fields(spark, d):
+    return event_fields(nested_events(spark, d), "row", "text")
+
+
+@query("nested_facts", """
+WITH x AS (SELECT 'e' || event_id AS "row", event_id % 5 AS kind, * FROM ev)
+SELECT "row", CASE WHEN kind < 4 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS at, CASE WHEN kind < 4 THEN CAST(event_id AS VARCHAR) END AS record, CAST([2, 3, 1, 0, 0][kind + 1] AS INTEGER) AS strings,
+  CASE kind WHEN 0 THEN 'CODE_RED_' || (k % 3) WHEN 2 THEN 'STATE_OLD_VALUE' ELSE '' END AS constants,
+  CASE kind WHEN 0 THEN 'user' || user_id WHEN 1 THEN 'acct' || k || ',user' || user_id ELSE '' END AS accounts, CASE kind WHEN 2 THEN '8.8.4.' || (k % 200 + 1) ELSE '' END AS peers
+FROM x
+UNION ALL SELECT 'p' || page_id, NULL, NULL, CAST(2 AS INTEGER), array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(url, '\\b([A-Z][A-Z0-9]*(?:_[A-Z0-9]+){2,})\\b', 1), regexp_extract_all(html, '\\b([A-Z][A-Z0-9]*(?:_[A-Z0-9]+){2,})\\b', 1)))), ','),
+  array_to_string(list_sort(list_distinct(list_filter(list_concat(regexp_extract_all(url, '''([^'']{1,64})''', 1), regexp_extract_all(html, '''([^'']{1,64})''', 1)), lambda q: NOT contains(q, ' ')))), ','),
+  array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(url || ' ' || html, '\\b((?:\\d{1,3}\\.){3}\\d{1,3})\\b', 1), lambda a: len(list_filter(string_split(a, '.'), lambda o: CAST(o AS INTEGER) > 255 OR length(o) > 1 AND o[1] = '0')) = 0
+    AND NOT regexp_matches(a, '^(0|10|127|22[4-9]|2[345]\\d)\\.|^100\\.(6[4-9]|[789]\\d|1[01]\\d|12[0-7])\\.|^169\\.254\\.|^172\\.(1[6-9]|2\\d|3[01])\\.|^192\\.168\\.|^192\\.0\\.[02]\\.|^198\\.1[89]\\.|^198\\.51\\.100\\.|^203\\.0\\.113\\.')))), ',') FROM pages""")
+def nested_facts(spark, d):
+    facts = event_facts(nested_events(spark, d), "row", "text")
+    return facts.withColumns({c: F.array_join(c, ",") for c in ("constants", "accounts", "peers")})

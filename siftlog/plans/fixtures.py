@@ -168,3 +168,23 @@ def with_tables(sql: str) -> str:
     if own.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {head}, {own[15:]}"
     return f"WITH {head}, {own[5:]}" if own.upper().startswith("WITH ") else f"WITH {head} {own}"
+
+
+def nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row, text: JSON records of five kinds from the events, and of pages: data named, by place, as one string, without any, and broken."""
+    e = events(spark, sf_dir)
+    head = lambda number, provider=True, channel=F.lit("Security"): F.struct(
+        *([F.struct(F.struct(F.lit("App").alias("Name")).alias("#attributes")).alias("Provider")] if provider else []),
+        channel.alias("Channel"), number.alias("EventID"), F.col("host").alias("Computer"),
+        F.struct(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("SystemTime")).alias("#attributes")).alias("TimeCreated"), F.col("event_id").alias("EventRecordID"),
+    )
+    wrap = lambda system, data: F.to_json(F.struct(F.struct(system.alias("System"), F.struct(data.alias("Data")).alias("EventData")).alias("Event")))
+    user = F.concat(F.lit("user"), "user_id")
+    named = F.struct(user.alias("TargetUserName"), F.lit("").alias("SubjectUserName"), F.col("k").alias("Count"), F.array(F.lit("first"), F.concat(F.lit("CODE_RED_"), F.col("k") % 3)).alias("#text"))
+    placed = F.array(F.concat(F.lit("User="), user, F.lit("\tip="), "ip", F.lit("\nrole=admin \nrole= other\nit=no")), F.concat(F.lit("'acct"), "k", F.lit("' and 'b c'")), F.lit("x" * 121))
+    lone = F.concat(F.lit("STATE_OLD_VALUE from 8.8.4."), F.col("k") % 200 + 1, F.lit(", 10.1.2.3, 100.64.0.1, 8.8.8.300"))
+    kinds = [wrap(head(F.lit(4624)), named), wrap(head(F.struct(F.lit("4625").alias("#text"))), placed), wrap(head(F.lit(1), False, F.lit(7)), lone), F.to_json(F.struct(head(F.lit(2)).alias("System"))), F.lit('{"Event": {')]
+    text = F.element_at(F.array(*kinds), (F.col("event_id") % 5 + 1).cast("int"))
+    p = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("row"), F.to_json(F.struct(F.struct(F.struct(F.struct(F.array("url", "html").alias("Data")).alias("EventData")).alias("Event")).alias("x"))).alias("text"))
+    p = p.select("row", F.expr("substring(text, 6, length(text) - 6)").alias("text"))  # without the outer object
+    return e.select(F.concat(F.lit("e"), "event_id").alias("row"), text.alias("text")).unionByName(p)
