@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -23,13 +24,25 @@ def tail(spark: SparkSession, path: str, schema: str, files_each: int = 1, fmt:
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_each).load(path)
 
 
-def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Process everything that is there, in ticks, then end. The sink gets each tick's rows and its number; numbers repeat after a failure."""
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", store: tuple[str, str] | None = None) -> StreamingQuery:
+    """Process everything that is there, in ticks, then end. The sink gets each tick's rows and its number; numbers repeat after a failure.
+
+    ``store`` is the setting and class of a state store other than the session's; a query takes the settings with it when it starts.
+    """
+    conf = stream.sparkSession.conf
+    own = conf.get(store[0], None) if store else None
+    if store:
+        conf.set(*store)
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+    finally:
+        if store:
+            conf.unset(store[0]) if own is None else conf.set(store[0], own)
     query.awaitTermination()
+    return query
 
 
-def into(spark: SparkSession, stream: DataFrame, out: str, mode: str = "append") -> DataFrame:
+def into(spark: SparkSession, stream: DataFrame, out: str, mode: str = "append", store: tuple[str, str] | None = None) -> DataFrame:
     """``drain`` into a table with one folder for each tick, overwritten if a tick is repeated; the rows and their ``tick``.
 
     The cursor stands beside the table, so a later call with the same ``out`` goes on with the files that are new.
@@ -38,7 +51,7 @@ def into(spark: SparkSession, stream: DataFrame, out: str, mode: str = "append")
     def write(rows: DataFrame, tick: int) -> None:
         rows.write.mode("overwrite").parquet(f"{out}/data/tick={tick}")
 
-    drain(stream, write, f"{out}/cursor", mode)
+    drain(stream, write, f"{out}/cursor", mode, store)
     return spark.read.schema(StructType([*stream.schema.fields, StructField("tick", LongType())])).parquet(f"{out}/data")
 
 
