@@ -172,6 +172,19 @@ def path_parts(path: Column) -> Column:
     return F.struct(F.substring_index(path, "/", 1).alias("host"), F.regexp_replace(path, "/?[^/]*$", "").alias("dir"), base.alias("base"), F.regexp_replace(base, r"(?:[.-]\d{1,8})*(?:\.gz)?$", "").alias("stem"), rotation.alias("rotation"))
 
 
+#: Fixed value: a line that opens or closes a fenced block.
+FENCE = r"(?md)^[^\S\n]*(?:```|~~~).*$"
+_CUT = "\ue000\x00\ue000"
+
+
 def text_blocks(text: Column) -> Column:
-    """Paragraphs with white space squeezed; empty ones are left out."""
-    return F.filter(F.transform(F.split(text, r"\n\s*\n", -1), lambda b: F.trim(F.regexp_replace(b, r"\s+", " "))), lambda b: b != "")
+    """Paragraphs with white space squeezed, in order; empty ones are left out.
+
+    A line of spaces and tabs ends a paragraph, but not between two fence lines: every other stretch between fences is
+    inside, and after an open fence all the rest. Only outside are blank lines made cuts; then the text is put together again and cut.
+    """
+    text = F.concat(F.lit("\n"), F.replace(text, F.lit("\r\n"), F.lit("\n")))
+    stretches, fences = F.split(text, FENCE, -1), F.regexp_extract_all(text, F.lit(FENCE), F.lit(0))
+    cut = lambda s, i: F.when(i % 2 == 0, F.regexp_replace(s, "\n[ \t]*(?=\n)", "\n" + _CUT)).otherwise(s)
+    whole = F.array_join(F.zip_with(F.transform(stretches, cut), fences, lambda s, f: F.concat(s, F.coalesce(f, F.lit("")))), "")
+    return F.filter(F.transform(F.split(whole, _CUT, -1), lambda b: F.trim(F.regexp_replace(b, r"\s+", " "))), lambda b: b != "")

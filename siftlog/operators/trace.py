@@ -72,6 +72,12 @@ def first_rows(rows: DataFrame, keys: list[str], order: str, keep: int, block: i
     return kept.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where(F.col("_r") <= keep).drop("_r")
 
 
+def firsts(rows: DataFrame, keys: list[str], order: list[str], keep: int, spread: int = 1024) -> DataFrame:
+    """The first ``keep`` rows of each key in ``order``: first of each of ``spread`` hash buckets, then of what these kept."""
+    kept = rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys, F.pmod(F.xxhash64(*order), F.lit(spread))).orderBy(*order))).where(F.col("_r") <= keep)
+    return kept.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= keep).drop("_r")
+
+
 def trace(records: DataFrame, ids: DataFrame, keep: int = 20, samples: int = 3) -> DataFrame:
     """id, path, n, refs, samples, first_ts, last_ts, truncated of each identifier in each file that has it.
 

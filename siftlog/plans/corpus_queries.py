@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftlog.functions.extractors import BRACKETS, FIELD_BAG, with_rows
+from siftlog.functions.fields import text_blocks
+from siftlog.operators.cards import card_verdicts
 from siftlog.operators.framing import framed
 from siftlog.operators.nested import event_facts, event_fields
 from siftlog.operators.rotation import stitch
 from siftlog.operators.trace import trace
-from siftlog.plans.fixtures import events, loglines, nested_events, path_of, rotlines, written
+from siftlog.operators.twins import rendering_twins
+from siftlog.plans.fixtures import events, loglines, nested_events, path_of, renderings, rotlines, table, written
 from siftlog.plans.registry import query
 from siftlog.sources.lines import read_lines
 from siftlog.work import saved, work_path
@@ -127,3 +131,86 @@ UNION ALL SELECT 'p' || page_id, NULL, NULL, CAST(2 AS INTEGER), array_to_string
 def nested_facts(spark, d):
     facts = event_facts(nested_events(spark, d), "row", "text")
     return facts.withColumns({c: F.array_join(c, ",") for c in ("constants", "accounts", "peers")})
+
+
+_RENDERED = """a AS (SELECT host, event_id, event_type, date_trunc('hour', ts) AS hour, row_number() OVER (PARTITION BY host ORDER BY ts, event_id) AS line_no,
+  row_number() OVER (PARTITION BY host, event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY host, event_type, date_trunc('hour', ts)) AS c FROM ev),
+j AS (SELECT host, event_id, event_type, date_trunc('hour', ts) AS hour, row_number() OVER (PARTITION BY host ORDER BY ts, event_id) AS line_no,
+  row_number() OVER (PARTITION BY host, event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY host, event_type, date_trunc('hour', ts)) AS c FROM ev WHERE event_id % 7 <> 0),
+m AS (SELECT a.host, a.line_no AS a_line, j.line_no AS j_line FROM a JOIN j USING (host, event_type, hour, r, c)),
+s AS (SELECT host || '/app.log' AS path, line_no AS lo, line_no + 2 AS hi FROM a WHERE event_id % 11 = 0)"""
+
+
+def _spans(lines):
+    return lines.where((F.col("event_id") % 11 == 0) & F.col("path").endswith("/app.log")).select("path", F.col("line_no").alias("lo"), (F.col("line_no") + 2).alias("hi"))
+
+
+@query("rendering_twins", f"""
+WITH {_RENDERED} SELECT host || '/app.log' AS path, a_line AS line_no, host || '/journal.json' AS twin_path, j_line AS twin_line FROM m
+SEMI JOIN s ON s.path = host || '/app.log' AND a_line BETWEEN lo AND hi""")
+def rendering_twins_(spark, d):
+    """Lines of the truth in the dated file, and the journal's lines that say the same; the file without years is another timebase."""
+    lines = renderings(spark, d)
+    return rendering_twins(lines, _spans(lines))[0]
+
+
+@query("refused_twins", f"""
+WITH {_RENDERED}, f AS (SELECT DISTINCT host, unnest(['app.log', 'journal.json', 'syslog', 'notes.txt']) AS name, unnest([1, 1, 2, NULL]) AS base FROM a),
+u AS (SELECT x.host, count(*) AS n FROM (SELECT DISTINCT host, event_type, hour, c FROM a) x JOIN (SELECT DISTINCT host, event_type, hour, c FROM j) y USING (host, event_type, hour) WHERE x.c <> y.c GROUP BY x.host)
+SELECT x.host || '/' || x.name AS path, y.host || '/' || y.name AS twin_path, 'timebase' AS reason, CAST(NULL AS BIGINT) AS keys FROM f x JOIN f y ON x.host = y.host AND x.name <> y.name WHERE x.base IS NULL OR y.base IS NULL OR x.base <> y.base
+UNION ALL SELECT host || '/app.log', host || '/journal.json', 'multiplicity', n FROM u UNION ALL SELECT host || '/journal.json', host || '/app.log', 'multiplicity', n FROM u""")
+def refused_twins(spark, d):
+    return rendering_twins(renderings(spark, d))[1]
+
+
+@query("fenced_blocks", r"""
+WITH b AS (SELECT doc_id, unnest(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')))) AS block FROM documents)
+SELECT doc_id, block FROM b WHERE block <> '' UNION ALL SELECT doc_id, unnest(CASE WHEN doc_id % 2 = 0 THEN ['``` a b ```', 'last'] ELSE ['~~~ open end'] END) FROM documents WHERE text IS NOT NULL""")
+def fenced_blocks(spark, d):
+    """Documents with a fenced block behind them, every other one left open."""
+    tail = F.when(F.col("doc_id") % 2 == 0, "\n\n```\na\n\n \nb\n  ```\n\t\nlast").otherwise("\n\n~~~\nopen\n\nend")
+    return table(spark, d, "documents").select("doc_id", F.explode(text_blocks(F.concat("text", tail))).alias("block"))
+
+
+@query("field_bag_rows", r"""
+WITH w AS (SELECT path, line_no, string_split(text, ' ') AS t, k, user_id, event_type FROM loglines)
+SELECT path, line_no, 'kv:k' AS axis, CAST(k AS VARCHAR) AS value FROM w WHERE event_type NOT IN ('view', 'click')
+UNION ALL SELECT path, line_no, 'kv:user', CAST(user_id AS VARCHAR) FROM w WHERE event_type NOT IN ('view', 'click')
+UNION ALL SELECT path, line_no, 'ws:' || (i - 1), t[i] FROM (SELECT path, line_no, t, unnest(range(1, least(len(t), 12) + 1)) AS i FROM w) WHERE length(t[i]) BETWEEN 1 AND 24""")
+def field_bag_rows(spark, d):
+    """The fields of every line by the table function; the columns of ``field_bag`` give the same."""
+    return with_rows(loglines(spark, d).select("path", "line_no", "text"), FIELD_BAG, "text").select("path", "line_no", "axis", "value")
+
+
+@query("bracket_groups", r"""
+SELECT doc_id, "at", part FROM (SELECT doc_id, unnest([0, 3 + length(CAST(doc_id AS VARCHAR)) + 2 * (doc_id % 3)]) AS "at",
+  unnest(['(a' || repeat('(', CAST(doc_id % 3 AS INTEGER)) || doc_id || repeat(')', CAST(doc_id % 3 AS INTEGER)) || ')', '{"x": [1, (2)]}']) AS part FROM documents)
+WHERE "at" >= 0""")
+def bracket_groups(spark, d):
+    """Groups of balanced brackets, outermost ones: no column expression counts depth."""
+    docs, deep = table(spark, d, "documents"), (F.col("doc_id") % 3).cast("int")
+    text = F.concat(F.lit("(a"), F.repeat(F.lit("("), deep), "doc_id", F.repeat(F.lit(")"), deep), F.lit(")"), F.lit('{"x": [1, (2)]} ) ]{open ('))
+    return with_rows(docs.select("doc_id", text.alias("text")), BRACKETS, "text").select("doc_id", "at", "part")
+
+
+_CARDS = [
+    ("blocked", "any", " 50[0-2] "), ("blocked", "any", "FATAL"), ("pair", "all", "FATAL svc-0"), ("pair", "all", "/view/99 "), ("never", "all", "FATAL svc-0"), ("never", "all", "no such line"),
+    ("named", "name", "^error\\.log$"), ("mixed", "name", "^nothing$"), ("mixed", "all", "k=42 "), ("mixed", "all", "k=41 "), ("none", "any", "zzz"),
+]
+_EVIDENCE = """c(card, bit, every) AS (VALUES ('blocked', 0, false), ('blocked', 1, false), ('pair', 0, true), ('pair', 1, true), ('never', 0, true), ('never', 1, true), ('named', 0, false), ('mixed', 0, true), ('mixed', 1, true), ('mixed', 2, false), ('none', 0, false)),
+h AS (SELECT 'blocked' AS card, 0 AS bit, path, line_no FROM loglines WHERE regexp_matches(text, ' 50[0-2] ') UNION ALL SELECT 'blocked', 1, path, line_no FROM loglines WHERE contains(text, 'FATAL')
+  UNION ALL SELECT 'pair', 1, path, line_no FROM loglines WHERE contains(text, 'FATAL svc-0') UNION ALL SELECT 'pair', 0, path, line_no FROM loglines WHERE contains(text, '/view/99 ')
+  UNION ALL SELECT 'never', 0, path, line_no FROM loglines WHERE contains(text, 'FATAL svc-0') UNION ALL SELECT 'named', 0, path, 0 FROM (SELECT DISTINCT path FROM loglines) WHERE ends_with(path, '/error.log')
+  UNION ALL SELECT 'mixed', 1, path, line_no FROM loglines WHERE contains(text, 'k=42 ') UNION ALL SELECT 'mixed', 0, path, line_no FROM loglines WHERE contains(text, 'k=41 '))"""
+
+
+@query("card_table", f"""
+WITH {_EVIDENCE}, r AS (SELECT *, row_number() OVER (PARTITION BY card, bit ORDER BY path, line_no) AS r FROM h),
+x AS (SELECT card, count(*) AS hits, count(DISTINCT path) AS files, string_agg(bit || ':' || path || ':' || line_no, ' ' ORDER BY bit, path, line_no) FILTER (r <= 3) AS examples FROM r GROUP BY card),
+b AS (SELECT c.card, sum(CASE WHEN n > 0 THEN pow(2, c.bit)::BIGINT ELSE 0 END)::BIGINT AS bits, bool_or(NOT every AND coalesce(n, 0) > 0) AS one, bool_or(every) AND bool_and(NOT every OR coalesce(n, 0) > 0) AS whole
+  FROM c LEFT JOIN (SELECT card, bit, count(*) AS n FROM h GROUP BY ALL) n ON n.card = c.card AND n.bit = c.bit GROUP BY c.card)
+SELECT card, coalesce(one, false) OR coalesce(whole, false) AS holds, bits, coalesce(hits, 0) AS hits, coalesce(files, 0) AS files, coalesce(examples, '') AS examples FROM b LEFT JOIN x USING (card)""")
+def card_table(spark, d):
+    """Cards of any, all and file-name patterns as a table."""
+    cards = spark.createDataFrame(_CARDS, "card string, kind string, pattern string")
+    return card_verdicts(loglines(spark, d).select("path", "line_no", "text"), cards).withColumn("examples", F.array_join("examples", " "))

@@ -170,6 +170,21 @@ def with_tables(sql: str) -> str:
     return f"WITH {head}, {own[5:]}" if own.upper().startswith("WITH ") else f"WITH {head} {own}"
 
 
+def renderings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, line_no, text: each event, by the hour, in a dated file, a journal that lacks every seventh, and one without years, and a file of notes."""
+    e = events(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts"))
+    body = F.concat(F.lit("app[7]: "), "event_type")
+    member = lambda n, v: F.concat(F.lit(f'"{n}":"'), v, F.lit('"'))
+    micros = F.unix_micros("hour").cast("string")
+    journal = F.concat(F.lit("{"), F.concat_ws(",", member("__REALTIME_TIMESTAMP", micros), member("SYSLOG_IDENTIFIER", F.lit("app")), member("_PID", F.lit("7")), member("_HOSTNAME", F.col("host")), member("MESSAGE", F.col("event_type"))), F.lit("}"))
+    zoned = F.from_utc_timestamp("hour", "+02:00")
+    iso = F.concat(F.date_format(zoned, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00 "), "host", F.lit(" "), body)
+    bsd = F.concat(F.date_format("hour", "MMM dd HH:mm:ss"), F.lit(" "), "host", F.lit(" "), body)
+    kinds = F.array(F.struct(F.lit("/app.log").alias("f"), iso.alias("t")), F.struct(F.lit("/journal.json").alias("f"), F.when(F.col("event_id") % 7 != 0, journal).alias("t")), F.struct(F.lit("/syslog").alias("f"), bsd.alias("t")), F.struct(F.lit("/notes.txt").alias("f"), F.concat(F.lit("note "), "k").alias("t")))
+    rows = e.select("host", "ts", "event_id", F.explode(kinds).alias("x")).where("x.t is not null").select(F.concat("host", "x.f").alias("path"), "ts", "event_id", F.col("x.t").alias("text"))
+    return rows.select("path", F.row_number().over(W.partitionBy("path").orderBy("ts", "event_id")).cast("long").alias("line_no"), "text", "event_id")
+
+
 def nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row, text: JSON records of five kinds from the events, and of pages: data named, by place, as one string, without any, and broken."""
     e = events(spark, sf_dir)
