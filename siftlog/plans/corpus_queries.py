@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftlog.functions.extractors import BRACKETS, FIELD_BAG, with_rows
 from siftlog.functions.fields import text_blocks
+from siftlog.operators.battery import Rule, battery
 from siftlog.operators.cards import card_verdicts
 from siftlog.operators.framing import framed
 from siftlog.operators.nested import event_facts, event_fields
@@ -214,3 +215,60 @@ def card_table(spark, d):
     """Cards of any, all and file-name patterns as a table."""
     cards = spark.createDataFrame(_CARDS, "card string, kind string, pattern string")
     return card_verdicts(loglines(spark, d).select("path", "line_no", "text"), cards).withColumn("examples", F.array_join("examples", " "))
+
+
+def battery_rules():
+    """Twelve observations on the log lines: attempts, refusals, outsiders, probes, bans, broken delivery, its sender, a stale file, sessions without outcome, self-talk, a rare line, one source for all."""
+    text, word = F.col("text"), lambda w: F.col("text").contains(w)
+    source, client, account = F.regexp_extract(text, r" from (\S+)$", 1), F.regexp_extract(text, r"^(\S+) - - ", 1), F.nullif(F.regexp_extract(text, r" user=(\d+) ", 1), F.lit(""))
+    inside = F.regexp_extract(text, r" from 10\.0\.([01])\.", 1) != ""
+    log = lambda n: F.col("path").endswith(f"/{n}.log")
+    code = lambda c: word(f'" {c} ')
+    return {
+        "R01": Rule(word(" FATAL "), source=source, parts={"accepted": word(" INFO "), "blocked": word(" BLOCK ")}),
+        "R02": Rule(code(404), source=client, bucket=F.regexp_extract(text, r"/(\d+) HTTP", 1)),
+        "R03": Rule(word(" WARN ") & ~inside, source=source, parts={"accepted": word(" INFO "), "accepted_outside": word(" INFO ") & ~inside}),
+        "R04": Rule(word("GET /click/"), "click", client, F.regexp_extract(text, r'" (\d{3}) ', 1), {"served": word("GET /click/") & code(200)}),
+        "R05": Rule(log("signup"), "signup", account, key=account, opens=log("signup"), closes=log("purchase"), parts={"found": log("error")}),
+        "R06": Rule(code(200), "view", bucket=F.regexp_extract(text, r'" (\d{3}) ', 1)),
+        "R07": Rule(word(" WARN "), "error", account),
+        "R08": Rule(log("error"), "error", parts={"mentions": word("error")}),
+        "R09": Rule(log("view"), "view", client, key=F.nullif(client, F.lit("")), opens=log("view"), closes=log("click")),
+        "R10": Rule(word(" INFO "), "signup|purchase"),
+        "R11": Rule(word(" k=0 ") & log("purchase"), "purchase", source, parts={"elsewhere": word(" k=0 ") & ~log("purchase"), "accepts": log("view")}),
+        "R12": Rule(client != "", "click", client),
+    }
+
+
+_BATTERY = r"""b AS (SELECT host, path, line_no, sec, event_type AS t, level, status, k, CAST(ip AS VARCHAR) AS ip, CAST(user_id AS VARCHAR) AS u, event_type IN ('view', 'click') AS web, ip LIKE '10.0.0.%' OR ip LIKE '10.0.1.%' AS inside FROM loglines),
+m AS (SELECT host, path, sec, 'R01' AS rule, '' AS part, ip AS source, NULL AS bucket FROM b WHERE NOT web AND level = 'FATAL' UNION ALL SELECT host, path, sec, 'R01', 'accepted', NULL, NULL FROM b WHERE NOT web AND level = 'INFO'
+  UNION ALL SELECT host, path, sec, 'R02', '', ip, CAST(k AS VARCHAR) FROM b WHERE web AND status = 404
+  UNION ALL SELECT host, path, sec, 'R03', '', ip, NULL FROM b WHERE NOT web AND level = 'WARN' AND NOT inside UNION ALL SELECT host, path, sec, 'R03', 'accepted', NULL, NULL FROM b WHERE NOT web AND level = 'INFO'
+  UNION ALL SELECT host, path, sec, 'R03', 'accepted_outside', NULL, NULL FROM b WHERE NOT web AND level = 'INFO' AND NOT inside
+  UNION ALL SELECT host, path, sec, 'R04', '', ip, CAST(status AS VARCHAR) FROM b WHERE t = 'click' UNION ALL SELECT host, path, sec, 'R04', 'served', NULL, NULL FROM b WHERE t = 'click' AND status = 200
+  UNION ALL SELECT host, path, sec, 'R05', '', u, NULL FROM b WHERE t = 'signup' UNION ALL SELECT host, path, sec, 'R05', 'found', NULL, NULL FROM b WHERE t = 'error'
+  UNION ALL SELECT host, path, sec, 'R06', '', NULL, '200' FROM b WHERE t = 'view' AND status = 200 UNION ALL SELECT host, path, sec, 'R07', '', u, NULL FROM b WHERE t = 'error' AND level = 'WARN'
+  UNION ALL SELECT host, path, sec, 'R08', '', NULL, NULL FROM b WHERE t = 'error' UNION ALL SELECT host, path, sec, 'R09', '', ip, NULL FROM b WHERE t = 'view'
+  UNION ALL SELECT host, path, sec, 'R10', '', NULL, NULL FROM b WHERE t IN ('signup', 'purchase') AND level = 'INFO' UNION ALL SELECT host, path, sec, 'R11', '', ip, NULL FROM b WHERE t = 'purchase' AND k = 0
+  UNION ALL SELECT host, path, sec, 'R11', 'elsewhere', NULL, NULL FROM b WHERE t IN ('signup', 'error') AND k = 0 UNION ALL SELECT host, path, sec, 'R11', 'accepts', NULL, NULL FROM b WHERE t = 'view'
+  UNION ALL SELECT host, path, sec, 'R12', '', ip, NULL FROM b WHERE t = 'click'),
+w(rule, within) AS (VALUES ('R01', ''), ('R02', ''), ('R03', ''), ('R04', 'click'), ('R05', 'signup'), ('R06', 'view'), ('R07', 'error'), ('R08', 'error'), ('R09', 'view'), ('R10', 'signup|purchase'), ('R11', 'purchase'), ('R12', 'click')),
+e AS (SELECT h.host, w.rule, w.within FROM (SELECT DISTINCT host FROM b) h, w),
+n AS (SELECT host, rule, count(*) AS n, min(sec) AS first, max(sec) AS last FROM m WHERE part = '' GROUP BY ALL),
+f AS (SELECT host, rule, string_agg(path || '=' || c, ' ' ORDER BY path) AS files FROM (SELECT host, rule, path, count(*) AS c FROM m WHERE part = '' GROUP BY ALL) GROUP BY ALL),
+p AS (SELECT host, rule, string_agg(part || '=' || c, ' ' ORDER BY part) AS parts FROM (SELECT host, rule, part, count(*) AS c FROM m WHERE part <> '' GROUP BY ALL) GROUP BY ALL),
+s AS (SELECT host, rule, count(*) AS sources, string_agg(source || '=' || c, ' ' ORDER BY r) FILTER (r <= 5) AS top FROM (SELECT host, rule, source, count(*) AS c, row_number() OVER (PARTITION BY host, rule ORDER BY count(*) DESC, source) AS r FROM m WHERE part = '' AND source IS NOT NULL GROUP BY host, rule, source) GROUP BY ALL),
+q AS (SELECT host, rule, string_agg(bucket || '=' || c, ' ' ORDER BY r) FILTER (r <= 5) AS buckets FROM (SELECT host, rule, bucket, count(*) AS c, row_number() OVER (PARTITION BY host, rule ORDER BY count(*) DESC, bucket) AS r FROM m WHERE part = '' AND bucket IS NOT NULL GROUP BY host, rule, bucket) GROUP BY ALL),
+l AS (SELECT b.host, w.rule, count(*) AS looked FROM b JOIN w ON regexp_matches(b.path, w.within) GROUP BY ALL),
+o AS (SELECT host, rule, count(*) FILTER (opens) AS opened, count(*) FILTER (opens AND coalesce(nxt, true)) AS open FROM (SELECT host, rule, opens, lead(opens) OVER (PARTITION BY host, rule, key ORDER BY sec, path, line_no) AS nxt
+  FROM (SELECT host, path, line_no, sec, 'R05' AS rule, u AS key, t = 'signup' AS opens FROM b WHERE t IN ('signup', 'purchase') UNION ALL SELECT host, path, line_no, sec, 'R09', ip, t = 'view' FROM b WHERE web)) GROUP BY ALL)"""
+
+
+@query("observable_battery", f"""
+WITH {_BATTERY}
+SELECT e.host, e.rule, coalesce(n, 0) AS n, coalesce(files, '') AS files, coalesce(sources, 0) AS sources, coalesce(top, '') AS top, coalesce(buckets, '') AS buckets, coalesce(parts, '') AS parts, first, last,
+  CAST((last - first) // 3600 AS BIGINT) AS hours, CAST(((SELECT max(sec) FROM b) - last) // 3600 AS BIGINT) AS quiet_hours, CAST(round(10000.0 * coalesce(n, 0) / looked) AS BIGINT) AS share_bp, opened, open
+FROM e LEFT JOIN n USING (host, rule) LEFT JOIN f USING (host, rule) LEFT JOIN p USING (host, rule) LEFT JOIN s USING (host, rule) LEFT JOIN q USING (host, rule) LEFT JOIN l USING (host, rule) LEFT JOIN o USING (host, rule)""")
+def observable_battery(spark, d):
+    """Twelve observations on each host."""
+    return battery(loglines(spark, d).select("host", "path", "line_no", "sec", "text"), battery_rules())
