@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftlog.operators.scan import along
+
 
 def floor_quantiles(df: DataFrame, keys: list[str], value: str, **quantiles: float) -> DataFrame:
     """keys, n and for each name the element ``min(n - 1, floor(q * n))`` of the sorted values.
@@ -96,9 +98,10 @@ def metric_axes(bag: DataFrame, sizes: DataFrame, keep: int = 2, distinct: int =
 
 def slot_verdict(slots: DataFrame, least: int = 40) -> DataFrame:
     """path, slot, n, verdict of (path, line_no, slot, value, glued): why a numeric place measures nothing, or ``metric``."""
-    order = W.partitionBy("path", "slot").orderBy("line_no")
-    s = slots.withColumns({"first": F.first("value").over(order), "prev": F.lag("value").over(order)})
-    a = s.groupBy("path", "slot").agg(F.count("*").alias("n"), F.max("glued").alias("glued"), F.count_distinct("value").alias("d"), F.count_if(F.col("value") == F.col("first")).alias("f"), F.count_if(F.col("value") > F.col("prev")).alias("up"))
+    s = along(slots, before={"prev": F.struct("value")}, by=("path", "slot"))
+    v = s.groupBy("path", "slot", "value").agg(F.count("*").alias("n"), F.max("glued").alias("glued"), F.min("line_no").alias("came"), F.count_if(F.col("value") > F.col("prev.value")).alias("up"))
+    same = F.coalesce(F.min_by(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0), "came"), F.lit(0))  # as the first value
+    a = v.groupBy("path", "slot").agg(F.sum("n").alias("n"), F.max("glued").alias("glued"), F.count("value").alias("d"), same.alias("f"), F.sum("up").alias("up"))
     why = F.when(F.col("glued"), "name").when(F.col("n") < least, "few").when(F.col("d") < 3, "flag").when(100 * F.col("f") >= 99 * F.col("n"), "constant").when((F.col("d") > 64) & (100 * F.col("up") >= 98 * (F.col("n") - 1)), "counter")
     return a.select("path", "slot", "n", why.otherwise("metric").alias("verdict"))
 
@@ -155,7 +158,7 @@ def axis_excursion(df: DataFrame, key: str, hour: str, value: str, factor: float
 
 def axis_newcomer(df: DataFrame, key: str, order: str, actor: str, most_actors: int = 64, least: int = 60, most_new: int = 3) -> DataFrame:
     """key, actor, first, n: actors first seen after half of a file's records, latest first; files with many of them have none."""
-    seen = df.withColumn("at", F.row_number().over(W.partitionBy(key).orderBy(order)))
+    seen = along(df, sums={"at": F.lit(1)}, by=(key,), order=order)
     size = seen.groupBy(key).agg(F.count("*").alias("all"), F.count_distinct(actor).alias("actors"))
     firsts = seen.groupBy(key, actor).agg(F.min("at").cast("long").alias("first"), F.count("*").alias("n")).join(size, key)
     late = firsts.where((F.col("all") >= least) & (F.col("actors") <= most_actors) & (2 * F.col("first") > F.col("all")))
@@ -178,6 +181,33 @@ def axis_floor(records: DataFrame, most: int = 6) -> DataFrame:
     return merge_axes(rare.unionByName(full).unionByName(first).unionByName(last), most)
 
 
+def floor_rows(records: DataFrame, levels: DataFrame, most: int = 6, most_codes: int = 3, most_levels: int = 2) -> DataFrame:
+    """path, line_no, why of what a file shows when no axis ranks its records, ``most`` records at most, the strongest reason of each.
+
+    ``records``: path, line_no, template, code (null without one), hour; ``levels``: path, line_no, axis, value. In order: ``code``, the first
+    records of the rarest codes but the file's most frequent one; ``level``, for the first axes by name with two values or more, where the
+    template that is most frequent with the axis's rarest value first stands; ``burst``, the first record of the fullest hour; the ``first`` record
+    and the ``last``. Of equally frequent codes and templates the one that came first counts as more frequent.
+    """
+    pick = lambda rows, order, keep, keys=("path",): rows.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("r") <= keep)
+    claim = lambda rows, why, strength: rows.select("path", "line_no", F.lit(why).alias("why"), (strength if isinstance(strength, Column) else F.lit(strength)).cast("int").alias("strength"))
+    codes = records.where("code is not null").groupBy("path", "code").agg(F.count("*").alias("n"), F.min("line_no").alias("line_no"))
+    codes = codes.withColumn("place", F.row_number().over(W.partitionBy("path").orderBy(F.desc("n"), "line_no"))).where("place > 1")
+    code = claim(pick(codes, ["n", "code"], most_codes), "code", 10 + F.col("r"))
+    values = levels.groupBy("path", "axis", "value").agg(F.count("*").alias("n"))
+    values = values.withColumn("card", F.count("*").over(W.partitionBy("path", "axis"))).where("card > 1")
+    rarest = pick(pick(values, ["n", "value"], 1, ("path", "axis")).drop("r"), ["axis"], most_levels).select("path", "axis", "value", F.col("r").alias("place"))
+    templates = records.groupBy("path", "template").agg(F.min("line_no").alias("line_no"))
+    with_value = levels.join(rarest, ["path", "axis", "value"]).join(records.select("path", "line_no", "template"), ["path", "line_no"])
+    with_value = with_value.groupBy("path", "axis", "place", "template").agg(F.count("*").alias("n"), F.min("line_no").alias("came"))
+    level = claim(pick(with_value, [F.desc("n"), "came"], 1, ("path", "axis")).join(templates, ["path", "template"]), "level", 20 + F.col("place"))
+    hours = records.where("hour is not null").groupBy("path", "hour").agg(F.count("*").alias("n"), F.min("line_no").alias("line_no"))
+    burst = claim(pick(hours, [F.desc("n"), "hour"], 1), "burst", 30)
+    ends = records.groupBy("path").agg(F.min("line_no").alias("a"), F.max("line_no").alias("b"))
+    first, last = claim(ends.select("path", F.col("a").alias("line_no")), "first", 40), claim(ends.select("path", F.col("b").alias("line_no")), "last", 41)
+    return merge_axes(code.unionByName(level).unionByName(burst).unionByName(first).unionByName(last), most)
+
+
 def merge_axes(rows: DataFrame, most: int | None = None) -> DataFrame:
     """path, line_no, why: the strongest (least ``strength``) claim of each record; ``most`` records of a file."""
     one = rows.withColumn("r", F.row_number().over(W.partitionBy("path", "line_no").orderBy("strength", "why"))).where("r = 1")
@@ -196,7 +226,7 @@ def rare_field(values: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def state_change(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """key, value, first, n: values of a field with 2 to 8 that first appear after 30 % of the records and stay below half."""
-    seen = df.withColumn("at", F.row_number().over(W.partitionBy(key).orderBy(order)))
+    seen = along(df, sums={"at": F.lit(1)}, by=(key,), order=order)
     v = seen.groupBy(key, value).agg(F.min("at").cast("long").alias("first"), F.count("*").alias("n"))
     by = W.partitionBy(key)
     v = v.withColumns({"all": F.sum("n").over(by), "card": F.count("*").over(by)})

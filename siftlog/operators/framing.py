@@ -7,7 +7,6 @@ gives path, line_start, line_end, text. ``framed`` deals each file of a mixed co
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftlog.functions.clock import TIME_SHAPES, order_key
@@ -129,9 +128,9 @@ def detect_key(lines: DataFrame, fields: dict[str, Column], least_lines: int = 2
     files = files.where((F.col("lines") >= least_lines) & (2 * F.col("clocked") >= F.col("lines")) & (10 * F.col("whole") < 9 * F.col("lines"))).select("path", "lines")
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), c.cast("string").alias("value")) for n, c in fields.items()])).alias("p")
     rows = full.withColumn("stamp", _stamp(F.col("text"))).select("path", "line_no", "stamp", pairs).select("path", "line_no", "stamp", "p.field", "p.value").join(files.select("path"), "path", "left_semi")
-    order = W.partitionBy("path", "field").orderBy("line_no")
-    opens = F.when(F.row_number().over(order) == 1, 1).otherwise((~F.lag("value").over(order).eqNullSafe(F.col("value"))).cast("int"))
-    rows = rows.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order))
+    rows = along(rows, before={"was": F.struct("value")}, by=("path", "field"))
+    opens = F.col("was").isNull() | ~F.col("was.value").eqNullSafe(F.col("value"))
+    rows = along(rows, sums={"run": opens.cast("int")}, by=("path", "field"))
     instants = F.count_distinct("stamp") + F.max(F.col("stamp").isNull().cast("int"))
     runs = rows.groupBy("path", "field", "run").agg(F.first("value").alias("value"), F.count("*").alias("n"), (instants <= 1).cast("int").alias("at_once"))
     values = runs.groupBy("path", "field", "value").agg(F.count("*").alias("runs"), F.sum("n").alias("n"), F.sum("at_once").alias("at_once"))

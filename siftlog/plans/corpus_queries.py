@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftlog.functions.clock import hour_of
 from siftlog.functions.extractors import BRACKETS, FIELD_BAG, with_rows
-from siftlog.functions.fields import text_blocks
+from siftlog.functions.fields import extract_axis, text_blocks
+from siftlog.functions.masking import template
+from siftlog.operators import axes as A
 from siftlog.operators.battery import Rule, battery
 from siftlog.operators.cards import card_verdicts
 from siftlog.operators.framing import framed
@@ -15,6 +18,7 @@ from siftlog.operators.trace import trace
 from siftlog.operators.twins import rendering_twins
 from siftlog.plans.fixtures import events, loglines, nested_events, path_of, renderings, rotlines, table, written
 from siftlog.plans.registry import query
+from siftlog.plans.text_queries import SQL_TEMPLATE
 from siftlog.sources.lines import read_lines
 from siftlog.work import saved, work_path
 
@@ -272,3 +276,29 @@ FROM e LEFT JOIN n USING (host, rule) LEFT JOIN f USING (host, rule) LEFT JOIN p
 def observable_battery(spark, d):
     """Twelve observations on each host."""
     return battery(loglines(spark, d).select("host", "path", "line_no", "sec", "text"), battery_rules())
+
+
+@query("floor_rows", f"""
+WITH b AS (SELECT path, line_no, {SQL_TEMPLATE} AS template, CASE WHEN event_type IN ('view', 'click') THEN status END AS code, hour(ts) AS hour, level, user_id, event_type, k FROM loglines),
+c AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n DESC, line_no) AS place FROM (SELECT path, code, count(*) AS n, min(line_no) AS line_no FROM b WHERE code IS NOT NULL GROUP BY path, code)),
+v AS (SELECT path, line_no, template, unnest(['kv:par', 'ws:1', 'ws:2']) AS axis, unnest([CAST(user_id % 2 AS VARCHAR), level, 'svc-' || (user_id % 3)]) AS value FROM b WHERE event_type NOT IN ('view', 'click')
+  UNION ALL SELECT path, line_no, template, 'kv:par', CASE WHEN k < 98 THEN 'low' ELSE 'high' END FROM b WHERE event_type IN ('view', 'click')),
+h AS (SELECT *, row_number() OVER (PARTITION BY path, axis ORDER BY n, value) AS r, count(*) OVER (PARTITION BY path, axis) AS card FROM (SELECT path, axis, value, count(*) AS n FROM v GROUP BY ALL)),
+x AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY axis) AS place FROM h WHERE r = 1 AND card > 1),
+t AS (SELECT v.path, v.axis, x.place, v.template, row_number() OVER (PARTITION BY v.path, v.axis ORDER BY count(*) DESC, min(v.line_no)) AS r FROM v JOIN x ON x.path = v.path AND x.axis = v.axis AND x.value = v.value AND place <= 2 GROUP BY v.path, v.axis, x.place, v.template),
+u AS (SELECT path, line_no, 'code' AS why, 10 + row_number() OVER (PARTITION BY path ORDER BY n, code) AS s FROM c WHERE place > 1
+  UNION ALL SELECT t.path, min(b.line_no), 'level', 20 + t.place FROM t JOIN b ON b.path = t.path AND b.template = t.template WHERE t.r = 1 GROUP BY t.path, t.axis, t.place
+  UNION ALL SELECT path, line_no, 'burst', 30 FROM (SELECT path, hour, min(line_no) AS line_no, row_number() OVER (PARTITION BY path ORDER BY count(*) DESC, hour) AS r FROM b GROUP BY path, hour) WHERE r = 1
+  UNION ALL SELECT path, min(line_no), 'first', 40 FROM b GROUP BY path UNION ALL SELECT path, max(line_no), 'last', 41 FROM b GROUP BY path),
+o AS (SELECT *, row_number() OVER (PARTITION BY path, line_no ORDER BY s, why) AS r FROM u WHERE why <> 'code' OR s <= 13)
+SELECT path, line_no, why FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY s, line_no) AS q FROM o WHERE r = 1) WHERE q <= 6""")
+def floor_rows(spark, d):
+    """Minority codes, rarest levels, fullest hour, first and last record of every file."""
+    lines, text = loglines(spark, d), F.col("text")
+    app = ~F.col("event_type").isin("view", "click")
+    code = F.nullif(F.regexp_extract(text, r'" (\d{3}) ', 1), F.lit("")).cast("int")
+    records = lines.select("path", "line_no", template(text).alias("template"), code.alias("code"), hour_of(text).alias("hour"))
+    pair = lambda axis, value: F.struct(F.lit(axis).alias("axis"), value.cast("string").alias("value"))
+    own = F.array(pair("kv:par", F.col("user_id") % 2), pair("ws:1", extract_axis(text, "ws:1")), pair("ws:2", extract_axis(text, "ws:2")))
+    levels = lines.select("path", "line_no", F.explode(F.when(app, own).otherwise(F.array(pair("kv:par", F.when(F.col("k") < 98, "low").otherwise("high"))))).alias("x"))
+    return A.floor_rows(records, levels.select("path", "line_no", "x.*"))

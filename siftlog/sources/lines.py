@@ -15,10 +15,11 @@ def scan_files(paths: DataFrame, path_col: str = "path") -> DataFrame:
     return paths.select(F.col(path_col).alias("path")).distinct().where(~F.col("path").rlike(f"(^|/)({'|'.join(SKIPPED)})(/|$)"))
 
 
-def read_lines(spark: SparkSession, root: str) -> DataFrame:
+def read_lines(spark: SparkSession, root: str, skip_binary: bool = True, within: int = 8192) -> DataFrame:
     """path, line_no (from 1, in the decompressed stream), text of all text files below ``root``; gzip is read through.
 
-    Numbers are counted inside each split and moved by the splits before it, so a large file is read in parallel.
+    Numbers are counted inside each split and moved by the splits before it, so a large file is read in parallel. A file
+    with a NUL in its first ``within`` bytes is no text and left out, unless ``skip_binary`` is off; only its first split is asked.
     """
     raw = spark.read.option("recursiveFileLookup", True).text(root)
     raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
@@ -27,6 +28,9 @@ def read_lines(spark: SparkSession, root: str) -> DataFrame:
     before = F.coalesce(F.sum("count").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     held = held.select("path", "block", before.alias("before"))
     kept = scan_files(held).select("path")
+    if skip_binary:
+        head = own.where((F.col("block") == 0) & (F.col("n") <= within)).select("path", F.col("n").alias("line_no"), "text")  # a line has a byte at least
+        kept = kept.join(binary_files(head, within).where("binary").select("path"), "path", "left_anti")
     return own.join(held, ["path", "block"]).join(kept, "path", "left_semi").select("path", (F.col("n") + F.col("before")).alias("line_no"), "text")
 
 
@@ -36,11 +40,14 @@ def strip_ansi(text):
 
 
 def binary_files(lines: DataFrame, within: int = 8192) -> DataFrame:
-    """path, binary: whether a NUL lies in the first ``within`` bytes of a file."""
-    start = F.coalesce(F.sum(F.octet_length("text") + 1).over(W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    near = lines.withColumn("start", start)
+    """path, binary: whether a NUL lies in the first ``within`` bytes of a file; lines behind its first ``within`` aren't looked at."""
+    files = lines.select("path").distinct()
+    head = lines.where(F.col("line_no") <= within)
+    start = F.coalesce(F.sum(F.octet_length("text") + 1).over(W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # ``within`` rows a file
+    near = head.withColumn("start", start).where(F.col("start") < within)
     seen = F.contains(F.substr("text", F.lit(1), F.greatest(F.lit(within) - F.col("start"), F.lit(0)).cast("int")), F.lit("\x00"))
-    return near.groupBy("path").agg(F.coalesce(F.max(seen), F.lit(False)).alias("binary"))
+    sealed = near.groupBy("path").agg(F.coalesce(F.max(seen), F.lit(False)).alias("binary"))
+    return files.join(sealed, "path", "left").select("path", F.coalesce("binary", F.lit(False)).alias("binary"))
 
 
 def small_files(lines: DataFrame, most_bytes: int = 4096, cut: int = 300) -> DataFrame:
