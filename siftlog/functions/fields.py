@@ -113,6 +113,28 @@ def citations(text: Column) -> Column:
     return F.transform(joined, lambda p: F.struct(p["path"].alias("path"), p["low"].cast("long").alias("line_lo"), F.when(p["high"] != "", p["high"].cast("long")).otherwise(p["low"].cast("long")).alias("line_hi")))
 
 
+#: A table row; a cell that names a file; a cell that is a line number.
+TABLE_ROW, FILE_CELL, NUMBER_CELL = r"^\s*\|(?:[^|]*\|){2,}", r"^[\w./\-]+\.\w+$", r"^\d{1,9}$"
+
+
+def table_citations(text: Column) -> Column:
+    """array<struct<path, line_lo, line_hi, claim>> of the rows of tables: the first cell that is a file, the first number beside it, the rest as the claim.
+
+    A row has three bars or more and begins with one; rows of dashes are none, nor are rows that lack either cell.
+    """
+    rows = F.filter(F.split(text, r"\r?\n", -1), lambda r: r.rlike(TABLE_ROW) & ~r.rlike(r"^[\s|:\-]*$"))
+    cells = lambda r: F.transform(F.split(F.regexp_replace(F.trim(r), r"^\|+|\|+$", ""), r"\|", -1), lambda c: F.trim(c))
+    place = lambda cs, pattern: F.array_position(F.transform(cs, lambda c: c.rlike(pattern)), F.lit(True)).cast("int")
+
+    def cited(cs: Column) -> Column:
+        file, number = place(cs, FILE_CELL), place(cs, NUMBER_CELL)
+        line = F.get(cs, number - 1).try_cast("long")
+        claim = F.array_join(F.filter(cs, lambda _, i: (i != file - 1) & (i != number - 1)), " ")
+        return F.when((file > 0) & (number > 0), F.struct(F.get(cs, file - 1).alias("path"), line.alias("line_lo"), line.alias("line_hi"), claim.alias("claim")))
+
+    return F.array_compact(F.flatten(F.transform(rows, lambda r: F.transform(F.array(cells(r)), cited))))
+
+
 #: Quoted spans.
 QUOTES = (r'"([^"\n]{4,400})"', r"«([^»\n]{4,400})»", r"“([^”\n]{4,400})”", r"`([^`\n]{4,400})`")
 

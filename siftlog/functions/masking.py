@@ -55,6 +55,15 @@ def template(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.concat(F.array_join(kinds, ""), F.element_at(between, -1)), r"\s+", " "))
 
 
+#: How many characters of a template a line of the record has, and how many lines count.
+MOST_OF_LINE, MOST_LINES = 180, 4
+
+
+def capped_template(text: Column, lines: Column) -> Column:
+    """The template of a record of so many lines, cut at 180 characters a line, of four lines at most."""
+    return F.substring(template(text), F.lit(1), MOST_OF_LINE * F.least(F.greatest(lines, F.lit(1)), F.lit(MOST_LINES)).cast("int"))
+
+
 def slots(text: Column) -> Column:
     """The first ten numbers, in order."""
     return F.slice(F.transform(F.filter(pieces(text), lambda p: p["kind"] == "#"), lambda p: p["token"].cast("double")), 1, MOST_SLOTS)

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftlog.functions.fields import comparable, normalised, quoted_spans, token_set, word_count
+from siftlog.operators.trace import firsts
+from siftlog.work import saved
 
 
 def id_pattern(parts: list[str]) -> str:
@@ -213,23 +215,27 @@ def reconcile(claimed: DataFrame, derived: DataFrame, key: str, columns: list[st
     return j.select(F.coalesce(key, "k").alias(key), F.array_join(F.array_compact(flags), ",").alias("flags"))
 
 
-def fair_worklist(rows: DataFrame, budget: int, state_share: float = 0.1, state_each: int = 3, rounds: int = 64) -> DataFrame:
+def fair_worklist(rows: DataFrame, budget: int, state_share: float = 0.1, state_each: int = 3) -> DataFrame:
     """path, line_no, round, place of candidates (path, kind, line_no, rank): files take turns, one row each a round.
 
     State files share ``state_share`` of the budget with ``state_each`` rows each; stream rows that are not needed go to
-    them. Only each file's first ``budget`` rows and class totals meet in one place.
+    them. Rounds are counted first: those that fit are kept as they are, and only of the round in which a kind's budget ends are the first
+    files by name looked for, bucket by bucket. At most ``budget`` rows meet in one place.
     """
     r = rows.withColumn("round", F.row_number().over(W.partitionBy("path").orderBy("rank", "line_no")))
     r = r.where((F.col("round") <= budget) & ((F.col("kind") == "stream") | (F.col("round") <= state_each)))
-    # Rows of a round over all files: a round that fits the budget needs no order inside it.
-    per = r.groupBy("kind", "round").agg(F.count("*").alias("c"))
+    per = r.groupBy("kind", "round").agg(F.count("*").alias("c"))  # ``budget`` rounds at most
     before = F.coalesce(F.sum("c").over(W.partitionBy("kind").orderBy("round").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     # Streams leave what they don't need to the states; their total is known from the rounds' counts.
     streams = F.coalesce(F.sum(F.when(F.col("kind") == "stream", F.col("c"))).over(W.partitionBy()), F.lit(0))
     most = budget - int(budget * state_share)
-    per = per.select("kind", "round", before.alias("before"), F.when(F.col("kind") == "stream", most).otherwise(budget - F.least(streams, F.lit(most))).alias("most"))
-    inside = F.row_number().over(W.partitionBy("kind", "round").orderBy("path"))
-    kept = r.withColumn("inside", inside).join(per, ["kind", "round"]).where(F.col("before") + F.col("inside") <= F.col("most"))
+    per = per.select("kind", "round", "c", before.alias("before"), F.when(F.col("kind") == "stream", most).otherwise(budget - F.least(streams, F.lit(most))).alias("most"))
+    per = saved(per.where("before < most"), "rounds")
+    near = r.join(F.broadcast(per), ["kind", "round"])  # ``budget`` rounds at most
+    whole = near.where("before + c <= most").select("path", "line_no", "round")
+    last = firsts(near.where("before + c > most"), ["kind"], ["path"], budget)
+    last = last.withColumn("inside", F.row_number().over(W.partitionBy("kind").orderBy("path"))).where("before + inside <= most").select("path", "line_no", "round")
+    kept = whole.unionByName(last)
     # At most ``budget`` rows are left to be numbered.
     return kept.withColumn("place", F.row_number().over(W.orderBy("round", "path")).cast("long")).select("path", "line_no", F.col("round").cast("long").alias("round"), "place")
 
@@ -303,17 +309,30 @@ def truth_outcomes(truth: DataFrame, blocks: DataFrame) -> DataFrame:
 def byte_budget(blocks: DataFrame, budget: int) -> DataFrame:
     """id of (id, earned, klass, cost): earned blocks always; of the rest, class by class, the cheapest that fit.
 
-    Costs ascend inside a class, so what fits is a prefix of each class; the remainder goes to the next. Classes are few
-    and known: one small aggregate finds each class's cut.
+    Costs ascend inside a class, so what fits is a prefix of each class; the remainder goes to the next. Blocks are counted by
+    cost first, so windows see a row for each different cost; only blocks of the cost at which a class's share ends are
+    ordered by id. Classes are few: what each of them leaves is one aggregate over the counted costs.
     """
     spent = blocks.where("earned").agg(F.coalesce(F.sum("cost"), F.lit(0))).first()[0]
-    rest = blocks.where("not earned").withColumn("upto", F.sum("cost").over(W.partitionBy("klass").orderBy("cost", "id").rowsBetween(W.unboundedPreceding, 0)))
-    left, kept = budget - spent, blocks.where("earned").select("id")
-    for k in [r[0] for r in rest.select("klass").distinct().orderBy("klass").collect()]:
-        fit = rest.where((F.col("klass") == k) & (F.col("upto") <= left))
-        used = fit.agg(F.coalesce(F.max("upto"), F.lit(0))).first()[0]
-        kept, left = kept.unionByName(fit.select("id")), left - used
-    return kept
+    rest = blocks.where("not earned").select("id", "klass", "cost")
+    levels = rest.groupBy("klass", "cost").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum(F.col("n") * F.col("cost")).over(W.partitionBy("klass").orderBy("cost").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    levels = saved(levels.withColumn("before", before), "block-costs")
+    left, shares = budget - spent, []
+    for k in [r[0] for r in levels.select("klass").distinct().orderBy("klass").collect()]:
+        fits = F.when(F.col("cost") > 0, F.least("n", F.floor((F.lit(left) - F.col("before")) / F.col("cost")))).otherwise(F.col("n"))
+        used = levels.where((F.col("klass") == k) & (F.col("before") <= left)).agg(F.max(F.col("before") + F.greatest(fits, F.lit(0)) * F.col("cost"))).first()[0] or 0
+        shares.append((k, left))
+        left -= used
+    kept = blocks.where("earned").select("id")
+    if not shares:
+        return kept
+    own = blocks.sparkSession.createDataFrame(shares, blocks.select("klass").schema.add("left", "long"))
+    cuts = levels.join(F.broadcast(own), "klass").where("before <= left")  # a row a class
+    cuts = cuts.withColumn("fit", F.when(F.col("cost") > 0, F.least("n", F.floor((F.col("left") - F.col("before")) / F.col("cost")))).otherwise(F.col("n")))
+    near = rest.join(cuts.select("klass", "cost", "n", "fit").where("fit > 0"), ["klass", "cost"])
+    edge = near.where("fit < n").withColumn("r", F.row_number().over(W.partitionBy("klass", "cost").orderBy("id"))).where("r <= fit")
+    return kept.unionByName(near.where("fit = n").select("id")).unionByName(edge.select("id"))
 
 
 def priority_cut(rows: DataFrame, file: str, klass: str, row: str, order: list[str], weak: str, weak_each: int = 6, most: int = 250) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftlog.work import saved
+
 
 def regex_scan(lines: DataFrame, pattern: str, drop: str | None = None) -> DataFrame:
     """Lines that match ``pattern`` and not ``drop``."""
@@ -95,18 +97,68 @@ def quality_checks(docs: DataFrame, languages: tuple[str, ...] = ("en", "de", "f
     return marked.select("doc_id", F.array_join(F.array_compact(checks), ",").alias("found"))
 
 
-def quote_hits(texts: DataFrame, quotes: DataFrame, words: int = 3) -> DataFrame:
+def quote_hits(texts: DataFrame, quotes: DataFrame, words: int = 3, letters: int = 3) -> DataFrame:
     """(doc_id, item_id) where the text holds the quote.
 
-    The first and the last word of a quote may end inside words of the text, those between are whole. Candidates share
-    the first ``words`` of these, then are verified; quotes with fewer are tried on every text.
+    The first and the last word of a quote may end inside words of the text, those between are whole. Candidates share what a quote
+    surely leaves in a text, then are verified: the first ``words`` whole words, else the longest whole word, else a run of ``letters``
+    characters in the quote's middle. Quotes shorter than that are tried on every text; there is no such pass where there are none.
     """
     parts = F.split("quote", " ")
-    keyed = quotes.where(F.size(parts) >= words + 2).withColumn("key", F.array_join(F.slice(parts, 2, words), " "))
-    short = quotes.where(F.size(parts) < words + 2).select("item_id", "quote")
-    tried = texts.join(short, F.contains("t", F.col("quote"))).select("doc_id", "item_id")
+    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
+    kind = F.when(F.size(parts) >= words + 2, "words").when((F.size(parts) > 2) & (longest != ""), "word").when(F.length("quote") >= letters, "letters").otherwise("none")
+    middle = F.substr("quote", F.floor((F.length("quote") - letters) / 2).cast("int") + 1, F.lit(letters))
+    key = F.when(F.col("kind") == "words", F.array_join(F.slice(parts, 2, words), " ")).when(F.col("kind") == "word", longest).when(F.col("kind") == "letters", middle)
+    keyed = saved(quotes.where("quote is not null").withColumn("kind", kind).select("item_id", "quote", "kind", key.alias("key")), "quote-keys")  # its size is known
+    there = {r[0] for r in keyed.select("kind").distinct().collect()}
     texts = texts.withColumn("w", F.split("t", " "))  # named twice below, so it is computed once for each text
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, words), " ")))
-    there = texts.select("doc_id", F.explode(grams).alias("key")).join(keyed, "key").select("doc_id", "item_id", "quote")
-    there = there.join(texts, "doc_id").where(F.contains("t", F.col("quote"))).select("doc_id", "item_id")
-    return there.union(tried).distinct()
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
+    of = {"words": runs(words), "word": F.col("w"), "letters": F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - letters + 1, F.lit(1))), lambda i: F.substr("t", i, F.lit(letters)))}
+    found = texts.select("doc_id", F.lit(None).cast(quotes.schema["item_id"].dataType).alias("item_id")).where("false")
+    for name in sorted(there & set(of)):
+        own = keyed.where(F.col("kind") == name).drop("kind")
+        met = texts.select("doc_id", F.explode(F.array_distinct(of[name])).alias("key")).join(own, "key").select("doc_id", "item_id", "quote").distinct()
+        found = found.union(met.join(texts, "doc_id").where(F.contains("t", F.col("quote"))).select("doc_id", "item_id"))
+    if "none" in there:
+        short = keyed.where("kind = 'none'").select("item_id", "quote")
+        found = found.union(texts.join(short, F.contains("t", F.col("quote"))).select("doc_id", "item_id"))
+    return found.distinct()
+
+
+def select_run(runs: DataFrame, order: str, arm: str | None = None, trace: str | None = None, dataset: str | None = None) -> DataFrame:
+    """The last run by ``order`` of (dataset, arm, stub, trace_dir, ...), chosen and never guessed.
+
+    Stubs are no runs. ``trace`` is part of the run's trace_dir. No run that fits, or runs of more than one dataset (a null one is
+    one) where none was named, raise ValueError, for a score against another dataset's key would look like one.
+    """
+    live = runs.where(~F.coalesce("stub", F.lit(False)))
+    for name, value, fits in (("arm", arm, F.col("arm") == arm), ("trace", trace, F.contains(F.coalesce("trace_dir", F.lit("")), F.lit(trace))), ("dataset", dataset, F.col("dataset") == dataset)):
+        live = live.where(fits) if value else live
+    n, sets, nulls = live.agg(F.count("*"), F.count_distinct("dataset"), F.count_if(F.col("dataset").isNull())).first()
+    if not n:
+        raise ValueError(f"no run of arm {arm}, trace {trace}, dataset {dataset}")
+    if sets + (nulls > 0) > 1:
+        raise ValueError(f"runs of {sets + (nulls > 0)} datasets; name one")
+    return live.agg(F.max_by(F.struct(*live.columns), order).alias("r")).select("r.*")
+
+
+#: Fixed value: how a text refers to a line of a file.
+REFERENCE = r"([A-Za-z0-9_.\-]+\.log):(\d+)"
+
+
+def checklist(texts: DataFrame, row: str, text: str, checks: dict[str, str], lines: DataFrame) -> DataFrame:
+    """row, quality, quality_max, missed, refs, refs_ok of each text: checks that its text meets, and references to lines that there are.
+
+    ``lines`` has (path, line_no); a reference is good if some file of that name has that many lines. Null texts meet nothing.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    files = lines.groupBy(name.alias("file")).agg(F.max("line_no").alias("most"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    missed = F.array_compact(F.array(*[F.when(~body.rlike(p), F.lit(n)) for n, p in checks.items()]))
+    both = F.zip_with(F.regexp_extract_all(body, F.lit(REFERENCE), F.lit(1)), F.regexp_extract_all(body, F.lit(REFERENCE), F.lit(2)), lambda f, n: F.struct(f.alias("file"), n.try_cast("long").alias("n")))
+    held = texts.select(F.monotonically_increasing_id().alias("at"), F.col(row).alias(row), missed.alias("missed"), both.alias("refs"))
+    held = saved(held, "checklist")  # numbered once
+    good = held.select("at", F.explode("refs").alias("r")).join(files, F.col("r.file") == files["file"]).where(F.col("r.n").between(1, F.col("most"))).groupBy("at").agg(F.count("*").alias("ok"))
+    out = held.join(good, "at", "left")
+    return out.select(row, (F.lit(len(checks)) - F.size("missed")).alias("quality"), F.lit(len(checks)).alias("quality_max"), F.array_join("missed", ",").alias("missed"), F.size("refs").alias("refs"), F.coalesce("ok", F.lit(0)).alias("refs_ok"))

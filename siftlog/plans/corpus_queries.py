@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from siftlog.functions.clock import hour_of
 from siftlog.functions.extractors import BRACKETS, FIELD_BAG, with_rows
-from siftlog.functions.fields import extract_axis, text_blocks
-from siftlog.functions.masking import template
+from siftlog.functions.fields import extract_axis, table_citations, text_blocks
+from siftlog.functions.masking import capped_template, template
 from siftlog.operators import axes as A
+from siftlog.operators import predicates as P
 from siftlog.operators.battery import Rule, battery
 from siftlog.operators.cards import card_verdicts
 from siftlog.operators.framing import framed
@@ -302,3 +303,48 @@ def floor_rows(spark, d):
     own = F.array(pair("kv:par", F.col("user_id") % 2), pair("ws:1", extract_axis(text, "ws:1")), pair("ws:2", extract_axis(text, "ws:2")))
     levels = lines.select("path", "line_no", F.explode(F.when(app, own).otherwise(F.array(pair("kv:par", F.when(F.col("k") < 98, "low").otherwise("high"))))).alias("x"))
     return A.floor_rows(records, levels.select("path", "line_no", "x.*"))
+
+
+@query("chosen_run", """
+WITH r AS (SELECT 'ds' || (user_id % 3) AS dataset, event_type AS arm, k = 0 AS stub, 'runs/' || host || '/' || event_id AS trace_dir, event_id AS seq, ms AS duration FROM ev)
+SELECT dataset, arm, max(seq) AS seq, arg_max(duration, seq) AS duration, arg_max(trace_dir, seq) AS trace_dir FROM r WHERE NOT stub AND dataset = 'ds1' AND arm = 'view' AND contains(trace_dir, '/h2/') GROUP BY ALL""")
+def chosen_run(spark, d):
+    """The last run of an arm, a dataset and a trace that is no stub; mixed datasets are refused."""
+    e = events(spark, d)
+    runs = e.select(F.concat(F.lit("ds"), F.col("user_id") % 3).alias("dataset"), F.col("event_type").alias("arm"), (F.col("k") == 0).alias("stub"), F.concat(F.lit("runs/"), "host", F.lit("/"), "event_id").alias("trace_dir"), F.col("event_id").alias("seq"), F.col("ms").alias("duration"))
+    return P.select_run(runs, "seq", "view", "/h2/", "ds1").select("dataset", "arm", "seq", "duration", "trace_dir")
+
+
+_LOGS = "WITH n AS (SELECT string_split(path, '/')[-1] AS file, max(line_no) AS most FROM loglines GROUP BY ALL), d AS (SELECT doc_id, text, 1 + doc_id * 7 % 200 AS a, doc_id * 13 % 900 AS b FROM documents)"
+
+
+@query("checklist_refs", f"""
+{_LOGS}
+SELECT doc_id, CAST(regexp_matches(text, '(?i)license') AS INTEGER) + CAST(regexp_matches(text, '[0-9]{{4}}') AS INTEGER) AS quality, 2 AS quality_max,
+  concat_ws(',', CASE WHEN NOT regexp_matches(text, '(?i)license') THEN 'license' END, CASE WHEN NOT regexp_matches(text, '[0-9]{{4}}') THEN 'year' END) AS missed, 3 AS refs,
+  CAST(a <= (SELECT most FROM n WHERE file = 'view.log') AS BIGINT) + CAST(b BETWEEN 1 AND (SELECT most FROM n WHERE file = 'error.log') AS BIGINT) AS refs_ok FROM d""")
+def checklist_refs(spark, d):
+    """Checks that each document meets, and which of its references name a line that there is."""
+    docs = table(spark, d, "documents")
+    tail = F.concat(F.lit("\n(view.log:"), F.lit(1) + F.col("doc_id") * 7 % 200, F.lit(") error.log:"), F.col("doc_id") * 13 % 900, F.lit(" other.log:1"))
+    checked = P.checklist(docs.select("doc_id", F.concat("text", tail).alias("t"), "text"), "doc_id", "t", {"license": "(?i)license", "year": "[0-9]{4}"}, loglines(spark, d))
+    return checked
+
+
+@query("table_citations", """
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'view.log' ELSE 'logs/error.log' END AS path, doc_id % 50 + 1 AS line_lo, doc_id % 50 + 1 AS line_hi, CASE doc_id % 3 WHEN 0 THEN 'found here twice' ELSE 'x ' || lang END AS claim FROM documents WHERE doc_id % 3 < 2""")
+def table_citations_(spark, d):
+    """Citations in the rows of tables: a file's cell and a number's cell."""
+    docs, n = table(spark, d, "documents"), (F.col("doc_id") % 50 + 1).cast("string")
+    head = "| what | file | line | note |\n|---|:--|--:|---|\n"
+    row = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("| found here | view.log | "), n, F.lit(" | twice |"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("  |"), n, F.lit("|x|logs/error.log|"), "lang", F.lit("|"))).otherwise(F.lit("| view.log | none | a: 12 |"))
+    return docs.select("doc_id", F.explode(table_citations(F.concat(F.lit(head), row, F.lit("\nview.log | 12")))).alias("c")).select("doc_id", "c.*")
+
+
+@query("capped_templates", f"""
+WITH {_ROTATED}, x AS (SELECT path, line_no, CASE WHEN framing = 'line' THEN 1 ELSE line_end - line_no + 1 END AS span, {_ROTATED_TEMPLATE.replace("text,", "repeat(text || ' ', 12),")} AS template FROM r)
+SELECT path, line_no AS line_start, substr(template, 1, CAST(180 * least(span, 4) AS INTEGER)) AS template FROM (SELECT path, line_no, span, template FROM x)""")
+def capped_templates(spark, d):
+    """Templates of records, cut by how many lines a record has."""
+    records = rotated(spark, d).withColumn("text", F.repeat(F.concat("text", F.lit(" ")), F.lit(12)))
+    return records.select("path", "line_start", capped_template(F.col("text"), F.col("line_end") - F.col("line_start") + 1).alias("template"))
