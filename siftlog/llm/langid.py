@@ -21,6 +21,8 @@ from siftlog.llm.bytetext import U, give_back, mix, powers, spans, text_buffers
 from siftlog.llm.shared import saved, unused
 
 UNKNOWN = "und"
+#: Up to so many languages a task holds full rows of scores.
+FEW = 8
 OPEN, CLOSE = ord("<"), ord(">")
 
 
@@ -226,12 +228,20 @@ class LanguageModel:
             return out, np.bincount(doc, minlength=docs)
         distinct, first, index = np.unique(_word_hashes(points, starts, ends), return_index=True, return_inverse=True)
         row = self.words.find(distinct)
+        unseen = np.flatnonzero(row < 0)
+        if len(self.languages) <= FEW:  # a full row for each different word is small; the sums are the same
+            scores = np.zeros((len(distinct), len(self.languages)))
+            which, place, score = self.words.entries(row[row >= 0])
+            scores[np.flatnonzero(row >= 0)[which], place] = score
+            scores[unseen] = self.guessed(distinct[unseen], points, starts[first[unseen]], ends[first[unseen]])
+            for k in range(len(self.languages)):
+                out[:, k] = np.bincount(doc, scores[index, k], docs)
+            return out, np.bincount(doc, minlength=docs)
         of, known = row[index], np.flatnonzero(row[index] >= 0)
         step = self._at_once(1 << 18)
         for i in range(0, len(known), step):
             some = known[i : i + step]
             out += self._sums(doc[some], self.words, of[some], docs)
-        unseen = np.flatnonzero(row < 0)
         place = np.full(len(distinct), -1)
         place[unseen] = np.arange(len(unseen))
         place, step = place[index], self._at_once(1 << 17)

@@ -31,20 +31,36 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/siftlog/{name}-{uuid.uuid4().hex}"
 
 
-@contextmanager
-def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
-    """Arrow batches of about ``size`` bytes in what is written inside; the session's own bound holds again afterwards.
+_BATCH, _OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "siftlog.arrow.ownBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """From now on the session's Arrow batches have about ``size`` bytes, until ``free_batches``: for a table that is written by somebody else.
 
     Ten thousand whole texts in a batch are tens of MB, which a task holds in the JVM and in Python at once. Rows and
     results stay the same. Not for groups: a task puts a group's batches together, which copies them.
     """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    own = spark.conf.get(key, None)
-    spark.conf.set(key, str(size))
+    if spark.conf.get(_OWN, None) is None:
+        spark.conf.set(_OWN, spark.conf.get(_BATCH, None) or "")
+    spark.conf.set(_BATCH, str(size))
+
+
+def free_batches(spark: SparkSession) -> None:
+    """The session's own bound holds again; without ``bound_batches`` before it nothing changes."""
+    own = spark.conf.get(_OWN, None)
+    if own is not None:
+        spark.conf.set(_BATCH, own) if own else spark.conf.unset(_BATCH)
+        spark.conf.unset(_OWN)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """``bound_batches`` for what is written inside."""
+    bound_batches(spark, size)
     try:
         yield
     finally:
-        spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+        free_batches(spark)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
