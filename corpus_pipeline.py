@@ -11,7 +11,7 @@ from siftlog.llm.jaccard_join import jaccard_classes
 from siftlog.llm.langid import fit, known_languages
 from siftlog.llm.mixing import mixed
 from siftlog.llm.queries import TOKENIZER
-from siftlog.llm.shared import saved, unused, work_path
+from siftlog.llm.shared import bound_batches, free_batches, saved, unused, work_path
 from siftlog.llm.token_orc import token_index, write_token_orc
 
 #: A document whose best language has less than this share is rejected.
@@ -22,8 +22,10 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Documents in a learned language; those without letters, or without a language that outweighs the rest, go.
 
     Null and empty texts go. Rows are judged alone, so repeated rows stay or go together; ties go to the first language by
-    name. Rows without a language teach nothing; where no row has one, all go. An empty table stays empty.
+    name. Rows without a language teach nothing; where no row has one, all go. An empty table stays empty. The table is written
+    by the caller, so the session's Arrow batches stay small until the next stage.
     """
+    bound_batches(spark)
     return known_languages(docs, fit(docs), LEAST_SCORE)
 
 
@@ -34,6 +36,7 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     different texts under one id stay. Ties of ids go to the first row. Texts without words, null ones included, link with
     nothing and stay. An empty table stays empty.
     """
+    free_batches(spark)
     row, other = unused("stage_row", docs), unused("stage_other", docs)
     rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
     classes = jaccard_classes(rows, id_col=row).select(F.col("doc_id").alias("row"), "component_id")
