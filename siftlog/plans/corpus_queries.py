@@ -15,12 +15,12 @@ from siftlog.operators.cards import card_verdicts
 from siftlog.operators.framing import framed
 from siftlog.operators.nested import event_facts, event_fields
 from siftlog.operators.rotation import stitch
-from siftlog.operators.trace import trace
+from siftlog.operators.trace import firsts, trace
 from siftlog.operators.twins import rendering_twins
 from siftlog.plans.fixtures import events, loglines, nested_events, path_of, renderings, rotlines, table, written
 from siftlog.plans.registry import query
 from siftlog.plans.text_queries import SQL_TEMPLATE
-from siftlog.sources.lines import read_lines
+from siftlog.sources.lines import host_bill, read_lines
 from siftlog.work import saved, work_path
 
 _STAMPED = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z|\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2} \+\d{4}|\d{2}\.\d{2}\.\d{4} \d{2}:\d{2}:\d{2}|\d{2}:\d{2}:\d{2}"
@@ -348,3 +348,26 @@ def capped_templates(spark, d):
     """Templates of records, cut by how many lines a record has."""
     records = rotated(spark, d).withColumn("text", F.repeat(F.concat("text", F.lit(" ")), F.lit(12)))
     return records.select("path", "line_start", capped_template(F.col("text"), F.col("line_end") - F.col("line_start") + 1).alias("template"))
+
+
+@query("host_bill", f"""
+WITH t AS (SELECT host, path, event_type, {SQL_TEMPLATE} || k AS template, min(line_no) AS line_no, count(*) AS n FROM loglines GROUP BY host, path, event_type, template),
+g AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY n, path, line_no) AS r FROM t WHERE n <= 3), w AS (SELECT host, path, CASE WHEN n % 2 = 0 THEN 'rate' ELSE 'rarity' END AS axis FROM g WHERE r <= 5),
+s AS (SELECT host, path, count(*) AS rows, count(*) FILTER (axis = 'rate') AS rate FROM w GROUP BY ALL),
+f AS (SELECT l.host, l.path, CASE WHEN max(event_type) IN ('view', 'error') THEN 'stream' ELSE 'state' END AS kind, CAST(sum(strlen(text) + 1) AS BIGINT) AS cost, coalesce(max(gg.c), 0) AS groups, coalesce(max(s.rows), 0) AS rows, coalesce(max(s.rate), 0) AS rate
+  FROM loglines l LEFT JOIN (SELECT path, count(*) AS c FROM g GROUP BY path) gg ON gg.path = l.path LEFT JOIN s ON s.path = l.path GROUP BY l.host, l.path),
+m AS (SELECT *, (SELECT CAST(avg(c) * 4 AS BIGINT) FROM (SELECT sum(cost) / 5 AS c FROM f GROUP BY host)) AS cap, coalesce(sum(cost) FILTER (rows > 0) OVER (PARTITION BY host), 0) AS spent,
+  sum(CASE WHEN rows = 0 THEN cost ELSE 0 END) OVER (PARTITION BY host, kind ORDER BY cost, path) AS upto FROM f),
+q AS (SELECT *, coalesce(max(upto) FILTER (kind = 'stream' AND rows = 0 AND spent + upto <= cap) OVER (PARTITION BY host), 0) AS streams FROM m),
+z AS (SELECT *, rows > 0 OR spent + upto + CASE kind WHEN 'stream' THEN 0 ELSE streams END <= cap AS kept FROM q)
+SELECT host, count(*) AS files, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(rate) AS BIGINT) AS rate, CAST(sum(greatest(groups - rows, 0)) AS BIGINT) AS truncated, count(*) FILTER (NOT kept) AS folded, CAST(coalesce(sum(cost) FILTER (NOT kept), 0) AS BIGINT) AS withheld FROM z GROUP BY host""")
+def host_bill_(spark, d):
+    """What each host's report holds and leaves out: five rows a host, and blocks of four files' average size."""
+    lines = loglines(spark, d).withColumn("template", F.concat(template(F.col("text")), F.col("k")))
+    groups = saved(lines.groupBy("host", "path", "template").agg(F.min("line_no").alias("line_no"), F.count("*").alias("n")).where("n <= 3"), "groups")
+    rows = firsts(groups, ["host"], ["n", "path", "line_no"], 5).select("host", "path", F.when(F.col("n") % 2 == 0, "rate").otherwise("rarity").alias("axis"))
+    files = lines.groupBy("host", "path").agg(F.max("event_type").alias("event_type"), F.sum(F.octet_length("text") + 1).alias("cost"))
+    files = files.join(groups.groupBy("path").agg(F.count("*").alias("groups")), "path", "left").fillna(0, ["groups"])
+    files = saved(files.select("host", "path", F.when(F.col("event_type").isin("view", "error"), "stream").otherwise("state").alias("kind"), "cost", "groups"), "files")
+    cap = files.groupBy("host").agg(F.sum("cost").alias("c")).agg(F.round(F.avg(F.col("c") / 5) * 4).cast("long")).first()[0] or 0
+    return host_bill(files, rows, cap)

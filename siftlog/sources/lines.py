@@ -67,6 +67,29 @@ def host_index(lines: DataFrame, depth: int = 1) -> DataFrame:
     return lines.groupBy(host.alias("host")).agg(F.count_distinct("path").alias("files"), F.count("*").alias("rows"))
 
 
+def host_bill(files: DataFrame, rows: DataFrame, cap: int) -> DataFrame:
+    """host, files, rows, rate, truncated, folded, withheld: what each host's part of a report holds and leaves out; no host is left out.
+
+    ``files``: host, path, kind (stream or state), groups (how many could be shown) and cost in bytes; ``rows``: host, path, axis of the rows
+    shown. truncated counts groups without a row. A file with a row keeps its block; of the others, streams before states, the
+    cheapest keep theirs as long as the host's blocks fit into ``cap`` bytes, the rest are folded; withheld is their bytes.
+    """
+    shown = rows.groupBy("host", "path").agg(F.count("*").alias("rows"), F.count_if(F.col("axis") == "rate").alias("rate"))
+    f = files.join(shown, ["host", "path"], "left").fillna(0, ["rows", "rate"]).withColumn("earned", F.col("rows") > 0)
+    free = ~F.col("earned")
+    # A row a file. Costs rise inside a kind, so what fits is the beginning of each kind.
+    spent = F.coalesce(F.sum(F.when(F.col("earned"), F.col("cost"))).over(W.partitionBy("host")), F.lit(0))
+    upto = F.sum(F.when(free, F.col("cost")).otherwise(0)).over(W.partitionBy("host", "kind").orderBy("cost", "path").rowsBetween(W.unboundedPreceding, 0))
+    f = f.withColumns({"spent": spent, "upto": upto})
+    stream = (F.col("kind") == "stream") & free & (F.col("spent") + F.col("upto") <= cap)
+    f = f.withColumn("streams", F.coalesce(F.max(F.when(stream, F.col("upto"))).over(W.partitionBy("host")), F.lit(0)))
+    kept = F.col("earned") | stream | (F.col("kind") != "stream") & (F.col("spent") + F.col("streams") + F.col("upto") <= cap)
+    out = f.withColumn("kept", kept).groupBy("host").agg(
+        F.count("*").alias("files"), F.sum("rows").alias("rows"), F.sum("rate").alias("rate"), F.sum(F.greatest(F.col("groups") - F.col("rows"), F.lit(0))).alias("truncated"),
+        F.count_if(~F.col("kept")).alias("folded"), F.coalesce(F.sum(F.when(~F.col("kept"), F.col("cost"))), F.lit(0)).alias("withheld"))
+    return out
+
+
 def write_worklist(rows: DataFrame, path: str) -> None:
     """A tab-separated worklist, one folder for each host."""
     rows.write.mode("overwrite").partitionBy("host").option("sep", "\t").option("header", True).csv(path)
