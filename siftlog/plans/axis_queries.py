@@ -342,9 +342,13 @@ def tool_profile(spark, d):
     return table(spark, d, "conversations").groupBy("role", (F.length("text") % 3).alias("tool")).agg(F.count("*").alias("n"))
 
 
-@query("host_partition", "SELECT 1 AS depth, count(DISTINCT host) AS roots FROM loglines")
+@query("host_partition", "SELECT 'flat' AS corpus, 1 AS depth, count(DISTINCT host) AS roots FROM loglines UNION ALL SELECT 'deep', 3, count(DISTINCT host) FROM loglines")
 def host_partition(spark, d):
-    return G.host_depth(loglines(spark, d).select("path").distinct())
+    """Two corpora: hosts at the top, and hosts two folders down."""
+    paths = loglines(spark, d).select("path").distinct()
+    flat, deep = G.host_depth(paths), G.host_depth(paths.select(F.concat(F.lit("site/rack/"), "path").alias("path")))
+    named = lambda df, name: df.select(F.lit(name).alias("corpus"), "depth", "roots")
+    return named(flat, "flat").unionByName(named(deep, "deep"))
 
 
 @query("checklist_score", r"""SELECT doc_id, CAST(regexp_matches(text, '(?i)license') AS BIGINT) + CAST(regexp_matches(text, '\d') AS BIGINT) + CAST(regexp_matches(text, '\n') AS BIGINT) AS score FROM documents""")

@@ -26,9 +26,12 @@ def numeric_slots(spark, d):
     return loglines(spark, d).select("path", "line_no", F.array_join(F.transform(M.slots(F.col("text")), number), ",").alias("slots"))
 
 
-@query("glued_slots", """SELECT path, line_no, CASE WHEN event_type IN ('view', 'click') THEN 'true,true,false,false' ELSE 'true,false,false,false' END AS glued FROM loglines""")
+@query("glued_slots", """
+SELECT path, line_no, CASE WHEN event_type IN ('view', 'click') THEN 'true,true,false,false' ELSE 'true,false,false,false' END || CASE k % 3 WHEN 0 THEN ',false' WHEN 1 THEN ',true' ELSE ',true,false' END AS glued FROM loglines""")
 def glued_slots(spark, d):
-    return loglines(spark, d).select("path", "line_no", F.array_join(F.transform(M.glued(F.col("text")), lambda x: x.cast("string")), ",").alias("glued"))
+    k = F.col("k")
+    text = F.concat("text", F.when(k % 3 == 0, F.concat(F.lit(" n "), k)).when(k % 3 == 1, F.concat(F.lit(" id-"), k)).otherwise(F.concat(F.lit(" v"), k, F.lit(" ="), k)))
+    return loglines(spark, d).select("path", "line_no", F.array_join(F.transform(M.glued(text), lambda x: x.cast("string")), ",").alias("glued"))
 
 
 @query("actors", "SELECT path, ip AS actor, count(*) AS n FROM loglines GROUP BY ALL")
@@ -68,9 +71,11 @@ def extract_axis(spark, d):
     return loglines(spark, d).select("path", "line_no", X.extract_axis(t, "kv:user").alias("account"), X.extract_axis(t, "ws:1").alias("second"))
 
 
-@query("kv_pairs", "SELECT path, line_no, CASE WHEN event_type IN ('view', 'click') THEN '' ELSE 'user=' || user_id || ' k=' || k END AS pairs FROM loglines")
+@query("kv_pairs", """
+SELECT path, line_no, trim(CASE WHEN event_type IN ('view', 'click') THEN '' ELSE 'user=' || user_id || ' k=' || k END || CASE WHEN k % 2 = 0 THEN ' a=' || k || ' b=x a=2' || k ELSE '' END) AS pairs FROM loglines""")
 def kv_pairs(spark, d):
-    return loglines(spark, d).select("path", "line_no", F.array_join(X.kv_pairs(F.col("text")), " ").alias("pairs"))
+    more = F.when(F.col("k") % 2 == 0, F.concat(F.lit(" a="), "k", F.lit(" b=x,y a="), "k", F.lit(" a=2"), "k", F.lit(" b=x;"))).otherwise("")
+    return loglines(spark, d).select("path", "line_no", F.array_join(X.kv_pairs(F.concat("text", more)), " ").alias("pairs"))
 
 
 @query("severity_words", "SELECT path, level AS word, count(*) AS n FROM loglines WHERE event_type NOT IN ('view', 'click') GROUP BY ALL")
@@ -94,10 +99,16 @@ def const_tokens(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("texts"), F.sum(F.size(X.const_tokens(F.col("text")))).alias("n"))
 
 
-@query("ip_class", "SELECT ip, 10 * 16777216 + (user_id % 8) * 256 + (user_id % 250 + 1) AS number, 'local' AS kind, count(*) AS n FROM ev GROUP BY ALL")
+@query("ip_class", """
+WITH i AS (SELECT CASE event_id % 4 WHEN 0 THEN ip WHEN 1 THEN '100.' || (60 + user_id % 70) || '.3.4' WHEN 2 THEN '8.8.' || (user_id % 8) || '.1' ELSE '172.' || (10 + user_id % 30) || '.0.9' END AS ip FROM ev),
+o AS (SELECT ip, list_transform(string_split(ip, '.'), lambda x: CAST(x AS BIGINT)) AS o, count(*) AS n FROM i GROUP BY ip)
+SELECT ip, ((o[1] * 256 + o[2]) * 256 + o[3]) * 256 + o[4] AS number, n,
+  CASE WHEN o[1] = 100 AND o[2] BETWEEN 64 AND 127 THEN 'shared' WHEN o[1] = 10 OR o[1] = 172 AND o[2] BETWEEN 16 AND 31 THEN 'local' ELSE 'global' END AS kind FROM o""")
 def ip_class(spark, d):
-    ip = F.col("ip")
-    return events(spark, d).groupBy("ip").agg(F.count("*").alias("n")).select("ip", X.ip_number(ip).alias("number"), X.ip_class(ip).alias("kind"), "n")
+    user = F.col("user_id")
+    made = [F.concat(F.lit("100."), 60 + user % 70, F.lit(".3.4")), F.concat(F.lit("8.8."), user % 8, F.lit(".1")), F.concat(F.lit("172."), 10 + user % 30, F.lit(".0.9"))]
+    ip = F.element_at(F.array("ip", *made), (F.col("event_id") % 4 + 1).cast("int"))
+    return events(spark, d).groupBy(ip.alias("ip")).agg(F.count("*").alias("n")).select("ip", X.ip_number(F.col("ip")).alias("number"), X.ip_class(F.col("ip")).alias("kind"), "n")
 
 
 @query("measure_line", r"""
@@ -153,9 +164,12 @@ def fingerprint(spark, d):
     return table(spark, d, "documents").select("doc_id", X.fingerprint(F.split("text", "\n", -1)).alias("print"))
 
 
-@query("path_parts", "SELECT path, host, host || '/logs' AS dir, event_type || '.log' AS base, event_type || '.log' AS stem, '' AS rotation FROM loglines GROUP BY ALL")
+@query("path_parts", """
+WITH r AS (SELECT *, ['', '.1', '-20240301.gz', '.2.gz'][k % 4 + 1] AS rotation FROM loglines)
+SELECT path || rotation AS path, host, host || '/logs' AS dir, event_type || '.log' || rotation AS base, event_type || '.log' AS stem, rotation FROM r GROUP BY ALL""")
 def path_parts(spark, d):
-    return loglines(spark, d).select("path").distinct().select("path", X.path_parts(F.col("path")).alias("p")).select("path", "p.*")
+    rotated = F.concat("path", F.element_at(F.array(F.lit(""), F.lit(".1"), F.lit("-20240301.gz"), F.lit(".2.gz")), (F.col("k") % 4 + 1).cast("int")))
+    return loglines(spark, d).select(rotated.alias("path")).distinct().select("path", X.path_parts(F.col("path")).alias("p")).select("path", "p.*")
 
 
 @query("text_blocks", r"""
