@@ -118,7 +118,16 @@ def _prefixes(least: int):
 
     def run(batches):
         power = np.ones(1, np.uint64)
+
+        def rows(done: list[tuple]) -> pa.RecordBatch:
+            ids, owners, counts, hashes = zip(*done, strict=True)
+            size = [len(n) for n in counts]
+            whole = np.concatenate([n == n[-1:] for n in counts])
+            columns = [pa.array(np.repeat(ids, size), pa.int64()), pa.array(np.repeat(np.array(owners, object), size), pa.string()), pa.array(np.concatenate(counts), pa.int64()), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(whole)]
+            return pa.RecordBatch.from_arrays(columns, ["id", "owner", "n", "h", "whole"])
+
         for b in batches:
+            done, held = [], 0
             for row, owner, text in zip(b["id"].to_pylist(), b["owner"].to_pylist(), b["text"].to_pylist(), strict=True):
                 data = np.frombuffer(text.encode(), np.uint8)
                 if len(power) < len(data):
@@ -128,8 +137,13 @@ def _prefixes(least: int):
                 sums = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)])
                 ends = np.append(np.flatnonzero(data == 32), len(data))[least - 1 :]
                 h = sums[ends - 1] * np.uint64(0xD6E8FEB86659FD93) if len(data) else np.zeros(0, np.uint64)
-                n = np.arange(least, least + len(h))
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(h), pa.int64()), pa.array([owner] * len(h), pa.string()), pa.array(n, pa.int64()), pa.array(h.view(np.int64)), pa.array(n == n[-1:])], ["id", "owner", "n", "h", "whole"])
+                done.append((row, owner, np.arange(least, least + len(h)), h))
+                held += len(h)
+                if held > 1 << 18:
+                    yield rows(done)
+                    done, held = [], 0
+            if done:
+                yield rows(done)
 
     return run
 
