@@ -23,6 +23,9 @@ UNITS = ("mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "l
 NUMBER, NAME, UNIT = (U(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x510E527FADE682D1))
 MATCH = "doc_id long, spot long, place int, length int, window long, slots array<long>, bare boolean"
 
+#: What tells an alignment of an item with a document; values that are the item's own.
+LINE, EQUAL = ["doc_id", "spot", "item_id", "along"], "slots = item_slots"
+
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(0x21, 0x24), *range(0x26, 0x30), 0x3A, 0x3B, *range(0x3C, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _DIGIT = np.zeros(256, bool)
@@ -132,28 +135,31 @@ def _windows(width: int, lengths: list[int] | None, wanted: np.ndarray | None):
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 5, share: float = 0.8, most_broadcast: int = 1 << 20) -> DataFrame:
-    """Return doc_id, item_id, n_windows (of the item), n_found, exact (all slot values equal): one row for each contaminated pair.
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows without an id or text are left out; a text is told by its hash."""
+    return picked(df, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("spot"), "text")
 
-    Null and empty texts have no windows and match nothing; rows with a null id are left out, as are items with a null
-    id. Repeated rows of documents with one id count as one document. Empty tables give an empty result. Up to
-    ``most_broadcast`` distinct benchmark windows go to the tasks as a filter before the join; beyond that, all
-    windows are joined by shuffle, with equal results.
-    """
-    spark = docs.sparkSession
-    texts = lambda df, i, t: picked(df, doc_id=i, text=t).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("spot"), "text")
-    items = saved(texts(benchmark, item_col, item_text_col).mapInArrow(_windows(width, None, None), MATCH), "benchmark-windows")
+
+def _found(texts: DataFrame, items: DataFrame, width: int, most_broadcast: int) -> DataFrame:
+    """doc_id, spot, place, window, slots: the items' windows in the texts."""
+    spark = texts.sparkSession
     lengths = sorted(r[0] for r in items.select("length").distinct().collect()) or [width]
     distinct = items.select("window").distinct()
     wanted = None
     if distinct.limit(most_broadcast + 1).count() <= most_broadcast:
         wanted = np.sort(np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64))
-    totals = items.groupBy(F.col("doc_id").alias("item_id")).agg(F.count_distinct("window").alias("n_windows"))
-    found = texts(docs, id_col, text_col).mapInArrow(_windows(width, lengths, wanted), MATCH).select("doc_id", "spot", "place", "window", "slots")
+    found = texts.mapInArrow(_windows(width, lengths, wanted), MATCH).select("doc_id", "spot", "place", "window", "slots")
     if wanted is None:
         found = found.join(distinct, "window", "left_semi")
     with small_batches(spark):
-        found = saved(found, "benchmark-found")  # windows of items only
+        return saved(found, "benchmark-found")  # windows of items only
+
+
+def _hits(found: DataFrame, items: DataFrame, totals: DataFrame, share: float) -> DataFrame:
+    """doc_id, spot, item_id, along, window, item_place, item_slots, slots, torn: windows of items in documents that may hold enough of them.
+
+    torn are the item's values that meet two values of the document on the line; null where there are none.
+    """
     asked = items.select(F.col("doc_id").alias("item_id"), F.col("place").alias("item_place"), "window", F.col("slots").alias("item_slots"), "bare")
     # A document with the asked share of an item's windows has one of its rarest few, so windows that many items share meet only
     # the pairs that those few leave.
@@ -162,19 +168,77 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     rare = asked.select("item_id", "window").distinct().join(often, "window").withColumn("rank", F.row_number().over(rarest)).join(totals, "item_id")
     rare = saved(rare.where(F.col("rank") <= F.col("n_windows") - F.ceil(share * F.col("n_windows") - 1e-9) + 1).select("item_id", "window"), "benchmark-rare")
     tried = saved(found.select("doc_id", "window").distinct().join(rare, "window").select("doc_id", "item_id").distinct(), "benchmark-tried")
-    equal = F.col("slots") == F.col("item_slots")
-    hits = tried.join(asked, "item_id").join(found, ["doc_id", "window"]).where(~F.col("bare") | equal).drop("bare")
+    hits = tried.join(asked, "item_id").join(found, ["doc_id", "window"]).where(~F.col("bare") | F.expr(EQUAL)).drop("bare")
     hits = saved(hits.withColumn("along", F.col("place") - F.col("item_place")), "benchmark-hits")
-    line = ["doc_id", "spot", "item_id", "along"]
-    pairs = hits.select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-    torn = pairs.groupBy(*line, F.col("s.item_slots").alias("v")).agg(F.min("s.slots").alias("least"), F.max("s.slots").alias("most")).where("least <> most")
-    torn = torn.groupBy(*line).agg(F.collect_list("v").alias("torn"))  # values of one item
-    held = hits.join(torn, line, "left").where(F.col("torn").isNull() | equal | ~F.arrays_overlap("item_slots", "torn"))
-    out = held.groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("n_found"), F.bool_and(equal & F.col("torn").isNull()).alias("exact"))
+    pairs = hits.select(*LINE, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+    torn = pairs.groupBy(*LINE, F.col("s.item_slots").alias("v")).agg(F.min("s.slots").alias("least"), F.max("s.slots").alias("most")).where("least <> most")
+    torn = torn.groupBy(*LINE).agg(F.collect_list("v").alias("torn"))  # values of one item
+    return hits.join(torn, LINE, "left")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 5, share: float = 0.8, most_broadcast: int = 1 << 20) -> DataFrame:
+    """Return doc_id, item_id, n_windows (of the item), n_found, exact (all slot values equal): one row for each contaminated pair.
+
+    Null and empty texts have no windows and match nothing; rows with a null id are left out, as are items with a null
+    id. Repeated rows of documents with one id count as one document. Empty tables give an empty result. Up to
+    ``most_broadcast`` distinct benchmark windows go to the tasks as a filter before the join; beyond that, all
+    windows are joined by shuffle, with equal results. Items made of one template each meet its documents; ``contamination_classes``
+    has one row for all of them.
+    """
+    items = saved(_texts(benchmark, item_col, item_text_col).mapInArrow(_windows(width, None, None), MATCH), "benchmark-windows")
+    totals = items.groupBy(F.col("doc_id").alias("item_id")).agg(F.count_distinct("window").alias("n_windows"))
+    hits = _hits(_found(_texts(docs, id_col, text_col), items, width, most_broadcast), items, totals, share)
+    held = hits.where(F.col("torn").isNull() | F.expr(EQUAL) | ~F.arrays_overlap("item_slots", "torn"))
+    out = held.groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("n_found"), F.bool_and(F.expr(EQUAL) & F.col("torn").isNull()).alias("exact"))
     out = out.join(totals, "item_id").where(F.col("n_found") >= share * F.col("n_windows"))
     return out.select("doc_id", "item_id", "n_windows", "n_found", "exact")
 
 
+def item_classes(items: DataFrame) -> DataFrame:
+    """item_id, class_id, values: items whose windows are the same at the same places, with equal values in the same slots of the template.
+
+    The least item_id names a class. An item that only equal values match is in a class with its equals. ``values`` tells the values of an item.
+    """
+    windows = F.array_sort(F.collect_list(F.struct("place", "length", "window", "slots", "bare")))
+    rows = items.groupBy(F.col("doc_id").alias("item_id")).agg(windows.alias("w"))
+    rows = saved(rows.withColumn("slots", F.flatten(F.transform("w", lambda x: x["slots"]))), "benchmark-items")
+    pattern = F.transform("slots", lambda v: F.array_position("slots", v))
+    own = F.when(F.exists("w", lambda x: x["bare"]), F.col("slots"))
+    key = F.struct(F.transform("w", lambda x: F.struct(x["place"], x["length"], x["window"])).alias("w"), pattern.alias("p"), own.alias("o"))
+    rows = rows.select("item_id", F.sha2(F.to_json(key).cast("binary"), 256).alias("key"), F.xxhash64("slots").alias("values"))
+    least = rows.groupBy("key").agg(F.min("item_id").alias("class_id"))
+    return saved(rows.join(least, "key").select("item_id", "class_id", "values"), "benchmark-classes")
+
+
+def contamination_classes(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 5, share: float = 0.8, most_broadcast: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, item_id, n_items, n_windows, n_found, exact; item_id, class_id): a row for each document and class of items, and the classes' members.
+
+    Items that differ only in the values of their slots meet a document alike, so one of them, ``item_id``, is tried for all
+    ``n_items``: the pairs grow with documents and templates, not with items of a template. A window with a torn value counts where its values are those of
+    some member at that place. exact: the document holds every window of a member with its values. Ids, nulls, repeated rows and
+    empty tables are treated as by ``find_contamination``; any pair of that one is in a row of this one.
+    """
+    items = saved(_texts(benchmark, item_col, item_text_col).mapInArrow(_windows(width, None, None), MATCH), "benchmark-windows")
+    members = item_classes(items)
+    of = items.join(members.select(F.col("item_id").alias("doc_id"), "class_id"), "doc_id")
+    first = saved(of.where("doc_id = class_id").drop("class_id"), "benchmark-first")
+    totals = first.groupBy(F.col("doc_id").alias("item_id")).agg(F.count_distinct("window").alias("n_windows"), F.count_distinct("place").alias("places"))
+    hits = saved(_hits(_found(_texts(docs, id_col, text_col), first, width, most_broadcast), first, totals.select("item_id", "n_windows"), share), "benchmark-lines")
+    sound = F.col("torn").isNull() | ~F.arrays_overlap("item_slots", "torn")
+    literal = of.where(F.size("slots") > 0).select(F.col("class_id").alias("item_id"), F.col("place").alias("item_place"), "slots").distinct()
+    torn = hits.where(~sound).join(literal, ["item_id", "item_place", "slots"], "left_semi")
+    held = hits.where(sound).select(*LINE, "window").unionByName(torn.select(*LINE, "window"))
+    counts = held.groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("n_found"))
+    # Values along a line, where every place of the item is there.
+    lines = hits.where("torn is null").groupBy(*LINE).agg(F.array_sort(F.collect_set(F.struct("item_place", "slots"))).alias("w"))
+    lines = lines.join(totals.select("item_id", "places"), "item_id").where(F.size("w") == F.col("places"))
+    lines = lines.select("doc_id", "item_id", F.xxhash64(F.flatten(F.transform("w", lambda x: x["slots"]))).alias("values"))
+    whole = lines.join(members.select(F.col("class_id").alias("item_id"), "values").distinct(), ["item_id", "values"], "left_semi").select("doc_id", "item_id").distinct().withColumn("exact", F.lit(True))
+    sizes = members.groupBy(F.col("class_id").alias("item_id")).agg(F.count("*").alias("n_items"))
+    out = counts.join(totals, "item_id").where(F.col("n_found") >= share * F.col("n_windows")).join(sizes, "item_id").join(whole, ["doc_id", "item_id"], "left")
+    return out.select("doc_id", "item_id", "n_items", "n_windows", "n_found", F.coalesce("exact", F.lit(False)).alias("exact")), members.select("item_id", "class_id")
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents that no item contaminates; columns stay as they are.
 
@@ -182,6 +246,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     Empty tables: an empty result, or all documents.
     """
     texts = docs.select(F.xxhash64(docs[text_col]).alias("doc_id"), docs[text_col].alias("text"))
-    bad = find_contamination(texts, benchmark, id_col="doc_id", text_col="text", **options)
+    bad, _ = contamination_classes(texts, benchmark, id_col="doc_id", text_col="text", **options)
     bad = saved(bad.select(F.col("doc_id").alias("bad_text")).distinct(), "benchmark-bad")
     return docs.join(bad, F.xxhash64(docs[text_col]) == bad["bad_text"], "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlog.llm.conversation_repair import COUNTS, damaged, repair
-from siftlog.llm.decontaminate import find_contamination
+from siftlog.llm.decontaminate import contamination_classes
 from siftlog.llm.fill_middle import fill_in_middle, restored
 from siftlog.llm.host_rules import host_rules
 from siftlog.llm.jaccard_join import jaccard_classes
@@ -55,7 +55,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination_classes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))[0]
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from siftlog.llm.queries import ORACLE_SQL, QUERIES
 
 
 def test_names():
-    assert [f"op{i}_" for i in range(1, 11)] == [q.split("_")[0] + "_" for q in QUERIES]
+    assert [f"op{i}_" for i in range(1, 14)] == [q.split("_")[0] + "_" for q in QUERIES]
     assert set(ORACLE_SQL) <= set(QUERIES)
     assert len(corpus_pipeline.STAGES) == 5
 
@@ -55,7 +55,7 @@ def test_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     df = QUERIES[name](spark, "/root/testdata/sf0.001")
     want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall()

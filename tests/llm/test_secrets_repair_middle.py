@@ -313,3 +313,47 @@ def test_hosts_are_joined_without_shuffling_documents(spark):
         assert out.count() == 300
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_items_of_one_template_are_one_class(spark):
+    from siftlog.llm import decontaminate as d
+
+    question = "Sam has {a} apples and then {b} more arrive before noon so how many apples does she hold after {a} minutes of waiting there"
+    items = [(i, question.format(a=10 + i, b=500 + i)) for i in range(200)] + [(900, "a lone question of its own with seven windows and no slot")] + [(901, question.format(a=7, b=7))]
+    rng = random.Random(5)
+    docs = [(i, f"intro {i} text. " + question.format(a=10 + i % 200, b=500 + i % 200) + " outro") for i in range(150)]
+    docs += [(1000 + i, question.format(a=rng.randrange(9000), b=rng.randrange(9000))) for i in range(50)] + [(2000, "nothing of the kind is here at all, not a word of it"), (2001, items[200][1])]
+    bench, corpus = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    for limit in (1 << 20, 3):
+        found, members = d.contamination_classes(corpus, bench, most_broadcast=limit)
+        got = {(r.doc_id, r.item_id): r for r in found.collect()}
+        classes = {r.item_id: r.class_id for r in members.collect()}
+        assert {classes[i] for i in range(200)} == {0}
+        assert (classes[900], classes[901]) == (900, 901)  # 901 has equal values in both slots: another pattern
+        # A row for each document, not for each document and item.
+        assert len([k for k in got if k[1] == 0]) == 200
+        assert all(got[i, 0].exact and got[i, 0].n_items == 200 for i in range(150))
+        assert not any(got[1000 + i, 0].exact for i in range(50) if not any(docs[150 + i][1] == t for _, t in items))
+        assert got[2001, 900].exact
+        assert not any(k[0] == 2000 for k in got)
+    pairs = {(r.doc_id, classes[r.item_id]) for r in d.find_contamination(corpus, bench).collect()}
+    assert pairs <= set(got)
+    assert {k[0] for k in got} == {i for i, _ in docs} - {2000}
+
+
+def test_classes_agree_with_pairs_on_random_items(spark):
+    from siftlog.llm import decontaminate as d
+
+    rng = random.Random(9)
+    word = lambda: rng.choice(["red", "blue", "Anna", "Bob", "12", "13", "kg", "and", "went", "home", "paid"])
+    items = [(i, " ".join(word() for _ in range(rng.randrange(1, 14)))) for i in range(40)]
+    items += [(100 + i, t.replace("12", "55").replace("Anna", "Cleo")) for i, t in items[:20]]
+    docs = [(i, " ".join(word() for _ in range(3)) + " " + rng.choice(items)[1].replace("13", rng.choice(["13", "99"])) + " " + word()) for i in range(80)] + [(500, ""), (501, None)]
+    bench, corpus = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    found, members = d.contamination_classes(corpus, bench)
+    classes = {r.item_id: r.class_id for r in members.collect()}
+    got = {(r.doc_id, r.item_id): r.exact for r in found.collect()}
+    pairs = [(r.doc_id, classes[r.item_id]) for r in d.find_contamination(corpus, bench).collect()]
+    assert set(pairs) <= set(got)
+    assert len(set(got) - set(pairs)) <= 0.05 * len(got)
+    assert {k[0] for k, e in got.items() if e} <= {i for i, _ in docs}
