@@ -45,12 +45,15 @@ def framed_corpus(spark, d):
     return rotated(spark, d)
 
 
-_FAMILY = """f AS (SELECT host || '/' || event_type || '.log' AS stream, CASE host WHEN 'h0' THEN 'stitched' WHEN 'h1' THEN 'hour' WHEN 'h2' THEN 'undated'
-  ELSE CASE WHEN event_type IN ('view', 'click') THEN 'overlap' WHEN event_type = 'error' THEN 'framing' ELSE 'shape' END END AS gate, * FROM r)"""
+_FAMILY = """fy AS (SELECT *, host || '/' || event_type || '.log' AS stream, host <> 'h2' AS dated, CASE WHEN host = 'h3' AND event_type IN ('signup', 'purchase') AND part = 0 THEN 'dmy' ELSE 'one' END AS shape FROM r),
+sl AS (SELECT *, lag(hi) OVER (PARTITION BY stream ORDER BY lo, path) - lo AS back FROM (SELECT stream, path, bool_and(dated) AS dated, max(framing) AS framing, max(shape) AS shape, min(t) AS lo, max(t) AS hi, list(DISTINCT t // 3600) FILTER (t IS NOT NULL) AS hours FROM fy GROUP BY stream, path)),
+ga AS (SELECT stream, CASE WHEN count(*) = 1 THEN 'single' WHEN NOT bool_and(dated) THEN 'undated' WHEN count(DISTINCT framing) > 1 THEN 'framing' WHEN count(DISTINCT shape) > 1 THEN 'shape' WHEN max(back) > 2 THEN 'overlap'
+  WHEN sum(len(hours)) > len(list_distinct(flatten(list(hours)))) THEN 'hour' ELSE 'stitched' END AS gate FROM sl GROUP BY stream),
+f AS (SELECT fy.*, gate FROM fy JOIN ga USING (stream))"""
 
 
 @query("rotation_families", f"""
-WITH {_ROTATED}, {_FAMILY}, s AS (SELECT stream, gate, path, min(t) AS lo, max(t) AS hi FROM f GROUP BY ALL)
+WITH {_ROTATED}, {_FAMILY}, s AS (SELECT stream, gate, path, min(t) AS lo, max(t) AS hi FROM f WHERE gate <> 'single' GROUP BY ALL)
 SELECT stream, gate, count(*) AS slices, string_agg(path, ' ' ORDER BY lo, path) AS members, CASE WHEN gate <> 'undated' THEN 1706745600 + min(lo) END AS lo, CASE WHEN gate <> 'undated' THEN 1706745600 + max(hi) END AS hi FROM s GROUP BY stream, gate""")
 def rotation_families(spark, d):
     found, _, _ = stitch(rotated(spark, d))
