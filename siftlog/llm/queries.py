@@ -85,8 +85,12 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < KINDS.index("random"))
-    n = [F.size(F.filter("spans", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{name}") for kind, name in enumerate(KINDS[:3])]
-    return found.select("doc_id", *n, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+    def number(kind: str) -> Column:
+        # The kind is no default of the lambda: Spark would pass the place of each entry as a second argument.
+        return F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, KINDS[:3]), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

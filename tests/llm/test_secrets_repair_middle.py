@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from siftlog.llm import conversation_repair as cr
 from siftlog.llm import fill_middle as fm
 from siftlog.llm import secret_scan as ss
-from siftlog.llm.queries import ORACLE_SQL
+from siftlog.llm.queries import ORACLE_SQL, QUERIES
 
 UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 
@@ -83,6 +83,24 @@ def test_many_matches_in_one_text(spark):
     assert [(s["start"], s["end"]) for s in row.spans if s["kind"] == 0] == [m.span() for m in re.finditer(r"token=secret\d+x?", text)]
 
 
+def test_secret_query_counts_each_kind(spark, tmp_path):
+    rows, _, _ = planted()
+    some_hex, access = "0123456789abcdef" * 2, "AKIA" + "ABCD1234" * 2
+    mixed = [
+        f"token=abcdefgh {some_hex} {access}", f"{access} {some_hex} {some_hex} secret=abcdefgh", f"password: {some_hex}", f"token={some_hex} api_key={some_hex}",
+        f"{some_hex} {some_hex} {some_hex}", f"{access} {access}", "token=abcdefgh " * 5, None, "",
+    ]
+    rows += [(1000 + i, t) for i, t in enumerate(mixed)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = QUERIES["op11_secret_scan"](spark, str(tmp_path))
+    got = {r.doc_id: tuple(r) for r in df.collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == {r[0]: r for r in con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL['op11_secret_scan']})").fetchall()}
+    counts = {i: got[1000 + i][df.columns.index("n_assign") : df.columns.index("n_hex") + 1] for i in range(len(mixed))}
+    assert counts == {0: (1, 1, 1), 1: (1, 1, 2), 2: (1, 0, 1), 3: (2, 0, 2), 4: (0, 0, 3), 5: (0, 2, 0), 6: (5, 0, 0), 7: (0, 0, 0), 8: (0, 0, 0)}
+
+
 def test_secrets_of_odd_documents(spark, odd_docs, no_docs):
     assert ss.scan_secrets(odd_docs).count() == odd_docs.count()
     assert all(not r.spans for r in ss.scan_secrets(odd_docs).collect())
