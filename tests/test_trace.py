@@ -72,3 +72,12 @@ def test_trace_of_nothing(spark, records):
     none = spark.createDataFrame([], "id string")
     assert T.trace(df, none).count() == 0
     assert T.trace(df.where("false"), spark.createDataFrame([("svc",)], "id string")).count() == 0
+
+
+def test_a_token_that_all_identifiers_share_meets_no_pattern(spark):
+    """The pairs of a record and an identifier that its pattern is tried on grow with the records, not with the identifiers."""
+    df = spark.range(400).selectExpr("'a/x' as path", "id as line_start", "id as line_end", "concat('user=', id, ' from 10.0.', id % 8, '.', id % 9, ' to 10.0.0.1') as text")
+    ids = spark.range(400).selectExpr("explode(array(concat('USER=', id), concat('10.0.', id % 8, '.', id % 9))) as id")
+    hits = {(r.id, r.line_start) for r in T.id_hits(df, ids).collect()}
+    assert hits == {(f"USER={i}", i) for i in range(400)} | {(f"10.0.{i % 8}.{i % 9}", i) for i in range(400)} | {("10.0.0.1", i) for i in range(400)}
+    assert T.candidates(df, ids).count() < 2 * len(hits)
