@@ -345,7 +345,8 @@ def worklist_sink(spark, d):
     """Writes the worklist as tab-separated files by host and reads it back."""
     path = work_path(spark, "worklist")
     write_worklist(worklist(spark, d).withColumn("host", F.substring_index("path", "/", 1)), path)
-    return read_table(spark, path).select("path", *[F.col(c).cast("long").alias(c) for c in ("line_no", "round", "place")], F.substring_index("path", "/", 1).alias("host"))
+    got = read_table(spark, path, schema="path string, line_no long, round long, place long")  # none is written for no rows
+    return got.select("path", "line_no", "round", "place", F.substring_index("path", "/", 1).alias("host"))
 
 
 @query("tempo_sink", _RATE + " SELECT path, grp, n0, n1, CAST(ratio AS DOUBLE) AS ratio, CASE WHEN moved THEN 'rate' ELSE 'background' END AS kind FROM r")

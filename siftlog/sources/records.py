@@ -18,9 +18,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where(F.col(_BROKEN).isNull()).drop(_BROKEN)
 
 
-def read_table(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """A delimited table with a header, all columns as text: missing cells of short rows are null, further cells of long rows are left out."""
-    return spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).csv(path)
+def read_table(spark: SparkSession, path: str, sep: str = "\t", schema: str | None = None) -> DataFrame:
+    """A delimited table with a header, all columns as text: missing cells of short rows are null, further cells of long rows are left out.
+
+    With ``schema``, its columns in their order; then a folder without files is a table without rows.
+    """
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).csv(path)
 
 
 def write_table(rows: DataFrame, path: str, sep: str = "\t") -> None:

@@ -1,5 +1,6 @@
 """Reading files: splits, gzip, skipped folders, broken rows."""
 
+import datetime as dt
 import gzip
 import json
 
@@ -81,3 +82,16 @@ def test_evidence_verdicts(spark):
     assert got == {"verbatim": "ok", "tokens": "ok", "wrong": "wrong-content", "russian": "unverifiable", "sentence": "ok", "past": "out-of-range", "gone": "missing-file", "many": "ambiguous", "sealed": "binary-file", "turned": "ok", "numbers": "unverifiable"}
     strict = {r.claim_id: r.verdict for r in J.verify_claims(c, df, sealed, require_quote=True).collect()}
     assert strict["verbatim"] == "ok" and strict["sentence"] == "no-quote" and strict["wrong"] == "wrong-content"
+
+
+def test_a_worklist_without_rows_is_read_back(spark, tmp_path):
+    from siftlog.plans.queries import QUERIES
+
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, at, 4, "view", 0.0, '{"k": 1}') for i in range(40)]  # one template, 40 times: too frequent for a worklist
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["worklist_sink"](spark, str(tmp_path))
+    assert got.columns == ["path", "line_no", "round", "place", "host"] and got.collect() == []
+    spark.createDataFrame([*rows, (40, at, 4, "view", 0.0, '{"k": 2}')], schema).write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in QUERIES["worklist_sink"](spark, str(tmp_path)).collect()] == [("h0/logs/view.log", 41, 1, 1, "h0")]
