@@ -111,3 +111,11 @@ def test_empty_corpus(spark):
     records = framing.framed(lines_of(spark, {"a": ["x"]}).where("false"))
     assert records.count() == 0
     assert [x.count() for x in rotation.stitch(records)] == [0, 0, 0]
+
+
+def test_the_time_shape_is_that_of_all_lines(spark):
+    """The first 4,000 lines of a file show another shape than most of its lines."""
+    df = spark.range(1, 10001).selectExpr("'a' as path", "id as line_no", "if(id <= 4000, 'Jan  1 10:00:00 x', '2024-01-01 10:00:00 x') as text")
+    assert [tuple(r) for r in timing.time_shape(df).collect()] == [("a", "clock", 10000)]
+    df = spark.range(1, 10001).selectExpr("'a' as path", "id as line_no", "if(id <= 4000, 'x', '1704103200 x') as text")
+    assert [tuple(r) for r in timing.time_shape(df).collect()] == [("a", "epoch", 6000)]
