@@ -1,5 +1,6 @@
 """The mask and the gate that reads it, against another form of both."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -48,3 +49,16 @@ def test_shape_and_fields(spark):
     bag = [(r.f.axis, r.f.value) for r in df.select(F.explode(X.field_bag(F.col("text"))).alias("f")).collect()]
     assert [v for k, v in bag if k == "kv:user"] == ["a"] and [v for k, v in bag if k == "json:a"] == ["1"] and [v for k, v in bag if k == "kv:k"] == ["1"]
     assert df.select(X.severity_words(F.col("text")).alias("w")).collect()[1].w == ["ALERT", "WARNING", "VERBOSE"]
+
+
+def test_template_and_slots_equal_their_pieces(spark):
+    """Texts glued of anything that tokens are made of, marks among them; and the mask runs over a text once."""
+    rng = random.Random(5)
+    bits = ["12345678", "deadbeef1", "-", "_", ".", ":", " ", "é", "7", "1.5", "10.0.0.1", "Jan  2 03:04:05", "2024-01-02 03:04:05", "03:04:05", "123e4567-e89b-12d3-a456-426614174000", "x", "\n", "\ufdd0", "\ufdd1", "<", "$1", "\\"]
+    rows = [("".join(rng.choice(bits[: len(bits) - 5 * (i % 2)]) for _ in range(rng.randrange(9))),) for i in range(4000)] + [(None,)]
+    df = spark.createDataFrame(rows, "text string")
+    kinds = F.transform(M.pieces(F.col("text")), lambda p: F.concat(p["before"], p["kind"]))
+    rest = F.element_at(F.split(F.substring("text", 1, M.MOST_CHARS), M.TOKEN, -1), -1)
+    numbers = F.transform(F.filter(M.pieces(F.col("text")), lambda p: p["kind"] == "#"), lambda p: p["token"].cast("double"))
+    got = df.select("text", M.template(F.col("text")).alias("t"), M.slots(F.col("text")).alias("s"), F.trim(F.regexp_replace(F.concat(F.array_join(kinds, ""), rest), r"\s+", " ")).alias("wt"), F.slice(numbers, 1, M.MOST_SLOTS).alias("ws"))
+    assert [r.text for r in got.collect() if (r.t, r.s) != (r.wt, r.ws)] == []
