@@ -73,8 +73,8 @@ WITH w AS (SELECT host, ts, user_id, unnest(range(0, 12)) AS i FROM (SELECT 'h'
 g AS (SELECT host, time_bucket(INTERVAL 5 MINUTE, ts) - to_minutes(CAST(5 * i AS INTEGER)) AS begin, user_id FROM w)
 SELECT host, begin, count(*) AS n, count(DISTINCT user_id) AS sources FROM g GROUP BY host, begin HAVING count(*) >= 5 AND count(DISTINCT user_id) >= 3""")
 def threshold_alert(spark, d):
-    counts = S.settled(spark, S.source_counts(stream(spark, d), "host", "user_id", late=None), work_base(spark), ["host", "begin", "user_id"])
-    return S.threshold_alerts(counts, "host", 5, 3).select("host", F.col("begin").cast("timestamp_ntz").alias("begin"), "n", F.col("sources").cast("long").alias("sources"))
+    counts = S.tallied(spark, S.with_pane(stream(spark, d)), work_base(spark), ["host", "begin", "user_id"])
+    return S.threshold_alerts(counts, "host", "user_id", 5, 3).select("host", F.col("begin").cast("timestamp_ntz").alias("begin"), "n", "sources")
 
 
 @query("id_sessions", """

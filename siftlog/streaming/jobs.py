@@ -104,16 +104,45 @@ def tumbling(events: DataFrame, keys: list[str], width: str = "10 minutes", late
     return w.select(*keys, F.col("window.start").alias("begin"), "n")
 
 
-def source_counts(events: DataFrame, key: str, source: str, width: str = "1 hour", slide: str = "5 minutes", late: str | None = "1 hour") -> DataFrame:
-    """key, begin, source, n in sliding windows; a state row is one source of a window, so no set of sources grows. ``late`` as for ``tumbling``."""
-    w = _until(events, late).groupBy(F.window("ts", width, slide), key, source).agg(F.count("*").alias("n"))
+def tallied(spark: SparkSession, stream: DataFrame, base: str, keys: list[str]) -> DataFrame:
+    """keys, n: the rows of each of the ``keys``, at the end of the input. Ticks are counted alone and added up afterwards, so there is no state."""
+    out = f"{base.rstrip('/')}/siftlog/tally-{uuid.uuid4().hex}"
+    count = lambda rows: rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    drain(stream, lambda rows, tick: count(rows).write.mode("overwrite").parquet(f"{out}/data/tick={tick}"), f"{out}/cursor")
+    ticks = spark.read.schema(StructType([*stream.select(*keys).schema.fields, StructField("n", LongType())])).parquet(f"{out}/data")
+    return ticks.groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def with_pane(events: DataFrame, slide: str = "5 minutes") -> DataFrame:
+    """The events with ``begin``, that of their pane: windows slide by a pane."""
+    return events.withColumn("begin", F.window("ts", slide)["start"])
+
+
+def source_counts(events: DataFrame, key: str, source: str, slide: str = "5 minutes", late: str | None = "1 hour") -> DataFrame:
+    """key, begin, source, n in panes; a state row is one source of a pane, so no set of sources grows. ``late`` as for ``tumbling``."""
+    w = _until(events, late).groupBy(F.window("ts", slide), key, source).agg(F.count("*").alias("n"))
     return w.select(key, F.col("window.start").alias("begin"), source, "n")
 
 
-def threshold_alerts(counts: DataFrame, key: str, failures: int, sources: int) -> DataFrame:
-    """key, begin, n, sources of the windows of ``source_counts`` with at least ``failures`` events from ``sources`` sources."""
-    w = counts.groupBy(key, "begin").agg(F.sum("n").alias("n"), F.count("*").alias("sources"))
-    return w.where((F.col("n") >= failures) & (F.col("sources") >= sources))
+def threshold_alerts(counts: DataFrame, key: str, source: str, failures: int, sources: int, panes: int = 12, seconds: int = 300) -> DataFrame:
+    """key, begin, n, sources of the windows with at least ``failures`` events from ``sources`` sources; ``counts`` has a row for each key, source and pane.
+
+    Windows hold ``panes`` panes of so many ``seconds`` and slide by one. A pane counts from the window that it ends to the one that it
+    begins; its source counts in those of them that don't hold the source's pane before. So each pane only sets where sums
+    begin and end, and windows are made of these sums, a row for each pane of a key.
+    """
+    p = counts.select(key, source, F.expr(f"unix_seconds(begin) div {seconds}").alias("p"), "n")
+    prev = F.lag("p").over(W.partitionBy(key, source).orderBy("p"))
+    p = p.withColumn("new", F.when(F.col(source).isNotNull(), F.greatest(F.col("p") - (panes - 1), prev + 1)))
+    edge = lambda at, n, s: F.struct(at.alias("at"), n.alias("n"), F.lit(s).cast("long").alias("s"))
+    zero, end = F.lit(0).cast("long"), F.col("p") + 1
+    edges = F.array(edge(F.col("p") - (panes - 1), F.col("n"), 0), edge(end, -F.col("n"), 0), edge(F.col("new"), zero, 1), edge(F.when(F.col("new").isNotNull(), end), zero, -1))
+    e = p.select(key, F.inline(edges)).where("at is not null").groupBy(key, "at").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    by = W.partitionBy(key).orderBy("at")
+    upto = by.rowsBetween(W.unboundedPreceding, W.currentRow)
+    e = e.select(key, "at", F.sum("n").over(upto).alias("n"), F.sum("s").over(upto).alias("sources"), F.lead("at").over(by).alias("next"))
+    e = e.where((F.col("n") >= max(failures, 1)) & (F.col("sources") >= sources))
+    return e.select(key, F.explode(F.sequence("at", F.col("next") - 1)).alias("at"), "n", "sources").select(key, F.timestamp_seconds(F.col("at") * seconds).alias("begin"), "n", "sources")
 
 
 def sessions(events: DataFrame, keys: list[str], gap: str = "30 minutes", late: str | None = "1 hour") -> DataFrame:

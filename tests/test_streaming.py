@@ -1,6 +1,7 @@
 """The streaming jobs over folders of several files."""
 
 import datetime as dt
+import random
 from collections import Counter
 
 import duckdb
@@ -61,3 +62,24 @@ def test_jobs_over_many_ticks_equal_their_sql(spark, tmp_path, name):
     df = QUERIES[name](spark, d)
     want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
     assert want and Counter(map(tuple, df.collect())) == Counter(want)
+
+
+def test_alerts_equal_windows_tried_one_by_one(spark):
+    """Sources that come again inside a window, after one, and without a name; a row is made for a pane, not for each of its windows."""
+    from siftlog.streaming import jobs as S
+
+    at, rng = dt.datetime(2024, 1, 1, tzinfo=dt.UTC), random.Random(7)
+    rows = [(rng.choice("ab"), at + dt.timedelta(seconds=rng.choice([1, 5]) * rng.randrange(40_000)), rng.choice([1, 2, 3, 4, 5, None])) for _ in range(300)]
+    events = spark.createDataFrame(rows, "host string, ts timestamp, src int")
+    counts = S.source_counts(events, "host", "src", late=None)
+    assert counts.count() <= len(rows)
+    pane = lambda ts: int(ts.timestamp()) // 300
+    want = {}
+    for host, ts, src in rows:
+        for begin in range(pane(ts) - 11, pane(ts) + 1):
+            want.setdefault((host, begin * 300), []).append(src)
+    want = {k: (len(v), len({x for x in v if x})) for k, v in want.items()}
+    for failures, sources in ((1, 0), (5, 3)):
+        got = S.threshold_alerts(counts, "host", "src", failures, sources).selectExpr("host", "unix_seconds(begin) as at", "n", "sources").collect()
+        assert len(got) == len({(r.host, r.at) for r in got})
+        assert {(r.host, r.at): (r.n, r.sources) for r in got} == {k: v for k, v in want.items() if v[0] >= failures and v[1] >= sources}
