@@ -98,7 +98,9 @@ def event_fields(df: DataFrame, row: str, text: str) -> DataFrame:
     Strings by place are numbered among the strings only, and shown up to 120 characters; of a key that stands more than
     once the last value counts. Texts that are no JSON, or name one member twice, have no fields.
     """
-    return _all_fields(df, row, text).select("row", F.explode("fields").alias("f")).select(F.col("row").alias(row), "f.field", "f.value")
+    # Of a plain explode Spark would infer that there are fields, and work them out, parsing included, to ask that before it works them out.
+    f = _all_fields(df, row, text).select("row", F.explode_outer("fields").alias("f")).where("f is not null")
+    return f.select(F.col("row").alias(row), "f.field", "f.value")
 
 
 def event_facts(df: DataFrame, row: str, text: str) -> DataFrame:

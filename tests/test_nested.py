@@ -43,3 +43,9 @@ def test_pairs_keep_the_last_of_many(spark):
     text = "\n".join(f"key{i % 50}={i}" for i in range(5000))
     fields, _ = found(spark, {"EventData": {"Data": [text]}})
     assert fields[0] == {f"kv.key{i % 50}": str(i) for i in range(4950, 5000)}
+
+
+def test_a_text_is_parsed_once(spark):
+    df = spark.createDataFrame([(1, '{"System": {"EventID": 7}}')], "id long, text string")
+    plan = event_fields(df, "id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1
