@@ -124,7 +124,7 @@ def test_the_time_shape_is_that_of_all_lines(spark):
 def test_stamps_are_read_once(spark):
     """What is made of readings, the sums along a file among it, doesn't read the texts again."""
     df = spark.range(1, 200).selectExpr("concat('a.log.', id % 2) as path", "id as line_start", "'line' as framing", "concat(if(id % 2 = 0, '2024-01-01 ', ''), lpad(id div 10, 2, '0'), ':00:00 x ', id) as text")
-    at = timing.clock_readings(df.withColumnRenamed("line_start", "line_no"))
-    for made in (at, at.groupBy("path").agg(F.max("reading"))):
+    at = rotation.readings(df)
+    for made in (at, rotation.families(rotation.slices(df, at=at))):
         assert "(\\d{2})" not in made._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.line_no, r.hour, r.dated) for r in at.collect()} == {(i, i // 10, i % 2 == 0) for i in range(1, 200)}
